@@ -85,11 +85,16 @@ class _RunningTopK:
         n = q_raw.shape[0]
         self.best_s = np.full((n, k), -np.inf)
         self.best_i = np.full((n, k), NO_ID, dtype=np.int64)
+        self.best_p = np.full((n, k), -1, dtype=np.int64)
 
-    def add(self, c_raw: np.ndarray, c_ids: np.ndarray) -> None:
+    def add(self, c_raw: np.ndarray, c_ids: np.ndarray, c_pos: np.ndarray | None = None) -> None:
+        """Score corpus rows; ``c_pos`` are their row positions in the task's
+        payload (defaults to 0..n-1)."""
         n = self.q.shape[0]
         if n == 0 or c_raw.shape[0] == 0:
             return
+        if c_pos is None:
+            c_pos = np.arange(c_raw.shape[0], dtype=np.int64)
         c, c_sq = _prepare(c_raw, self.metric)
         step = max(1, _TILE_ELEMS // max(n, 1))
         for lo in range(0, c.shape[0], step):
@@ -99,17 +104,20 @@ class _RunningTopK:
             all_s = np.concatenate([self.best_s, s], axis=1)
             all_i = np.concatenate([self.best_i, ids], axis=1)
             top_s, top_i, top_c = topk_merge(all_s, all_i, self.k)
+            all_p = np.concatenate([self.best_p, np.broadcast_to(c_pos[lo:hi], s.shape)], axis=1)
+            top_p = np.where(top_c >= 0, np.take_along_axis(all_p, np.maximum(top_c, 0), axis=1), -1)
             if self.metric == "euclidean":
                 # exact distance for entries that came from this tile
                 r, p = np.nonzero(top_c >= self.k)
                 if r.size:
                     diff = self.q_raw[r] - c_raw[lo:hi][top_c[r, p] - self.k]
                     top_s[r, p] = 0.0 - np.sqrt(np.einsum("ij,ij->i", diff, diff))
-            self.best_s, self.best_i = top_s, top_i
+            self.best_s, self.best_i, self.best_p = top_s, top_i, top_p
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, example id, score, payload position) of every kept entry."""
         r, p = np.nonzero(self.best_i != NO_ID)
-        return r, self.best_i[r, p], self.best_s[r, p]
+        return r, self.best_i[r, p], self.best_s[r, p], self.best_p[r, p]
 
 
 def _vector_dim(df: DataFrame, vec: str) -> int:
@@ -117,42 +125,64 @@ def _vector_dim(df: DataFrame, vec: str) -> int:
     return int(row["d"] or 0)
 
 
-def _broadcast_scores(queries, corpus, k, metric, qid, qvec, eid, cvec, dim, q_type):
-    spark = queries.sparkSession
-    qt = queries.select(qid, qvec).where(F.size(qvec) == dim).toArrow()
-    q_ids = qt.column(0).combine_chunks()
-    q_mat, _ = _list_matrix(qt.column(1), dim)
-    bc = spark.sparkContext.broadcast((q_ids, q_mat))
-    out_schema = T.StructType(
+def _out_schema(q_type, corpus: DataFrame, carry) -> T.StructType:
+    return T.StructType(
         [
             T.StructField("query_id", q_type),
             T.StructField("example_id", T.LongType()),
             T.StructField("score", T.DoubleType()),
         ]
+        + [T.StructField(c, corpus.schema[c].dataType) for c in carry]
     )
 
+
+def _emit(q_ids: pa.Array, acc: "_RunningTopK", payload: list[pa.Array], carry) -> pa.RecordBatch | None:
+    r, ex, sc, pos = acc.rows()
+    if not r.size:
+        return None
+    cols = [q_ids.take(pa.array(r, pa.int64())), pa.array(ex, pa.int64()), pa.array(sc, pa.float64())]
+    names = ["query_id", "example_id", "score"] + list(carry)
+    for arr in payload:
+        cols.append(arr.take(pa.array(pos, pa.int64())))
+    return pa.RecordBatch.from_arrays(cols, names=names)
+
+
+def _broadcast_scores(queries, corpus, k, metric, qid, qvec, eid, cvec, dim, q_type, carry):
+    spark = queries.sparkSession
+    qt = queries.select(qid, qvec).where(F.size(qvec) == dim).toArrow()
+    q_ids = qt.column(0).combine_chunks()
+    q_mat, _ = _list_matrix(qt.column(1), dim)
+    bc = spark.sparkContext.broadcast((q_ids, q_mat))
+    carry = list(carry)
+
     def score_partition(batches):
         ids_arr, qm = bc.value
         acc = _RunningTopK(qm, metric, k)
+        payload: list[list[pa.Array]] = [[] for _ in carry]
+        offset = 0
         for batch in batches:
             c_mat, valid = _list_matrix(batch.column(1), dim)
             c_ids = batch.column(0).to_numpy(zero_copy_only=False)[valid].astype(np.int64)
-            acc.add(c_mat, c_ids)
-        r, ex, sc = acc.rows()
-        if r.size:
-            yield pa.RecordBatch.from_arrays(
-                [ids_arr.take(pa.array(r)), pa.array(ex, pa.int64()), pa.array(sc, pa.float64())],
-                schema=pa.schema([("query_id", ids_arr.type), ("example_id", pa.int64()), ("score", pa.float64())]),
-            )
-
-    partial = corpus.select(F.col(eid).cast("long"), cvec).mapInArrow(score_partition, out_schema)
-    return partial
+            pos = offset + np.nonzero(valid)[0]
+            acc.add(c_mat, c_ids, pos)
+            for j in range(len(carry)):
+                payload[j].append(batch.column(2 + j))
+            offset += batch.num_rows
+        merged = [pa.concat_arrays(p) if p else pa.array([]) for p in payload]
+        out = _emit(ids_arr, acc, merged, carry)
+        if out is not None:
+            yield out
+
+    return corpus.select(F.col(eid).cast("long"), cvec, *carry).mapInArrow(
+        score_partition, _out_schema(q_type, corpus, carry)
+    )
 
 
-def _blocked_scores(queries, corpus, k, metric, qid, qvec, eid, cvec, dim, q_type, n_q, n_c, block_bytes):
+def _blocked_scores(queries, corpus, k, metric, qid, qvec, eid, cvec, dim, q_type, n_q, n_c, block_bytes, carry):
     row_bytes = max(dim, 1) * 8 + 16
     qb = max(1, math.ceil(n_q * row_bytes / block_bytes))
     cb = max(1, math.ceil(n_c * row_bytes / block_bytes))
+    carry = list(carry)
     q_rep = queries.select(
         F.col(qid).alias("query_id"),
         F.col(qvec).alias("v"),
@@ -162,16 +192,10 @@ def _blocked_scores(queries, corpus, k, metric, qid, qvec, eid, cvec, dim, q_typ
     c_rep = corpus.select(
         F.col(eid).cast("long").alias("example_id"),
         F.col(cvec).alias("v"),
+        *carry,
         F.pmod(F.xxhash64(eid), F.lit(cb)).alias("_cb"),
         F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_qb"),
     )
-    out_schema = T.StructType(
-        [
-            T.StructField("query_id", q_type),
-            T.StructField("example_id", T.LongType()),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
 
     def score_block(q_tab: pa.Table, c_tab: pa.Table) -> pa.Table:
         q_ids = q_tab.column("query_id").combine_chunks()
@@ -179,20 +203,19 @@ def _blocked_scores(queries, corpus, k, metric, qid, qvec, eid, cvec, dim, q_typ
         c_mat, valid = _list_matrix(c_tab.column("v"), dim)
         c_ids = c_tab.column("example_id").to_numpy()[valid].astype(np.int64)
         acc = _RunningTopK(q_mat, metric, k)
-        acc.add(c_mat, c_ids)
-        r, ex, sc = acc.rows()
-        return pa.table(
-            {
-                "query_id": q_ids.take(pa.array(r, pa.int64())),
-                "example_id": pa.array(ex, pa.int64()),
-                "score": pa.array(sc, pa.float64()),
-            }
-        )
+        acc.add(c_mat, c_ids, np.nonzero(valid)[0])
+        payload = [c_tab.column(c).combine_chunks() for c in carry]
+        out = _emit(q_ids, acc, payload, carry)
+        if out is None:
+            return pa.Table.from_batches([], schema=pa.schema(
+                [("query_id", q_ids.type), ("example_id", pa.int64()), ("score", pa.float64())]
+                + [(c, c_tab.schema.field(c).type) for c in carry]))
+        return pa.Table.from_batches([out])
 
     return (
         q_rep.groupBy("_qb", "_cb")
         .cogroup(c_rep.groupBy("_qb", "_cb"))
-        .applyInArrow(score_block, out_schema)
+        .applyInArrow(score_block, _out_schema(q_type, corpus, carry))
     )
 
 
@@ -209,11 +232,14 @@ def dense_topk(
     strategy: str = "auto",
     broadcast_limit_bytes: int = DEFAULT_BROADCAST_LIMIT,
     block_bytes: int = DEFAULT_BLOCK_BYTES,
+    carry: tuple[str, ...] | list[str] = (),
 ) -> DataFrame:
     """Top-k corpus rows per query: (query_id, rank, example_id, score).
 
     ``rank`` starts at 1; a query gets min(k, corpus size) rows.  Vectors whose
     length differs from the query dimension are not scored (see V6).
+    ``carry`` names small corpus columns (features) passed through the scan
+    next to each hit, so no join back to the corpus is needed for them.
     """
     _check_metric(metric)
     if k < 1:
@@ -230,11 +256,11 @@ def dense_topk(
     if strategy == "broadcast":
         if q_bytes > broadcast_limit_bytes:
             raise ValueError(f"query block of {q_bytes} bytes exceeds the broadcast limit")
-        partial = _broadcast_scores(queries, corpus, k, metric, query_id, query_vector, example_id, corpus_vector, dim, q_type)
+        partial = _broadcast_scores(queries, corpus, k, metric, query_id, query_vector, example_id, corpus_vector, dim, q_type, carry)
     elif strategy == "blocked":
         n_c = corpus.count()
         partial = _blocked_scores(
-            queries, corpus, k, metric, query_id, query_vector, example_id, corpus_vector, dim, q_type, n_q, n_c, block_bytes
+            queries, corpus, k, metric, query_id, query_vector, example_id, corpus_vector, dim, q_type, n_q, n_c, block_bytes, carry
         )
     else:
         raise ValueError(f"unknown strategy {strategy}")
@@ -244,6 +270,7 @@ def dense_topk(
         F.col("rank").cast("int").alias("rank"),
         F.col("example_id"),
         F.col("score"),
+        *carry,
     )
     return out
 

@@ -358,3 +358,155 @@ def q_pending_files(spark, sf):
 )
 def q_documents_by_lang(spark, sf):
     return stats.counts_by(table(spark, sf, "documents"), "lang")
+
+
+# ---------------------------------------------------------- code features --
+
+from ..functions import code as C  # noqa: E402
+from ..functions.similarity import name_similarity  # noqa: E402
+from ..operators import rerank as RR  # noqa: E402
+from ..operators.bm25 import bm25_topk  # noqa: E402
+from . import oracle_sql as O  # noqa: E402
+
+_FEAT_SQL = f"""code AS (SELECT p_partkey, {standins.CODE_SQL} AS code FROM part),
+    lc AS (SELECT p_partkey, code, {O.detect_language('code')} AS lang FROM code),
+    feat AS (SELECT p_partkey, lang, {O.method_name('code', 'lang')} AS method_name,
+                    {O.param_count('code', 'lang')} AS param_count FROM lc)"""
+
+
+def _features(spark, sf) -> DataFrame:
+    return standins.code_snippets(spark, sf).select("p_partkey", *C.code_features("code"))
+
+
+@register("code_features", f"WITH {_FEAT_SQL} SELECT p_partkey, lang, method_name, param_count FROM feat")
+def q_code_features(spark, sf):
+    return _features(spark, sf)
+
+
+@register(
+    "param_similarity",
+    f"""WITH {_FEAT_SQL}
+    SELECT a.p_partkey, b.p_partkey AS next_partkey, a.param_count AS a_params, b.param_count AS b_params,
+           {O.param_similarity('a.param_count', 'b.param_count')} AS signature_score
+    FROM feat a JOIN feat b ON b.p_partkey = a.p_partkey + 1""",
+)
+def q_param_similarity(spark, sf):
+    f = _features(spark, sf)
+    a = f.select("p_partkey", F.col("param_count").alias("a_params"))
+    b = f.select(F.col("p_partkey").alias("next_partkey"), F.col("param_count").alias("b_params"))
+    j = a.join(b, F.col("next_partkey") == F.col("p_partkey") + 1)
+    return j.select(
+        "p_partkey", "next_partkey", "a_params", "b_params", C.param_similarity("a_params", "b_params").alias("signature_score")
+    )
+
+
+@register("name_similarity")
+def q_name_similarity(spark, sf):
+    """C4 between each part's method name and the next part's (rows-only check;
+    golden values are in the tests)."""
+    f = _features(spark, sf)
+    a = f.select("p_partkey", F.col("method_name").alias("a_name"))
+    b = f.select(F.col("p_partkey").alias("next_partkey"), F.col("method_name").alias("b_name"))
+    j = a.join(b, F.col("next_partkey") == F.col("p_partkey") + 1)
+    return j.select("p_partkey", "next_partkey", "a_name", "b_name", name_similarity("a_name", "b_name").alias("name_score"))
+
+
+def _index(spark, sf) -> DataFrame:
+    """Vectors of `embeddings` with the code features of the part of the same key."""
+    emb = table(spark, sf, "embeddings")
+    return emb.join(_features(spark, sf), emb.vec_id == F.col("p_partkey"), "left").select(
+        "vec_id", "embedding", "method_name", "param_count"
+    )
+
+
+_NO_NAME = {"embedding": 0.6, "method_name": 0.0, "signature": 0.2}
+
+
+def _rerank_query(spark, sf, weights):
+    idx = _index(spark, sf)
+    queries = idx.select(F.col("vec_id").alias("query_id"), "embedding", "method_name", "param_count")
+    corpus = idx.select(F.col("vec_id").alias("example_id"), "embedding", "method_name", "param_count")
+    return RR.retrieve(queries, corpus, k=5, threshold=0.3, pool_size=50, weights=weights)
+
+
+_W = RR.normalize_weights(_NO_NAME)
+
+
+@register(
+    "rerank_no_name",
+    f"""WITH {_FEAT_SQL},
+    v AS (SELECT e.vec_id, CAST(e.embedding AS DOUBLE[]) AS e, f.param_count
+          FROM embeddings e LEFT JOIN feat f ON f.p_partkey = e.vec_id),
+    n AS (SELECT *, sqrt(list_dot_product(e, e)) AS nrm FROM v),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS example_id,
+                 list_dot_product(q.e, c.e) / ((q.nrm + 1e-8) * (c.nrm + 1e-8)) AS es,
+                 q.param_count AS qp, c.param_count AS cp FROM n q, n c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY es DESC, example_id) AS r1 FROM s),
+    p AS (SELECT query_id, example_id, r1, es, {O.param_similarity('qp', 'cp')} AS ss FROM r WHERE r1 <= 50),
+    c AS (SELECT *, CAST({_W['embedding']!r} AS DOUBLE) * es + CAST({_W['method_name']!r} AS DOUBLE) * 0.0::DOUBLE
+                    + CAST({_W['signature']!r} AS DOUBLE) * ss AS score FROM p),
+    r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r1) AS rank FROM c)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, example_id, round(score, 6) AS score,
+           round(es, 6) AS embedding_score, ss AS signature_score, CAST(r1 AS INTEGER) AS first_stage_rank
+    FROM r2 WHERE rank <= 5 AND score >= 0.3""",
+)
+def q_rerank_no_name(spark, sf):
+    r = _rerank_query(spark, sf, _NO_NAME)
+    return r.select(
+        "query_id",
+        "rank",
+        "example_id",
+        F.round("score", 6).alias("score"),
+        F.round("embedding_score", 6).alias("embedding_score"),
+        "signature_score",
+        "first_stage_rank",
+    )
+
+
+@register("rerank_full")
+def q_rerank_full(spark, sf):
+    """C8 with the default weights (name similarity via difflib): rows-only
+    check here, brute force in the tests."""
+    return _rerank_query(spark, sf, None)
+
+
+# ------------------------------------------------------------------- BM25 --
+
+BM25_SQL = r"""WITH dt AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS toks FROM documents),
+    st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM dt),
+    qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark),
+    qtf AS (SELECT query_id, term, count(*) AS qtf FROM qt GROUP BY 1, 2),
+    vocab AS (SELECT DISTINCT term FROM qtf),
+    dterms AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM dt),
+    tf AS (SELECT doc_id, term, dl, count(*) AS tf FROM dterms WHERE term IN (SELECT term FROM vocab) GROUP BY 1, 2, 3),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    w AS (SELECT q.query_id, q.term,
+                 q.qtf * ln(1.0::DOUBLE + (CAST((SELECT n FROM st) AS DOUBLE) - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) AS weight
+          FROM qtf q JOIN df ON q.term = df.term),
+    s AS (SELECT w.query_id, tf.doc_id,
+                 sum(w.weight * (tf.tf * 2.2::DOUBLE / (tf.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * tf.dl / (SELECT avgdl FROM st))))) AS score
+          FROM w JOIN tf ON w.term = tf.term GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 5"""
+
+
+@register("bm25_topk", BM25_SQL)
+def q_bm25_topk(spark, sf):
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return bm25_topk(q, d, 5).withColumn("score", F.round("score", 6))
+
+
+# ---------------------------------------------------------- example pairs --
+
+
+@register(
+    "example_pairs",
+    """SELECT u.conv_id, u.turn, u.text AS focal_method, a.text AS unit_test
+       FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+       WHERE u.role = 'user' AND a.role = 'assistant' AND length(u.text) > 0 AND length(a.text) > 0""",
+)
+def q_example_pairs(spark, sf):
+    from ..sources.corpus import pairs_from_turns
+
+    return pairs_from_turns(table(spark, sf, "conversations"))

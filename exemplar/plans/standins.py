@@ -80,3 +80,41 @@ SELECT event_type AS step,
        CASE WHEN value < 5 THEN 'failed' WHEN value < 20 THEN 'skipped' ELSE 'processed' END AS status
 FROM events
 """
+
+
+# Code snippets generated from `part`: the language cycles with the key, the
+# name is the part name, the parameter list depends on p_size.  Written once
+# as SQL that both Spark and DuckDB accept (chr(10) for newlines).
+_NL = "chr(10)"
+_RUST_PARAMS = [
+    "",
+    "a: i32",
+    "&self, a: Vec<u8>, b: HashMap<String, (i32, i32)>",
+    "a: i32, b: &str, c: Option<Box<dyn Fn(i32) -> i32>>",
+    "&mut self, a: i32, b: i32, c: [u8; 4], d: (i32, i32)",
+]
+_GO_PARAMS = ["", "a int", "a int, b map[string]int", "a int, b []string, c func(int) int", "a, b int, c string, d ...int"]
+_JULIA_PARAMS = ["", "a::Int", "a::Int, b", "a::Vector{Int}, b::Dict{String,Int}, c; verbose=false", "a, b::Int, c::Int, d::Int=1"]
+_JAVA_PARAMS = ["", "int x", "int x, List<String> ys", "int x, Map<String, Integer> m, String s", "int a, int b, int c, String... rest"]
+
+
+def _case(values: list[str]) -> str:
+    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"(CASE p_size % 5 {arms} END)"
+
+
+CODE_SQL = f"""(CASE p_partkey % 4
+  WHEN 0 THEN 'pub fn ' || replace(p_name, ' ', '_') || '(' || {_case(_RUST_PARAMS)} || ') -> i32 {{' || {_NL}
+              || '    let v = helper(1, 2);' || {_NL} || '    v' || {_NL} || '}}'
+  WHEN 1 THEN 'func ' || (CASE WHEN p_size % 2 = 0 THEN '(s *Server) ' ELSE '' END) || replace(p_name, ' ', '_')
+              || '(' || {_case(_GO_PARAMS)} || ') int {{' || {_NL} || '	return len(x)' || {_NL} || '}}'
+  WHEN 2 THEN 'function ' || replace(p_name, ' ', '_') || '(' || {_case(_JULIA_PARAMS)} || ')' || {_NL}
+              || '    return f(a)' || {_NL} || 'end'
+  ELSE 'public static int ' || replace(p_name, ' ', '_') || '(' || {_case(_JAVA_PARAMS)} || ') {{' || {_NL}
+              || '    return compute(x);' || {_NL} || '}}'
+END)"""
+
+
+def code_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    """(p_partkey, code) for every part."""
+    return table(spark, sf, "part").select("p_partkey", F.expr(CODE_SQL).alias("code"))
