@@ -2,14 +2,16 @@
 
 Plan (two passes over the corpus, no all-pairs rows):
 
-1. Spark aggregates: N and the average document length (one row), and the
-   document frequency of each *query* term (``explode(array_distinct(tokens))``
+1. One Spark aggregation: N, the total document length and the document
+   frequency of each *query* term (``explode(array_distinct(tokens))``
    semi-joined with the query vocabulary, partial aggregation before the
    shuffle, so a hot term costs one row per partition).
-2. The query term weights ``qtf * idf`` (bounded by the size of the query set,
-   checked) are broadcast; ``mapInArrow`` scores the documents of each
-   partition with vectorised sparse arithmetic and keeps a running top-k per
-   query.  The merge is a ``row_number`` window on query id.
+2. The query term weights ``qtf * idf`` form a dense (query term x query)
+   matrix whose size is checked before it is broadcast; ``mapInArrow`` turns
+   each tile of documents into a (document x query term) matrix of BM25 term
+   parts and multiplies, keeping a running top-k per query.  The merge is a
+   ``row_number`` window on query id.  Above the bound, a postings join on
+   term is used instead.
 
 Scores use k1 = 1.2, b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a
 document is a hit only if it shares at least one term with the query.  Ranking
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
+from .layout import spread
 from .topk import NO_ID, top_k_per_group, topk_merge
 
 # BM25 parameters and the token pattern.
@@ -36,7 +39,7 @@ K1 = 1.2
 B = 0.75
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
 RANK_DECIMALS = 9
-DEFAULT_WEIGHT_LIMIT = 64 << 20
+DEFAULT_WEIGHT_LIMIT = 256 << 20
 _TILE_ELEMS = 4_000_000
 
 
@@ -46,22 +49,69 @@ def tokenize(text) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def _query_weights(queries: DataFrame, docs: DataFrame, n_docs: int):
-    """(query_id, term, weight) rows: qtf * idf, for terms that occur in the corpus."""
-    qtf = (
-        queries.select("query_id", F.explode("tokens").alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count(F.lit(1)).alias("qtf"))
-    )
-    vocab = qtf.select("term").distinct()
-    df = (
-        docs.select(F.explode(F.array_distinct("tokens")).alias("term"))
-        .join(F.broadcast(vocab), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    return qtf.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
+_ALL = "\u0000"  # sentinel term: its row carries N and the total length
+_SPLIT = r"[^\p{L}\p{N}_]+"
+
+
+def arrow_tokens(texts: pa.Array) -> pa.ListArray:
+    """Vectorised tokenizer (Arrow's RE2): lower-case, split on non-word runs,
+    drop empty pieces.  Same tokens as ``tokenize``."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("")), pattern=_SPLIT)
+    flat = parts.flatten()
+    keep = pc.not_equal(flat, "")
+    row = np.repeat(np.arange(len(parts)), parts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    kept_rows = row[keep.to_numpy(zero_copy_only=False)]
+    counts = np.bincount(kept_rows, minlength=len(parts))
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), flat.filter(keep))
+
+
+def _doc_stats(docs: DataFrame, vocab_bc):
+    """Per-partition (term, df, total_dl) for the query vocabulary plus the
+    sentinel row (N, total length); merged by a Spark aggregation."""
+
+    def fn(batches):
+        vocab = vocab_bc.value
+        n_v = len(vocab)
+        df = np.zeros(n_v, dtype=np.int64)
+        n_docs = 0
+        total = 0
+        for batch in batches:
+            toks = arrow_tokens(batch.column(1))
+            lengths = toks.value_lengths().to_numpy(zero_copy_only=False)
+            n_docs += len(lengths)
+            total += int(lengths.sum())
+            term = pc.index_in(toks.flatten(), value_set=vocab).fill_null(-1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+            hit = term >= 0
+            if hit.any():
+                upair = np.unique(row[hit] * n_v + term[hit])
+                df += np.bincount(upair % n_v, minlength=n_v)
+        nz = np.nonzero(df)[0]
+        terms = pa.concat_arrays([vocab.take(pa.array(nz, pa.int64())), pa.array([_ALL])])
+        yield pa.RecordBatch.from_arrays(
+            [terms, pa.array(np.append(df[nz], n_docs), pa.int64()), pa.array(np.append(np.zeros(len(nz), np.int64), total), pa.int64())],
+            names=["term", "df", "total_dl"],
+        )
+
+    schema = "term string, df long, total_dl long"
+    return docs.mapInArrow(fn, schema).groupBy("term").agg(F.sum("df").alias("df"), F.sum("total_dl").alias("total_dl"))
+
+
+def _query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf) with the Arrow tokenizer."""
+
+    def fn(batches):
+        for batch in batches:
+            toks = arrow_tokens(batch.column(1))
+            lengths = toks.value_lengths().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(lengths)), lengths), pa.int64()))
+            t = pa.table({"query_id": ids, "term": toks.flatten()})
+            g = t.group_by(["query_id", "term"]).aggregate([("term", "count")])
+            yield from g.rename_columns(["query_id", "term", "qtf"]).to_batches()
+
+    q_type = queries.schema["query_id"].dataType.simpleString()
+    return queries.mapInArrow(fn, f"query_id {q_type}, term string, qtf long")
 
 
 def bm25_topk(
@@ -80,10 +130,8 @@ def bm25_topk(
         raise ValueError("k must be >= 1")
     spark = queries.sparkSession
     ship_package(spark)
-    q = queries.select(F.col(query_id).alias("query_id"), tokenize(query_text).alias("tokens"))
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), tokenize(doc_text).alias("tokens"))
-    st = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
-    n_docs, avgdl = int(st["n"]), float(st["avgdl"] or 0.0)
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("text"))
+    d = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")))
     q_type = q.schema["query_id"].dataType
     out_schema = T.StructType(
         [
@@ -92,15 +140,38 @@ def bm25_topk(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    if n_docs == 0:
+    qtf = _query_terms(q)
+    # The query side is bounded by the query set: checked, then collected once.
+    n_pairs = qtf.count()
+    if n_pairs * 64 > weight_limit_bytes:
+        return _rank(_joined_scores(qtf, d), k, query_id, doc_id)
+    qt = qtf.toArrow()
+    vocab = pc.unique(qt.column("term").combine_chunks())
+    st = _doc_stats(d, spark.sparkContext.broadcast(vocab)).toArrow()
+    stats = dict(zip(st.column("term").to_pylist(), zip(st.column("df").to_pylist(), st.column("total_dl").to_pylist())))
+    n_docs, total_dl = stats.pop(_ALL, (0, 0))
+    if not n_docs:
         return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
-    weights = _query_weights(q, d, n_docs)
-    n_w = weights.count()
-    if n_w * 64 > weight_limit_bytes:
-        partial = _joined_scores(weights, d, avgdl)
-    else:
-        wt = weights.toArrow()
-        partial = d.mapInArrow(_scorer(spark, wt, k, avgdl), out_schema)
+    avgdl = float(total_dl) / float(n_docs)
+    # weights qtf * idf, for query terms that occur in the corpus
+    df_arr = pa.array([stats.get(t, (0, 0))[0] for t in qt.column("term").to_pylist()], pa.int64()).to_numpy()
+    present = df_arr > 0
+    idf_arr = np.log(1.0 + (float(n_docs) - df_arr + 0.5) / (df_arr + 0.5))
+    wt = pa.table(
+        {
+            "query_id": qt.column("query_id").combine_chunks().filter(pa.array(present)),
+            "term": qt.column("term").combine_chunks().filter(pa.array(present)),
+            "weight": pa.array((qt.column("qtf").to_numpy() * idf_arr)[present]),
+        }
+    )
+    n_q = len(pc.unique(wt.column("query_id").combine_chunks())) if wt.num_rows else 0
+    if len(pc.unique(wt.column("term").combine_chunks())) * max(n_q, 1) * 8 > weight_limit_bytes:
+        return _rank(_joined_scores(qtf, d), k, query_id, doc_id)
+    partial = d.mapInArrow(_scorer(spark, wt, k, avgdl), out_schema)
+    return _rank(partial, k, query_id, doc_id)
+
+
+def _rank(partial: DataFrame, k: int, query_id: str, doc_id: str) -> DataFrame:
     key = F.round(F.col("score"), RANK_DECIMALS)
     ranked = top_k_per_group(partial, ["query_id"], [key.desc(), F.col("doc_id").asc()], k)
     return ranked.select(
@@ -112,68 +183,48 @@ def bm25_topk(
 
 
 def _scorer(spark, wt: pa.Table, k: int, avgdl: float):
-    """Build the per-partition scoring function around the broadcast weights."""
+    """Per-partition scoring around a broadcast dense (term x query) weight matrix."""
     q_ids_all = wt.column("query_id").combine_chunks()
     uq = pc.unique(q_ids_all)
     q_idx = pc.index_in(q_ids_all, value_set=uq).to_numpy()
     terms_all = wt.column("term").combine_chunks()
     vocab = pc.unique(terms_all)
     t_idx = pc.index_in(terms_all, value_set=vocab).to_numpy()
-    w = wt.column("weight").to_numpy()
-    # CSR by term: for each term the (query, weight) entries.
-    order = np.argsort(t_idx, kind="stable")
-    t_sorted, q_sorted, w_sorted = t_idx[order], q_idx[order], w[order]
-    indptr = np.searchsorted(t_sorted, np.arange(len(vocab) + 1))
-    bc = spark.sparkContext.broadcast((uq, vocab, indptr, q_sorted, w_sorted))
+    w_mat = np.zeros((len(vocab), len(uq)))
+    w_mat[t_idx, q_idx] = wt.column("weight").to_numpy()
+    bc = spark.sparkContext.broadcast((uq, vocab, w_mat))
 
     def score_partition(batches):
-        uq_, vocab_, indptr_, q_s, w_s = bc.value
-        n_q = len(uq_)
+        uq_, vocab_, w = bc.value
+        n_q, n_v = len(uq_), len(vocab_)
         best_s = np.full((n_q, k), -np.inf)
         best_i = np.full((n_q, k), NO_ID, dtype=np.int64)
+        tile_rows = max(1, _TILE_ELEMS // max(n_v, n_q, 1))
         for batch in batches:
-            toks = batch.column(1)
+            toks = arrow_tokens(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             n_d = len(ids)
             if n_d == 0:
                 continue
-            lengths = toks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            flat = toks.flatten()
-            term = pc.index_in(flat, value_set=vocab_).fill_null(-1).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(n_d), lengths)
+            lengths = toks.value_lengths().to_numpy(zero_copy_only=False)
+            term = pc.index_in(toks.flatten(), value_set=vocab_).fill_null(-1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n_d, dtype=np.int64), lengths)
             hit = term >= 0
             if not hit.any():
                 continue
-            pair = row[hit].astype(np.int64) * len(vocab_) + term[hit]
-            upair, tf = np.unique(pair, return_counts=True)
-            prow, pterm = upair // len(vocab_), upair % len(vocab_)
+            upair, tf = np.unique(row[hit] * n_v + term[hit], return_counts=True)
+            prow, pterm = upair // n_v, upair % n_v
             dl = lengths[prow].astype(np.float64)
             tf_part = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dl / avgdl))
-            # expand each (doc, term) to the queries holding the term
-            cnt = indptr_[pterm + 1] - indptr_[pterm]
-            rep = np.repeat(np.arange(len(prow)), cnt)
-            starts = np.repeat(indptr_[pterm], cnt)
-            within = np.arange(len(rep)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-            e = starts + within
-            qq, dd = q_s[e], prow[rep]
-            contrib = w_s[e] * tf_part[rep]
-            # aggregate per (query, doc) in a fixed order (by term) for stable sums
-            key = qq.astype(np.int64) * n_d + dd
-            uk, inv = np.unique(key, return_inverse=True)
-            sums = np.zeros(len(uk))
-            np.add.at(sums, inv, contrib)
-            kq, kd = uk // n_d, uk % n_d
-            by_doc = np.argsort(kd, kind="stable")
-            kq, kd, sums = kq[by_doc], kd[by_doc], sums[by_doc]
-            # dense (queries x docs) tiles of bounded size, matched docs only
-            step = max(1, _TILE_ELEMS // max(n_q, 1))
-            for lo in range(0, n_d, step):
-                hi = min(n_d, lo + step)
-                a, z = np.searchsorted(kd, lo), np.searchsorted(kd, hi)
+            for lo in range(0, n_d, tile_rows):
+                hi = min(n_d, lo + tile_rows)
+                a, z = np.searchsorted(prow, lo), np.searchsorted(prow, hi)
                 if a == z:
                     continue
-                tile = np.full((n_q, hi - lo), -np.inf)
-                tile[kq[a:z], kd[a:z] - lo] = sums[a:z]
+                m = np.zeros((hi - lo, n_v))
+                m[prow[a:z] - lo, pterm[a:z]] = tf_part[a:z]
+                tile = (m @ w).T  # (queries x docs); 0 means no shared term
+                tile = np.where(tile > 0, tile, -np.inf)
                 all_key = np.concatenate([np.round(best_s, RANK_DECIMALS), np.round(tile, RANK_DECIMALS)], axis=1)
                 all_s = np.concatenate([best_s, tile], axis=1)
                 all_i = np.concatenate([best_i, np.broadcast_to(ids[lo:hi], tile.shape)], axis=1)
@@ -190,24 +241,45 @@ def _scorer(spark, wt: pa.Table, k: int, avgdl: float):
     return score_partition
 
 
-def _joined_scores(weights: DataFrame, d: DataFrame, avgdl: float) -> DataFrame:
-    """Fallback for query sets whose weights exceed the broadcast bound: a
-    postings join on term (AQE splits skewed terms) and a (query, doc) sum."""
-    postings = (
-        d.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .join(weights.select("term").distinct(), "term", "left_semi")
-        .groupBy("doc_id", "term", "dl")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+def _postings(d: DataFrame) -> DataFrame:
+    """(doc_id, dl, term, tf) rows with the Arrow tokenizer."""
+
+    def fn(batches):
+        for batch in batches:
+            toks = arrow_tokens(batch.column(1))
+            lengths = toks.value_lengths().to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(len(lengths)), lengths)
+            t = pa.table(
+                {
+                    "doc_id": batch.column(0).take(pa.array(rows, pa.int64())),
+                    "dl": pa.array(lengths[rows], pa.int64()),
+                    "term": toks.flatten(),
+                }
+            )
+            g = t.group_by(["doc_id", "dl", "term"]).aggregate([("term", "count")])
+            yield from g.rename_columns(["doc_id", "dl", "term", "tf"]).to_batches()
+
+    return d.mapInArrow(fn, "doc_id long, dl long, term string, tf long")
+
+
+def _joined_scores(qtf: DataFrame, d: DataFrame) -> DataFrame:
+    """Fallback for query sets above the broadcast bound: postings joined with
+    the query terms on term (AQE splits skewed terms), summed per (query, doc).
+    Same formula; everything stays in Spark joins and aggregations."""
+    post = _postings(d)
+    stats = post.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")
+    ).first()
+    n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
+    post = post.join(qtf.select("term").distinct(), "term", "left_semi")
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    weights = qtf.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
     tf_part = (
         F.col("tf") * F.lit(K1 + 1.0)
         / (F.col("tf") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl)))
     )
-    return (
-        postings.join(weights, "term")
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("weight") * tf_part).alias("score"))
-    )
+    return post.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * tf_part).alias("score"))
 
 
 def idf(n_docs: int, df: int) -> float:

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import NORM_EPS
 from ..session import ship_package
+from .layout import spread
 from .topk import NO_ID, top_k_per_group, topk_merge
 
 # Per-task budget for one dense score tile (float64 elements).
