@@ -14,3 +14,60 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def ordinal(df: DataFrame, order_by: list[str], within: list[str] | None = None, name: str = "ordinal") -> DataFrame:
+    """0-based position of each row in ``order_by`` order, restarting for each
+    ``within`` group (W6: task_id).
+
+    Distributed: rows are range-partitioned and sorted on (within, order_by),
+    each task numbers its rows per group, and the per-(partition, group) row
+    counts (a table of partitions x groups, collected once) give each
+    partition's offset.  A large group is spread over many partitions instead
+    of going through one window task.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    within = list(within or [])
+    keys = within + list(order_by)
+    spark = df.sparkSession
+    n = max(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    from pyspark.sql import types as T
+
+    schema = T.StructType(s.schema.fields + [T.StructField("_pid", T.IntegerType()), T.StructField("_local", T.LongType())])
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        seen: dict = {}
+        for b in batches:
+            if within:
+                gk = list(zip(*[b.column(c).to_pylist() for c in within]))
+            else:
+                gk = [()] * b.num_rows
+            local = []
+            for g in gk:
+                c = seen.get(g, 0)
+                local.append(c)
+                seen[g] = c + 1
+            yield pa.RecordBatch.from_arrays(
+                list(b.columns) + [pa.array([pid] * b.num_rows, pa.int32()), pa.array(local, pa.int64())],
+                names=list(b.schema.names) + ["_pid", "_local"],
+            )
+
+    local = s.mapInArrow(number, schema)
+    counts = local.groupBy("_pid", *within).agg(F.count(F.lit(1)).alias("_n")).toArrow().to_pylist()
+    counts.sort(key=lambda r: r["_pid"])
+    running: dict = {}
+    offsets = []
+    for r in counts:
+        g = tuple(r[c] for c in within)
+        offsets.append({**{c: r[c] for c in within}, "_pid": r["_pid"], "_off": running.get(g, 0)})
+        running[g] = running.get(g, 0) + r["_n"]
+    off_schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in within] + ["_pid int", "_off long"])
+    off_df = spark.createDataFrame(offsets, off_schema)
+    j = local.join(F.broadcast(off_df), within + ["_pid"], "left")
+    return j.withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).drop("_pid", "_local", "_off")

@@ -118,3 +118,70 @@ END)"""
 def code_snippets(spark: SparkSession, sf: str) -> DataFrame:
     """(p_partkey, code) for every part."""
     return table(spark, sf, "part").select("p_partkey", F.expr(CODE_SQL).alias("code"))
+
+
+# Benchmark cases (F2) from `benchmark`: language cycles with the key.
+def bench_cases(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "benchmark")
+    lang = F.when(F.col("item_id") % 3 == 0, "Rust").when(F.col("item_id") % 3 == 1, "Go").otherwise("Julia")
+    return b.select(
+        F.concat(F.lit("case_"), (F.col("item_id") + 1).cast("string")).alias("id"),
+        lang.alias("lang"),
+        F.col("text").alias("focal_code"),
+        F.lower(F.split_part(F.col("text"), F.lit(" "), F.lit(1))).alias("function_name"),
+        F.concat(F.lit("src/item_"), F.col("item_id").cast("string"), F.lit(".txt")).alias("file_path"),
+        F.when(F.col("item_id") % 4 == 0, F.lit("impl Widget")).alias("class_signature"),
+        F.col("item_id").alias("ordinal_in"),
+    )
+
+
+BENCH_SQL = """SELECT 'case_' || CAST(item_id + 1 AS VARCHAR) AS id,
+       CASE item_id % 3 WHEN 0 THEN 'Rust' WHEN 1 THEN 'Go' ELSE 'Julia' END AS lang,
+       text AS focal_code, lower(split_part(text, ' ', 1)) AS function_name,
+       'src/item_' || CAST(item_id AS VARCHAR) || '.txt' AS file_path,
+       CASE WHEN item_id % 4 = 0 THEN 'impl Widget' END AS class_signature, item_id AS ordinal_in
+FROM benchmark"""
+
+# Example pairs keyed by one LONG (turn numbers are small).
+PAIRS_SQL = """SELECT u.conv_id * 1000000 + u.turn AS pair_id, u.text AS focal_method, a.text AS unit_test
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user' AND a.role = 'assistant' AND length(u.text) > 0 AND length(a.text) > 0"""
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.corpus import pairs_from_turns
+
+    p = pairs_from_turns(table(spark, sf, "conversations"))
+    return p.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("pair_id"), "focal_method", "unit_test")
+
+
+# Generated answers wrapped around chat turns, one sample per assistant turn.
+def _comment(prefix: str) -> str:
+    return f"replace(text, chr(10), chr(10) || '{prefix}')"
+
+
+RESPONSES_SQL = {
+    "rust": f"""SELECT conv_id, turn,
+       'pub fn solve() {{}}' || chr(10) || '    #[test]' || chr(10) || '    fn test_case_' || CAST(turn AS STRING) || '() {{' AS prompt,
+       [chr(10) || '        // ' || {_comment('        // ')} || chr(10) || '        assert!(solve_ok());' || chr(10) || '    }}'
+          || chr(10) || '    fn helper() {{}}' || chr(10) || '    fn check_test() {{' || chr(10) || '        assert!(true);' || chr(10) || '    }}',
+        text] AS response
+    FROM conversations WHERE role = 'assistant'""",
+    "go": f"""SELECT conv_id, turn,
+       'package main' || chr(10) || 'func TestCase' || CAST(turn AS STRING) || '(' AS prompt,
+       ['t *testing.T) {{' || chr(10) || '    // ' || {_comment('    // ')} || chr(10) || '}}' || chr(10)
+          || 'func helper() int {{ return 1 }}' || chr(10) || 'func TestOther(t *testing.T) {{ t.Log("x") }}',
+        text] AS response
+    FROM conversations WHERE role = 'assistant'""",
+    "julia": f"""SELECT conv_id, turn,
+       'function solve() end' || chr(10) || '@testset "case ' || CAST(turn AS STRING) || '" begin' AS prompt,
+       [chr(10) || '    # ' || {_comment('    # ')} || chr(10) || 'end', text] AS response
+    FROM conversations WHERE role = 'assistant'""",
+}
+
+
+def responses(spark: SparkSession, sf: str, lang: str) -> DataFrame:
+    """Samples (conv_id, turn, prompt, response[]) built by the same SQL text."""
+    table(spark, sf, "conversations").createOrReplaceTempView("conversations")
+    sql = RESPONSES_SQL[lang].replace("[", "array(").replace("] AS response", ") AS response")
+    return spark.sql(sql)
