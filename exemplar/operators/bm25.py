@@ -267,10 +267,10 @@ def _joined_scores(qtf: DataFrame, d: DataFrame) -> DataFrame:
     the query terms on term (AQE splits skewed terms), summed per (query, doc).
     Same formula; everything stays in Spark joins and aggregations."""
     post = _postings(d)
-    stats = post.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")
-    ).first()
-    n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
+    empty_vocab = d.sparkSession.sparkContext.broadcast(pa.array([], pa.string()))
+    st = _doc_stats(d, empty_vocab).where(F.col("term") == _ALL).first()
+    n_docs = int(st["df"]) if st else 0
+    avgdl = float(st["total_dl"]) / n_docs if n_docs else 0.0
     post = post.join(qtf.select("term").distinct(), "term", "left_semi")
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))

@@ -37,14 +37,15 @@ def read_summaries(spark: SparkSession, base_dir: str, keep_corrupt: bool = Fals
     Modes other than standard/fewshot are ignored (P6); missing keys become 0
     (P5); malformed files are skipped unless ``keep_corrupt``.
     """
-    raw = (
-        spark.read.schema(SUMMARY_SCHEMA)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(f"{base_dir.rstrip('/')}/*/*/*/summary.json")
-        .withColumn("_path", F.col("_metadata.file_path"))
-    )
+    reader = spark.read.option("multiLine", True)
+    if keep_corrupt:
+        reader = reader.schema(SUMMARY_SCHEMA).option("mode", "PERMISSIVE").option(
+            "columnNameOfCorruptRecord", "_corrupt_record"
+        )
+    else:
+        # malformed files are skipped, as the original skips unreadable ones
+        reader = reader.schema(T.StructType(SUMMARY_SCHEMA.fields[:-1])).option("mode", "DROPMALFORMED")
+    raw = reader.json(f"{base_dir.rstrip('/')}/*/*/*/summary.json").withColumn("_path", F.col("_metadata.file_path"))
     parts = F.split(F.col("_path"), "/")
     df = raw.select(
         F.element_at(parts, -4).alias("Language"),
@@ -54,10 +55,8 @@ def read_summaries(spark: SparkSession, base_dir: str, keep_corrupt: bool = Fals
             F.coalesce(F.col(k), F.lit(0 if k == "total_samples" else 0.0)).alias(name)
             for k, name in SUMMARY_KEYS
         ],
-        F.col("_corrupt_record"),
+        *([F.col("_corrupt_record")] if keep_corrupt else []),
     ).where(F.col("Mode").isin(*MODES))
-    if not keep_corrupt:
-        df = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     return df
 
 
