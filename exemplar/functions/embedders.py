@@ -1,8 +1,8 @@
 """Embedders.
 
-``HashedEmbedder`` is the default: token counts hashed into ``dim`` buckets
-with Spark ML's ``HashingTF`` (JVM side), turned into an array and scaled to
-unit length.  It needs no model files and is deterministic across runs.
+``HashedEmbedder`` is the default: token counts hashed (``xxhash64``) into
+``dim`` buckets with built-in array functions and scaled to unit length.  It
+needs no model files, runs in the JVM, and is deterministic across runs.
 
 ``CallableEmbedder`` wraps any caller-supplied ``pd.Series[str] -> sequence of
 vectors`` function as an Arrow-batched pandas UDF; the batch size is Spark's
@@ -15,12 +15,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import NORM_EPS
+from .vectors import scale_to_unit
 
 _TOKEN = r"[\p{L}\p{N}_]+"
 
@@ -35,14 +33,21 @@ class HashedEmbedder:
         return self.dim
 
     def transform(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
-        tmp_tokens, tmp_tf = f"__{out_col}_tokens", f"__{out_col}_tf"
+        dim = self.dim
         tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(_TOKEN), F.lit(0))
-        with_tokens = df.withColumn(tmp_tokens, tokens)
-        tf = HashingTF(inputCol=tmp_tokens, outputCol=tmp_tf, numFeatures=self.dim).transform(with_tokens)
-        arr = vector_to_array(F.col(tmp_tf))
-        nrm = F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x)) + F.lit(NORM_EPS)
-        vec = F.transform(arr, lambda x: (x / nrm).cast("float"))
-        return tf.withColumn(out_col, vec).drop(tmp_tokens, tmp_tf)
+        buckets = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+        # counts per bucket: the bucket array is the fold input, so it is computed once
+        # and the normalisation happens in the finish step on the bound counts.
+        def unit(counts):
+            return F.transform(scale_to_unit(counts), lambda x: x.cast("float"))
+
+        vec = F.aggregate(
+            buckets,
+            F.array_repeat(F.lit(0.0), dim),
+            lambda acc, b: F.transform(acc, lambda v, i: F.when(i == b, v + 1.0).otherwise(v)),
+            unit,
+        )
+        return df.withColumn(out_col, vec)
 
 
 class CallableEmbedder:

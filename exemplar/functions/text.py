@@ -32,15 +32,38 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _delta(line: Column) -> Column:
-    """Number of '{' minus number of '}' outside literals and line comments."""
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, _STRING, ""), _CHAR, ""), _LINE_COMMENT, "")
-    opens = F.length(clean) - F.length(F.regexp_replace(clean, r"\{", ""))
-    closes = F.length(clean) - F.length(F.regexp_replace(clean, r"\}", ""))
-    return opens - closes, opens
+def _clean(line: Column) -> Column:
+    """The line without string/char literals and ``//`` comments."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(line, _STRING, ""), _CHAR, ""), _LINE_COMMENT, "")
+
+
+def _count(s: Column, ch: str) -> Column:
+    return F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
+
+
+def _line_features(text: Column, **flags) -> Column:
+    """One struct per line, every feature computed once: line, pos, delta
+    (braces opened minus closed), opens, and each ``flags[name](line)``.
+
+    The fold below only reads these fields; computing them inside the fold
+    step would re-evaluate them for every reference (lambda bodies are not
+    de-duplicated)."""
+    lines = _lines(text)
+    cleaned = F.transform(lines, lambda l, i: F.struct(l.alias("line"), i.alias("pos"), _clean(l).alias("clean")))
+    return F.transform(
+        cleaned,
+        lambda x: F.struct(
+            x["line"].alias("line"),
+            x["pos"].alias("pos"),
+            (_count(x["clean"], "{") - _count(x["clean"], "}")).alias("delta"),
+            _count(x["clean"], "{").alias("opens"),
+            *[fn(x["line"], x["clean"]).alias(name) for name, fn in flags.items()],
+        ),
+    )
 
 
 _SEG = "struct<depth:int,pos:int,text:string,attr:boolean>"
+_EMPTY = "array<string>"
 
 
 def brace_segments(text, header: str, top_level_only: bool = False) -> Column:
@@ -50,56 +73,52 @@ def brace_segments(text, header: str, top_level_only: bool = False) -> Column:
     text (first line left-trimmed) and whether a ``#[test]`` attribute line
     came right before it (blank lines allowed in between).  Unclosed
     segments are dropped."""
-    lines = _lines(_c(text))
+    feats = _line_features(
+        _c(text),
+        hdr=lambda l, c: l.rlike(header),
+        is_attr=lambda l, c: F.trim(l) == "#[test]",
+        blank=lambda l, c: F.trim(l) == "",
+    )
     init = F.struct(
         F.lit(0).alias("depth"),
         F.lit(-1).alias("start"),
         F.lit(False).alias("opened"),
         F.lit(False).alias("attr"),
         F.lit(False).alias("seg_attr"),
-        F.array().cast("array<string>").alias("cur"),
+        F.array().cast(_EMPTY).alias("cur"),
         F.array().cast(f"array<{_SEG}>").alias("segs"),
     )
-    items = F.arrays_zip(lines.alias("line"), F.sequence(F.lit(0), F.size(lines) - 1).alias("pos"))
 
     def step(s, it):
-        line = it["line"]
-        delta, opens = _delta(line)
         in_seg = s["start"] >= 0
-        trimmed = F.trim(line)
-        is_header = line.rlike(header)
-        if top_level_only:
-            is_header = is_header & (s["depth"] == 0)
+        is_header = it["hdr"] & (s["depth"] == 0) if top_level_only else it["hdr"]
         starts = ~in_seg & is_header
-        new_depth = s["depth"] + delta
-        opened = F.when(in_seg, s["opened"] | (opens > 0)).otherwise(opens > 0)
-        seg_start = F.when(in_seg, s["start"]).when(starts, s["depth"]).otherwise(F.lit(-1))
         active = in_seg | starts
+        new_depth = s["depth"] + it["delta"]
+        opened = (in_seg & s["opened"]) | (it["opens"] > 0)
+        seg_start = F.when(in_seg, s["start"]).otherwise(s["depth"])
         closes = active & opened & (new_depth <= seg_start)
-        piece = F.when(starts, F.ltrim(line)).otherwise(line)
-        cur = F.when(active, F.concat(F.when(starts, F.array().cast("array<string>")).otherwise(s["cur"]), F.array(piece)))
+        piece = F.when(starts, F.ltrim(it["line"])).otherwise(it["line"])
+        cur = F.concat(F.when(starts, F.array().cast(_EMPTY)).otherwise(s["cur"]), F.array(piece))
         seg_attr = F.when(starts, s["attr"]).otherwise(s["seg_attr"])
         done = F.struct(
             seg_start.alias("depth"),
-            (it["pos"] - F.size(cur) + 1).alias("pos"),  # start line of the segment
+            (it["pos"] - F.size(cur) + 1).alias("pos"),
             F.array_join(cur, "\n").alias("text"),
             seg_attr.alias("attr"),
         )
-        segs = F.when(closes, F.concat(s["segs"], F.array(done))).otherwise(s["segs"])
-        attr = F.when(active, F.lit(False)).when(trimmed == "#[test]", F.lit(True)).when(
-            trimmed == "", s["attr"]
-        ).otherwise(F.lit(False))
+        keep_open = active & ~closes
         return F.struct(
             new_depth.alias("depth"),
-            F.when(closes | ~active, F.lit(-1)).otherwise(seg_start).alias("start"),
-            F.when(active & ~closes, opened).otherwise(F.lit(False)).alias("opened"),
-            attr.alias("attr"),
-            F.when(active & ~closes, seg_attr).otherwise(F.lit(False)).alias("seg_attr"),
-            F.when(active & ~closes, cur).otherwise(F.array().cast("array<string>")).alias("cur"),
-            segs.alias("segs"),
+            F.when(keep_open, seg_start).otherwise(F.lit(-1)).alias("start"),
+            (keep_open & opened).alias("opened"),
+            (~active & (it["is_attr"] | (it["blank"] & s["attr"]))).alias("attr"),
+            (keep_open & seg_attr).alias("seg_attr"),
+            F.when(keep_open, cur).otherwise(F.array().cast(_EMPTY)).alias("cur"),
+            F.when(closes, F.concat(s["segs"], F.array(done))).otherwise(s["segs"]).alias("segs"),
         )
 
-    return F.aggregate(items, init, step, lambda s: s["segs"])
+    return F.aggregate(feats, init, step, lambda s: s["segs"])
 
 
 def _by_depth_then_pos(segs: Column) -> Column:
@@ -192,53 +211,56 @@ def import_context(lang: Column, text) -> Column:
     declarations outside ``mod`` blocks and comments (multi-line ones up to the
     ``;``), Go top-level ``import`` declarations (blocks up to ``)``), Julia
     ``import``/``using`` lines (continued while a line ends with ``,``)."""
-    lines = _lines(_c(text))
+    no_strings = lambda l: F.regexp_replace(l, r"\"[^\"]*\"", "")
+    feats = _line_features(
+        _c(text),
+        code=lambda l, c: F.regexp_replace(l, r"\s+$", ""),
+        start=lambda l, c: (
+            F.when(lang == "rust", l.rlike(_IMPORT_START["rust"]))
+            .when(lang == "go", l.rlike(_IMPORT_START["go"]))
+            .when(lang == "julia", l.rlike(_IMPORT_START["julia"]))
+            .otherwise(F.lit(False))
+        ),
+        go_top=lambda l, c: lang == "go",
+        mod_start=lambda l, c: (lang == "rust") & l.rlike(r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+\w+\s*\{"),
+        end_line=lambda l, c: (
+            F.when(lang == "rust", F.instr(l, ";") > 0)
+            .when(lang == "go", F.instr(no_strings(l), ")") > 0)
+            .otherwise(~l.rlike(r",\s*$"))
+        ),
+        opens_paren=lambda l, c: F.instr(no_strings(l), "(") > 0,
+    )
     init = F.struct(
         F.lit(0).alias("depth"),
         F.lit(-1).alias("mod_depth"),
         F.lit(None).cast("string").alias("cur"),
-        F.array().cast("array<string>").alias("out"),
+        F.lit(False).alias("paren"),
+        F.array().cast(_EMPTY).alias("out"),
     )
 
-    def step(s, line):
-        delta, _ = _delta(line)
-        nd = s["depth"] + delta
-        code = F.regexp_replace(line, r"\s+$", "")
-        no_comment = F.regexp_replace(code, r"^\s*(//|#).*$", "")
-        # Rust: a mod block is skipped entirely.
+    def step(s, it):
+        nd = s["depth"] + it["delta"]
         in_mod = s["mod_depth"] >= 0
-        mod_start = (lang == "rust") & ~in_mod & line.rlike(r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+\w+\s*\{")
+        mod_start = ~in_mod & it["mod_start"]
         mod_depth = F.when(in_mod & (nd <= s["mod_depth"]), F.lit(-1)).when(mod_start, s["depth"]).otherwise(
             s["mod_depth"]
         )
         continuing = s["cur"].isNotNull()
-        start_pat = (
-            F.when(lang == "rust", line.rlike(_IMPORT_START["rust"]))
-            .when(lang == "go", line.rlike(_IMPORT_START["go"]) & (s["depth"] == 0))
-            .when(lang == "julia", line.rlike(_IMPORT_START["julia"]))
-            .otherwise(F.lit(False))
-        )
-        starts = ~continuing & ~in_mod & ~mod_start & start_pat & (F.length(no_comment) > 0)
-        text_now = F.when(continuing, F.concat(s["cur"], F.lit("\n"), code)).when(starts, F.ltrim(code))
-        ends = (
-            F.when(lang == "rust", F.instr(code, ";") > 0)
-            .when(
-                lang == "go",
-                F.when(F.regexp_replace(text_now, r"\"[^\"]*\"", "").contains("("), F.instr(
-                    F.regexp_replace(code, r"\"[^\"]*\"", ""), ")") > 0).otherwise(F.lit(True)),
-            )
-            .otherwise(~code.rlike(r",\s*$"))
-        )
+        starts = ~continuing & ~in_mod & ~mod_start & it["start"] & (~it["go_top"] | (s["depth"] == 0))
         active = continuing | starts
-        out = F.when(active & ends, F.concat(s["out"], F.array(text_now))).otherwise(s["out"])
+        text_now = F.when(continuing, F.concat(s["cur"], F.lit("\n"), it["code"])).otherwise(F.ltrim(it["code"]))
+        paren = (continuing & s["paren"]) | (starts & it["opens_paren"])
+        # Go: a block `import (` ends at `)`, a one-line import at once
+        ends = F.when(it["go_top"], ~paren | it["end_line"]).otherwise(it["end_line"])
         return F.struct(
             nd.alias("depth"),
             mod_depth.alias("mod_depth"),
             F.when(active & ~ends, text_now).otherwise(F.lit(None).cast("string")).alias("cur"),
-            out.alias("out"),
+            (active & ~ends & paren).alias("paren"),
+            F.when(active & ends, F.concat(s["out"], F.array(text_now))).otherwise(s["out"]).alias("out"),
         )
 
-    return F.aggregate(lines, init, step, lambda s: F.array_join(s["out"], "\n"))
+    return F.aggregate(feats, init, step, lambda s: F.array_join(s["out"], "\n"))
 
 
 # ------------------------------------------------------- X6 strip tests --
@@ -249,57 +271,64 @@ def strip_rust_tests(text) -> Column:
     ``test``, functions whose body contains ``assert``, ``#[test]`` and
     ``#[cfg(test)]`` attribute lines, and ``//`` comment lines that mention
     test or assert.  Everything else is kept line for line."""
-    lines = _lines(_c(text))
+    def drop(l, c):
+        t = F.trim(l)
+        d = F.lit(False)
+        for a in TEST_ATTRS:
+            d = d | (t == a)
+        return d | (t.startswith("//") & ((F.instr(t, "test") > 0) | (F.instr(t, "assert") > 0)))
+
+    feats = _line_features(
+        _c(text),
+        mod_hdr=lambda l, c: l.rlike(RUST_TEST_MOD),
+        fn_hdr=lambda l, c: l.rlike(RUST_FN),
+        semi=lambda l, c: F.instr(l, ";") > 0,
+        asserts=lambda l, c: F.instr(l, "assert") > 0,
+        drop=drop,
+    )
+    empty = F.array().cast(_EMPTY)
     init = F.struct(
         F.lit(0).alias("depth"),
         F.lit(-1).alias("skip"),
         F.lit(-1).alias("fn_depth"),
         F.lit(False).alias("opened"),
-        F.array().cast("array<string>").alias("buf"),
-        F.array().cast("array<string>").alias("out"),
+        F.lit(False).alias("fn_assert"),
+        F.array().cast(_EMPTY).alias("buf"),
+        F.array().cast(_EMPTY).alias("out"),
     )
-    empty = F.array().cast("array<string>")
 
-    def step(s, line):
-        delta, opens = _delta(line)
-        nd = s["depth"] + delta
-        trimmed = F.trim(line)
+    def step(s, it):
+        line = it["line"]
+        nd = s["depth"] + it["delta"]
         skipping = s["skip"] >= 0
         in_fn = s["fn_depth"] >= 0
-        mod_hdr = ~skipping & ~in_fn & line.rlike(RUST_TEST_MOD)
-        fn_hdr = ~skipping & ~in_fn & ~mod_hdr & line.rlike(RUST_FN)
-        opened = F.when(skipping | in_fn, s["opened"] | (opens > 0)).otherwise(opens > 0)
-        # a test mod: skip until its block closes (a `mod x;` declaration is one line)
-        skip_start = F.when(mod_hdr, s["depth"])
-        skip_now = F.when(skipping, s["skip"]).otherwise(skip_start)
-        skip_done = skip_now.isNotNull() & (
-            (opened & (nd <= skip_now)) | (mod_hdr & (opens == 0) & (F.instr(line, ";") > 0))
-        )
-        fn_now = F.when(in_fn, s["fn_depth"]).when(fn_hdr, s["depth"])
-        buf = F.when(fn_now.isNotNull(), F.concat(F.when(fn_hdr, empty).otherwise(s["buf"]), F.array(line)))
-        fn_done = fn_now.isNotNull() & opened & (nd <= fn_now)
-        drop_line = F.lit(False)
-        for a in TEST_ATTRS:
-            drop_line = drop_line | (trimmed == a)
-        drop_line = drop_line | (
-            trimmed.startswith("//") & ((F.instr(trimmed, "test") > 0) | (F.instr(trimmed, "assert") > 0))
-        )
-        keep_fn = fn_done & ~F.exists(buf, lambda x: F.instr(x, "assert") > 0)
+        free = ~skipping & ~in_fn
+        mod_hdr = free & it["mod_hdr"]
+        fn_hdr = free & ~it["mod_hdr"] & it["fn_hdr"]
+        opened = ((skipping | in_fn) & s["opened"]) | (it["opens"] > 0)
+        in_skip = skipping | mod_hdr
+        skip_at = F.when(skipping, s["skip"]).otherwise(s["depth"])
+        # a test mod is skipped until its block closes; `mod x;` is one line
+        skip_done = in_skip & ((opened & (nd <= skip_at)) | (mod_hdr & (it["opens"] == 0) & it["semi"]))
+        in_f = in_fn | fn_hdr
+        fn_at = F.when(in_fn, s["fn_depth"]).otherwise(s["depth"])
+        buf = F.concat(F.when(fn_hdr, empty).otherwise(s["buf"]), F.array(line))
+        fn_assert = (in_fn & s["fn_assert"]) | it["asserts"]
+        fn_done = in_f & opened & (nd <= fn_at)
         out = (
-            F.when(skip_now.isNotNull(), s["out"])
-            .when(fn_now.isNotNull(), F.when(keep_fn, F.concat(s["out"], buf)).otherwise(s["out"]))
-            .when(drop_line, s["out"])
+            F.when(in_skip, s["out"])
+            .when(in_f, F.when(fn_done & ~fn_assert, F.concat(s["out"], buf)).otherwise(s["out"]))
+            .when(it["drop"], s["out"])
             .otherwise(F.concat(s["out"], F.array(line)))
         )
         return F.struct(
             nd.alias("depth"),
-            F.when(skip_now.isNotNull() & ~skip_done, skip_now).otherwise(F.lit(-1)).alias("skip"),
-            F.when(fn_now.isNotNull() & ~fn_done, fn_now).otherwise(F.lit(-1)).alias("fn_depth"),
-            F.when((skip_now.isNotNull() & ~skip_done) | (fn_now.isNotNull() & ~fn_done), opened)
-            .otherwise(F.lit(False))
-            .alias("opened"),
-            F.when(fn_now.isNotNull() & ~fn_done, buf).otherwise(empty).alias("buf"),
+            F.when(in_skip & ~skip_done, skip_at).otherwise(F.lit(-1)).alias("skip"),
+            F.when(in_f & ~fn_done, fn_at).otherwise(F.lit(-1)).alias("fn_depth"),
+            (((in_skip & ~skip_done) | (in_f & ~fn_done)) & opened).alias("opened"),
+            (in_f & ~fn_done & fn_assert).alias("fn_assert"),
+            F.when(in_f & ~fn_done, buf).otherwise(empty).alias("buf"),
             out.alias("out"),
         )
 
-    return F.aggregate(lines, init, step, lambda s: F.array_join(s["out"], "\n"))
+    return F.aggregate(feats, init, step, lambda s: F.array_join(s["out"], "\n"))

@@ -31,10 +31,26 @@ def norm(v) -> Column:
     return F.sqrt(F.aggregate(as_double(v), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
+def bind(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and pass it to ``fn`` as a lambda variable.
+
+    Inside higher-order function lambdas a captured expression is evaluated
+    again for every element; binding it first keeps it to one evaluation."""
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
+def scale_to_unit(v) -> Column:
+    """v / (||v|| + eps) with the norm computed once."""
+    vd = as_double(v)
+    return bind(
+        F.struct(vd.alias("d"), (norm(vd) + F.lit(NORM_EPS)).alias("n")),
+        lambda x: F.transform(x["d"], lambda e: e / x["n"]),
+    )
+
+
 def unit_vector(v) -> Column:
     """v / (||v|| + eps); a zero vector stays zero."""
-    n = norm(v) + F.lit(NORM_EPS)
-    return F.transform(as_double(v), lambda x: x / n)
+    return bind(as_double(v), scale_to_unit)
 
 
 def cosine_similarity(a, b) -> Column:

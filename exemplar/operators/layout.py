@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+SPREAD_LIMIT_BYTES = 256 << 20
+TARGET_PARTITION_BYTES = 128 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (file sizes for scans), read
+    from the plan without running it; very large when unknown."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return 1 << 62
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when the input has fewer partitions than the
-    cluster has cores (small or single-row-group inputs), so CPU-heavy stages
-    use every core.  A no-op on large inputs, which already have many splits.
+    """Round-robin repartition of a *small* input (estimated at most
+    ``SPREAD_LIMIT_BYTES``) over all cores, so CPU-heavy stages are not run by
+    the one task that reads a single-row-group file.  Larger inputs are left
+    as they are: they already come in many splits, and reshuffling them would
+    cost more than it saves.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+    if estimated_bytes(df) <= SPREAD_LIMIT_BYTES:
+        return df.repartition(min_partitions or df.sparkSession.sparkContext.defaultParallelism)
     return df
 
 
@@ -32,7 +46,7 @@ def ordinal(df: DataFrame, order_by: list[str], within: list[str] | None = None,
     within = list(within or [])
     keys = within + list(order_by)
     spark = df.sparkSession
-    n = max(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    n = max(spark.sparkContext.defaultParallelism, int(min(estimated_bytes(df), 1 << 50) // TARGET_PARTITION_BYTES))
     s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     from pyspark.sql import types as T
 

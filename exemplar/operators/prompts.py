@@ -86,10 +86,12 @@ def build_prompts(
 ) -> DataFrame:
     """One row per benchmark case with ``prompt``, ``question``
     (prompt + suffix), ``messages`` and ``task_id`` (0-based position within
-    its language in id order... see ``ordinal``).
+    its language, in ``ordinal_in`` order when that column exists, else by id).
 
     ``contexts`` (id, retrieved_context) is left-joined by id (J2)."""
-    df = bench
+    # task ordinal on the benchmark alone: cheap lineage, computed before joins
+    order = "ordinal_in" if "ordinal_in" in bench.columns else "id"
+    df = ordinal(bench, [order], ["lang"], name="task_id")
     for c in ("class_signature", "file_content", "context", "struct_class", "file_path"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
@@ -152,8 +154,7 @@ def build_prompts(
     out = df.withColumn("prompt", prompt).withColumn("question", question).withColumn(
         "messages", messages if instruct else F.lit(None).cast("array<struct<role:string,content:string>>")
     )
-    order = "ordinal_in" if "ordinal_in" in out.columns else "id"
-    return ordinal(out, [order], ["lang"], name="task_id")
+    return out
 
 
 def threshold_prompt(focal: Column, results: Column, threshold: float) -> Column:

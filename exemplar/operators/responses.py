@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import raw_responses, sanitize_responses
+from .layout import spread
 
 
 def clean_responses(samples: DataFrame, lang: str | None = None, lang_col: str = "lang") -> DataFrame:
     """``lang`` fixes the language for all rows (go, rust, julia; any case);
     otherwise the ``lang_col`` column is used."""
-    df = samples
+    df = samples if samples.isStreaming else spread(samples)
     if "response" not in df.columns and "generated" in df.columns:
         df = df.withColumnRenamed("generated", "response")
     lang_c = F.lit(lang.lower()) if lang else F.lower(F.col(lang_col))

@@ -661,7 +661,9 @@ def q_import_context(spark, sf):
     of the first line becomes a ``use`` line, the rest is the body."""
     from ..functions.text import import_context
 
-    d = table(spark, sf, "documents")
+    from ..operators.layout import spread
+
+    d = spread(table(spark, sf, "documents"))
     uses = F.array_join(
         F.transform(
             F.filter(
@@ -685,16 +687,15 @@ def q_retrieval_context(spark, sf):
     benchmark case retrieved (pool 50, rerank, top 3) and nested per case."""
     from ..functions.embedders import HashedEmbedder
     from ..sources.index_store import build_index
-    from .retrieval import nest_context, prepare_cases, retrieve_context
+    from .retrieval import retrieval_job
 
     emb = HashedEmbedder(64)
     corpus = standins.pairs(spark, sf).select(
         F.col("pair_id").alias("example_id"), "focal_method", "unit_test", F.lit("{}").alias("metadata")
     )
     index = build_index(corpus, emb)
-    bench = standins.bench_cases(spark, sf).withColumnRenamed("ordinal_in", "pos")
-    flat = retrieve_context(bench, index, emb, k=3, threshold=0.0)
-    return nest_context(flat, prepare_cases(bench), emb.name)
+    bench = standins.bench_cases(spark, sf)
+    return retrieval_job(bench, index, emb, k=3, threshold=0.0)
 
 
 @register("generate_answers")

@@ -19,6 +19,7 @@ from ..functions.code import code_features
 from ..functions.vectors import vector_status
 from ..operators.layout import ordinal
 from ..operators.rerank import DEFAULT_POOL, retrieve
+from ..session import checkpoint_dir
 
 BROADCAST_RESULTS_LIMIT = 64 << 20
 
@@ -28,15 +29,16 @@ def _qkey() -> "F.Column":
     return F.concat_ws("\u0001", F.coalesce(F.col("lang"), F.lit("")), F.col("id").cast("string"))
 
 
-def prepare_cases(bench: DataFrame, position_col: str | None = "pos") -> DataFrame:
-    """Drop cases without focal code; a missing id becomes ``case_{i}``
-    with i the 1-based position of the case within its language."""
+def prepare_cases(bench: DataFrame, position_col: str = "pos") -> DataFrame:
+    """Drop cases without focal code.  When the input has no ``id``
+    field, ids are ``case_{i}`` with i the 1-based position of the case within
+    its language (``position_col`` gives the input order)."""
     df = bench
     if "id" not in df.columns:
-        df = df.withColumn("id", F.lit(None).cast("string"))
-    if position_col and position_col in df.columns:
+        if position_col not in df.columns:
+            raise ValueError(f"no id column and no {position_col!r} column to number the cases")
         df = ordinal(df, [position_col], ["lang"], name="_i")
-        df = df.withColumn("id", F.coalesce(F.col("id").cast("string"), F.concat(F.lit("case_"), (F.col("_i") + 1).cast("string")))).drop("_i")
+        df = df.withColumn("id", F.concat(F.lit("case_"), (F.col("_i") + 1).cast("string"))).drop("_i")
     return df.where(F.col("focal_code").isNotNull() & (F.length("focal_code") > 0))
 
 
@@ -51,6 +53,15 @@ def process_queries(cases: DataFrame, embedder) -> DataFrame:
     )
 
 
+def embedded_cases(bench: DataFrame, embedder) -> DataFrame:
+    """Prepared and embedded cases, checkpointed to the shared checkpoint
+    folder: the query side is read by several jobs (size check, broadcast,
+    join back), and the checkpoint also cuts its lineage so a lost executor
+    does not re-embed it."""
+    checkpoint_dir(bench.sparkSession)
+    return process_queries(prepare_cases(bench), embedder).checkpoint(eager=True)
+
+
 def retrieve_context(
     bench: DataFrame,
     index: DataFrame,
@@ -62,9 +73,13 @@ def retrieve_context(
     pool_size: int = DEFAULT_POOL,
     weights=None,
     metric: str = "cosine",
+    cases: DataFrame | None = None,
 ) -> DataFrame:
-    """Flat results: one row per (case, rank) with the example text."""
-    cases = process_queries(prepare_cases(bench), embedder).where(F.col("embedding_status") == "ok")
+    """Flat results: one row per (case, rank) with the example text.
+    ``cases`` = ``embedded_cases(bench, embedder)`` when already computed."""
+    if cases is None:
+        cases = embedded_cases(bench, embedder)
+    cases = cases.where(F.col("embedding_status") == "ok")
     queries = cases.select(
         _qkey().alias("query_id"),
         "embedding",
@@ -130,6 +145,13 @@ def nest_context(flat: DataFrame, cases: DataFrame, embedder_name: str) -> DataF
     )
 
 
+def retrieval_job(bench: DataFrame, index: DataFrame, embedder, k: int = 3, threshold: float = 0.0, **options) -> DataFrame:
+    """Nested retrieved context for every case of the benchmark."""
+    cases = embedded_cases(bench, embedder)
+    flat = retrieve_context(bench, index, embedder, k, threshold, cases=cases, **options)
+    return nest_context(flat, cases, embedder.name)
+
+
 def write_context(nested: DataFrame, out_dir: str) -> None:
     """S3: ``<out>/embedder=<e>/lang=<l>/part-*.json``."""
     nested.write.mode("overwrite").partitionBy("embedder", "lang").json(out_dir)

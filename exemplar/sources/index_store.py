@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.code import code_features
+from ..operators.layout import spread
 from .corpus import read_corpus, with_example_ids
 
 
 def build_index(corpus: DataFrame, embedder) -> DataFrame:
     """V2 + C1-C3 over a corpus of (focal_method, unit_test, metadata)."""
     df = corpus if "example_id" in corpus.columns else with_example_ids(corpus)
-    df = embedder.transform(df, "focal_method", "embedding")
+    df = embedder.transform(spread(df), "focal_method", "embedding")
     return df.select(
         "example_id",
         "focal_method",
