@@ -155,3 +155,18 @@ def retrieval_job(bench: DataFrame, index: DataFrame, embedder, k: int = 3, thre
 def write_context(nested: DataFrame, out_dir: str) -> None:
     """S3: ``<out>/embedder=<e>/lang=<l>/part-*.json``."""
     nested.write.mode("overwrite").partitionBy("embedder", "lang").json(out_dir)
+
+
+def create_full_pipeline(spark, embedder=None, top_k: int = 5, threshold: float = 0.5, index=None):
+    """One call returning a configured retrieval function and the index
+    object (the device argument of the original has no meaning here)."""
+    from ..functions.embedders import HashedEmbedder
+    from ..sources.index_store import ExampleIndex
+
+    emb = embedder or HashedEmbedder()
+    idx = index or ExampleIndex(spark, emb)
+
+    def run(bench: DataFrame, **options) -> DataFrame:
+        return retrieval_job(bench, idx.rows, emb, k=options.pop("k", top_k), threshold=options.pop("threshold", threshold), **options)
+
+    return run, idx

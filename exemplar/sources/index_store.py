@@ -75,3 +75,44 @@ def build_or_load(spark: SparkSession, index_path: str, corpus_path: str, embedd
 def index_size(index: DataFrame) -> int:
     """A13."""
     return index.count()
+
+
+class ExampleIndex:
+    """The example database as a DataFrame with the original's verbs."""
+
+    def __init__(self, spark: SparkSession, embedder, rows: DataFrame | None = None):
+        self.spark = spark
+        self.embedder = embedder
+        self.rows = rows
+
+    def add_examples(self, corpus: DataFrame) -> "ExampleIndex":
+        """Rows added after a build carry no vector until ``build``."""
+        from .corpus import add_examples
+
+        self.rows = corpus if self.rows is None else add_examples(self.rows, corpus)
+        return self
+
+    def build(self) -> "ExampleIndex":
+        base = self.rows.drop(*[c for c in ("embedding", "lang", "method_name", "param_count", "embedder", "dim") if c in self.rows.columns])
+        self.rows = build_index(base, self.embedder)
+        return self
+
+    def save(self, path: str) -> None:
+        save_index(self.rows, path)
+
+    def load(self, path: str) -> "ExampleIndex":
+        self.rows = load_index(self.spark, path, self.embedder.name, self.embedder.embedding_dim)
+        return self
+
+    @property
+    def size(self) -> int:
+        return 0 if self.rows is None else self.rows.count()
+
+    retrieval_method = "dense"
+
+    def retrieve(self, queries: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
+        """R1 for a table of (query_id, text): embed, exact top-k."""
+        from ..operators.knn import dense_topk
+
+        q = self.embedder.transform(queries, "text", "embedding").select("query_id", "embedding")
+        return dense_topk(q, self.rows.select("example_id", "embedding"), k, metric)
