@@ -643,19 +643,30 @@ def q_clean_responses_julia(spark, sf):
     return clean_responses(standins.responses(spark, sf, "julia"), "julia")
 
 
-@register("clean_responses_rust")
+@register("clean_responses_rust", O.clean_responses("rust", standins.RESPONSES_SQL["rust"]))
 def q_clean_responses_rust(spark, sf):
-    """X1 on every assistant turn (rows-only check; behaviour in the tests)."""
+    """X1 on every assistant turn."""
     return clean_responses(standins.responses(spark, sf, "rust"), "rust")
 
 
-@register("clean_responses_go")
+@register("clean_responses_go", O.clean_responses("go", standins.RESPONSES_SQL["go"]))
 def q_clean_responses_go(spark, sf):
-    """X2 on every assistant turn (rows-only check; behaviour in the tests)."""
+    """X2 on every assistant turn."""
     return clean_responses(standins.responses(spark, sf, "go"), "go")
 
 
-@register("import_context")
+_WORDS = "string_split_regex(lower(split_part(text, chr(10), 1)), '[^a-z]+')"
+_USES = (
+    "array_to_string(list_transform(list_filter(list_filter(" + _WORDS + ", lambda w, i: list_position(" + _WORDS
+    + ", w) = i), lambda w: w <> ''), lambda w: 'use crate::' || w || ';'), chr(10))"
+)
+_SRC = (
+    _USES + " || chr(10) || 'mod tests {' || chr(10) || '    use super::*;' || chr(10) || '}' || chr(10)"
+    " || 'fn body() {' || chr(10) || '    // ' || text || chr(10) || '}'"
+)
+
+
+@register("import_context", f"SELECT doc_id, {O.rust_imports('src')} AS imports FROM (SELECT doc_id, {_SRC} AS src FROM documents)")
 def q_import_context(spark, sf):
     """X5 over Rust files synthesised from every document: each distinct word
     of the first line becomes a ``use`` line, the rest is the body."""
@@ -698,7 +709,19 @@ def q_retrieval_context(spark, sf):
     return retrieval_job(bench, index, emb, k=3, threshold=0.0)
 
 
-@register("generate_answers")
+_LAST = "string_split(rtrim(question, chr(10)), chr(10))[-1]"
+
+
+@register(
+    "generate_answers",
+    f"""WITH p AS ({SQL['standard_prompt']}),
+    b AS ({standins.BENCH_SQL})
+    SELECT p.task_id, p.question AS prompt,
+           [{_LAST} || chr(10) || '    assert!(true); // answer 0' || chr(10) || '}}' || chr(10),
+            {_LAST} || chr(10) || '    assert!(true); // answer 1' || chr(10) || '}}' || chr(10)] AS generated,
+           b.function_name, b.file_path
+    FROM p JOIN b ON b.id = p.id""",
+)
 def q_generate_answers(spark, sf):
     """G1/G2 with the deterministic stand-in generator over every prompt."""
     from ..operators.inference import generate_all, template_generator

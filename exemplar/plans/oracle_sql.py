@@ -71,3 +71,132 @@ def param_similarity(a: str, b: str) -> str:
         f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0.0 WHEN {a} = {b} THEN 1.0"
         f" ELSE greatest(0.0, 1.0 - CAST(abs({a} - {b}) AS DOUBLE) * 0.2) END)"
     )
+
+
+# ---------------------------------------------------- line folds (X1, X2, X5) --
+
+from ..functions import text as X  # noqa: E402
+
+_NL = "chr(10)"
+
+
+def _clean(l: str) -> str:
+    s = f"regexp_replace({l}, {_lit(X._STRING)}, '', 'g')"
+    s = f"regexp_replace({s}, {_lit(X._CHAR)}, '', 'g')"
+    return f"regexp_replace({s}, {_lit(X._LINE_COMMENT)}, '', 'g')"
+
+
+def _cnt(s: str, ch: str) -> str:
+    return f"CAST(length({s}) - length(replace({s}, '{ch}', '')) AS BIGINT)"
+
+
+def _features(text: str, extra: dict[str, str]) -> str:
+    c = _clean("l")
+    fields = [
+        "'line': l",
+        "'pos': CAST(i - 1 AS BIGINT)",
+        f"'delta': {_cnt(c, '{')} - {_cnt(c, '}')}",
+        f"'opens': {_cnt(c, '{')}",
+    ] + [f"'{k}': {v}" for k, v in extra.items()]
+    return f"list_transform(string_split(coalesce({text}, ''), {_NL}), lambda l, i: {{{', '.join(fields)}}})"
+
+
+_SEG_T = "STRUCT(depth BIGINT, pos BIGINT, text VARCHAR, attr BOOLEAN)"
+
+
+def brace_segments(text: str, header: str, top_level_only: bool = False) -> str:
+    feats = _features(
+        text,
+        {"hdr": f"regexp_matches(l, {_lit(header)})", "is_attr": "trim(l) = '#[test]'", "blank": "trim(l) = ''"},
+    )
+    in_seg = "(s.start >= 0)"
+    is_header = "(it.hdr AND s.depth = 0)" if top_level_only else "it.hdr"
+    starts = f"(NOT {in_seg} AND {is_header})"
+    active = f"({in_seg} OR {starts})"
+    new_depth = "(s.depth + it.delta)"
+    opened = f"(({in_seg} AND s.opened) OR it.opens > 0)"
+    seg_start = f"(CASE WHEN {in_seg} THEN s.start ELSE s.depth END)"
+    closes = f"({active} AND {opened} AND {new_depth} <= {seg_start})"
+    piece = f"(CASE WHEN {starts} THEN ltrim(it.line) ELSE it.line END)"
+    cur = f"list_append(CASE WHEN {starts} THEN []::VARCHAR[] ELSE s.cur END, {piece})"
+    seg_attr = f"(CASE WHEN {starts} THEN s.attr ELSE s.seg_attr END)"
+    done = (
+        f"{{'depth': {seg_start}, 'pos': it.pos - len({cur}) + 1, "
+        f"'text': array_to_string({cur}, {_NL}), 'attr': {seg_attr}}}"
+    )
+    keep_open = f"({active} AND NOT {closes})"
+    step = (
+        f"{{'depth': {new_depth}, 'start': CASE WHEN {keep_open} THEN {seg_start} ELSE CAST(-1 AS BIGINT) END, "
+        f"'opened': {keep_open} AND {opened}, "
+        f"'attr': NOT {active} AND (it.is_attr OR (it.blank AND s.attr)), "
+        f"'seg_attr': {keep_open} AND {seg_attr}, "
+        f"'cur': CASE WHEN {keep_open} THEN {cur} ELSE []::VARCHAR[] END, "
+        f"'segs': CASE WHEN {closes} THEN list_append(s.segs, {done}) ELSE s.segs END}}"
+    )
+    init = (
+        "{'depth': CAST(0 AS BIGINT), 'start': CAST(-1 AS BIGINT), 'opened': false, 'attr': false, 'seg_attr': false, "
+        f"'cur': []::VARCHAR[], 'segs': []::{_SEG_T}[]}}"
+    )
+    return f"list_reduce({feats}, lambda s, it: {step}, {init}).segs"
+
+
+def rust_tests(text: str) -> str:
+    first = f"split_part(x.text, {_NL}, 1)"
+    keep = (
+        f"list_filter(list_sort({brace_segments(text, X.RUST_FN)}), "
+        f"lambda x: x.attr OR instr({first}, 'test_') > 0 OR instr({first}, '_test') > 0)"
+    )
+    return f"list_transform({keep}, lambda x: {_lit(X.RUST_TEST_PREFIX.split(chr(10))[0])} || {_NL} || '    ' || x.text)"
+
+
+def go_tests(text: str) -> str:
+    t = f"coalesce({text}, '')"
+    rest = f"(CASE WHEN instr({t}, 'func Test') > 0 THEN substring({t}, instr({t}, 'func Test') + 9) ELSE {t} END)"
+    norm = f"(CASE WHEN length({rest}) = 0 THEN '' ELSE 'func Test' || upper(substring({rest}, 1, 1)) || substring({rest}, 2) END)"
+    keep = (
+        f"list_filter({brace_segments(norm, X.GO_FUNC, True)}, lambda x: instr(split_part(x.text, {_NL}, 1), 'Test') > 0 "
+        "AND instr(x.text, '{') > 0 AND instr(x.text, '}') > 0)"
+    )
+    return f"(CASE WHEN length({norm}) = 0 THEN []::VARCHAR[] ELSE list_transform({keep}, lambda x: x.text) END)"
+
+
+def clean_responses(lang: str, samples_sql: str) -> str:
+    """SQL of ``operators.responses.clean_responses`` for rust or go."""
+    fn = rust_tests if lang == "rust" else go_tests
+    return f"""WITH s AS ({samples_sql}),
+    r AS (SELECT conv_id, turn,
+                 list_transform(response, lambda x: string_split(prompt, {_NL})[-1] || x) AS raw_response FROM s)
+    SELECT conv_id, turn, raw_response,
+           flatten(list_transform(raw_response, lambda r: {fn('r')}))[1:{X.MAX_TESTS}] AS response
+    FROM r"""
+
+
+def rust_imports(text: str) -> str:
+    """SQL of ``functions.text.import_context`` for Rust."""
+    feats = _features(
+        text,
+        {
+            "code": r"regexp_replace(l, '\s+$', '', 'g')",
+            "start": f"regexp_matches(l, {_lit(X._IMPORT_START['rust'])})",
+            "mod_start": r"regexp_matches(l, '^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+\w+\s*\{')",
+            "end_line": "instr(l, ';') > 0",
+        },
+    )
+    nd = "(s.depth + it.delta)"
+    in_mod = "(s.mod_depth >= 0)"
+    mod_start = f"(NOT {in_mod} AND it.mod_start)"
+    mod_depth = (
+        f"(CASE WHEN {in_mod} AND {nd} <= s.mod_depth THEN CAST(-1 AS BIGINT) WHEN {mod_start} THEN s.depth ELSE s.mod_depth END)"
+    )
+    cont = "(s.cur IS NOT NULL)"
+    starts = f"(NOT {cont} AND NOT {in_mod} AND NOT {mod_start} AND it.start)"
+    active = f"({cont} OR {starts})"
+    text_now = f"(CASE WHEN {cont} THEN s.cur || {_NL} || it.code ELSE ltrim(it.code) END)"
+    ends = "it.end_line"
+    step = (
+        f"{{'depth': {nd}, 'mod_depth': {mod_depth}, "
+        f"'cur': CASE WHEN {active} AND NOT {ends} THEN {text_now} ELSE NULL::VARCHAR END, "
+        f"'out': CASE WHEN {active} AND {ends} THEN list_append(s.out, {text_now}) ELSE s.out END}}"
+    )
+    init = "{'depth': CAST(0 AS BIGINT), 'mod_depth': CAST(-1 AS BIGINT), 'cur': NULL::VARCHAR, 'out': []::VARCHAR[]}"
+    return f"array_to_string(list_reduce({feats}, lambda s, it: {step}, {init}).out, {_NL})"
