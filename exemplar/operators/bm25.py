@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .layout import spread
+from .layout import scoring_layout
 from .topk import NO_ID, top_k_per_group, topk_merge
 
 # BM25 parameters and the token pattern.
@@ -131,7 +131,7 @@ def bm25_topk(
     spark = queries.sparkSession
     ship_package(spark)
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("text"))
-    d = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")))
+    d = scoring_layout(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")))
     q_type = q.schema["query_id"].dataType
     out_schema = T.StructType(
         [

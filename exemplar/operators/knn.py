@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import NORM_EPS
 from ..session import ship_package
-from .layout import spread
+from .layout import scoring_layout
 from .topk import NO_ID, top_k_per_group, topk_merge
 
 # Per-task budget for one dense score tile (float64 elements).
@@ -174,7 +174,7 @@ def _broadcast_scores(queries, corpus, k, metric, qid, qvec, eid, cvec, dim, q_t
         if out is not None:
             yield out
 
-    return corpus.select(F.col(eid).cast("long"), cvec, *carry).mapInArrow(
+    return scoring_layout(corpus.select(F.col(eid).cast("long"), cvec, *carry)).mapInArrow(
         score_partition, _out_schema(q_type, corpus, carry)
     )
 

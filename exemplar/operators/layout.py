@@ -9,13 +9,35 @@ SPREAD_LIMIT_BYTES = 256 << 20
 TARGET_PARTITION_BYTES = 128 << 20
 
 
-def estimated_bytes(df: DataFrame) -> int:
+_UNKNOWN = (1 << 63) - 1
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate of ``df`` (file sizes for scans), read
-    from the plan without running it; very large when unknown."""
+    from the plan without running it; None when the optimizer does not know."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:
-        return 1 << 62
+        return None
+    return None if size >= _UNKNOWN else size
+
+
+SCORING_TASK_BYTES = 1 << 30
+
+
+def scoring_layout(df: DataFrame, task_bytes: int = SCORING_TASK_BYTES) -> DataFrame:
+    """Layout for the partition-local top-k scorers: small inputs are spread
+    over all cores; large inputs are coalesced (no shuffle) so each task scans
+    about ``task_bytes``.  Every task emits up to ``n_queries * k`` partial
+    rows, so fewer, larger tasks bound the merge shuffle by the bytes scanned
+    instead of by the number of file splits."""
+    size = estimated_bytes(df)
+    if size is None:
+        return df
+    if size <= SPREAD_LIMIT_BYTES:
+        return spread(df)
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes))
+    return df.coalesce(int(min(n, 1 << 20)))
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -25,7 +47,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     as they are: they already come in many splits, and reshuffling them would
     cost more than it saves.
     """
-    if estimated_bytes(df) <= SPREAD_LIMIT_BYTES:
+    size = estimated_bytes(df)
+    if size is not None and size <= SPREAD_LIMIT_BYTES:
         return df.repartition(min_partitions or df.sparkSession.sparkContext.defaultParallelism)
     return df
 
@@ -46,7 +69,7 @@ def ordinal(df: DataFrame, order_by: list[str], within: list[str] | None = None,
     within = list(within or [])
     keys = within + list(order_by)
     spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(min(estimated_bytes(df), 1 << 50) // TARGET_PARTITION_BYTES))
+    n = max(spark.sparkContext.defaultParallelism, int(min(estimated_bytes(df) or 0, 1 << 50) // TARGET_PARTITION_BYTES))
     s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     from pyspark.sql import types as T
 

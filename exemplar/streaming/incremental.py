@@ -56,6 +56,30 @@ def pending_files(spark: SparkSession, raw_root: str, done: DataFrame, key: str
     return pending(list_files(spark, raw_root), done.select(key), key)
 
 
+def pending_evaluations(spark: SparkSession, root: str, input_glob: str = "processed_*.jsonl") -> DataFrame:
+    """S14 second pass: directories holding a processed input but no
+    ``summary.json`` yet (left anti join of the two listings on directory)."""
+    def dirs(glob: str) -> DataFrame:
+        listing = (
+            spark.read.format("binaryFile")
+            .option("pathGlobFilter", glob)
+            .option("recursiveFileLookup", "true")
+            .load(root)
+            .select("path")
+        )
+        return listing.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir")).distinct()
+
+    try:
+        inputs = dirs(input_glob)
+    except Exception:  # nothing processed yet
+        return spark.createDataFrame([], "dir string")
+    try:
+        done = dirs("summary.json")
+    except Exception:
+        return inputs
+    return inputs.join(done, "dir", "left_anti")
+
+
 def clean_new_files(
     spark: SparkSession,
     raw_dir: str,

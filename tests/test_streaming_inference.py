@@ -47,3 +47,15 @@ def test_generate_all(spark):
     df = spark.createDataFrame([(0, "a\nb", "f", "x.rs"), (1, None, "g", None)], "task_id long, question string, function_name string, file_path string")
     rows = sorted(generate_all(df, lambda p, n: [p.upper()] * n, n=2, concurrency=2).collect(), key=lambda r: r.task_id)
     assert rows[0].generated == ["A\nB", "A\nB"] and rows[1].generated == ["", ""]
+
+
+def test_pending_evaluations(spark, tmp_dir):
+    from exemplar.streaming.incremental import pending_evaluations
+
+    for d, with_summary in (("Rust/fewshot/m1", True), ("Go/fewshot/m1", False)):
+        os.makedirs(os.path.join(tmp_dir, d))
+        _write(os.path.join(tmp_dir, d, "processed_input.jsonl"), [{"task_id": 1}])
+        if with_summary:
+            _write(os.path.join(tmp_dir, d, "summary.json"), [{"total_samples": 1}])
+    got = [r.dir for r in pending_evaluations(spark, tmp_dir).collect()]
+    assert len(got) == 1 and got[0].endswith("Go/fewshot/m1")
