@@ -138,8 +138,35 @@ def param_similarity(a, b) -> Column:
     )
 
 
+def with_code_features(df, code: str, prefix: str = ""):
+    """Adds ``{prefix}lang``, ``{prefix}method_name``, ``{prefix}param_count``.
+
+    Two projections: the language first, then the name and count that read
+    it, which keeps each generated expression small enough for codegen and
+    evaluates the header regexes once per row."""
+    lang_col = f"{prefix}lang"
+    d = df.withColumn(lang_col, detect_language(F.col(code)))
+    lang = F.col(lang_col)
+    return d.withColumn(f"{prefix}method_name", method_name(F.col(code), lang)).withColumn(
+        f"{prefix}param_count", param_count(F.col(code), lang)
+    )
+
+
 def code_features(code) -> list[Column]:
-    """[lang, method_name, param_count] columns for one code column."""
+    """[lang, method_name, param_count] columns for one code column.
+
+    The language is detected once per row and bound as a lambda variable, so
+    the name and parameter expressions reuse it instead of re-running the
+    header regexes (the expression is too large for codegen to de-duplicate)."""
+    from .vectors import bind
+
     c = _col(code)
-    lang = detect_language(c)
-    return [lang.alias("lang"), method_name(c, lang).alias("method_name"), param_count(c, lang).alias("param_count")]
+    feats = bind(
+        F.struct(c.alias("code"), detect_language(c).alias("lang")),
+        lambda x: F.struct(
+            x["lang"].alias("lang"),
+            method_name(x["code"], x["lang"]).alias("method_name"),
+            param_count(x["code"], x["lang"]).alias("param_count"),
+        ),
+    )
+    return [feats["lang"].alias("lang"), feats["method_name"].alias("method_name"), feats["param_count"].alias("param_count")]

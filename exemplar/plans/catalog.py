@@ -375,7 +375,9 @@ _FEAT_SQL = f"""code AS (SELECT p_partkey, {standins.CODE_SQL} AS code FROM part
 
 
 def _features(spark, sf) -> DataFrame:
-    return standins.code_snippets(spark, sf).select("p_partkey", *C.code_features("code"))
+    return C.with_code_features(standins.code_snippets(spark, sf), "code").select(
+        "p_partkey", "lang", "method_name", "param_count"
+    )
 
 
 @register("code_features", f"WITH {_FEAT_SQL} SELECT p_partkey, lang, method_name, param_count FROM feat")

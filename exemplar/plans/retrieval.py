@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.code import code_features
+from ..functions.code import with_code_features
 from ..functions.vectors import vector_status
 from ..operators.layout import ordinal
 from ..operators.rerank import DEFAULT_POOL, retrieve
@@ -45,12 +45,12 @@ def prepare_cases(bench: DataFrame, position_col: str = "pos") -> DataFrame:
 def process_queries(cases: DataFrame, embedder) -> DataFrame:
     """R4 for a table of cases: vector, its shape and status, and features."""
     q = embedder.transform(cases, "focal_code", "embedding")
-    return q.select(
+    q = q.select(
         "*",
         F.size("embedding").alias("embedding_dim"),
         vector_status("embedding", embedder.embedding_dim).alias("embedding_status"),
-        *[c.alias(f"q_{n}") for c, n in zip(code_features("focal_code"), ("lang_detected", "method_name", "param_count"))],
     )
+    return with_code_features(q, "focal_code", prefix="q_").withColumnRenamed("q_lang", "q_lang_detected")
 
 
 def embedded_cases(bench: DataFrame, embedder) -> DataFrame:

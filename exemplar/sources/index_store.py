@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.code import code_features
+from ..functions.code import with_code_features
 from ..operators.layout import spread
 from .corpus import read_corpus, with_example_ids
 
@@ -21,14 +21,16 @@ from .corpus import read_corpus, with_example_ids
 def build_index(corpus: DataFrame, embedder) -> DataFrame:
     """V2 + C1-C3 over a corpus of (focal_method, unit_test, metadata)."""
     df = corpus if "example_id" in corpus.columns else with_example_ids(corpus)
-    df = embedder.transform(spread(df), "focal_method", "embedding")
+    df = with_code_features(embedder.transform(spread(df), "focal_method", "embedding"), "focal_method")
     return df.select(
         "example_id",
         "focal_method",
         "unit_test",
         F.coalesce(F.col("metadata"), F.lit("{}")).alias("metadata"),
         "embedding",
-        *code_features("focal_method"),
+        "lang",
+        "method_name",
+        "param_count",
         F.lit(embedder.name).alias("embedder"),
         F.size("embedding").alias("dim"),
     )
