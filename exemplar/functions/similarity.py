@@ -9,6 +9,7 @@ the corpus.  The ratio is not symmetric: the first argument is the query name.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,7 +19,13 @@ from pyspark.sql import functions as F
 def ratio(a: str | None, b: str | None) -> float:
     if not a or not b:
         return 0.0
-    return SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    return _ratio(a.lower(), b.lower())
+
+
+@lru_cache(maxsize=1 << 16)
+def _ratio(a: str, b: str) -> float:
+    # method names repeat across (query, candidate) pairs: memoised per worker
+    return SequenceMatcher(None, a, b).ratio()
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
