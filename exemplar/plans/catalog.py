@@ -571,9 +571,11 @@ def q_standard_prompt(spark, sf):
     return out.select("id", "lang", "task_id", "question")
 
 
-def bm25_sql(docs_cte: str, queries_cte: str, k: int) -> str:
+def bm25_sql(docs_cte: str, queries_cte: str, k: int, raw_score: bool = False) -> str:
     """Oracle BM25 over CTEs docs(doc_id, text) and queries(query_id, text)."""
     body = BM25_SQL.split("WITH ", 1)[1]
+    if raw_score:
+        body = body.replace("round(score, 6) AS score", "score")
     body = body.replace("FROM documents)", "FROM docs)").replace("FROM benchmark)", "FROM queries)")
     body = body.replace("SELECT item_id AS query_id,", "SELECT query_id,")
     body = body.replace("WHERE rank <= 5", f"WHERE rank <= {k}")
@@ -603,6 +605,13 @@ _FEW_HITS = bm25_sql(
 )
 def q_fewshot_prompt(spark, sf):
     bench = standins.bench_cases(spark, sf)
+    out = PR.build_prompts(bench, _bench_contexts(spark, sf, bench), instruct=True, use_fewshot=True)
+    return out.select("id", "lang", "task_id", "question")
+
+
+def _bench_contexts(spark, sf, bench) -> DataFrame:
+    """(id, retrieved_context) for every benchmark case: BM25 top 5 over the
+    example pairs (an empty list when nothing matches)."""
     pr = standins.pairs(spark, sf)
     hits = bm25_topk(
         bench.select(F.col("id").alias("query_id"), F.col("focal_code").alias("text")),
@@ -618,15 +627,76 @@ def q_fewshot_prompt(spark, sf):
         ).alias("r"),
     )
     grouped = ex.groupBy("query_id").agg(F.sort_array(F.collect_list("r")).alias("results"))
-    ctx = bench.select(F.col("id"), F.col("focal_code")).join(grouped, F.col("id") == F.col("query_id"), "left").select(
+    return bench.select(F.col("id"), F.col("focal_code")).join(grouped, F.col("id") == F.col("query_id"), "left").select(
         "id",
         F.struct(
             F.col("focal_code").alias("focal_method"),
             F.coalesce("results", F.array().cast(grouped.schema["results"].dataType)).alias("results"),
         ).alias("retrieved_context"),
     )
-    out = PR.build_prompts(bench, ctx, instruct=True, use_fewshot=True)
-    return out.select("id", "lang", "task_id", "question")
+
+
+_RAW_HITS = bm25_sql(
+    f"SELECT pair_id AS doc_id, focal_method AS text FROM ({standins.PAIRS_SQL})",
+    f"SELECT id AS query_id, focal_code AS text FROM ({standins.BENCH_SQL})",
+    5,
+    raw_score=True,
+)
+_T11_THRESHOLD = 20.0
+
+
+@register(
+    "threshold_prompt",
+    f"""WITH hits AS ({_RAW_HITS}),
+    pr AS ({standins.PAIRS_SQL}),
+    ex AS (SELECT h.query_id,
+                  string_agg('Example ' || CAST(h.rank AS VARCHAR) || ':' || chr(10) || 'Focal Method:' || chr(10) || pr.focal_method
+                             || chr(10) || 'Unit Test:' || chr(10) || pr.unit_test || chr(10) || chr(10), '' ORDER BY h.rank) AS blocks
+           FROM hits h JOIN pr ON pr.pair_id = h.doc_id WHERE h.score >= {_T11_THRESHOLD} GROUP BY h.query_id),
+    b AS ({standins.BENCH_SQL})
+    SELECT b.id, CASE WHEN ex.blocks IS NULL THEN 'Generate unit test for:' || chr(10) || b.focal_code
+                      ELSE 'Generate a unit test for the following code.' || chr(10) || 'Here are some similar examples:' || chr(10) || chr(10)
+                           || ex.blocks || 'Now generate a test for:' || chr(10) || b.focal_code END AS prompt
+    FROM b LEFT JOIN ex ON ex.query_id = b.id""",
+)
+def q_threshold_prompt(spark, sf):
+    """T11 over the BM25 context of every benchmark case."""
+    bench = standins.bench_cases(spark, sf)
+    ctx = _bench_contexts(spark, sf, bench)
+    return ctx.select(
+        "id",
+        PR.threshold_prompt(F.col("retrieved_context.focal_method"), F.col("retrieved_context.results"), _T11_THRESHOLD).alias("prompt"),
+    )
+
+
+_FENCE = "```"
+
+
+@register(
+    "documented_prompt",
+    f"""WITH hits AS ({_RAW_HITS}),
+    pr AS ({standins.PAIRS_SQL}),
+    ex AS (SELECT h.query_id,
+                  string_agg('## Example ' || CAST(h.rank AS VARCHAR) || ' (Similarity: ' || printf('%.2f', h.score) || ')' || chr(10) || chr(10)
+                             || '### Focal Method:' || chr(10) || '{_FENCE}' || chr(10) || pr.focal_method || chr(10) || '{_FENCE}' || chr(10) || chr(10)
+                             || '### Unit Test:' || chr(10) || '{_FENCE}' || chr(10) || pr.unit_test || chr(10) || '{_FENCE}' || chr(10) || chr(10),
+                             '' ORDER BY h.rank) AS blocks
+           FROM hits h JOIN pr ON pr.pair_id = h.doc_id GROUP BY h.query_id),
+    b AS ({standins.BENCH_SQL})
+    SELECT b.id, '# Task: Unit Test Generation' || chr(10) || chr(10) || {_sql_lit(PR.DOC_INSTRUCTION)} || chr(10) || chr(10)
+                 || '# Examples:' || chr(10) || chr(10) || coalesce(ex.blocks, '')
+                 || '# Your Task:' || chr(10) || chr(10) || '### Focal Method:' || chr(10) || '{_FENCE}' || chr(10) || b.focal_code
+                 || chr(10) || '{_FENCE}' || chr(10) || chr(10) || '### Unit Test:' || chr(10) || '{_FENCE}' || chr(10)
+                 || '# Generate unit test here' || chr(10) || '{_FENCE}' AS prompt
+    FROM b LEFT JOIN ex ON ex.query_id = b.id""",
+)
+def q_documented_prompt(spark, sf):
+    """T12 over the BM25 context of every benchmark case."""
+    bench = standins.bench_cases(spark, sf)
+    ctx = _bench_contexts(spark, sf, bench)
+    return ctx.select(
+        "id", PR.documented_prompt(F.col("retrieved_context.focal_method"), F.col("retrieved_context.results")).alias("prompt")
+    )
 
 
 # -------------------------------------------------------------- responses --
