@@ -699,6 +699,43 @@ def q_documented_prompt(spark, sf):
     )
 
 
+_SIG_SQL = (
+    "CASE WHEN class_signature IS NOT NULL AND length(class_signature) > 0 THEN class_signature || ' {' || chr(10) || "
+    "regexp_replace(focal_code, '(?m)^([^\\S\\n]*\\S)', '    \\1', 'g') || chr(10) || '}' ELSE focal_code END"
+)
+_DEFS_SQL = (
+    "regexp_replace(array_to_string(flatten(list_transform(function_component.argument_definitions, lambda a: a.definitions)), chr(10)),"
+    " '^\\s+|\\s+$', '', 'g')"
+)
+
+
+@register(
+    "context_prompt",
+    f"""WITH f AS ({standins.BENCH_FILES_SQL}),
+    t AS (SELECT *, {_template_sql('(' + _SIG_SQL + ')')} AS std0 FROM f),
+    u AS (SELECT *, CASE WHEN context IS NOT NULL
+                         THEN {_sql_lit(TPL.RAG_OPEN)} || context || {_sql_lit(TPL.RAG_CLOSE)} || std0
+                         ELSE {_sql_lit(TPL.FILE_OPEN)} || coalesce(file_path, '') || chr(10)
+                              || coalesce(CASE WHEN lang = 'Rust' THEN {O.strip_rust_tests('file_content')} ELSE file_content END, '')
+                              || {_sql_lit(TPL.FILE_CLOSE)} || std0 END AS std1 FROM t),
+    v AS (SELECT *, CASE WHEN coalesce(len(function_component.argument_definitions) > 0, false)
+                         THEN {O.imports("coalesce(file_content, '')", 'lower(lang)')} || chr(10)
+                              || (CASE WHEN struct_class IS NOT NULL AND length(struct_class) > 0 THEN chr(10) || chr(10) || struct_class
+                                       ELSE {_DEFS_SQL} END)
+                              || chr(10) || chr(10) || chr(10) || std1
+                         ELSE std1 END AS prompt FROM u)
+    SELECT id, prompt || {_SUFFIX_SQL} AS question FROM v""",
+)
+def q_context_prompt(spark, sf):
+    """T3-T5 with X5/X6: instruct prompts with RAG context where a case has
+    one, else the file context (Rust files without their tests), and the
+    import + argument-definition block."""
+    out = PR.build_prompts(
+        standins.bench_files(spark, sf), instruct=True, is_rag=True, file_context=True, arg_context=True
+    )
+    return out.select("id", "question")
+
+
 # -------------------------------------------------------------- responses --
 
 

@@ -200,3 +200,93 @@ def rust_imports(text: str) -> str:
     )
     init = "{'depth': CAST(0 AS BIGINT), 'mod_depth': CAST(-1 AS BIGINT), 'cur': NULL::VARCHAR, 'out': []::VARCHAR[]}"
     return f"array_to_string(list_reduce({feats}, lambda s, it: {step}, {init}).out, {_NL})"
+
+
+def imports(text: str, lang: str) -> str:
+    """SQL of ``functions.text.import_context`` for a lower-case language column."""
+    no_str = lambda x: f"regexp_replace({x}, '\"[^\"]*\"', '', 'g')"
+    feats = _features(
+        text,
+        {
+            "code": r"regexp_replace(l, '\s+$', '', 'g')",
+            "start": (
+                f"(CASE WHEN {lang} = 'rust' THEN regexp_matches(l, {_lit(X._IMPORT_START['rust'])})"
+                f" WHEN {lang} = 'go' THEN regexp_matches(l, {_lit(X._IMPORT_START['go'])})"
+                f" WHEN {lang} = 'julia' THEN regexp_matches(l, {_lit(X._IMPORT_START['julia'])}) ELSE false END)"
+            ),
+            "go_top": f"({lang} = 'go')",
+            "mod_start": f"({lang} = 'rust' AND regexp_matches(l, " + r"'^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+\w+\s*\{'))",
+            "end_line": (
+                f"(CASE WHEN {lang} = 'rust' THEN instr(l, ';') > 0 WHEN {lang} = 'go' THEN instr({no_str('l')}, ')') > 0"
+                r" ELSE NOT regexp_matches(l, ',\s*$') END)"
+            ),
+            "opens_paren": f"instr({no_str('l')}, '(') > 0",
+        },
+    )
+    nd = "(s.depth + it.delta)"
+    in_mod = "(s.mod_depth >= 0)"
+    mod_start = f"(NOT {in_mod} AND it.mod_start)"
+    mod_depth = (
+        f"(CASE WHEN {in_mod} AND {nd} <= s.mod_depth THEN CAST(-1 AS BIGINT) WHEN {mod_start} THEN s.depth ELSE s.mod_depth END)"
+    )
+    cont = "(s.cur IS NOT NULL)"
+    starts = f"(NOT {cont} AND NOT {in_mod} AND NOT {mod_start} AND it.start AND (NOT it.go_top OR s.depth = 0))"
+    active = f"({cont} OR {starts})"
+    text_now = f"(CASE WHEN {cont} THEN s.cur || {_NL} || it.code ELSE ltrim(it.code) END)"
+    paren = f"(({cont} AND s.paren) OR ({starts} AND it.opens_paren))"
+    ends = f"(CASE WHEN it.go_top THEN NOT {paren} OR it.end_line ELSE it.end_line END)"
+    step = (
+        f"{{'depth': {nd}, 'mod_depth': {mod_depth}, "
+        f"'cur': CASE WHEN {active} AND NOT {ends} THEN {text_now} ELSE NULL::VARCHAR END, "
+        f"'paren': {active} AND NOT {ends} AND {paren}, "
+        f"'out': CASE WHEN {active} AND {ends} THEN list_append(s.out, {text_now}) ELSE s.out END}}"
+    )
+    init = "{'depth': CAST(0 AS BIGINT), 'mod_depth': CAST(-1 AS BIGINT), 'cur': NULL::VARCHAR, 'paren': false, 'out': []::VARCHAR[]}"
+    return f"array_to_string(list_reduce({feats}, lambda s, it: {step}, {init}).out, {_NL})"
+
+
+def strip_rust_tests(text: str) -> str:
+    """SQL of ``functions.text.strip_rust_tests``."""
+    drop = " OR ".join([f"trim(l) = {_lit(a)}" for a in X.TEST_ATTRS])
+    drop = f"({drop} OR (starts_with(trim(l), '//') AND (instr(trim(l), 'test') > 0 OR instr(trim(l), 'assert') > 0)))"
+    feats = _features(
+        text,
+        {
+            "mod_hdr": f"regexp_matches(l, {_lit(X.RUST_TEST_MOD)})",
+            "fn_hdr": f"regexp_matches(l, {_lit(X.RUST_FN)})",
+            "semi": "instr(l, ';') > 0",
+            "asserts": "instr(l, 'assert') > 0",
+            "drop": drop,
+        },
+    )
+    nd = "(s.depth + it.delta)"
+    skipping = "(s.skip >= 0)"
+    in_fn = "(s.fn_depth >= 0)"
+    free = f"(NOT {skipping} AND NOT {in_fn})"
+    mod_hdr = f"({free} AND it.mod_hdr)"
+    fn_hdr = f"({free} AND NOT it.mod_hdr AND it.fn_hdr)"
+    opened = f"((({skipping} OR {in_fn}) AND s.opened) OR it.opens > 0)"
+    in_skip = f"({skipping} OR {mod_hdr})"
+    skip_at = f"(CASE WHEN {skipping} THEN s.skip ELSE s.depth END)"
+    skip_done = f"({in_skip} AND (({opened} AND {nd} <= {skip_at}) OR ({mod_hdr} AND it.opens = 0 AND it.semi)))"
+    in_f = f"({in_fn} OR {fn_hdr})"
+    fn_at = f"(CASE WHEN {in_fn} THEN s.fn_depth ELSE s.depth END)"
+    buf = f"list_append(CASE WHEN {fn_hdr} THEN []::VARCHAR[] ELSE s.buf END, it.line)"
+    fn_assert = f"(({in_fn} AND s.fn_assert) OR it.asserts)"
+    fn_done = f"({in_f} AND {opened} AND {nd} <= {fn_at})"
+    out = (
+        f"(CASE WHEN {in_skip} THEN s.out WHEN {in_f} THEN (CASE WHEN {fn_done} AND NOT {fn_assert} "
+        f"THEN list_concat(s.out, {buf}) ELSE s.out END) WHEN it.drop THEN s.out ELSE list_append(s.out, it.line) END)"
+    )
+    step = (
+        f"{{'depth': {nd}, 'skip': CASE WHEN {in_skip} AND NOT {skip_done} THEN {skip_at} ELSE CAST(-1 AS BIGINT) END, "
+        f"'fn_depth': CASE WHEN {in_f} AND NOT {fn_done} THEN {fn_at} ELSE CAST(-1 AS BIGINT) END, "
+        f"'opened': (({in_skip} AND NOT {skip_done}) OR ({in_f} AND NOT {fn_done})) AND {opened}, "
+        f"'fn_assert': {in_f} AND NOT {fn_done} AND {fn_assert}, "
+        f"'buf': CASE WHEN {in_f} AND NOT {fn_done} THEN {buf} ELSE []::VARCHAR[] END, 'out': {out}}}"
+    )
+    init = (
+        "{'depth': CAST(0 AS BIGINT), 'skip': CAST(-1 AS BIGINT), 'fn_depth': CAST(-1 AS BIGINT), 'opened': false, "
+        "'fn_assert': false, 'buf': []::VARCHAR[], 'out': []::VARCHAR[]}"
+    )
+    return f"array_to_string(list_reduce({feats}, lambda s, it: {step}, {init}).out, {_NL})"

@@ -185,3 +185,47 @@ def responses(spark: SparkSession, sf: str, lang: str) -> DataFrame:
     table(spark, sf, "conversations").createOrReplaceTempView("conversations")
     sql = RESPONSES_SQL[lang].replace("[", "array(").replace("] AS response", ") AS response")
     return spark.sql(sql)
+
+
+# File contexts per case: a small source file in the case's language around
+# its text, RAG context on every third case, a struct class on every fifth,
+# argument definitions on even cases.
+def _file_sql(nl: str = "chr(10)") -> str:
+    rust = " || ".join([
+        "'use std::io;'", nl, "'use crate::' || function_name || '::{'", nl, "'    a,'", nl, "'};'", nl,
+        "'// helper for tests'", nl, "'fn helper() -> i32 { 1 }'", nl, "'fn check() {'", nl, "'    assert!(helper() == 1);'", nl,
+        "'}'", nl, "'#[cfg(test)]'", nl, "'mod tests {'", nl, "'    use super::*;'", nl, "'    #[test]'", nl, "'    fn t() {}'", nl,
+        "'}'", nl, "focal_code",
+    ])
+    go = " || ".join([
+        "'package main'", nl, "'import \"fmt\"'", nl, "'import ('", nl, "'    \"os\"'", nl, "')'", nl,
+        "'func helper() {'", nl, "'    fmt.Println(\"(\")'", nl, "'}'", nl, "focal_code",
+    ])
+    julia = " || ".join(["'using Test'", nl, "'import Base: show,'", nl, "'    print'", nl, "'x = 1'", nl, "focal_code"])
+    return f"(CASE lang WHEN 'Rust' THEN {rust} WHEN 'Go' THEN {go} ELSE {julia} END)"
+
+
+FILE_SQL = _file_sql()
+
+
+def bench_files(spark: SparkSession, sf: str) -> DataFrame:
+    b = bench_cases(spark, sf)
+    item = F.col("ordinal_in")
+    defs = F.array(F.concat(F.lit("struct Arg"), item.cast("string"), F.lit(" {}")), F.lit("  "))
+    return b.select(
+        "*",
+        F.expr(FILE_SQL).alias("file_content"),
+        F.when(item % 3 == 0, F.concat(F.lit("ctx "), F.col("function_name"))).alias("context"),
+        F.when(item % 5 == 0, F.lit("struct Holder {}")).alias("struct_class"),
+        F.when(item % 2 == 0, F.struct(F.array(F.struct(defs.alias("definitions"))).alias("argument_definitions"))).alias(
+            "function_component"
+        ),
+    )
+
+
+BENCH_FILES_SQL = f"""SELECT *, {FILE_SQL} AS file_content,
+       CASE WHEN ordinal_in % 3 = 0 THEN 'ctx ' || function_name END AS context,
+       CASE WHEN ordinal_in % 5 = 0 THEN 'struct Holder {{}}' END AS struct_class,
+       CASE WHEN ordinal_in % 2 = 0 THEN {{'argument_definitions': [{{'definitions': ['struct Arg' || CAST(ordinal_in AS VARCHAR) || ' {{}}', '  ']}}]}} END
+         AS function_component
+FROM ({BENCH_SQL})"""
