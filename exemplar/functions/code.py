@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .memo import cached_column
+
 LANGS = ("rust", "go", "julia", "java")
 
 # Function headers, tried in this order.
@@ -55,6 +57,7 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@cached_column
 def detect_language(code) -> Column:
     """Header regexes in order, then the keyword fallback; null if none."""
     c = _col(code)
@@ -80,6 +83,7 @@ def _by_lang(lang: Column, fn) -> Column:
     return expr
 
 
+@cached_column
 def method_name(code, lang: Column | None = None) -> Column:
     """Name of the first function; '' when there is none."""
     c = _col(code)
@@ -118,6 +122,7 @@ def _count(lang: str, params: Column) -> Column:
     return F.size(kept)
 
 
+@cached_column
 def param_count(code, lang: Column | None = None) -> Column:
     """Parameter count of the first function (INT), null when there is none."""
     c = _col(code)

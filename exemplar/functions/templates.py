@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .memo import cached_column
+
 # Generation templates per language and mode, and test suffixes.
 PROMPTS = {
     "Rust": {
@@ -65,6 +67,7 @@ def by_language(lang: Column, per_lang: Mapping[str, Column]) -> Column:
     return expr
 
 
+@cached_column
 def template_for(lang: Column, mode: str, fields: Mapping[str, Column]) -> Column:
     """The language's template ('instruct', 'base' or 'finetune')."""
     if mode == "finetune":
@@ -74,6 +77,7 @@ def template_for(lang: Column, mode: str, fields: Mapping[str, Column]) -> Colum
     return by_language(lang, {l: render(t[mode], fields) for l, t in PROMPTS.items()})
 
 
+@cached_column
 def suffix_for(lang: Column, function_name: Column) -> Column:
     """T8."""
     return by_language(lang, {l: render(s, {"function_name": function_name}) for l, s in SUFFIXES.items()})

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .memo import cached_column
+
 # Patterns (Java regex).
 _STRING = r'"(?:\\.|[^"\\])*"'
 _CHAR = r"'(?:\\.|[^'\\])'"
@@ -128,6 +130,7 @@ def _by_depth_then_pos(segs: Column) -> Column:
     )
 
 
+@cached_column
 def rust_tests(text) -> Column:
     """Test functions of one Rust response: ``#[test]``-marked functions or
     functions whose first line has ``test_``/``_test``; nested functions are
@@ -152,6 +155,7 @@ def go_normalize(text) -> Column:
     )
 
 
+@cached_column
 def go_tests(text) -> Column:
     """Top-level ``func`` declarations (not methods) with braces and
     ``Test`` on their first line, after the prefix rule."""
@@ -168,6 +172,7 @@ def go_tests(text) -> Column:
     )
 
 
+@cached_column
 def julia_tests(text) -> Column:
     """``@testset`` plus everything after the first ``@testset`` (the
     whole text if there is none): always one entry."""
@@ -185,12 +190,14 @@ def tests_for(lang: Column, text) -> Column:
     )
 
 
+@cached_column
 def sanitize_responses(lang: Column, responses) -> Column:
     """X4 + W4: tests of all responses of a sample, in order, at most 10."""
     per = F.transform(_c(responses), lambda r: tests_for(lang, r))
     return F.slice(F.flatten(per), 1, MAX_TESTS)
 
 
+@cached_column
 def raw_responses(prompt, responses) -> Column:
     """Each response prefixed by the last line of the prompt."""
     last = F.element_at(F.split(F.coalesce(_c(prompt), F.lit("")), "\n"), -1)
@@ -206,6 +213,7 @@ _IMPORT_START = {
 }
 
 
+@cached_column
 def import_context(lang: Column, text) -> Column:
     """Import statements in order, joined by newlines.  Rust ``use``
     declarations outside ``mod`` blocks and comments (multi-line ones up to the
@@ -266,6 +274,7 @@ def import_context(lang: Column, text) -> Column:
 # ------------------------------------------------------- X6 strip tests --
 
 
+@cached_column
 def strip_rust_tests(text) -> Column:
     """X6 (intent of the original): drop ``mod`` items whose name contains
     ``test``, functions whose body contains ``assert``, ``#[test]`` and
