@@ -21,6 +21,7 @@ from .topk import top_k_per_group
 # Default rerank weights, pool size and method label suffix.
 DEFAULT_WEIGHTS = {"embedding": 0.6, "method_name": 0.2, "signature": 0.2}
 DEFAULT_POOL = 50
+DEFAULT_TOP_K = 5
 RERANK_SUFFIX = "_reranked"
 BASE_METHOD = "unknown"
 
@@ -112,7 +113,9 @@ def retrieve(
 
     queries: query_id, embedding, method_name, param_count
     index:   example_id, embedding, method_name, param_count
+    ``k`` of 0 or None means the default top-k (5), as in the original.
     """
+    k = k or DEFAULT_TOP_K
     if enable_reranking:
         pool = dense_topk(
             queries.select("query_id", "embedding"),

@@ -36,7 +36,12 @@ def parse_corpus_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 def read_corpus(spark: SparkSession, path: str, max_examples: int = 0) -> DataFrame:
     """Valid pairs of a JSONL corpus.  ``max_examples`` > 0 limits the
     number of *input lines* read (skipped lines count), in file order."""
-    lines = spark.read.text(path)
+    from pyspark.errors import AnalysisException
+
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException:  # missing file: an empty corpus, as in the original
+        return spark.createDataFrame([], CORPUS_SCHEMA)
     if max_examples and max_examples > 0:
         # A global line ordinal needs the partition sizes: zipWithIndex is the
         # one place an RDD is used, and only when a limit is asked for.

@@ -40,3 +40,11 @@ def test_rerank_brute_force(spark):
     assert [(r.query_id, r.rank, r.example_id) for r in got] == [w[:3] for w in want]
     assert [r.score for r in got] == pytest.approx([w[3] for w in want])
     assert {r.retrieval_method for r in got} == {"unknown_reranked"}
+
+
+def test_top_k_zero_means_default(spark):
+    from exemplar.operators.rerank import retrieve
+
+    idx = spark.createDataFrame([(i, [1.0, float(i)], "f", 1) for i in range(8)], "example_id long, embedding array<float>, method_name string, param_count int")
+    q = spark.createDataFrame([(1, [1.0, 0.0], "f", 1)], "query_id long, embedding array<float>, method_name string, param_count int")
+    assert retrieve(q, idx, k=0, threshold=0.0).count() == 5

@@ -63,3 +63,9 @@ def test_audit(spark, tmp_dir):
     rows = {(r.model, r.lang): r for r in audit_outputs(spark, tmp_dir, ["m1", "m2"]).collect()}
     assert rows[("m1", "rust")].lines == 2 and rows[("m1", "rust")].found
     assert not rows[("m2", "go")].found and rows[("m2", "go")].lines == 0
+
+
+def test_missing_corpus_is_empty(spark, tmp_dir):
+    import os
+
+    assert read_corpus(spark, os.path.join(tmp_dir, "nope.jsonl")).count() == 0
