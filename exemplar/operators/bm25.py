@@ -2,10 +2,10 @@
 
 Plan (two passes over the corpus, no all-pairs rows):
 
-1. One Spark aggregation: N, the total document length and the document
-   frequency of each *query* term (``explode(array_distinct(tokens))``
-   semi-joined with the query vocabulary, partial aggregation before the
-   shuffle, so a hot term costs one row per partition).
+1. One aggregation: each task tokenizes its documents (Arrow RE2), counts
+   the document frequency of the *query* terms and its number of documents
+   and tokens (a sentinel row), and emits one row per term; Spark sums the
+   partial rows, so a term present in every document costs one row per task.
 2. The query term weights ``qtf * idf`` form a dense (query term x query)
    matrix whose size is checked before it is broadcast; ``mapInArrow`` turns
    each tile of documents into a (document x query term) matrix of BM25 term
@@ -21,8 +21,6 @@ document rank the same way in every engine.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -281,6 +279,3 @@ def _joined_scores(qtf: DataFrame, d: DataFrame) -> DataFrame:
     )
     return post.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * tf_part).alias("score"))
 
-
-def idf(n_docs: int, df: int) -> float:
-    return math.log(1.0 + (n_docs - df + 0.5) / (df + 0.5))

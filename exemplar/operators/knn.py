@@ -121,11 +121,6 @@ class _RunningTopK:
         return r, self.best_i[r, p], self.best_s[r, p], self.best_p[r, p]
 
 
-def _vector_dim(df: DataFrame, vec: str) -> int:
-    row = df.select(F.max(F.size(vec)).alias("d")).first()
-    return int(row["d"] or 0)
-
-
 def _out_schema(q_type, corpus: DataFrame, carry) -> T.StructType:
     return T.StructType(
         [
