@@ -105,6 +105,52 @@ def q_retrieval_quality(spark, sf):
     )
 
 
+_RELAX = (0.5, 0.4, 0.3, 0.2)
+
+
+@register(
+    "retrieval_relaxed",
+    _VEC_SQL
+    + """,
+    n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS nrm FROM v),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS example_id,
+                 list_dot_product(q.e, c.e) / ((q.nrm + 1e-8) * (c.nrm + 1e-8)) AS score
+          FROM n q, n c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, example_id) AS rank FROM s),
+    a AS (SELECT query_id, count(score) AS total_retrieved, avg(score) AS avg_similarity,
+                 count(*) FILTER (WHERE score <> 0.0) AS nonzero, """
+    + ", ".join(f"count(*) FILTER (WHERE score >= {t}) AS c{i}" for i, t in enumerate(_RELAX))
+    + """
+          FROM r WHERE rank <= 50 GROUP BY query_id),
+    b AS (SELECT *, avg_similarity >= 0.0 AND nonzero > 0 AS ok_base FROM a)
+    SELECT query_id, total_retrieved,
+           CAST(CASE """
+    + " ".join(f"WHEN ok_base AND c{i} >= 1 THEN {t}" for i, t in enumerate(_RELAX))
+    + f" ELSE {_RELAX[-1]} END AS DOUBLE) AS similarity_threshold, CASE "
+    + " ".join(f"WHEN ok_base AND c{i} >= 1 THEN c{i}" for i in range(len(_RELAX)))
+    + f" ELSE c{len(_RELAX) - 1} END AS filtered_count,"
+    + """
+           round(avg_similarity, 6) AS avg_similarity,
+           coalesce(ok_base AND ("""
+    + " OR ".join(f"c{i} >= 1" for i in range(len(_RELAX)))
+    + """), false) AS passed
+    FROM b""",
+)
+def q_retrieval_relaxed(spark, sf):
+    """A9 self-correction: the first of the decreasing thresholds at which
+    each query's top-50 cosine pool passes."""
+    pool = _dense(spark, sf, "cosine", 50)
+    out = stats.relaxed_retrieval(pool, _RELAX, min_avg=0.0)
+    return out.select(
+        "query_id",
+        "total_retrieved",
+        "similarity_threshold",
+        F.col("filtered_count").cast("long").alias("filtered_count"),
+        F.round("avg_similarity", 6).alias("avg_similarity"),
+        "passed",
+    )
+
+
 @register(
     "vector_checks",
     """SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim,
