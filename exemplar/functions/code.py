@@ -122,15 +122,27 @@ def _count(lang: str, params: Column) -> Column:
     return F.size(kept)
 
 
+GO_RECEIVER = r"\bfunc\s+\(([^)]*)\)\s*[A-Za-z_]\w*"
+
+
 @cached_column
-def param_count(code, lang: Column | None = None) -> Column:
-    """Parameter count of the first function (INT), null when there is none."""
+def param_count(code, lang: Column | None = None, go_receiver_compat: bool = False) -> Column:
+    """Parameter count of the first function (INT), null when there is none.
+
+    ``go_receiver_compat`` reproduces the original's Go quirk: for a method,
+    the first parameter list is the receiver, so the receiver's declarations
+    are counted instead of the parameters."""
     c = _col(code)
     lang = detect_language(c) if lang is None else lang
-    return _by_lang(
-        lang,
-        lambda l: F.when(c.rlike(HEADER[l]), _count(l, _param_items(F.regexp_extract(c, AFTER_PAREN[l], 1)))),
-    ).cast("int")
+
+    def count(l: str) -> Column:
+        n = _count(l, _param_items(F.regexp_extract(c, AFTER_PAREN[l], 1)))
+        if l == "go" and go_receiver_compat:
+            recv = F.regexp_extract(c, GO_RECEIVER, 1)
+            n = F.when(c.rlike(GO_RECEIVER), _count("go", recv)).otherwise(n)
+        return F.when(c.rlike(HEADER[l]), n)
+
+    return _by_lang(lang, count).cast("int")
 
 
 def param_similarity(a, b) -> Column:
@@ -143,7 +155,7 @@ def param_similarity(a, b) -> Column:
     )
 
 
-def with_code_features(df, code: str, prefix: str = ""):
+def with_code_features(df, code: str, prefix: str = "", go_receiver_compat: bool = False):
     """Adds ``{prefix}lang``, ``{prefix}method_name``, ``{prefix}param_count``.
 
     Two projections: the language first, then the name and count that read
@@ -153,7 +165,7 @@ def with_code_features(df, code: str, prefix: str = ""):
     d = df.withColumn(lang_col, detect_language(F.col(code)))
     lang = F.col(lang_col)
     return d.withColumn(f"{prefix}method_name", method_name(F.col(code), lang)).withColumn(
-        f"{prefix}param_count", param_count(F.col(code), lang)
+        f"{prefix}param_count", param_count(F.col(code), lang, go_receiver_compat)
     )
 
 

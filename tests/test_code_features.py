@@ -60,3 +60,14 @@ def test_features_once_per_row_plan(spark):
     df = spark.createDataFrame([("fn a(x: i32) {}",)], "code string").select(*code_features("code"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_go_receiver_compat(spark):
+    from exemplar.functions.code import with_code_features
+
+    df = spark.createDataFrame(
+        [("func (s *Server) Handle(w http.ResponseWriter, r *http.Request) {}",), ("func add(a int, b int) int { return a + b }",)],
+        "code string",
+    )
+    assert [r.param_count for r in with_code_features(df, "code").collect()] == [2, 2]
+    assert [r.param_count for r in with_code_features(df, "code", go_receiver_compat=True).collect()] == [1, 2]
