@@ -58,3 +58,54 @@ def test_rust_fold_matches_python(spark, docs):
     got = {r.i: r.x for r in df.select("i", X.rust_tests(F.col("t")).alias("x")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == _rust_tests(t), t
+
+
+STRIP_LINES = LINES + ["#[cfg(test)]", "mod tests;", "mod test_utils {", "    assert!(ok);", "// test helper", "use a::b;"]
+
+
+def _strip(text):
+    depth, skip, fn_depth, opened, fn_assert, buf, out = 0, -1, -1, False, False, [], []
+    for line in text.split("\n"):
+        clean = re.sub(X._LINE_COMMENT, "", re.sub(X._CHAR, "", re.sub(X._STRING, "", line)), flags=re.ASCII)
+        opens = clean.count("{")
+        nd = depth + opens - clean.count("}")
+        skipping, in_fn = skip >= 0, fn_depth >= 0
+        free = not skipping and not in_fn
+        is_mod = re.search(X.RUST_TEST_MOD, line, flags=re.ASCII) is not None
+        mod_hdr = free and is_mod
+        fn_hdr = free and not is_mod and re.search(X.RUST_FN, line, flags=re.ASCII) is not None
+        now_opened = ((skipping or in_fn) and opened) or opens > 0
+        in_skip = skipping or mod_hdr
+        skip_at = skip if skipping else depth
+        skip_done = in_skip and ((now_opened and nd <= skip_at) or (mod_hdr and opens == 0 and ";" in line))
+        in_f = in_fn or fn_hdr
+        fn_at = fn_depth if in_fn else depth
+        nbuf = ([] if fn_hdr else buf) + [line]
+        nfa = (in_fn and fn_assert) or "assert" in line
+        fn_done = in_f and now_opened and nd <= fn_at
+        t = line.strip(" ")
+        drop = t in X.TEST_ATTRS or (t.startswith("//") and ("test" in t or "assert" in t))
+        if in_skip:
+            pass
+        elif in_f:
+            if fn_done and not nfa:
+                out += nbuf
+        elif not drop:
+            out.append(line)
+        depth = nd
+        skip = skip_at if in_skip and not skip_done else -1
+        fn_depth = fn_at if in_f and not fn_done else -1
+        opened = ((in_skip and not skip_done) or (in_f and not fn_done)) and now_opened
+        fn_assert = in_f and not fn_done and nfa
+        buf = nbuf if in_f and not fn_done else []
+    return "\n".join(out)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(STRIP_LINES), min_size=0, max_size=14), min_size=1, max_size=12))
+def test_strip_fold_matches_python(spark, docs):
+    texts = ["\n".join(d) for d in docs]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", X.strip_rust_tests(F.col("t")).alias("x")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == _strip(t), t
