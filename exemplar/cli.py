@@ -107,7 +107,7 @@ def cmd_compare(a) -> None:
 def cmd_audit(a) -> None:
     from .sources.audit import audit_outputs
 
-    audit_outputs(_session(), a.root, a.models).orderBy("model", "lang").show(truncate=False)
+    audit_outputs(_session(), a.root, a.models, file_name=a.file_name).orderBy("model", "lang").show(truncate=False)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -167,6 +167,7 @@ def main(argv: list[str] | None = None) -> None:
     au = sub.add_parser("audit")
     au.add_argument("--root", required=True)
     au.add_argument("--models", nargs="+", required=True)
+    au.add_argument("--file-name", default=None, help="per-language file name (default: the partitioned context layout)")
     au.set_defaults(fn=cmd_audit)
 
     args = p.parse_args(argv)

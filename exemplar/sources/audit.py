@@ -19,22 +19,30 @@ def audit_outputs(
     root: str,
     models: Sequence[str],
     langs: Sequence[str] = ("rust", "go", "julia"),
-    file_name: str = "data_with_fewshot.jsonl",
+    file_name: str | None = "data_with_fewshot.jsonl",
 ) -> DataFrame:
-    """Expected layout ``<root>/<model>/<lang>/<file_name>``."""
+    """Layout ``<root>/<model>/<lang>/<file_name>`` (the original's), or with
+    ``file_name=None`` the partitioned layout of ``write_context``:
+    ``<root>/embedder=<model>/lang=<lang>/part-*``."""
     grid = spark.createDataFrame([(m, l) for m in models for l in langs], "model string, lang string")
+    pattern = f"{root.rstrip('/')}/*/*/{file_name}" if file_name else f"{root.rstrip('/')}/embedder=*/lang=*/part-*"
     try:
-        lines = spark.read.text(f"{root.rstrip('/')}/*/*/{file_name}").select(
+        lines = spark.read.text(pattern).select(
             F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")
         )
     except Exception:  # nothing written at all
         return grid.select("model", "lang", F.lit(0).cast("long").alias("lines"), F.lit(0.0).alias("size_mb"), F.lit(False).alias("found"))
     parts = F.split("path", "/")
+    strip = lambda c: F.regexp_replace(c, r"^(embedder|lang)=", "")
     per_file = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.max("size").alias("size")).select(
-        F.element_at(parts, -3).alias("model"),
-        F.element_at(parts, -2).alias("lang"),
+        strip(F.element_at(parts, -3)).alias("model"),
+        strip(F.element_at(parts, -2)).alias("lang"),
         "lines",
-        (F.col("size") / F.lit(1024.0 * 1024.0)).alias("size_mb"),
+        "size",
+    )
+    # several part files per (model, language) in the partitioned layout
+    per_file = per_file.groupBy("model", "lang").agg(
+        F.sum("lines").alias("lines"), (F.sum("size") / F.lit(1024.0 * 1024.0)).alias("size_mb")
     )
     j = grid.join(per_file, ["model", "lang"], "left")
     return j.select(

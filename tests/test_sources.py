@@ -69,3 +69,14 @@ def test_missing_corpus_is_empty(spark, tmp_dir):
     import os
 
     assert read_corpus(spark, os.path.join(tmp_dir, "nope.jsonl")).count() == 0
+
+
+def test_audit_partitioned_layout(spark, tmp_dir):
+    import os
+
+    df = spark.createDataFrame([("a", "rust", "hashed-64"), ("b", "rust", "hashed-64"), ("c", "go", "hashed-64")], "id string, lang string, embedder string")
+    out = os.path.join(tmp_dir, "ctx")
+    df.write.partitionBy("embedder", "lang").json(out)
+    rows = {(r.model, r.lang): r for r in audit_outputs(spark, out, ["hashed-64"], file_name=None).collect()}
+    assert rows[("hashed-64", "rust")].lines == 2 and rows[("hashed-64", "go")].lines == 1
+    assert not rows[("hashed-64", "julia")].found
