@@ -71,3 +71,12 @@ def test_ordinal_distributed(spark):
     df = spark.createDataFrame(rows, "g string, i long").repartition(7)
     got = ordinal(df, ["i"], ["g"]).collect()
     assert all(r.ordinal == r.i for r in got) and len(got) == 100
+
+
+def test_ordinal_small_input_window_path(spark, tmp_dir):
+    import os
+
+    path = os.path.join(tmp_dir, "o.parquet")
+    spark.createDataFrame([(g, i) for g in ("a", "b") for i in range(30)], "g string, i long").write.parquet(path)
+    got = ordinal(spark.read.parquet(path), ["i"], ["g"]).collect()
+    assert all(r.ordinal == r.i for r in got) and len(got) == 60
