@@ -109,3 +109,53 @@ def test_strip_fold_matches_python(spark, docs):
     got = {r.i: r.x for r in df.select("i", X.strip_rust_tests(F.col("t")).alias("x")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == _strip(t), t
+
+
+GO_LINES = ["func TestA(t *testing.T) {", "func helper() {", "}", "  x := 1", "func (s *S) TestM() {", "func TestB(t *testing.T) { t.Log(\"}\") }",
+            "", "// func TestC() {", "prose before", "add(t *testing.T) {", "  if x { y() }"]
+
+
+def _go_tests(text):
+    rest = text.split("func Test", 1)[-1]
+    if not rest:
+        return []
+    norm = "func Test" + rest[0].upper() + rest[1:]
+    out = []
+    for d, p, t, a in _segments_top(norm, X.GO_FUNC):
+        first = t.split("\n")[0]
+        if "Test" in first and "{" in t and "}" in t:
+            out.append(t)
+    return out
+
+
+def _segments_top(text, header):
+    # _segments with headers only at depth 0
+    depth, start, opened, cur, segs = 0, -1, False, [], []
+    for pos, line in enumerate(text.split("\n")):
+        clean = re.sub(X._LINE_COMMENT, "", re.sub(X._CHAR, "", re.sub(X._STRING, "", line)), flags=re.ASCII)
+        opens = clean.count("{")
+        new_depth = depth + opens - clean.count("}")
+        in_seg = start >= 0
+        starts = not in_seg and depth == 0 and re.search(header, line, flags=re.ASCII) is not None
+        active = in_seg or starts
+        now_opened = (in_seg and opened) or opens > 0
+        seg_start = start if in_seg else depth
+        closes = active and now_opened and new_depth <= seg_start
+        if active:
+            cur = [line.lstrip(" ")] if starts else cur + [line]
+        if closes:
+            segs.append((seg_start, pos - len(cur) + 1, "\n".join(cur), False))
+        keep = active and not closes
+        depth, start, opened = new_depth, seg_start if keep else -1, keep and now_opened
+        cur = cur if keep else []
+    return segs
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(GO_LINES), min_size=0, max_size=12), min_size=1, max_size=12))
+def test_go_fold_matches_python(spark, docs):
+    texts = ["\n".join(d) for d in docs]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", X.go_tests(F.col("t")).alias("x")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == _go_tests(t), t
