@@ -159,3 +159,54 @@ def test_go_fold_matches_python(spark, docs):
     got = {r.i: r.x for r in df.select("i", X.go_tests(F.col("t")).alias("x")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == _go_tests(t), t
+
+
+IMPORT_LINES = {
+    "rust": ["use a::b;", "use c::{", "    d,", "};", "mod tests {", "    use super::*;", "}", "fn f() {", "// use x;", "pub use e::f;", ""],
+    "go": ["package p", 'import "fmt"', "import (", '    "os"', ")", "func f() {", "    x := g(\")\")", "}", ""],
+    "julia": ["using Test", "import A: b,", "    c", "x = 1", "# import Y", "  using B", ""],
+}
+
+
+def _imports(lang, text):
+    starts = {"rust": X._IMPORT_START["rust"], "go": X._IMPORT_START["go"], "julia": X._IMPORT_START["julia"]}
+    depth, mod_depth, cur, paren, out = 0, -1, None, False, []
+    for line in text.split("\n"):
+        clean = re.sub(X._LINE_COMMENT, "", re.sub(X._CHAR, "", re.sub(X._STRING, "", line)), flags=re.ASCII)
+        nd = depth + clean.count("{") - clean.count("}")
+        code = re.sub(r"\s+$", "", line, flags=re.ASCII)
+        no_str = re.sub(r'"[^"]*"', "", line)
+        in_mod = mod_depth >= 0
+        mod_start = lang == "rust" and not in_mod and re.search(r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+\w+\s*\{", line, flags=re.ASCII) is not None
+        new_mod = -1 if (in_mod and nd <= mod_depth) else (depth if mod_start else mod_depth)
+        cont = cur is not None
+        st_ = re.search(starts[lang], line, flags=re.ASCII) is not None
+        go_top = lang == "go"
+        starts_now = not cont and not in_mod and not mod_start and st_ and (not go_top or depth == 0)
+        active = cont or starts_now
+        text_now = (cur + "\n" + code) if cont else code.lstrip(" ")
+        p = (cont and paren) or (starts_now and "(" in no_str)
+        if lang == "rust":
+            end_line = ";" in line
+        elif lang == "go":
+            end_line = ")" in no_str
+        else:
+            end_line = re.search(r",\s*$", line, flags=re.ASCII) is None
+        ends = (not p or end_line) if go_top else end_line
+        if active and ends:
+            out.append(text_now)
+        cur = text_now if active and not ends else None
+        paren = active and not ends and p
+        depth, mod_depth = nd, new_mod
+    return "\n".join(out)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.sampled_from(["rust", "go", "julia"]), st.data())
+def test_import_fold_matches_python(spark, lang, data):
+    docs = data.draw(st.lists(st.lists(st.sampled_from(IMPORT_LINES[lang]), max_size=12), min_size=1, max_size=10))
+    texts = ["\n".join(d) for d in docs]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", X.import_context(F.lit(lang), F.col("t")).alias("x")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == _imports(lang, t), (lang, t)
