@@ -450,15 +450,25 @@ def q_param_similarity(spark, sf):
     )
 
 
-@register("name_similarity")
+@register(
+    "name_similarity",
+    f"""WITH RECURSIVE {_FEAT_SQL},
+    np AS (SELECT a.p_partkey AS pid, b.p_partkey AS next_partkey, a.method_name AS a_name, b.method_name AS b_name,
+                  lower(a.method_name) AS a, lower(b.method_name) AS b
+           FROM feat a JOIN feat b ON b.p_partkey = a.p_partkey + 1),
+    {O.name_ratio_ctes('np')}
+    SELECT np.pid AS p_partkey, np.next_partkey, np.a_name, np.b_name, round(r.name_score, 12) AS name_score
+    FROM np JOIN ratio_out r ON r.pid = np.pid""",
+)
 def q_name_similarity(spark, sf):
-    """C4 between each part's method name and the next part's (rows-only check;
-    golden values are in the tests)."""
+    """C4 between each part's method name and the next part's."""
     f = _features(spark, sf)
     a = f.select("p_partkey", F.col("method_name").alias("a_name"))
     b = f.select(F.col("p_partkey").alias("next_partkey"), F.col("method_name").alias("b_name"))
     j = a.join(b, F.col("next_partkey") == F.col("p_partkey") + 1)
-    return j.select("p_partkey", "next_partkey", "a_name", "b_name", name_similarity("a_name", "b_name").alias("name_score"))
+    return j.select(
+        "p_partkey", "next_partkey", "a_name", "b_name", F.round(name_similarity("a_name", "b_name"), 12).alias("name_score")
+    )
 
 
 def _index(spark, sf) -> DataFrame:
@@ -513,11 +523,47 @@ def q_rerank_no_name(spark, sf):
     )
 
 
-@register("rerank_full")
+_WF = RR.normalize_weights(None)
+
+
+@register(
+    "rerank_full",
+    f"""WITH RECURSIVE {_FEAT_SQL},
+    v AS (SELECT e.vec_id, CAST(e.embedding AS DOUBLE[]) AS e, f.method_name, f.param_count
+          FROM embeddings e LEFT JOIN feat f ON f.p_partkey = e.vec_id),
+    n AS (SELECT *, sqrt(list_dot_product(e, e)) AS nrm FROM v),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS example_id,
+                 list_dot_product(q.e, c.e) / ((q.nrm + 1e-8) * (c.nrm + 1e-8)) AS es,
+                 q.param_count AS qp, c.param_count AS cp, q.method_name AS qn, c.method_name AS cn FROM n q, n c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY es DESC, example_id) AS r1 FROM s),
+    p AS (SELECT query_id, example_id, r1, es, {O.param_similarity('qp', 'cp')} AS ss, qn, cn,
+                 row_number() OVER (ORDER BY query_id, r1) AS pid FROM r WHERE r1 <= 50),
+    pp AS (SELECT pid, lower(coalesce(qn, '')) AS a, lower(coalesce(cn, '')) AS b FROM p),
+    {O.name_ratio_ctes('pp')},
+    c AS (SELECT p.*, ro.name_score AS ns,
+                 CAST({_WF['embedding']!r} AS DOUBLE) * es + CAST({_WF['method_name']!r} AS DOUBLE) * ro.name_score
+                 + CAST({_WF['signature']!r} AS DOUBLE) * ss AS score
+          FROM p JOIN ratio_out ro ON ro.pid = p.pid),
+    r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r1) AS rank FROM c)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, example_id, round(score, 6) AS score, round(es, 6) AS embedding_score,
+           round(ns, 12) AS name_score, ss AS signature_score, CAST(r1 AS INTEGER) AS first_stage_rank,
+           'unknown_reranked' AS retrieval_method
+    FROM r2 WHERE rank <= 5 AND score >= 0.3""",
+)
 def q_rerank_full(spark, sf):
-    """C8 with the default weights (name similarity via difflib): rows-only
-    check here, brute force in the tests."""
-    return _rerank_query(spark, sf, None)
+    """C8 with the default weights (name similarity via difflib)."""
+    r = _rerank_query(spark, sf, None)
+    return r.select(
+        "query_id",
+        "rank",
+        "example_id",
+        F.round("score", 6).alias("score"),
+        F.round("embedding_score", 6).alias("embedding_score"),
+        F.round("name_score", 12).alias("name_score"),
+        "signature_score",
+        "first_stage_rank",
+        "retrieval_method",
+    )
 
 
 # ------------------------------------------------------------------- BM25 --

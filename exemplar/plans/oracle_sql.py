@@ -290,3 +290,35 @@ def strip_rust_tests(text: str) -> str:
         "'fn_assert': false, 'buf': []::VARCHAR[], 'out': []::VARCHAR[]}"
     )
     return f"array_to_string(list_reduce({feats}, lambda s, it: {step}, {init}).out, {_NL})"
+
+
+# ------------------------------------------------ C4: Ratcliff-Obershelp ratio --
+
+_BEST = (
+    "list_reduce(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: "
+    "{'i': i, 'j': j, 'k': coalesce(list_min(list_filter(range(0, least(ahi - i, bhi - j)), "
+    "lambda t: substr(a, i + t + 1, 1) <> substr(b, j + t + 1, 1))), least(ahi - i, bhi - j))}))), "
+    "lambda acc, x: CASE WHEN x.k > acc.k THEN x ELSE acc END, {'i': alo, 'j': blo, 'k': CAST(0 AS BIGINT)})"
+)
+
+
+def name_ratio_ctes(pairs: str) -> str:
+    """CTEs (to follow ``WITH RECURSIVE``) giving ``ratio_out(pid, name_score)``
+    for ``pairs`` = a CTE name with columns (pid, a, b) (already lower-cased).
+
+    Matching blocks as in the standard library for strings without junk: the
+    longest common block of a range (earliest in a, then in b), then the same
+    on the parts left and right of it; ratio = 2 * matched / total length."""
+    return f"""rng(pid, a, b, alo, ahi, blo, bhi) AS (
+        SELECT pid, a, b, CAST(0 AS BIGINT), CAST(length(a) AS BIGINT), CAST(0 AS BIGINT), CAST(length(b) AS BIGINT)
+        FROM {pairs} WHERE length(a) > 0 AND length(b) > 0
+        UNION ALL
+        SELECT pid, a, b, u.c.alo, u.c.ahi, u.c.blo, u.c.bhi
+        FROM (SELECT pid, a, b, alo, ahi, blo, bhi, {_BEST} AS m FROM rng) x,
+             unnest([{{'alo': alo, 'ahi': m.i, 'blo': blo, 'bhi': m.j}},
+                     {{'alo': m.i + m.k, 'ahi': ahi, 'blo': m.j + m.k, 'bhi': bhi}}]) AS u(c)
+        WHERE m.k > 0 AND u.c.alo < u.c.ahi AND u.c.blo < u.c.bhi),
+    matched AS (SELECT pid, sum(({_BEST}).k) AS m FROM rng GROUP BY pid),
+    ratio_out AS (SELECT p.pid, CASE WHEN length(p.a) = 0 OR length(p.b) = 0 THEN 0.0
+                              ELSE CAST(2.0 AS DOUBLE) * coalesce(matched.m, 0) / (length(p.a) + length(p.b)) END AS name_score
+                  FROM {pairs} p LEFT JOIN matched ON matched.pid = p.pid)"""
