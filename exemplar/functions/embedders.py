@@ -24,9 +24,15 @@ _TOKEN = r"[\p{L}\p{N}_]+"
 
 
 class HashedEmbedder:
-    def __init__(self, dim: int = 64, name: str | None = None):
+    """``hash_fn``: ``xxhash64`` (default, fastest) or ``md5`` (first 8 hex
+    digits; reproducible in other SQL engines)."""
+
+    def __init__(self, dim: int = 64, name: str | None = None, hash_fn: str = "xxhash64"):
+        if hash_fn not in ("xxhash64", "md5"):
+            raise ValueError(f"unknown hash {hash_fn}")
         self.dim = int(dim)
-        self.name = name or f"hashed-{self.dim}"
+        self.hash_fn = hash_fn
+        self.name = name or (f"hashed-{self.dim}" if hash_fn == "xxhash64" else f"hashed-{hash_fn}-{self.dim}")
 
     @property
     def embedding_dim(self) -> int:  # V6 check reference
@@ -35,7 +41,11 @@ class HashedEmbedder:
     def transform(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
         dim = self.dim
         tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(_TOKEN), F.lit(0))
-        buckets = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+        if self.hash_fn == "md5":
+            h = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long")
+        else:
+            h = F.xxhash64
+        buckets = F.transform(tokens, lambda t: F.pmod(h(t), F.lit(dim)).cast("int"))
         # counts per bucket: the bucket array is the fold input, so it is computed once
         # and the normalisation happens in the finish step on the bound counts.
         def unit(counts):

@@ -912,6 +912,65 @@ def q_retrieval_context(spark, sf):
     return retrieval_job(bench, index, emb, k=3, threshold=0.0)
 
 
+def _feat_cols(col: str) -> str:
+    lang = O.detect_language(col)
+    return f"{lang} AS lang_d, {col} AS txt"
+
+
+_EMB = O.hashed_embedding_md5
+
+
+@register(
+    "retrieval_flat",
+    f"""WITH RECURSIVE pr AS ({standins.PAIRS_SQL}),
+    b AS ({standins.BENCH_SQL}),
+    c0 AS (SELECT pair_id AS example_id, {_feat_cols('focal_method')}, {_EMB('focal_method', 64)} AS e FROM pr),
+    c1 AS (SELECT example_id, e, {O.method_name('txt', 'lang_d')} AS cn, {O.param_count('txt', 'lang_d')} AS cp FROM c0),
+    q0 AS (SELECT id, {_feat_cols('focal_code')}, {_EMB('focal_code', 64)} AS e FROM b WHERE focal_code IS NOT NULL AND length(focal_code) > 0),
+    q1 AS (SELECT id, e, {O.method_name('txt', 'lang_d')} AS qn, {O.param_count('txt', 'lang_d')} AS qp FROM q0),
+    cv AS (SELECT *, CAST(e AS DOUBLE[]) AS d, sqrt(list_dot_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[]))) AS nrm FROM c1),
+    qv AS (SELECT *, CAST(e AS DOUBLE[]) AS d, sqrt(list_dot_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[]))) AS nrm FROM q1),
+    s AS (SELECT q.id, c.example_id, list_dot_product(q.d, c.d) / ((q.nrm + 1e-8) * (c.nrm + 1e-8)) AS es,
+                 q.qn, c.cn, q.qp, c.cp FROM qv q, cv c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY es DESC, example_id) AS r1 FROM s),
+    p AS (SELECT id, example_id, r1, es, {O.param_similarity('qp', 'cp')} AS ss, qn, cn,
+                 row_number() OVER (ORDER BY id, r1) AS pid FROM r WHERE r1 <= 50),
+    pp AS (SELECT pid, lower(coalesce(qn, '')) AS a, lower(coalesce(cn, '')) AS b FROM p),
+    {O.name_ratio_ctes('pp')},
+    c AS (SELECT p.*, ro.name_score AS ns,
+                 CAST({_WF['embedding']!r} AS DOUBLE) * es + CAST({_WF['method_name']!r} AS DOUBLE) * ro.name_score
+                 + CAST({_WF['signature']!r} AS DOUBLE) * ss AS score
+          FROM p JOIN ratio_out ro ON ro.pid = p.pid),
+    r2 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, r1) AS rank FROM c)
+    SELECT id, CAST(rank AS INTEGER) AS rank, example_id, round(score, 6) AS score, round(es, 6) AS embedding_score,
+           round(ns, 12) AS name_score, ss AS signature_score, CAST(r1 AS INTEGER) AS first_stage_rank
+    FROM r2 WHERE rank <= 3 AND score >= 0.0""",
+)
+def q_retrieval_flat(spark, sf):
+    """R3 as flat rows: example pairs indexed with the md5 hashed embedder,
+    every benchmark case embedded, pool 50, rerank with the default weights,
+    top 3 with the example text joined back."""
+    from ..functions.embedders import HashedEmbedder
+    from ..sources.index_store import build_index
+    from .retrieval import retrieve_context
+
+    emb = HashedEmbedder(64, hash_fn="md5")
+    corpus = standins.pairs(spark, sf).select(
+        F.col("pair_id").alias("example_id"), "focal_method", "unit_test", F.lit("{}").alias("metadata")
+    )
+    flat = retrieve_context(standins.bench_cases(spark, sf), build_index(corpus, emb), emb, k=3, threshold=0.0)
+    return flat.select(
+        "id",
+        "rank",
+        "example_id",
+        F.round("score", 6).alias("score"),
+        F.round("embedding_score", 6).alias("embedding_score"),
+        F.round("name_score", 12).alias("name_score"),
+        "signature_score",
+        "first_stage_rank",
+    )
+
+
 _LAST = "string_split(rtrim(question, chr(10)), chr(10))[-1]"
 
 

@@ -322,3 +322,13 @@ def name_ratio_ctes(pairs: str) -> str:
     ratio_out AS (SELECT p.pid, CASE WHEN length(p.a) = 0 OR length(p.b) = 0 THEN 0.0
                               ELSE CAST(2.0 AS DOUBLE) * coalesce(matched.m, 0) / (length(p.a) + length(p.b)) END AS name_score
                   FROM {pairs} p LEFT JOIN matched ON matched.pid = p.pid)"""
+
+
+def hashed_embedding_md5(text: str, dim: int) -> str:
+    """SQL of ``HashedEmbedder(dim, hash_fn="md5")``."""
+    toks = f"regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}_]+')"
+    buckets = f"list_transform({toks}, lambda t: CAST(('0x' || substring(md5(t), 1, 8)) AS BIGINT) % {dim})"
+    counts = f"list_transform(range(0, {dim}), lambda i: CAST(len(list_filter({buckets}, lambda b: b = i)) AS DOUBLE))"
+    return (
+        f"list_transform({counts}, lambda c: CAST(c / (sqrt(list_sum(list_transform({counts}, lambda x: x * x))) + 1e-8) AS FLOAT))"
+    )
