@@ -29,3 +29,14 @@ def test_entry_runs(spark):
 
 def test_every_query_has_callable():
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_rows_only_queries_run(spark):
+    """Queries without an oracle: run over sf0.001 and check the output shape."""
+    rows_only = sorted(set(E.queries()) - set(E.oracle_sql()))
+    assert rows_only == ["retrieval_context"]
+    rows = E.queries()["retrieval_context"](spark, SF).collect()
+    assert rows and all(r.retrieved_context.status == "success" for r in rows)
+    assert all(len(r.retrieved_context.results) <= 3 for r in rows)
+    ranks = [[x.rank for x in r.retrieved_context.results] for r in rows]
+    assert all(rk == list(range(1, len(rk) + 1)) for rk in ranks)
