@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "exemplar") -> SparkSession:
@@ -38,25 +40,42 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system).  Only when it is unset (tests, local runs) a scratch folder
-    is created and registered.
+    On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared file
+    system).  When it is unset, only a local master gets a scratch folder;
+    any other master raises, because a folder of one machine is not shared.
     """
     conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or _SCRATCH.get(
+        spark.sparkContext.applicationId
+    )
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="exemplar-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:  # a session that refuses runtime core settings
-            pass
-    spark.sparkContext.setCheckpointDir(path)
+        _SCRATCH[spark.sparkContext.applicationId] = path
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+    """A new sub-folder of the shared folder for one written intermediate table."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back.
+
+    Cuts the lineage like a checkpoint (the files outlive any executor) but is
+    columnar and compressed, and later readers prune its columns.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()
@@ -65,20 +84,17 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``exemplar`` importable in Python workers (once per application).
 
-    Operators that run Python in tasks (mapInArrow, pandas UDFs) call this; the
-    package is zipped into the shared checkpoint folder and added with
-    ``addPyFile`` so executors fetch it from the driver.
+    Operators that run Python in tasks (mapInArrow, pandas UDFs) call this.  The
+    package is zipped into a temporary file of the driver and handed to
+    ``addPyFile``, so executors fetch it from the driver whatever file system
+    the shared folder is on.
     """
-    import zipfile
-
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
     pkg_root = os.path.dirname(os.path.abspath(__file__))
-    target_dir = os.path.join(checkpoint_dir(spark), f"pyfiles-{app}")
-    os.makedirs(target_dir, exist_ok=True)
-    target = os.path.join(target_dir, "exemplar.zip")
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="exemplar-ship-")), "exemplar.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
         for base, _dirs, files in os.walk(pkg_root):
             for f in files:
