@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat, secrets, topk, toxicity
+from . import chat, licenses, secrets, topk, toxicity
 from .queries_sql import SQL  # noqa: F401
 
 #: Two rows added to the conversations: texts that hold other templates' markers.
@@ -40,9 +40,26 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    labels = lambda *cols: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(c)["label"] for c in cols])))), ",")
+    scores = F.concat(F.col("base")["score"], F.col("detections")["score"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.col("base")["first_word"]).alias("first_word"),
+        F.array_max(F.col("base")["first_word"]).alias("last_word"),
+        labels("base").alias("base_labels"),
+        labels("base", "detections").alias("labels"),
+        F.coalesce(F.array_max(scores), F.lit(0.0)).alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op5_chat_format": op5_chat_format,
     "op8_secret_scan": op8_secret_scan,
+    "op9_license_scan": op9_license_scan,
     "op10_exact_topk": op10_exact_topk,
 }
