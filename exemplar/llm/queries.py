@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat, licenses, secrets, topk, toxicity
+from . import chat, decontaminate, licenses, secrets, topk, toxicity
 from .queries_sql import SQL  # noqa: F401
 
 #: Two rows added to the conversations: texts that hold other templates' markers.
@@ -56,9 +56,14 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op5_chat_format": op5_chat_format,
+    "op7_decontaminate": op7_decontaminate,
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_exact_topk": op10_exact_topk,

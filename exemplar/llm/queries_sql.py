@@ -43,3 +43,20 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 ) WHERE rank <= 5
 """
+
+SQL["op7_decontaminate"] = r"""
+WITH t AS (
+  SELECT doc_id AS id, FALSE AS item, text FROM documents UNION ALL SELECT item_id, TRUE, text FROM benchmark
+), w AS (
+  SELECT id, item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM t
+), s AS (
+  SELECT DISTINCT id, item, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM w WHERE len(w) >= 5
+), n AS (
+  SELECT id AS item_id, count(*) AS n FROM s WHERE item GROUP BY id
+), b AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS k FROM s d JOIN s i ON d.s = i.s AND i.item AND NOT d.item GROUP BY ALL
+)
+SELECT doc_id, item_id, n::BIGINT AS n_shingles, k::BIGINT AS n_shared, k::DOUBLE / n AS containment
+FROM b JOIN n USING (item_id) WHERE 10 * k >= 8 * n
+"""
