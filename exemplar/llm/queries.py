@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat, decontaminate, licenses, secrets, topk, toxicity
+from . import chat, decontaminate, htmltext, licenses, secrets, topk, toxicity
 from .queries_sql import SQL  # noqa: F401
 
 #: Two rows added to the conversations: texts that hold other templates' markers.
@@ -60,8 +60,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
+    "op4_html_extraction": op4_html_extraction,
     "op5_chat_format": op5_chat_format,
     "op7_decontaminate": op7_decontaminate,
     "op8_secret_scan": op8_secret_scan,
