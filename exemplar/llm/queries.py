@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ..sources.tables import table
-from . import bpe, chat, decontaminate, htmltext, licenses, secrets, topk, toxicity
+from . import bpe, chat, decontaminate, htmltext, licenses, records, secrets, topk, toxicity
 from .queries_sql import SQL  # noqa: F401
 
 #: Two rows added to the conversations: texts that hold other templates' markers.
@@ -86,11 +87,20 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-records")
+    records.write(table(spark, sf_dir, "documents"), path, tokenizer_content(), end_id=0)
+    return records.read(spark, path).select(
+        "doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_toxicity": op3_toxicity,
     "op4_html_extraction": op4_html_extraction,
     "op5_chat_format": op5_chat_format,
+    "op6_token_records": op6_token_records,
     "op7_decontaminate": op7_decontaminate,
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
