@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package, written
@@ -500,3 +500,45 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     of_class = named.join(lowest, "label").select("class", "component_id")
     out = profiles.join(of_class, "class", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _marked(n: int, names: list[str]) -> Callable:
+    """Adds ``key``: the class and doc_id of a row; rows with an empty set get keys of their own.
+
+    Of rows with equal keys (repeated rows) the first of a batch goes on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for b in batches:
+            for first, data, offsets in bw.slices(b.column("text")):
+                sets = Sets(data, offsets, n)
+                part = b.slice(first, len(sets.size))
+                prints = _bytes16(sets.fingerprints()).to_pylist()
+                keys: dict[str, int] = {}
+                for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                    number += 1
+                    keys.setdefault(f"{prints[i].hex()}:{'' if doc_id is None else doc_id}" if sets.size[i] else f"blank {number}", i)
+                rows = part.take(pa.array(list(keys.values()), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(list(keys), pa.string())], names=[*names, "_jaccard_key"])
+
+    return run
+
+
+def representatives(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """``docs`` with one row of each component: of its smallest doc_id, and of its repeated rows one.
+
+    Rows with an empty set all stay.
+    """
+    profiles, links = classes(docs, n, num, den)
+    labels = components(links)
+    firsts = profiles.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))
+    named = firsts.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    # nulls last, so a component keeps a row with an id if it has one
+    best = named.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "class")).alias("k"))
+    key = F.concat(F.lower(F.hex("k.class")), F.lit(":"), F.coalesce(F.col("k.first").cast("string"), F.lit("")))
+    chosen = best.select(key.alias("_jaccard_key"), F.lit(True).alias("_jaccard_chosen"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    marked = docs.mapInArrow(_marked(n, docs.columns), ", ".join([*fields, "_jaccard_key string"]))
+    kept = marked.join(chosen, "_jaccard_key", "left").where(F.col("_jaccard_chosen") | F.col("_jaccard_key").startswith("blank "))
+    return kept.dropDuplicates(["_jaccard_key"]).select(*[f"`{c}`" for c in docs.columns])

@@ -165,12 +165,18 @@ def _bin(p: Column) -> Column:
 
 
 def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns and ``spans``: array of (start, end, kind, value) by start, then kind as listed.
+    """``carry`` columns and ``spans``: array of (start, end, kind, value) by start, then kind as listed."""
+    return _scan(docs, carry).select("_row.*", "spans")
 
-    ``docs`` has a ``text`` column.  The hits are written to the shared folder once,
-    because the false-discovery threshold needs all candidates before any is decided.
+
+def _scan(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """``_row`` (struct of the carried columns, whatever their names) and ``spans``.
+
+    The hits are written to the shared folder once, because the false-discovery
+    threshold needs all candidates before any is decided.
     """
-    df = docs.select(*carry, F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    row = F.struct(*[docs[f"`{c}`"] for c in carry]).alias("_row")
+    df = docs.select(row, F.coalesce(docs["text"], F.lit("")).alias("text"))
     for kind, pattern, least, group in BASE:
         keep = _long_enough(pattern, least, group)
         df = _spans(df, kind, FASTER.get(kind, pattern), keep)
@@ -184,9 +190,7 @@ def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
             lambda s, i: F.struct(s["start"], s["end"], s["kind"], s["value"], _battery(F.get("_symbols", i)).alias("test")),
         ),
     )
-    if "text" not in carry:
-        df = df.drop("text")
-    hits = written(df.drop("_symbols"), "secret-hits")
+    hits = written(df.drop("_symbols", "text"), "secret-hits")
 
     # Benjamini-Hochberg from counts: the largest bin whose candidates up to it satisfy p <= rate * rank / total
     tests = hits.select(F.explode("random").alias("r")).select("r.test.*").where("n > 1")
@@ -211,7 +215,7 @@ def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     order = lambda a: F.transform(a, lambda s: F.struct(s["start"], F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["end"], s["kind"], s["value"]))
     every = F.array_sort(F.concat(*[order(F.col(k)) for k in KINDS[:3]], order(random)))
     plain = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))
-    return df.select(*carry, F.transform(every, plain).alias("spans"))
+    return df.select("_row", F.transform(every, plain).alias("spans"))
 
 
 def _told(spans: Column) -> Column:
@@ -229,28 +233,30 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span (overlapping ones merged) replaced by ``mark``; a null text without spans stays null."""
-    columns = docs.columns
-    found = scan(docs, tuple(columns))
-    # starts of merged spans: those that begin at or after the largest end before them
+    found = _scan(docs, tuple(docs.columns)).withColumn("text", F.col("_row")["text"])
     spans = F.col("spans")
-    ends = F.transform(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: F.array_max(F.transform(F.slice(spans, 1, i + 1), lambda s: s["end"])))
-    df = found.withColumn("_ends", F.when(F.size(spans) > 0, ends))
+    some = F.size(spans) > 0
+    # ends so far, and the spans that begin at or after all ends before them
+    ends = F.aggregate(
+        spans,
+        F.array().cast("array<int>"),
+        lambda acc, s: F.array_append(acc, F.greatest(s["end"], F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))),
+    )
+    df = found.withColumn("_ends", F.when(some, ends))
     heads = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get("_ends", i - 1)))
-    df = df.withColumn("_heads", F.when(F.size(spans) > 0, heads))
+    df = df.withColumn("_heads", F.when(some, heads))
+    before = lambda h, k: F.when(k == 0, 0).otherwise(F.get("_ends", h - 1))
     pieces = F.transform(
-        "_heads",
-        lambda h, k: F.concat(
-            F.substring(
-                F.col("text"),
-                F.when(k == 0, 1).otherwise(F.get("_ends", h - 1) + 1),
-                F.get(spans, h)["start"] - F.when(k == 0, 0).otherwise(F.get("_ends", h - 1)),
-            ),
-            F.lit(mark),
-        ),
+        "_heads", lambda h, k: F.concat(F.substring("text", before(h, k) + 1, F.get(spans, h)["start"] - before(h, k)), F.lit(mark))
     )
     rest = F.substr(F.col("text"), F.element_at("_ends", -1) + 1)
-    text = F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text"))
-    df = df.withColumn("text", text)
-    if "n_chars" in columns:
-        df = df.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return df.select(*columns)
+    df = df.withColumn("_new", F.when(some, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text")))
+    out = []
+    for c in docs.columns:
+        old = F.col(f"_row.`{c}`")
+        if c == "text":
+            old = F.col("_new")
+        elif c == "n_chars":
+            old = F.when(some, F.char_length("_new").cast("long")).otherwise(old)
+        out.append(old.alias(c))
+    return df.select(*out)

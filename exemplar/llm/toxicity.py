@@ -197,7 +197,9 @@ def _features(model: Model, n: int, s: np.ndarray) -> list[float]:
     return [float(-np.log(np.maximum(p, 1e-300)).sum()), float(s.sum()), math.log1p(n)]
 
 
-def _scorer(model: Model, raw: bool = False, carry: tuple[str, ...] = ()):
+def _scorer(model: Model, raw: bool = False, carry: tuple[str, ...] = (), below: float | None = None):
+    """Rows scored; ``raw``: what calibration needs; ``below``: the batches' own rows with a lower score."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << 20, bool)
         table[(model.tokens & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -243,6 +245,9 @@ def _scorer(model: Model, raw: bool = False, carry: tuple[str, ...] = ()):
                 p = 1 / (1 + np.exp(-np.clip(t, -30, 30)))
             else:
                 p = np.full(n_rows, model.base)
+            if below is not None:
+                yield b.filter(pa.array(p < below))
+                continue
             cols = [b.column(c) for c in carry]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(p), pa.array(passages, _PASSAGES)], names=[*carry, "score", "passages"]
@@ -262,3 +267,9 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -
     fields = [f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in carry]
     schema = ", ".join([*fields, "score double", "passages array<struct<first_word:bigint,end_word:bigint,score:double,e_value:double>>"])
     return kept.mapInArrow(_scorer(model, carry=carry), schema)
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    ship_package(docs.sparkSession)
+    return docs.mapInArrow(_scorer(model, below=threshold), docs.schema)
