@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 
 SF = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, `a.b` string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, token string"
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
 
