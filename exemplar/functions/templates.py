@@ -63,7 +63,8 @@ def render(template: str, fields: Mapping[str, Column]) -> Column:
 def by_language(lang: Column, per_lang: Mapping[str, Column]) -> Column:
     expr = None
     for name, value in per_lang.items():
-        expr = F.when(lang == name, value) if expr is None else expr.when(lang == name, value)
+        same = F.lower(lang) == name.lower()
+        expr = F.when(same, value) if expr is None else expr.when(same, value)
     return expr
 
 

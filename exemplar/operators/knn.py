@@ -82,7 +82,9 @@ class _RunningTopK:
         self.metric = metric
         self.k = k
         self.q_raw = q_raw
-        self.q, self.q_sq = _prepare(q_raw, metric)
+        # distances do not change when all vectors move; near the origin the expanded formula keeps its digits
+        self.shift = q_raw.mean(axis=0) if metric == "euclidean" and len(q_raw) else 0.0
+        self.q, self.q_sq = _prepare(q_raw - self.shift, metric)
         n = q_raw.shape[0]
         self.best_s = np.full((n, k), -np.inf)
         self.best_i = np.full((n, k), NO_ID, dtype=np.int64)
@@ -96,7 +98,7 @@ class _RunningTopK:
             return
         if c_pos is None:
             c_pos = np.arange(c_raw.shape[0], dtype=np.int64)
-        c, c_sq = _prepare(c_raw, self.metric)
+        c, c_sq = _prepare(c_raw - self.shift, self.metric)
         step = max(1, _TILE_ELEMS // max(n, 1))
         for lo in range(0, c.shape[0], step):
             hi = min(lo + step, c.shape[0])
@@ -229,11 +231,12 @@ def dense_topk(
     broadcast_limit_bytes: int = DEFAULT_BROADCAST_LIMIT,
     block_bytes: int = DEFAULT_BLOCK_BYTES,
     carry: tuple[str, ...] | list[str] = (),
+    dim: int | None = None,
 ) -> DataFrame:
     """Top-k corpus rows per query: (query_id, rank, example_id, score).
 
     ``rank`` starts at 1; a query gets min(k, corpus size) rows.  Vectors whose
-    length differs from the query dimension are not scored (see V6).
+    length is not ``dim`` (by default that of the corpus) are not scored (see V6).
     ``carry`` names small corpus columns (features) passed through the scan
     next to each hit, so no join back to the corpus is needed for them.
     """
@@ -242,10 +245,12 @@ def dense_topk(
         raise ValueError("k must be >= 1")
     ship_package(queries.sparkSession)
     q_type = queries.schema[query_id].dataType
-    stats = queries.select(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vector)).alias("d")).first()
-    n_q, dim = int(stats["n"]), int(stats["d"] or 0)
+    n_q = queries.count()
+    if dim is None:
+        first = corpus.select(F.size(corpus_vector).alias("d")).where("d > 0").first()
+        dim = int(first["d"]) if first else 0
     if n_q == 0 or dim <= 0:
-        return _empty_result(queries, q_type)
+        return _empty_result(queries, q_type, query_id, corpus, carry)
     q_bytes = n_q * (dim * 8 + 16)
     if strategy == "auto":
         strategy = "broadcast" if q_bytes <= broadcast_limit_bytes else "blocked"
@@ -271,13 +276,14 @@ def dense_topk(
     return out
 
 
-def _empty_result(queries: DataFrame, q_type) -> DataFrame:
+def _empty_result(queries: DataFrame, q_type, query_id: str, corpus: DataFrame, carry) -> DataFrame:
     schema = T.StructType(
         [
-            T.StructField("query_id", q_type),
+            T.StructField(query_id, q_type),
             T.StructField("rank", T.IntegerType()),
             T.StructField("example_id", T.LongType()),
             T.StructField("score", T.DoubleType()),
+            *[T.StructField(c, corpus.schema[c].dataType) for c in carry],
         ]
     )
     return queries.sparkSession.createDataFrame([], schema)

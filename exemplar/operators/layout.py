@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 
 SPREAD_LIMIT_BYTES = 256 << 20
-TARGET_PARTITION_BYTES = 128 << 20
 
 
 _UNKNOWN = (1 << 63) - 1
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df`` (file sizes for scans), read
-    from the plan without running it; None when the optimizer does not know."""
+    """The bytes that ``df`` reads: the sum over the leaves of its plan (file
+    sizes for scans), without running it; None when one is unknown.  Not the
+    estimate of the whole plan, which after a join is a product."""
     try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:
         return None
     return None if size >= _UNKNOWN else size
@@ -56,65 +57,52 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 def ordinal(df: DataFrame, order_by: list[str], within: list[str] | None = None, name: str = "ordinal") -> DataFrame:
     """0-based position of each row in ``order_by`` order, restarting for each
-    ``within`` group (W6: task_id).
+    ``within`` group (W6: task_id); null group keys form a group.
 
-    Inputs whose estimated size is small use one ``row_number`` window.
-    Larger (or unknown) inputs use the distributed form below.
-
-    Distributed: rows are range-partitioned and sorted on (within, order_by),
-    each task numbers its rows per group, and the per-(partition, group) row
-    counts (a table of partitions x groups, collected once) give each
-    partition's offset.  A large group is spread over many partitions instead
-    of going through one window task.
+    Rows are range-partitioned and sorted on (within, order_by) and numbered per
+    group inside each task, so a large group is spread over many tasks; what
+    lies before a task follows from one count per (partition, group).  The
+    numbered rows are written to the shared folder first: both the counts and
+    the result read the same numbering, whatever ties ``order_by`` leaves.
     """
     import pyarrow as pa
-
     from pyspark.sql import Window
+    from pyspark.sql import types as T
+
+    from ..session import written
 
     within = list(within or [])
     keys = within + list(order_by)
-    spark = df.sparkSession
-    size = estimated_bytes(df)
-    if size is not None and size <= SPREAD_LIMIT_BYTES:
-        # a small input (size estimate checked): one window pass is enough
-        w = Window.partitionBy(*within).orderBy(*order_by) if within else Window.orderBy(*order_by)
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
-    n = max(spark.sparkContext.defaultParallelism, int(min(estimated_bytes(df) or 0, 1 << 50) // TARGET_PARTITION_BYTES))
-    s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    from pyspark.sql import types as T
-
+    s = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     schema = T.StructType(s.schema.fields + [T.StructField("_pid", T.IntegerType()), T.StructField("_local", T.LongType())])
 
     def number(batches):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        seen: dict = {}
+        group, n = None, 0
         for b in batches:
-            if within:
-                gk = list(zip(*[b.column(c).to_pylist() for c in within]))
-            else:
-                gk = [()] * b.num_rows
+            gk = list(zip(*[b.column(c).to_pylist() for c in within])) if within else [()] * b.num_rows
             local = []
-            for g in gk:
-                c = seen.get(g, 0)
-                local.append(c)
-                seen[g] = c + 1
+            for g in gk:  # sorted, so a group's rows follow each other
+                n = n + 1 if g == group else 0
+                group = g
+                local.append(n)
             yield pa.RecordBatch.from_arrays(
                 list(b.columns) + [pa.array([pid] * b.num_rows, pa.int32()), pa.array(local, pa.int64())],
                 names=list(b.schema.names) + ["_pid", "_local"],
             )
 
-    local = s.mapInArrow(number, schema)
-    counts = local.groupBy("_pid", *within).agg(F.count(F.lit(1)).alias("_n")).toArrow().to_pylist()
-    counts.sort(key=lambda r: r["_pid"])
-    running: dict = {}
-    offsets = []
-    for r in counts:
-        g = tuple(r[c] for c in within)
-        offsets.append({**{c: r[c] for c in within}, "_pid": r["_pid"], "_off": running.get(g, 0)})
-        running[g] = running.get(g, 0) + r["_n"]
-    off_schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in within] + ["_pid int", "_off long"])
-    off_df = spark.createDataFrame(offsets, off_schema)
-    j = local.join(F.broadcast(off_df), within + ["_pid"], "left")
-    return j.withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).drop("_pid", "_local", "_off")
+    local = written(s.mapInArrow(number, schema), "ordinal")
+    counts = local.groupBy("_pid", *within).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        F.col("_pid").alias("_opid"),
+        *[F.col(c).alias(f"_o_{c}") for c in within],
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+    )
+    on = F.col("_pid") == F.col("_opid")
+    for c in within:
+        on = on & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    j = local.join(offsets, on, "left")
+    return j.withColumn(name, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off", "_opid", *[f"_o_{c}" for c in within])

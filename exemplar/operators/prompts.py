@@ -88,7 +88,8 @@ def build_prompts(
     (prompt + suffix), ``messages`` and ``task_id`` (0-based position within
     its language, in ``ordinal_in`` order when that column exists, else by id).
 
-    ``contexts`` (id, retrieved_context) is left-joined by id (J2)."""
+    ``contexts`` (lang, id, retrieved_context) is left-joined by language and
+    id; without a ``lang`` column by id alone (J2)."""
     # task ordinal on the benchmark alone: cheap lineage, computed before joins
     order = "ordinal_in" if "ordinal_in" in bench.columns else "id"
     df = ordinal(bench, [order], ["lang"], name="task_id")
@@ -100,7 +101,11 @@ def build_prompts(
             "function_component",
             F.lit(None).cast("struct<argument_definitions:array<struct<definitions:array<string>>>>"),
         )
-    if contexts is not None:
+    if contexts is not None and "lang" in contexts.columns:
+        # default ids repeat across languages, so the language is part of the key (in any case)
+        ctx = contexts.select(F.lower("lang").alias("_lang"), F.col("id").alias("_id"), "retrieved_context")
+        df = df.join(ctx, (F.lower(df["lang"]) == F.col("_lang")) & (df["id"] == F.col("_id")), "left").drop("_lang", "_id")
+    elif contexts is not None:
         df = df.join(contexts.select("id", "retrieved_context"), "id", "left")
     elif "retrieved_context" not in df.columns:
         df = df.withColumn(
@@ -123,7 +128,7 @@ def build_prompts(
     std = TP.template_for(lang, mode, {**fields, "function_code": code_with_signature()})
     if instruct:
         rag = F.concat(F.lit(TP.RAG_OPEN), F.col("context"), F.lit(TP.RAG_CLOSE), std)
-        content = F.when(lang == "Rust", strip_rust_tests(F.col("file_content"))).otherwise(F.col("file_content"))
+        content = F.when(F.lower(lang) == "rust", strip_rust_tests(F.col("file_content"))).otherwise(F.col("file_content"))
         filed = F.concat(
             F.lit(TP.FILE_OPEN), F.coalesce(F.col("file_path"), F.lit("")), F.lit("\n"),
             F.coalesce(content, F.lit("")), F.lit(TP.FILE_CLOSE), std,
@@ -188,7 +193,7 @@ def documented_prompt(focal: Column, results: Column, instruction: str = DOC_INS
         results,
         lambda r, i: F.concat(
             F.lit("## Example "), (i + 1).cast("string"), F.lit(" (Similarity: "),
-            F.format_number(r["similarity_score"], 2), F.lit(")\n\n"),
+            F.format_string("%.2f", r["similarity_score"]), F.lit(")\n\n"),
             F.lit(f"### Focal Method:\n{fence}\n"), F.coalesce(r["example"]["focal_method"], F.lit("")),
             F.lit(f"\n{fence}\n\n### Unit Test:\n{fence}\n"), F.coalesce(r["example"]["unit_test"], F.lit("")),
             F.lit(f"\n{fence}\n\n"),

@@ -858,21 +858,24 @@ def q_clean_responses_go(spark, sf):
     return clean_responses(standins.responses(spark, sf, "go"), "go")
 
 
-_WORDS = "string_split_regex(lower(split_part(text, chr(10), 1)), '[^a-z]+')"
-_USES = (
-    "array_to_string(list_transform(list_filter(list_filter(" + _WORDS + ", lambda w, i: list_position(" + _WORDS
-    + ", w) = i), lambda w: w <> ''), lambda w: 'use crate::' || w || ';'), chr(10))"
-)
-_SRC = (
-    _USES + " || chr(10) || 'mod tests {' || chr(10) || '    use super::*;' || chr(10) || '}' || chr(10)"
-    " || 'fn body() {' || chr(10) || '    // ' || text || chr(10) || '}'"
-)
+_SRC = """
+  SELECT t.doc_id, coalesce(uses, '') || chr(10) || 'mod tests {' || chr(10) || '    use super::*;' || chr(10) || '}'
+    || chr(10) || 'fn body() {' || chr(10) || '    // ' || text || chr(10) || '}' AS src
+  FROM documents t LEFT JOIN (
+    SELECT doc_id, string_agg('use crate::' || w || ';', chr(10) ORDER BY p) AS uses FROM (
+      SELECT doc_id, w, min(p) AS p FROM (
+        SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p
+        FROM (SELECT doc_id, string_split_regex(lower(text), '[^a-z]+') AS ws FROM documents)
+      ) WHERE w <> '' GROUP BY ALL
+    ) GROUP BY doc_id
+  ) u ON u.doc_id = t.doc_id
+"""
 
 
-@register("import_context", f"SELECT doc_id, {O.rust_imports('src')} AS imports FROM (SELECT doc_id, {_SRC} AS src FROM documents)")
+@register("import_context", f"SELECT doc_id, {O.rust_imports('src')} AS imports FROM ({_SRC})")
 def q_import_context(spark, sf):
     """X5 over Rust files synthesised from every document: each distinct word
-    of the first line becomes a ``use`` line, the rest is the body."""
+    of the text becomes a ``use`` line, the text itself is the body."""
     from ..functions.text import import_context
 
     from ..operators.layout import spread
@@ -881,7 +884,7 @@ def q_import_context(spark, sf):
     uses = F.array_join(
         F.transform(
             F.filter(
-                F.array_distinct(F.split(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))), r"[^a-z]+")),
+                F.array_distinct(F.split(F.lower("text"), r"[^a-z]+")),
                 lambda w: w != "",
             ),
             lambda w: F.concat(F.lit("use crate::"), w, F.lit(";")),

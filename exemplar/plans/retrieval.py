@@ -128,7 +128,11 @@ def nest_context(flat: DataFrame, cases: DataFrame, embedder_name: str) -> DataF
         ).alias("extracted_features"),
     )
     g = flat.groupBy("query_id").agg(F.sort_array(F.collect_list(result)).alias("results"))
-    meta = cases.select(_qkey().alias("query_id"), "id", "lang", F.col("focal_code").alias("query_focal_method"))
+    # a case whose vector is unusable is reported, the others go on
+    status = F.col("embedding_status") if "embedding_status" in cases.columns else F.lit("ok")
+    meta = cases.select(
+        _qkey().alias("query_id"), "id", "lang", F.col("focal_code").alias("query_focal_method"), status.alias("_status")
+    )
     g = meta.join(g, "query_id", "left").withColumn(
         "results", F.coalesce(F.col("results"), F.array().cast(g.schema["results"].dataType))
     )
@@ -138,8 +142,8 @@ def nest_context(flat: DataFrame, cases: DataFrame, embedder_name: str) -> DataF
         F.lit(embedder_name).alias("embedder"),
         F.struct(
             F.col("query_focal_method").alias("focal_method"),
-            F.lit("success").alias("status"),
-            F.lit(None).cast("string").alias("error"),
+            F.when(F.col("_status") == "ok", "success").otherwise("error").alias("status"),
+            F.when(F.col("_status") != "ok", F.concat(F.lit("embedding: "), F.col("_status"))).alias("error"),
             "results",
         ).alias("retrieved_context"),
     )

@@ -26,7 +26,7 @@ def run_results(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("Total Samples"),
         (F.avg(1 - F.col("toxic")) * 100).alias("Compiled Rate (%)"),
         (F.avg(F.col("quality") * (1 - F.col("toxic"))) * 100).alias("Branch Coverage (%)"),
-        (F.avg(F.least(F.col("n_chars"), F.lit(10000))) / 100).alias("Line Coverage (%)"),
+        (F.avg("n_chars") / 100).alias("Line Coverage (%)"),
         (F.avg("quality") * 100).alias("Test Pass Rate (%)"),
         (F.avg(F.when(F.col("n_chars") > 1000, 1).otherwise(0)) * 100).alias("Invocation Rate (%)"),
     )
@@ -39,7 +39,7 @@ SELECT d.lang AS "Language",
        count(*) AS "Total Samples",
        avg(1 - l.toxic) * 100 AS "Compiled Rate (%)",
        avg(l.quality * (1 - l.toxic)) * 100 AS "Branch Coverage (%)",
-       avg(least(d.n_chars, 10000)) / 100 AS "Line Coverage (%)",
+       avg(d.n_chars) / 100 AS "Line Coverage (%)",
        avg(l.quality) * 100 AS "Test Pass Rate (%)",
        avg(CASE WHEN d.n_chars > 1000 THEN 1 ELSE 0 END) * 100 AS "Invocation Rate (%)"
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id

@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import decoded_path
+
 
 def audit_outputs(
     spark: SparkSession,
@@ -28,9 +31,12 @@ def audit_outputs(
     pattern = f"{root.rstrip('/')}/*/*/{file_name}" if file_name else f"{root.rstrip('/')}/embedder=*/lang=*/part-*"
     try:
         lines = spark.read.text(pattern).select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")
+            decoded_path().alias("path"), F.col("_metadata.file_size").alias("size")
         )
-    except Exception:  # nothing written at all
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        # nothing written at all
         return grid.select("model", "lang", F.lit(0).cast("long").alias("lines"), F.lit(0.0).alias("size_mb"), F.lit(False).alias("found"))
     parts = F.split("path", "/")
     strip = lambda c: F.regexp_replace(c, r"^(embedder|lang)=", "")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import file_position
+
 CORPUS_SCHEMA = T.StructType(
     [
         T.StructField("focal_method", T.StringType()),
@@ -43,10 +45,8 @@ def read_corpus(spark: SparkSession, path: str, max_examples: int = 0) -> DataFr
     except AnalysisException:  # missing file: an empty corpus, as in the original
         return spark.createDataFrame([], CORPUS_SCHEMA)
     if max_examples and max_examples > 0:
-        # A global line ordinal needs the partition sizes: zipWithIndex is the
-        # one place an RDD is used, and only when a limit is asked for.
-        indexed = lines.rdd.zipWithIndex().filter(lambda t: t[1] < max_examples).map(lambda t: (t[0][0],))
-        lines = spark.createDataFrame(indexed, "value string")
+        # file order is (path, split, row); the splits themselves are planned by size
+        lines = lines.select("value", *file_position()).orderBy("_file", "_block", "_row").limit(max_examples).select("value")
     return parse_corpus_lines(lines)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.compare import METRICS, MODES, TOTAL, metric_slug
+from .tables import decoded_path
 
 # Summary.json keys and the report headers they map to.
 SUMMARY_KEYS = (
@@ -45,7 +46,15 @@ def read_summaries(spark: SparkSession, base_dir: str, keep_corrupt: bool = Fals
     else:
         # malformed files are skipped, as the original skips unreadable ones
         reader = reader.schema(T.StructType(SUMMARY_SCHEMA.fields[:-1])).option("mode", "DROPMALFORMED")
-    raw = reader.json(f"{base_dir.rstrip('/')}/*/*/*/summary.json").withColumn("_path", F.col("_metadata.file_path"))
+    from pyspark.errors import AnalysisException
+
+    try:
+        raw = reader.json(f"{base_dir.rstrip('/')}/*/*/*/summary.json").withColumn("_path", decoded_path())
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        schema = SUMMARY_SCHEMA if keep_corrupt else T.StructType(SUMMARY_SCHEMA.fields[:-1])
+        raw = spark.createDataFrame([], schema).withColumn("_path", F.lit(None).cast("string"))
     parts = F.split(F.col("_path"), "/")
     df = raw.select(
         F.element_at(parts, -4).alias("Language"),

@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 
 from ..operators.responses import clean_responses
 from ..operators.stats import pending
+from ..sources.tables import decoded_path
 
-RAW_GLOB = "*.jsonl"
+RAW_GLOB = "*.{jsonl,json}"
 EXCLUDE = r"(^|/)(processed_[^/]*|detailed_results[^/]*)$"
 
 RESPONSE_SCHEMA = T.StructType(
@@ -28,6 +29,9 @@ RESPONSE_SCHEMA = T.StructType(
         T.StructField("task_id", T.LongType()),
         T.StructField("prompt", T.StringType()),
         T.StructField("response", T.ArrayType(T.StringType())),
+        T.StructField("generated", T.ArrayType(T.StringType())),
+        T.StructField("id", T.StringType()),
+        T.StructField("lang", T.StringType()),
         T.StructField("function_name", T.StringType()),
         T.StructField("file_path", T.StringType()),
     ]
@@ -89,14 +93,19 @@ def clean_new_files(
     schema: T.StructType = RESPONSE_SCHEMA,
 ):
     """Clean every raw answer file that arrived since the last run.
-    Returns the finished StreamingQuery."""
+    Returns the finished StreamingQuery.
+
+    Answers are in ``response`` or ``generated``; ``schema`` names further
+    fields to pass on."""
     stream = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", RAW_GLOB)
         .json(raw_dir)
-        .withColumn("source_file", F.col("_metadata.file_path"))
+        .withColumn("source_file", decoded_path())
         .where(~F.col("source_file").rlike(EXCLUDE))
     )
+    if {"response", "generated"} <= set(stream.columns):
+        stream = stream.withColumn("response", F.coalesce("response", "generated")).drop("generated")
     cleaned = clean_responses(stream, lang)
     q = (
         cleaned.writeStream.format("json")
