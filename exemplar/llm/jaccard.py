@@ -11,8 +11,8 @@ is exact over hashes and returns, per document, its set size and its component.
    n - ceil(num n / den) + 1 in any common order; the order is rarest first by the sketch, so
    passages that many documents share come last.  Shingles that the sketch shows to be
    unique are left out.  Entries travel as binary blocks to hash buckets, and only
-   shingles of two or more classes become rows; those that the sketch shows to be very
-   frequent skip the buckets.
+   those become rows that have a partner of a possible size and place in the order; shingles
+   that the sketch shows to be very frequent skip the buckets.
 3. Tiles of one shingle: pairs within the size ratio compare parity bitmaps (bit i is the
    parity of the elements hashed to i, about one bit an element).  Bits that differ count
    elements of one set only, so ``(|A| + |B| - differing bits) / 2`` bounds the overlap from
@@ -171,7 +171,10 @@ def _profiles(n: int) -> Callable:
     return run
 
 
-_POSTINGS = "bucket int, base long, tokens binary, items binary, class binary, size long, bitmap binary"
+_POSTINGS = "bucket int, base long, tokens binary, items binary, sizes binary, ranks binary, class binary, size long, bitmap binary"
+_POSTING_NAMES = [f.split()[0] for f in _POSTINGS.split(", ")]
+#: Shingle tiles of at most this many entries are pruned pair by pair in their bucket.
+FEW = 64
 
 
 def _postings(sketch, n: int, num: int, den: int, bucket_bits: int) -> Callable:
@@ -199,10 +202,14 @@ def _postings(sketch, n: int, num: int, den: int, bucket_bits: int) -> Callable:
                 rank = np.arange(len(doc)) - start[doc]
                 prefix = sets.size - -(-num * sets.size // den) + 1
                 use = (rank < prefix[doc]) & (count > 1)
+                # a place in the order, in 256ths of the set, rounded down
+                place = (rank[use] * 256 // sets.size[doc[use]]).astype(np.uint8)
+                size = sets.size[doc[use]].astype(np.uint32)
                 token, item, count = token[use], number[doc[use]], count[use]
                 bucket = np.where(count >= FREQUENT, -1, (token & np.uint64((1 << bucket_bits) - 1)).astype(np.int64))
                 order = np.argsort(bucket, kind="stable")
                 token, item, bucket = token[order], item[order].astype(np.uint32), bucket[order]
+                place, size = place[order], size[order]
                 cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
                 k = len(cut)
                 if k:
@@ -213,11 +220,13 @@ def _postings(sketch, n: int, num: int, den: int, bucket_bits: int) -> Callable:
                             pa.array(np.full(k, base), pa.int64()),
                             bw.binary_rows(token, ends),
                             bw.binary_rows(item, ends),
+                            bw.binary_rows(size, ends),
+                            bw.binary_rows(place, ends),
                             pa.nulls(k, pa.binary()),
                             pa.nulls(k, pa.int64()),
                             pa.nulls(k, pa.binary()),
                         ],
-                        names=["bucket", "base", "tokens", "items", "class", "size", "bitmap"],
+                        names=_POSTING_NAMES,
                     )
                 used = np.unique(item)
                 if len(used):
@@ -227,48 +236,72 @@ def _postings(sketch, n: int, num: int, den: int, bucket_bits: int) -> Callable:
                         [
                             pa.nulls(m, pa.int32()),
                             pa.array(base + used.astype(np.int64), pa.int64()),
-                            pa.nulls(m, pa.binary()),
-                            pa.nulls(m, pa.binary()),
+                            *[pa.nulls(m, pa.binary())] * 4,
                             _bytes16(prints[docs]),
                             pa.array(sets.size[docs], pa.int64()),
                             pa.array([bitmap(sets.of(i)).tobytes() for i in docs], pa.binary()),
                         ],
-                        names=["bucket", "base", "tokens", "items", "class", "size", "bitmap"],
+                        names=_POSTING_NAMES,
                     )
                 base += len(kept)
 
     return run
 
 
-def _shared_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket; (token, ref) of the shingles with two or more entries in their bucket, all of bucket -1."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    current = None
+def _paired(token: np.ndarray, size: np.ndarray, place: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Booleans over entries sorted by (token, size): has a partner that size and place allow.
 
-    def told() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        token = np.concatenate([t for t, _ in held])
-        ref = np.concatenate([r for _, r in held])
-        held.clear()
-        order = np.argsort(token, kind="stable")
-        token, ref = token[order], ref[order]
-        same = token[1:] == token[:-1]
-        several = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        yield pa.RecordBatch.from_arrays([pa.array(token[several].view(np.int64)), pa.array(ref[several])], names=["token", "ref"])
+    If the pair's first common shingle stands at places i and j, at most the rest of either set is
+    common; so a linked pair passes at its first common shingle, if nowhere else.
+    """
+    keep = np.zeros(len(token), bool)
+    start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    count = np.diff(np.append(start, len(token)))
+    rest = size - place.astype(np.int64) * size // 256
+    for m in np.unique(count[(count > 1) & (count <= FEW)]):
+        i, j = np.triu_indices(m, 1)
+        first = start[count == m][:, None]
+        x, y = first + i, first + j
+        ok = (den * size[x] >= num * size[y]) & ((num + den) * np.minimum(rest[x], rest[y]) >= num * (size[x] + size[y]))
+        keep[x[ok]] = keep[y[ok]] = True
+    many = np.repeat(count > FEW, count)
+    near = many[1:] & (token[1:] == token[:-1]) & (den * size[:-1] >= num * size[1:])
+    keep[1:] |= near
+    keep[:-1] |= near
+    return keep
+
+
+def _shared_entries(num: int, den: int) -> Callable:
+    """Rows sorted by bucket; (token, ref) of entries that have a possible partner in their bucket, all of bucket -1."""
 
-    for b in batches:
-        for bucket, base, tokens, items in zip(b.column("bucket").to_pylist(), b.column("base").to_pylist(), b.column("tokens"), b.column("items")):
-            token = np.frombuffer(tokens.as_py(), np.uint64)
-            ref = np.frombuffer(items.as_py(), np.uint32).astype(np.int64) + base
-            if bucket < 0:
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ref)], names=["token", "ref"])
-                continue
-            if bucket != current:
-                yield from told()
-                current = bucket
-            held.append((token, ref))
-    yield from told()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        current = None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            token, ref, size, place = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            order = np.lexsort((size, token))
+            token, ref = token[order], ref[order]
+            keep = _paired(token, size[order], place[order], num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(ref[keep])], names=["token", "ref"])
+
+        for b in batches:
+            for bucket, base, *parts in zip(*[b.column(c).to_pylist() for c in ("bucket", "base", "tokens", "items", "sizes", "ranks")]):
+                token, item, size, place = (np.frombuffer(x, t) for x, t in zip(parts, (np.uint64, np.uint32, np.uint32, np.uint8)))
+                ref = item.astype(np.int64) + base
+                if bucket < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ref)], names=["token", "ref"])
+                    continue
+                if bucket != current:
+                    yield from told()
+                    current = bucket
+                held.append((token, ref, size.astype(np.int64), place))
+        yield from told()
+
+    return run
 
 
 # -- tiles ----------------------------------------------------------------------------------------
@@ -465,10 +498,10 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Dat
     # about a thousand documents a bucket
     bucket_bits = max(4, min(20, (profiles.count() // 1000).bit_length()))
     entries = written(texts.mapInArrow(_postings(sketch, n, num, den, bucket_bits), _POSTINGS), "postings")
-    blocks = entries.where("bucket IS NOT NULL").select("bucket", "base", "tokens", "items")
+    blocks = entries.where("bucket IS NOT NULL").select("bucket", "base", "tokens", "items", "sizes", "ranks")
     # frequent shingles need no bucket, so their blocks are spread
     spread = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("base", "items"))
-    shared = blocks.repartition(spread).sortWithinPartitions("bucket").mapInArrow(_shared_entries, "token long, ref long")
+    shared = blocks.repartition(spread).sortWithinPartitions("bucket").mapInArrow(_shared_entries(num, den), "token long, ref long")
     owners = entries.where("bucket IS NULL").select(F.col("base").alias("ref"), "class", "size", "bitmap")
     rows = shared.join(owners, "ref").groupBy("token", "class").agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap"))
     rows = written(rows, "shared-shingles")
