@@ -13,8 +13,9 @@
    line of the main content stays: neighbours may be copies of one article, and
    differencing alone would then delete the article itself.
 
-Only line hashes are shuffled for the alignment, never the lines, so a hot host is spread
-over many partitions and copies of it cost a few bytes a line.
+Only line hashes are written and shuffled for the alignment, never the lines, so a hot host
+is spread over many partitions and copies of it cost a few bytes a line.  The pages are read
+twice: parsing again costs less than keeping the lines.
 
 Defined results: null or empty html gives an empty text; a null or odd URL has an empty
 host and its own text as path; equal URLs are neighbours in page_id order; repeated
@@ -219,25 +220,36 @@ def _lengths(a: list, b: list) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3)
+def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the alignment needs of each page: its place in URL order and the hashes of its lines."""
     for b in batches:
         for lo in range(0, b.num_rows, 256):
             part = b.slice(lo, 256)
-            cols: list[list] = [[] for _ in range(6)]
-            for url, page in zip(part.column("url"), part.column("html")):
-                lines = read_lines(page.as_py())
-                texts = [t for t, _ in lines]
-                raw = [t.encode() for t in texts]
-                data = np.frombuffer(b"".join(raw), np.uint8)
-                ends = np.cumsum([len(r) for r in raw], dtype=np.int64) if raw else np.zeros(0, np.int64)
-                starts = ends - np.array([len(r) for r in raw], dtype=np.int64)
-                hashes = bw.span_hashes(bw.prefix_sums(bw.BYTE_CODES[data]), starts, ends)
-                for c, v in zip(cols, (*split_url(url.as_py()), hashes.tobytes(), bytes(z for _, z in lines), pack.compress("\n".join(texts).encode()), None)):
-                    c.append(v)
+            hashes, urls = [], [split_url(u) for u in part.column("url").to_pylist()]
+            for page in part.column("html"):
+                raw = [t.encode() for t, _ in read_lines(page.as_py())]
+                size = np.array([len(r) for r in raw], dtype=np.int64)
+                ends = np.cumsum(size)
+                sums = bw.prefix_sums(bw.BYTE_CODES[np.frombuffer(b"".join(raw), np.uint8)])
+                hashes.append(bw.span_hashes(sums, ends - size, ends).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), *[pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary()))]],
-                names=["page_id", "url", "host", "path", "hashes", "zones", "body"],
+                [part.column("uid"), part.column("page_id"), *[pa.array([u[i] for u in urls], pa.string()) for i in (0, 1)], pa.array(hashes, pa.binary())],
+                names=["uid", "page_id", "host", "path", "hashes"],
+            )
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines' zones, and the lines that may be kept, compressed for the shuffle to the alignment's result."""
+    pack = zstandard.ZstdCompressor(level=6)
+    for b in batches:
+        for lo in range(0, b.num_rows, 256):
+            part = b.slice(lo, 256)
+            lines = [read_lines(page.as_py()) for page in part.column("html")]
+            zones = [bytes(z for _, z in page) for page in lines]
+            kept = [pack.compress("\n".join(t for t, z in page if z != FURNITURE).encode()) for page in lines]
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c) for c in ("uid", "page_id", "url")], pa.array(zones, pa.binary()), pa.array(kept, pa.binary())],
+                names=["uid", "page_id", "url", "zones", "body"],
             )
 
 
@@ -297,11 +309,12 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         texts, gone = [], []
         for zones, body, shared in zip(b.column("zones"), b.column("body"), b.column("shared")):
-            lines = unpack.decompress(body.as_py()).decode().split("\n") if len(zones.as_py()) else []
+            places = [i for i, z in enumerate(zones.as_py()) if z != FURNITURE]
+            lines = unpack.decompress(body.as_py()).decode().split("\n") if places else []
             cut = set(shared.as_py() or ())
-            kept = [t for i, (t, z) in enumerate(zip(lines, zones.as_py())) if z == MAIN or (z == NEITHER and i not in cut)]
+            kept = [t for i, t in zip(places, lines) if i not in cut or zones.as_py()[i] == MAIN]
             texts.append(" ".join(kept))
-            gone.append(len(lines) - len(kept))
+            gone.append(len(zones.as_py()) - len(kept))
         yield pa.RecordBatch.from_arrays(
             [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(gone, pa.int64())],
             names=["page_id", "url", "text", "lines_cut"],
@@ -313,13 +326,13 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     ship_package(spark)
     kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = pages.select("page_id", "url", "html").mapInArrow(
-        _parse, f"page_id {kind}, url string, host string, path string, hashes binary, zones binary, body binary"
+    # a key that a second reading of the pages gives again; equal rows share it and what they share with neighbours
+    keyed = pages.select(F.xxhash64("page_id", "url", "html").alias("uid"), "page_id", "url", "html")
+    skeletons = written(
+        keyed.mapInArrow(_skeletons, f"uid long, page_id {kind}, host string, path string, hashes binary"), "page-skeletons"
     )
-    parsed = written(parsed.withColumn("uid", F.monotonically_increasing_id()), "page-lines")
     ordered = (
-        parsed.select("host", "path", "page_id", "uid", "hashes")
-        .repartitionByRange("host", "path", "page_id", "uid")
+        skeletons.repartitionByRange("host", "path", "page_id", "uid")
         .sortWithinPartitions("host", "path", "page_id", "uid")
         .select("uid", "host", "hashes", F.spark_partition_id().alias("part"))
     )
@@ -335,7 +348,8 @@ def extract(pages: DataFrame) -> DataFrame:
     )
     shared = aligned.select("uid", "shared").unionByName(edges).where(F.size("shared") > 0)
     shared = shared.groupBy("uid").agg(F.flatten(F.collect_list("shared")).alias("shared"))
-    joined = parsed.select("uid", "page_id", "url", "zones", "body").join(shared, "uid", "left")
+    bodies = keyed.mapInArrow(_bodies, f"uid long, page_id {kind}, url string, zones binary, body binary")
+    joined = bodies.join(shared, "uid", "left")
     return joined.select("page_id", "url", "zones", "body", "shared").mapInArrow(
         _assemble, f"page_id {kind}, url string, text string, lines_cut long"
     )
