@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .memo import cached_column
+from .vectors import bind
 
 # Patterns (Java regex).
 _STRING = r'"(?:\\.|[^"\\])*"'
@@ -64,35 +65,48 @@ def _line_features(text: Column, **flags) -> Column:
     )
 
 
-_SEG = "struct<depth:int,pos:int,text:string,attr:boolean>"
+_SEG = "struct<depth:int,pos:int,stop:int,attr:boolean>"
 _EMPTY = "array<string>"
+#: "No open segment": depths themselves may fall below 0 in broken texts.
+NO_DEPTH = -(1 << 30)
+#: A line that ends a declaration without a body.
+_SEMI_END = r";\s*$"
+#: Attributes in front of an item on its own line.
+_ATTRS_BEFORE = r"^\s*(?:#\[[^\]]*\]\s*)+"
 
 
 def brace_segments(text, header: str, top_level_only: bool = False) -> Column:
     """Segments that start at a line matching ``header`` (outside any open
-    segment) and end on the line where the depth comes back to the header's
-    depth after a '{' was seen.  Each segment records its depth, start line,
-    text (first line left-trimmed) and whether a ``#[test]`` attribute line
-    came right before it (blank lines allowed in between).  Unclosed
-    segments are dropped."""
+    segment; attributes may stand before it on the line) and end on the line
+    where the depth comes back to the header's depth after a '{' was seen.  Each
+    segment records its depth, start line, text (first line without indent and
+    attributes) and whether a ``#[test]`` attribute stands right before it (on
+    its line, or on a line of its own with blank lines allowed in between).
+    Declarations without a body (``;`` before any '{') are no segments, and
+    unclosed ones are dropped.
+
+    The fold carries line numbers only; the text is cut once per segment, so the
+    work is linear in the lines."""
     feats = _line_features(
         _c(text),
-        hdr=lambda l, c: l.rlike(header),
+        hdr=lambda l, c: F.regexp_replace(l, _ATTRS_BEFORE, "").rlike(header),
+        own_attr=lambda l, c: F.regexp_extract(l, _ATTRS_BEFORE, 0).contains("#[test]"),
         is_attr=lambda l, c: F.trim(l) == "#[test]",
         blank=lambda l, c: F.trim(l) == "",
+        semi=lambda l, c: c.rlike(_SEMI_END),
     )
     init = F.struct(
         F.lit(0).alias("depth"),
-        F.lit(-1).alias("start"),
+        F.lit(NO_DEPTH).alias("start"),
+        F.lit(0).alias("first"),
         F.lit(False).alias("opened"),
         F.lit(False).alias("attr"),
         F.lit(False).alias("seg_attr"),
-        F.array().cast(_EMPTY).alias("cur"),
         F.array().cast(f"array<{_SEG}>").alias("segs"),
     )
 
     def step(s, it):
-        in_seg = s["start"] >= 0
+        in_seg = s["start"] > NO_DEPTH
         is_header = it["hdr"] & (s["depth"] == 0) if top_level_only else it["hdr"]
         starts = ~in_seg & is_header
         active = in_seg | starts
@@ -100,27 +114,33 @@ def brace_segments(text, header: str, top_level_only: bool = False) -> Column:
         opened = (in_seg & s["opened"]) | (it["opens"] > 0)
         seg_start = F.when(in_seg, s["start"]).otherwise(s["depth"])
         closes = active & opened & (new_depth <= seg_start)
-        piece = F.when(starts, F.ltrim(it["line"])).otherwise(it["line"])
-        cur = F.concat(F.when(starts, F.array().cast(_EMPTY)).otherwise(s["cur"]), F.array(piece))
-        seg_attr = F.when(starts, s["attr"]).otherwise(s["seg_attr"])
-        done = F.struct(
-            seg_start.alias("depth"),
-            (it["pos"] - F.size(cur) + 1).alias("pos"),
-            F.array_join(cur, "\n").alias("text"),
-            seg_attr.alias("attr"),
-        )
-        keep_open = active & ~closes
+        bodiless = active & ~opened & it["semi"]
+        first = F.when(starts, it["pos"]).otherwise(s["first"])
+        seg_attr = F.when(starts, s["attr"] | it["own_attr"]).otherwise(s["seg_attr"])
+        done = F.struct(seg_start.alias("depth"), first.alias("pos"), it["pos"].alias("stop"), seg_attr.alias("attr"))
+        keep_open = active & ~closes & ~bodiless
         return F.struct(
             new_depth.alias("depth"),
-            F.when(keep_open, seg_start).otherwise(F.lit(-1)).alias("start"),
+            F.when(keep_open, seg_start).otherwise(F.lit(NO_DEPTH)).alias("start"),
+            first.alias("first"),
             (keep_open & opened).alias("opened"),
             (~active & (it["is_attr"] | (it["blank"] & s["attr"]))).alias("attr"),
             (keep_open & seg_attr).alias("seg_attr"),
-            F.when(keep_open, cur).otherwise(F.array().cast(_EMPTY)).alias("cur"),
             F.when(closes, F.concat(s["segs"], F.array(done))).otherwise(s["segs"]).alias("segs"),
         )
 
-    return F.aggregate(feats, init, step, lambda s: s["segs"])
+    folded = F.struct(_lines(_c(text)).alias("lines"), F.aggregate(feats, init, step, lambda s: s["segs"]).alias("segs"))
+
+    def cut(x):
+        def one(g):
+            head = F.ltrim(F.regexp_replace(F.get(x["lines"], g["pos"]), _ATTRS_BEFORE, ""))
+            rest = F.slice(x["lines"], g["pos"] + 2, g["stop"] - g["pos"])
+            body = F.array_join(F.concat(F.array(head), rest), "\n")
+            return F.struct(g["depth"].alias("depth"), g["pos"].alias("pos"), body.alias("text"), g["attr"].alias("attr"))
+
+        return F.transform(x["segs"], one)
+
+    return bind(folded, cut)
 
 
 def _by_depth_then_pos(segs: Column) -> Column:
@@ -274,12 +294,25 @@ def import_context(lang: Column, text) -> Column:
 # ------------------------------------------------------- X6 strip tests --
 
 
+#: Comments that mention test or assert, and (group 1) what may hold their marks and stays: strings and other comments.
+_TEST_COMMENTS = (
+    r"//[^\n]*?(?:test|assert)[^\n]*"
+    r"|/\*(?:[^*]*\*+[^*/])*?[^*]*?(?:test|assert)[^*]*(?:\*+[^*/][^*]*)*\*+/"
+    r"|(\"(?:\\.|[^\"\\])*\"|//[^\n]*|/\*[^*]*\*+(?:[^*/][^*]*\*+)*/)"
+)
+
+
 @cached_column
 def strip_rust_tests(text) -> Column:
     """X6 (intent of the original): drop ``mod`` items whose name contains
     ``test``, functions whose body contains ``assert``, ``#[test]`` and
-    ``#[cfg(test)]`` attribute lines, and ``//`` comment lines that mention
-    test or assert.  Everything else is kept line for line."""
+    ``#[cfg(test)]`` attribute lines, and comments that mention test or assert
+    (a line of nothing but such a ``//`` comment goes whole).  Everything else is
+    kept line for line: signatures without a body are no functions, and an
+    unclosed function is kept.
+
+    The fold carries line numbers of what is dropped; the kept lines are picked
+    once, so the work is linear in the lines."""
     def drop(l, c):
         t = F.trim(l)
         d = F.lit(False)
@@ -291,53 +324,67 @@ def strip_rust_tests(text) -> Column:
         _c(text),
         mod_hdr=lambda l, c: l.rlike(RUST_TEST_MOD),
         fn_hdr=lambda l, c: l.rlike(RUST_FN),
-        semi=lambda l, c: F.instr(l, ";") > 0,
+        semi=lambda l, c: c.rlike(_SEMI_END),
         asserts=lambda l, c: F.instr(l, "assert") > 0,
+        body_asserts=lambda l, c: F.instr(F.regexp_extract(l, r"\{(.*)$", 1), "assert") > 0,
         drop=drop,
     )
-    empty = F.array().cast(_EMPTY)
     init = F.struct(
         F.lit(0).alias("depth"),
-        F.lit(-1).alias("skip"),
-        F.lit(-1).alias("fn_depth"),
+        F.lit(NO_DEPTH).alias("skip"),
+        F.lit(NO_DEPTH).alias("fn_depth"),
+        F.lit(0).alias("first"),
         F.lit(False).alias("opened"),
         F.lit(False).alias("fn_assert"),
-        F.array().cast(_EMPTY).alias("buf"),
-        F.array().cast(_EMPTY).alias("out"),
+        F.array().cast("array<struct<a:int,b:int>>").alias("gone"),
     )
 
     def step(s, it):
-        line = it["line"]
         nd = s["depth"] + it["delta"]
-        skipping = s["skip"] >= 0
-        in_fn = s["fn_depth"] >= 0
+        skipping = s["skip"] > NO_DEPTH
+        in_fn = s["fn_depth"] > NO_DEPTH
         free = ~skipping & ~in_fn
         mod_hdr = free & it["mod_hdr"]
         fn_hdr = free & ~it["mod_hdr"] & it["fn_hdr"]
-        opened = ((skipping | in_fn) & s["opened"]) | (it["opens"] > 0)
+        was_open = (skipping | in_fn) & s["opened"]
+        opened = was_open | (it["opens"] > 0)
         in_skip = skipping | mod_hdr
         skip_at = F.when(skipping, s["skip"]).otherwise(s["depth"])
         # a test mod is skipped until its block closes; `mod x;` is one line
         skip_done = in_skip & ((opened & (nd <= skip_at)) | (mod_hdr & (it["opens"] == 0) & it["semi"]))
         in_f = in_fn | fn_hdr
         fn_at = F.when(in_fn, s["fn_depth"]).otherwise(s["depth"])
-        buf = F.concat(F.when(fn_hdr, empty).otherwise(s["buf"]), F.array(line))
-        fn_assert = (in_fn & s["fn_assert"]) | it["asserts"]
+        first = F.when(fn_hdr, it["pos"]).otherwise(s["first"])
+        # only what follows the opening brace is the body
+        fn_assert = (in_fn & s["fn_assert"]) | F.when(was_open, it["asserts"]).otherwise((it["opens"] > 0) & it["body_asserts"])
         fn_done = in_f & opened & (nd <= fn_at)
-        out = (
-            F.when(in_skip, s["out"])
-            .when(in_f, F.when(fn_done & ~fn_assert, F.concat(s["out"], buf)).otherwise(s["out"]))
-            .when(it["drop"], s["out"])
-            .otherwise(F.concat(s["out"], F.array(line)))
+        over = fn_done | (in_f & ~opened & it["semi"])
+        line = F.struct(it["pos"].alias("a"), it["pos"].alias("b"))
+        cut = (
+            F.when(in_skip, line)
+            .when(fn_done & fn_assert, F.struct(first.alias("a"), it["pos"].alias("b")))
+            .when(~in_f & it["drop"], line)
         )
         return F.struct(
             nd.alias("depth"),
-            F.when(in_skip & ~skip_done, skip_at).otherwise(F.lit(-1)).alias("skip"),
-            F.when(in_f & ~fn_done, fn_at).otherwise(F.lit(-1)).alias("fn_depth"),
-            (((in_skip & ~skip_done) | (in_f & ~fn_done)) & opened).alias("opened"),
-            (in_f & ~fn_done & fn_assert).alias("fn_assert"),
-            F.when(in_f & ~fn_done, buf).otherwise(empty).alias("buf"),
-            out.alias("out"),
+            F.when(in_skip & ~skip_done, skip_at).otherwise(F.lit(NO_DEPTH)).alias("skip"),
+            F.when(in_f & ~over, fn_at).otherwise(F.lit(NO_DEPTH)).alias("fn_depth"),
+            first.alias("first"),
+            (((in_skip & ~skip_done) | (in_f & ~over)) & opened).alias("opened"),
+            (in_f & ~over & fn_assert).alias("fn_assert"),
+            F.when(cut.isNotNull(), F.array_append(s["gone"], cut)).otherwise(s["gone"]).alias("gone"),
         )
 
-    return F.aggregate(feats, init, step, lambda s: F.array_join(s["out"], "\n"))
+    folded = F.struct(_lines(_c(text)).alias("lines"), F.aggregate(feats, init, step, lambda s: s["gone"]).alias("gone"))
+
+    def pick(x):
+        # the stretches between what is gone; ``gone`` is in order and does not overlap
+        n = F.size(x["gone"])
+        stretch = lambda k: F.slice(
+            x["lines"],
+            F.coalesce(F.get(x["gone"], k - 1)["b"] + 2, F.lit(1)),
+            F.coalesce(F.get(x["gone"], k)["a"], F.size(x["lines"])) - F.coalesce(F.get(x["gone"], k - 1)["b"] + 1, F.lit(0)),
+        )
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), stretch)), "\n")
+
+    return F.regexp_replace(bind(folded, pick), _TEST_COMMENTS, "$1")

@@ -101,15 +101,22 @@ def _features(text: str, extra: dict[str, str]) -> str:
     return f"list_transform(string_split(coalesce({text}, ''), {_NL}), lambda l, i: {{{', '.join(fields)}}})"
 
 
-_SEG_T = "STRUCT(depth BIGINT, pos BIGINT, text VARCHAR, attr BOOLEAN)"
+_SEG_T = "STRUCT(depth BIGINT, pos BIGINT, stop BIGINT, attr BOOLEAN)"
 
 
 def brace_segments(text: str, header: str, top_level_only: bool = False) -> str:
+    bare = f"regexp_replace(l, {_lit(X._ATTRS_BEFORE)}, '')"
     feats = _features(
         text,
-        {"hdr": f"regexp_matches(l, {_lit(header)})", "is_attr": "trim(l) = '#[test]'", "blank": "trim(l) = ''"},
+        {
+            "hdr": f"regexp_matches({bare}, {_lit(header)})",
+            "own_attr": f"contains(regexp_extract(l, {_lit(X._ATTRS_BEFORE)}), '#[test]')",
+            "is_attr": "trim(l) = '#[test]'",
+            "blank": "trim(l) = ''",
+            "semi": f"regexp_matches({_clean('l')}, {_lit(X._SEMI_END)})",
+        },
     )
-    in_seg = "(s.start >= 0)"
+    in_seg = f"(s.start > {X.NO_DEPTH})"
     is_header = "(it.hdr AND s.depth = 0)" if top_level_only else "it.hdr"
     starts = f"(NOT {in_seg} AND {is_header})"
     active = f"({in_seg} OR {starts})"
@@ -117,27 +124,28 @@ def brace_segments(text: str, header: str, top_level_only: bool = False) -> str:
     opened = f"(({in_seg} AND s.opened) OR it.opens > 0)"
     seg_start = f"(CASE WHEN {in_seg} THEN s.start ELSE s.depth END)"
     closes = f"({active} AND {opened} AND {new_depth} <= {seg_start})"
-    piece = f"(CASE WHEN {starts} THEN ltrim(it.line) ELSE it.line END)"
-    cur = f"list_append(CASE WHEN {starts} THEN []::VARCHAR[] ELSE s.cur END, {piece})"
-    seg_attr = f"(CASE WHEN {starts} THEN s.attr ELSE s.seg_attr END)"
-    done = (
-        f"{{'depth': {seg_start}, 'pos': it.pos - len({cur}) + 1, "
-        f"'text': array_to_string({cur}, {_NL}), 'attr': {seg_attr}}}"
-    )
-    keep_open = f"({active} AND NOT {closes})"
+    first = f"(CASE WHEN {starts} THEN it.pos ELSE s.first END)"
+    seg_attr = f"(CASE WHEN {starts} THEN s.attr OR it.own_attr ELSE s.seg_attr END)"
+    done = f"{{'depth': {seg_start}, 'pos': {first}, 'stop': it.pos, 'attr': {seg_attr}}}"
+    keep_open = f"({active} AND NOT {closes} AND NOT (NOT {opened} AND it.semi))"
     step = (
-        f"{{'depth': {new_depth}, 'start': CASE WHEN {keep_open} THEN {seg_start} ELSE CAST(-1 AS BIGINT) END, "
-        f"'opened': {keep_open} AND {opened}, "
+        f"{{'depth': {new_depth}, 'start': CASE WHEN {keep_open} THEN {seg_start} ELSE CAST({X.NO_DEPTH} AS BIGINT) END, "
+        f"'first': {first}, 'opened': {keep_open} AND {opened}, "
         f"'attr': NOT {active} AND (it.is_attr OR (it.blank AND s.attr)), "
         f"'seg_attr': {keep_open} AND {seg_attr}, "
-        f"'cur': CASE WHEN {keep_open} THEN {cur} ELSE []::VARCHAR[] END, "
         f"'segs': CASE WHEN {closes} THEN list_append(s.segs, {done}) ELSE s.segs END}}"
     )
     init = (
-        "{'depth': CAST(0 AS BIGINT), 'start': CAST(-1 AS BIGINT), 'opened': false, 'attr': false, 'seg_attr': false, "
-        f"'cur': []::VARCHAR[], 'segs': []::{_SEG_T}[]}}"
+        f"{{'depth': CAST(0 AS BIGINT), 'start': CAST({X.NO_DEPTH} AS BIGINT), 'first': CAST(0 AS BIGINT), 'opened': false, 'attr': false, "
+        f"'seg_attr': false, 'segs': []::{_SEG_T}[]}}"
+    )
+    lines = f"string_split(coalesce({text}, ''), {_NL})"
+    head = f"ltrim(regexp_replace({lines}[g.pos + 1], {_lit(X._ATTRS_BEFORE)}, ''))"
+    cut = f"array_to_string(list_concat([{head}], {lines}[g.pos + 2:g.stop + 1]), {_NL})"
+    return (
+        f"list_transform(list_reduce({feats}, lambda s, it: {step}, {init}).segs, "
+        f"lambda g: {{'depth': g.depth, 'pos': g.pos, 'text': {cut}, 'attr': g.attr}})"
     )
-    return f"list_reduce({feats}, lambda s, it: {step}, {init}).segs"
 
 
 def rust_tests(text: str) -> str:
@@ -254,42 +262,49 @@ def strip_rust_tests(text: str) -> str:
         {
             "mod_hdr": f"regexp_matches(l, {_lit(X.RUST_TEST_MOD)})",
             "fn_hdr": f"regexp_matches(l, {_lit(X.RUST_FN)})",
-            "semi": "instr(l, ';') > 0",
+            "semi": f"regexp_matches({_clean('l')}, {_lit(X._SEMI_END)})",
             "asserts": "instr(l, 'assert') > 0",
+            "body_asserts": r"instr(regexp_extract(l, '\{(.*)$', 1), 'assert') > 0",
             "drop": drop,
         },
     )
     nd = "(s.depth + it.delta)"
-    skipping = "(s.skip >= 0)"
-    in_fn = "(s.fn_depth >= 0)"
+    skipping = f"(s.skip > {X.NO_DEPTH})"
+    in_fn = f"(s.fn_depth > {X.NO_DEPTH})"
     free = f"(NOT {skipping} AND NOT {in_fn})"
     mod_hdr = f"({free} AND it.mod_hdr)"
     fn_hdr = f"({free} AND NOT it.mod_hdr AND it.fn_hdr)"
-    opened = f"((({skipping} OR {in_fn}) AND s.opened) OR it.opens > 0)"
+    was_open = f"(({skipping} OR {in_fn}) AND s.opened)"
+    opened = f"({was_open} OR it.opens > 0)"
     in_skip = f"({skipping} OR {mod_hdr})"
     skip_at = f"(CASE WHEN {skipping} THEN s.skip ELSE s.depth END)"
     skip_done = f"({in_skip} AND (({opened} AND {nd} <= {skip_at}) OR ({mod_hdr} AND it.opens = 0 AND it.semi)))"
     in_f = f"({in_fn} OR {fn_hdr})"
     fn_at = f"(CASE WHEN {in_fn} THEN s.fn_depth ELSE s.depth END)"
     buf = f"list_append(CASE WHEN {fn_hdr} THEN []::VARCHAR[] ELSE s.buf END, it.line)"
-    fn_assert = f"(({in_fn} AND s.fn_assert) OR it.asserts)"
+    here = f"(CASE WHEN {was_open} THEN it.asserts ELSE it.opens > 0 AND it.body_asserts END)"
+    fn_assert = f"(({in_fn} AND s.fn_assert) OR {here})"
     fn_done = f"({in_f} AND {opened} AND {nd} <= {fn_at})"
+    over = f"({fn_done} OR ({in_f} AND NOT {opened} AND it.semi))"
     out = (
-        f"(CASE WHEN {in_skip} THEN s.out WHEN {in_f} THEN (CASE WHEN {fn_done} AND NOT {fn_assert} "
+        f"(CASE WHEN {in_skip} THEN s.out WHEN {in_f} THEN (CASE WHEN {over} AND NOT ({fn_done} AND {fn_assert}) "
         f"THEN list_concat(s.out, {buf}) ELSE s.out END) WHEN it.drop THEN s.out ELSE list_append(s.out, it.line) END)"
     )
     step = (
-        f"{{'depth': {nd}, 'skip': CASE WHEN {in_skip} AND NOT {skip_done} THEN {skip_at} ELSE CAST(-1 AS BIGINT) END, "
-        f"'fn_depth': CASE WHEN {in_f} AND NOT {fn_done} THEN {fn_at} ELSE CAST(-1 AS BIGINT) END, "
-        f"'opened': (({in_skip} AND NOT {skip_done}) OR ({in_f} AND NOT {fn_done})) AND {opened}, "
-        f"'fn_assert': {in_f} AND NOT {fn_done} AND {fn_assert}, "
-        f"'buf': CASE WHEN {in_f} AND NOT {fn_done} THEN {buf} ELSE []::VARCHAR[] END, 'out': {out}}}"
+        f"{{'depth': {nd}, 'skip': CASE WHEN {in_skip} AND NOT {skip_done} THEN {skip_at} ELSE CAST({X.NO_DEPTH} AS BIGINT) END, "
+        f"'fn_depth': CASE WHEN {in_f} AND NOT {over} THEN {fn_at} ELSE CAST({X.NO_DEPTH} AS BIGINT) END, "
+        f"'opened': (({in_skip} AND NOT {skip_done}) OR ({in_f} AND NOT {over})) AND {opened}, "
+        f"'fn_assert': {in_f} AND NOT {over} AND {fn_assert}, "
+        f"'buf': CASE WHEN {in_f} AND NOT {over} THEN {buf} ELSE []::VARCHAR[] END, 'out': {out}}}"
     )
     init = (
-        "{'depth': CAST(0 AS BIGINT), 'skip': CAST(-1 AS BIGINT), 'fn_depth': CAST(-1 AS BIGINT), 'opened': false, "
+        f"{{'depth': CAST(0 AS BIGINT), 'skip': CAST({X.NO_DEPTH} AS BIGINT), 'fn_depth': CAST({X.NO_DEPTH} AS BIGINT), 'opened': false, "
         "'fn_assert': false, 'buf': []::VARCHAR[], 'out': []::VARCHAR[]}"
     )
-    return f"array_to_string(list_reduce({feats}, lambda s, it: {step}, {init}).out, {_NL})"
+    # an unclosed function is kept: what is still held goes out at the end
+    folded = f"list_reduce({feats}, lambda s, it: {step}, {init})"
+    lines = f"array_to_string(list_concat({folded}.out, {folded}.buf), {_NL})"
+    return f"regexp_replace({lines}, {_lit(X._TEST_COMMENTS)}, '\\1', 'g')"
 
 
 # ------------------------------------------------ C4: Ratcliff-Obershelp ratio --

@@ -17,12 +17,12 @@ LINES = [
 
 
 def _segments(text, header):
-    depth, start, opened, attr, seg_attr, cur, segs = 0, -1, False, False, False, [], []
+    depth, start, opened, attr, seg_attr, cur, segs = 0, X.NO_DEPTH, False, False, False, [], []
     for pos, line in enumerate(text.split("\n")):
         clean = re.sub(X._LINE_COMMENT, "", re.sub(X._CHAR, "", re.sub(X._STRING, "", line)), flags=re.ASCII)
         opens = clean.count("{")
         delta = opens - clean.count("}")
-        in_seg = start >= 0
+        in_seg = start > X.NO_DEPTH
         starts = not in_seg and re.search(header, line, flags=re.ASCII) is not None
         active = in_seg or starts
         new_depth = depth + delta
@@ -36,7 +36,7 @@ def _segments(text, header):
             segs.append((seg_start, pos - len(cur) + 1, "\n".join(cur), sattr))
         keep = active and not closes
         attr = (not active) and (line.strip(" ") == "#[test]" or (line.strip(" ") == "" and attr))
-        depth, start, opened, seg_attr = new_depth, seg_start if keep else -1, keep and now_opened, keep and sattr
+        depth, start, opened, seg_attr = new_depth, seg_start if keep else X.NO_DEPTH, keep and now_opened, keep and sattr
         cur = cur if keep else []
     return segs
 
@@ -64,12 +64,12 @@ STRIP_LINES = LINES + ["#[cfg(test)]", "mod tests;", "mod test_utils {", "    as
 
 
 def _strip(text):
-    depth, skip, fn_depth, opened, fn_assert, buf, out = 0, -1, -1, False, False, [], []
+    depth, skip, fn_depth, opened, fn_assert, buf, out = 0, X.NO_DEPTH, X.NO_DEPTH, False, False, [], []
     for line in text.split("\n"):
         clean = re.sub(X._LINE_COMMENT, "", re.sub(X._CHAR, "", re.sub(X._STRING, "", line)), flags=re.ASCII)
         opens = clean.count("{")
         nd = depth + opens - clean.count("}")
-        skipping, in_fn = skip >= 0, fn_depth >= 0
+        skipping, in_fn = skip > X.NO_DEPTH, fn_depth > X.NO_DEPTH
         free = not skipping and not in_fn
         is_mod = re.search(X.RUST_TEST_MOD, line, flags=re.ASCII) is not None
         mod_hdr = free and is_mod
@@ -77,28 +77,60 @@ def _strip(text):
         now_opened = ((skipping or in_fn) and opened) or opens > 0
         in_skip = skipping or mod_hdr
         skip_at = skip if skipping else depth
-        skip_done = in_skip and ((now_opened and nd <= skip_at) or (mod_hdr and opens == 0 and ";" in line))
+        bare_end = clean.rstrip().endswith(";")
+        skip_done = in_skip and ((now_opened and nd <= skip_at) or (mod_hdr and opens == 0 and bare_end))
         in_f = in_fn or fn_hdr
         fn_at = fn_depth if in_fn else depth
         nbuf = ([] if fn_hdr else buf) + [line]
-        nfa = (in_fn and fn_assert) or "assert" in line
+        was_open = in_fn and opened
+        body = line if was_open else line.partition("{")[2] if opens else ""
+        nfa = (in_fn and fn_assert) or "assert" in body
         fn_done = in_f and now_opened and nd <= fn_at
+        over = fn_done or (in_f and not now_opened and bare_end)
         t = line.strip(" ")
         drop = t in X.TEST_ATTRS or (t.startswith("//") and ("test" in t or "assert" in t))
         if in_skip:
             pass
         elif in_f:
-            if fn_done and not nfa:
+            if over and not (fn_done and nfa):
                 out += nbuf
         elif not drop:
             out.append(line)
         depth = nd
-        skip = skip_at if in_skip and not skip_done else -1
-        fn_depth = fn_at if in_f and not fn_done else -1
-        opened = ((in_skip and not skip_done) or (in_f and not fn_done)) and now_opened
-        fn_assert = in_f and not fn_done and nfa
-        buf = nbuf if in_f and not fn_done else []
-    return "\n".join(out)
+        skip = skip_at if in_skip and not skip_done else X.NO_DEPTH
+        fn_depth = fn_at if in_f and not over else X.NO_DEPTH
+        opened = ((in_skip and not skip_done) or (in_f and not over)) and now_opened
+        fn_assert = in_f and not over and nfa
+        buf = nbuf if in_f and not over else []
+    # an unclosed function is kept; what is left of comments that mention tests goes
+    return re.sub(r"//[^\n]*(?:test|assert)[^\n]*", "", "\n".join(out + buf))
+
+
+# hand-written: what is left of a file after its tests are taken out
+STRIPPED = [
+    ("trait T {\n fn a(&self);\n}\nstruct X;\nconst N: i32 = 1;", "trait T {\n fn a(&self);\n}\nstruct X;\nconst N: i32 = 1;"),
+    ("fn assert_close(a: f64) {\n  x();\n}\nfn t() { assert!(1); }\nlast", "fn assert_close(a: f64) {\n  x();\n}\nlast"),
+    ("fn a() {\n  y(); // test me\n  let s = \"// test\";\n}\n/* assert */z;", "fn a() {\n  y(); \n  let s = \"// test\";\n}\nz;"),
+    ("// don't \"\nq; /* multi\n test */w\n// plain", "// don't \"\nq; w\n// plain"),
+    ("fn open(\n a: [u8; 4],\n) {\n go(x)", "fn open(\n a: [u8; 4],\n) {\n go(x)"),
+    ("mod tests {\n fn a() {}\n}\n#[cfg(test)]\nmod my_test;\nfn b() {}", "fn b() {}"),
+]
+
+TESTS = [
+    ("trait T { fn a(&self); }\n#[test]\nfn real() { x(); }", ["fn real() { x(); }"]),
+    ("trait T {\n fn a(&self);\n}\n#[test]\n\nfn real(\n) {\n x();\n}", ["fn real(\n) {\n x();\n}"]),
+    ("#[test] fn real() { x(); }", ["fn real() { x(); }"]),
+    ("#[test]\n#[ignore]\nfn skipped() {}\nfn a_test() {}", ["fn a_test() {}"]),
+]
+
+
+def test_expected_files_and_tests(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(STRIPPED)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", X.strip_rust_tests(F.col("t")).alias("x")).collect()}
+    assert [got[i] for i in range(len(STRIPPED))] == [e for _, e in STRIPPED]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TESTS)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", X.rust_tests(F.col("t")).alias("x")).collect()}
+    assert [got[i] for i in range(len(TESTS))] == [[X.RUST_TEST_PREFIX + t for t in e] for _, e in TESTS]
 
 
 @settings(max_examples=15, deadline=None)
@@ -130,12 +162,12 @@ def _go_tests(text):
 
 def _segments_top(text, header):
     # _segments with headers only at depth 0
-    depth, start, opened, cur, segs = 0, -1, False, [], []
+    depth, start, opened, cur, segs = 0, X.NO_DEPTH, False, [], []
     for pos, line in enumerate(text.split("\n")):
         clean = re.sub(X._LINE_COMMENT, "", re.sub(X._CHAR, "", re.sub(X._STRING, "", line)), flags=re.ASCII)
         opens = clean.count("{")
         new_depth = depth + opens - clean.count("}")
-        in_seg = start >= 0
+        in_seg = start > X.NO_DEPTH
         starts = not in_seg and depth == 0 and re.search(header, line, flags=re.ASCII) is not None
         active = in_seg or starts
         now_opened = (in_seg and opened) or opens > 0
@@ -146,7 +178,7 @@ def _segments_top(text, header):
         if closes:
             segs.append((seg_start, pos - len(cur) + 1, "\n".join(cur), False))
         keep = active and not closes
-        depth, start, opened = new_depth, seg_start if keep else -1, keep and now_opened
+        depth, start, opened = new_depth, seg_start if keep else X.NO_DEPTH, keep and now_opened
         cur = cur if keep else []
     return segs
 
