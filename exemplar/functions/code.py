@@ -1,11 +1,10 @@
 """Code features for reranking (C1-C3, C5) as built-in Column expressions.
 
 No syntax trees: a function header is recognised by a per-language regex, the
-name is its identifier, and the parameter count comes from the first
-parenthesised list after the header with nested brackets removed.  Everything
-is ``rlike`` / ``regexp_extract`` / ``regexp_replace`` / array functions, so it
-runs in whole-stage codegen and is computed once per corpus row (at index
-build) rather than once per (query, candidate) pair.
+name is its identifier, and the parameter count comes from one pass over the
+tokens after the name with a bracket depth.  Everything is a built-in function,
+computed once per corpus row (at index build) rather than once per (query,
+candidate) pair.
 
 The patterns avoid look-arounds and back-references so the same text works in
 Java regex (Spark) and RE2 (the DuckDB oracle).
@@ -36,19 +35,27 @@ NAME = {
     "java": r"\b(?:public|private|protected|static)\b[^;{=()]*?\b([A-Za-z_]\w*)\s*\(",
 }
 
-# Everything after the opening parenthesis of the first header.
-AFTER_PAREN = {
-    "rust": r"(?s)\bfn\s+[A-Za-z_]\w*\s*(?:<[^(]*>)?\s*\((.*)",
-    "go": r"(?s)\bfunc\s+(?:\([^)]*\)\s*)?[A-Za-z_]\w*\s*(?:\[[^\]]*\])?\s*\((.*)",
-    "julia": r"(?s)\bfunction\s+[A-Za-z_][\w.!]*\s*(?:\{[^}]*\})?\s*\((.*)",
-    "java": r"(?s)\b(?:public|private|protected|static)\b[^;{=()]*?\b[A-Za-z_]\w*\s*\((.*)",
+# Forms without the keyword: Julia ``name(args) = body`` and Java methods without a modifier.
+JULIA_SHORT = r"(?m)^[ \t]*([A-Za-z_][\w!]*)\((?:[^\n()]|\([^\n()]*\))*\)[ \t]*(?:where[^\n=]*)?=[^=]"
+JAVA_PLAIN = r"(?m)^[ \t]*(?:[A-Za-z_][\w.<>\[\]]*[ \t]+)+([A-Za-z_]\w*)[ \t]*\([^)]*\)\s*(?:throws\s+[\w.,\s]+)?\{"
+SHORT = {"julia": JULIA_SHORT, "java": JAVA_PLAIN}
+NOT_NAMES = ("if", "for", "while", "switch", "catch", "synchronized", "function", "fn", "func")
+
+# What follows the name of the first function, up to the end of the text.
+AFTER_NAME = {
+    "rust": r"(?s)\bfn\s+[A-Za-z_]\w*(.*)",
+    "go": r"(?s)\bfunc\s+(?:\([^)]*\)\s*)?[A-Za-z_]\w*(.*)",
+    "julia": r"(?s)\bfunction\s+[A-Za-z_][\w.!]*(.*)",
+    "java": r"(?s)\b(?:public|private|protected|static)\b[^;{=()]*?\b[A-Za-z_]\w*\s*(\(.*)",
+}
+AFTER_SHORT = {
+    "julia": r"(?s)(?:^|\n)[ \t]*[A-Za-z_][\w!]*(\((?:[^\n()]|\([^\n()]*\))*\)[ \t]*(?:where[^\n=]*)?=[^=].*)",
+    "java": r"(?s)(?:^|\n)[ \t]*(?:[A-Za-z_][\w.<>\[\]]*[ \t]+)+[A-Za-z_]\w*[ \t]*(\([^)]*\)\s*(?:throws\s+[\w.,\s]+)?\{.*)",
 }
 
-# Nested bracket pairs removed (innermost first) before cutting at ')'.
-NESTED = (r"<[^<>]*>", r"\[[^\[\]]*\]", r"\{[^{}]*\}")
-NESTED_ROUNDS = 4
-PAREN = r"\([^()]*\)"
-PAREN_ROUNDS = 3
+# Tokens of a parameter list: arrows and comparisons (whose signs are no brackets), brackets and separators, runs of the rest.
+TOKEN = r"->|=>|<-|<=|>=|[()\[\]{}<>,;]|[^()\[\]{}<>,;=-]+|[=-]"
+OPEN, CLOSE = "([{<", ")]}>"
 RUST_SELF = r"^(?:&\s*(?:'\w+\s+)?)?(?:mut\s+)?self$"
 TRIM = r"^\s+|\s+$"
 
@@ -57,13 +64,24 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _short_name(c: Column, lang: str) -> Column:
+    """Name of the first function in the language's form without keyword; '' if none."""
+    name = F.regexp_extract(c, SHORT[lang], 1)
+    return F.when(name.isin(*NOT_NAMES), F.lit("")).otherwise(name)
+
+
+def has_header(c: Column, lang: str) -> Column:
+    found = c.rlike(HEADER[lang])
+    return found | (_short_name(c, lang) != "") if lang in SHORT else found
+
+
 @cached_column
 def detect_language(code) -> Column:
     """Header regexes in order, then the keyword fallback; null if none."""
     c = _col(code)
     expr = None
     for lang in LANGS:
-        cond = c.rlike(HEADER[lang])
+        cond = has_header(c, lang)
         expr = F.when(cond, F.lit(lang)) if expr is None else expr.when(cond, F.lit(lang))
     has = lambda s: F.instr(c, s) > 0
     expr = (
@@ -88,25 +106,47 @@ def method_name(code, lang: Column | None = None) -> Column:
     """Name of the first function; '' when there is none."""
     c = _col(code)
     lang = detect_language(c) if lang is None else lang
-    return F.coalesce(_by_lang(lang, lambda l: F.regexp_extract(c, NAME[l], 1)), F.lit(""))
 
+    def name(l: str) -> Column:
+        n = F.regexp_extract(c, NAME[l], 1)
+        return F.when(c.rlike(HEADER[l]), n).otherwise(_short_name(c, l)) if l in SHORT else n
+
+    return F.coalesce(_by_lang(lang, name), F.lit(""))
+
+
+def _param_items(text: Column, stop: str = ")") -> Column:
+    """Items of the first parenthesised list outside type parameters, without what their brackets hold.
+
+    One pass over the tokens with a bracket depth, so any nesting counts; ``stop`` holds the signs that end the list."""
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    init = F.struct(
+        F.lit(0).alias("depth"), F.lit(0).alias("phase"), F.lit("").alias("cur"), F.array().cast("array<string>").alias("items")
+    )
+
+    def step(s, t):
+        inside = s["phase"] == 1
+        flat = s["depth"] == 0
+        opens = t.isin(*OPEN)
+        closes = t.isin(*CLOSE)
+        begins = (s["phase"] == 0) & flat & (t == "(")
+        ends = inside & flat & t.isin(*stop)
+        comma = inside & flat & (t == ",")
+        here = inside & flat & ~opens & ~closes & ~comma & ~ends
+        new = F.struct(
+            F.when(begins | ends, s["depth"]).when(opens, s["depth"] + 1).when(closes, F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"]).alias("depth"),
+            F.when(begins, 1).when(ends, 2).otherwise(s["phase"]).alias("phase"),
+            F.when(comma | ends | begins, F.lit("")).when(here, F.concat(s["cur"], t)).otherwise(s["cur"]).alias("cur"),
+            F.when(comma | ends, F.array_append(s["items"], s["cur"])).otherwise(s["items"]).alias("items"),
+        )
+        return F.when(s["phase"] == 2, s).otherwise(new)
 
-def _param_items(text: Column) -> Column:
-    s = F.regexp_replace(text, "->", " ")
-    for _ in range(NESTED_ROUNDS):
-        for pat in NESTED:
-            s = F.regexp_replace(s, pat, "")
-    for _ in range(PAREN_ROUNDS):
-        s = F.regexp_replace(s, PAREN, "")
-    s = F.substring_index(s, ")", 1)
-    return s
+    # a list that is cut off counts as far as it goes
+    return F.aggregate(tokens, init, step, lambda s: F.when(s["phase"] == 1, F.array_append(s["items"], s["cur"])).otherwise(s["items"]))
 
 
 def _count(lang: str, params: Column) -> Column:
-    if lang == "julia":
-        params = F.substring_index(params, ";", 1)
     items = F.filter(
-        F.transform(F.split(params, ","), lambda x: F.regexp_replace(x, TRIM, "")), lambda x: x != F.lit("")
+        F.transform(params, lambda x: F.regexp_replace(x, TRIM, "")), lambda x: x != F.lit("")
     )
     if lang == "rust":
         kept = F.filter(items, lambda x: ~x.rlike(RUST_SELF) & (F.instr(x, "...") == 0))
@@ -136,11 +176,14 @@ def param_count(code, lang: Column | None = None, go_receiver_compat: bool = Fal
     lang = detect_language(c) if lang is None else lang
 
     def count(l: str) -> Column:
-        n = _count(l, _param_items(F.regexp_extract(c, AFTER_PAREN[l], 1)))
+        after = F.regexp_extract(c, AFTER_NAME[l], 1)
+        if l in AFTER_SHORT:
+            after = F.when(c.rlike(HEADER[l]), after).otherwise(F.regexp_extract(c, AFTER_SHORT[l], 1))
+        n = _count(l, _param_items(after, ");" if l == "julia" else ")"))
         if l == "go" and go_receiver_compat:
             recv = F.regexp_extract(c, GO_RECEIVER, 1)
-            n = F.when(c.rlike(GO_RECEIVER), _count("go", recv)).otherwise(n)
-        return F.when(c.rlike(HEADER[l]), n)
+            n = F.when(c.rlike(GO_RECEIVER), _count("go", F.split(recv, ","))).otherwise(n)
+        return F.when(has_header(c, l), n)
 
     return _by_lang(lang, count).cast("int")
 

@@ -13,8 +13,18 @@ def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _short_name(c: str, l: str) -> str:
+    name = f"regexp_extract({c}, {_lit(C.SHORT[l])}, 1)"
+    return f"(CASE WHEN {name} IN ({', '.join(map(_lit, C.NOT_NAMES))}) THEN '' ELSE {name} END)"
+
+
+def _has_header(c: str, l: str) -> str:
+    found = f"regexp_matches({c}, {_lit(C.HEADER[l])})"
+    return f"({found} OR {_short_name(c, l)} <> '')" if l in C.SHORT else found
+
+
 def detect_language(c: str) -> str:
-    arms = " ".join(f"WHEN regexp_matches({c}, {_lit(C.HEADER[l])}) THEN '{l}'" for l in C.LANGS)
+    arms = " ".join(f"WHEN {_has_header(c, l)} THEN '{l}'" for l in C.LANGS)
     has = lambda s: f"instr({c}, {_lit(s)}) > 0"
     return (
         f"(CASE {arms}"
@@ -26,24 +36,40 @@ def detect_language(c: str) -> str:
     )
 
 
+def _name(c: str, l: str) -> str:
+    n = f"regexp_extract({c}, {_lit(C.NAME[l])}, 1)"
+    return f"CASE WHEN regexp_matches({c}, {_lit(C.HEADER[l])}) THEN {n} ELSE {_short_name(c, l)} END" if l in C.SHORT else n
+
+
 def method_name(c: str, lang: str) -> str:
-    arms = " ".join(f"WHEN '{l}' THEN regexp_extract({c}, {_lit(C.NAME[l])}, 1)" for l in C.LANGS)
+    arms = " ".join(f"WHEN '{l}' THEN {_name(c, l)}" for l in C.LANGS)
     return f"coalesce((CASE {lang} {arms} END), '')"
 
 
 def _items(l: str, c: str) -> str:
-    s = f"regexp_extract({c}, {_lit(C.AFTER_PAREN[l])}, 1)"
-    s = f"regexp_replace({s}, '->', ' ', 'g')"
-    for _ in range(C.NESTED_ROUNDS):
-        for pat in C.NESTED:
-            s = f"regexp_replace({s}, {_lit(pat)}, '', 'g')"
-    for _ in range(C.PAREN_ROUNDS):
-        s = f"regexp_replace({s}, {_lit(C.PAREN)}, '', 'g')"
-    s = f"split_part({s}, ')', 1)"
-    if l == "julia":
-        s = f"split_part({s}, ';', 1)"
+    after = f"regexp_extract({c}, {_lit(C.AFTER_NAME[l])}, 1)"
+    if l in C.AFTER_SHORT:
+        after = f"CASE WHEN regexp_matches({c}, {_lit(C.HEADER[l])}) THEN {after} ELSE regexp_extract({c}, {_lit(C.AFTER_SHORT[l])}, 1) END"
+    signs = lambda x: "(" + ", ".join(_lit(ch) for ch in x) + ")"
+    stop = signs(");" if l == "julia" else ")")
+    flat = "s.phase = 1 AND s.depth = 0"
+    begins = "(s.phase = 0 AND s.depth = 0 AND t.t = '(')"
+    ends, comma = f"({flat} AND t.t IN {stop})", f"({flat} AND t.t = ',')"
+    here = f"({flat} AND t.t NOT IN {signs(C.OPEN + C.CLOSE + ',')} AND NOT {ends})"
+    step = (
+        f"CASE WHEN s.phase = 2 THEN s ELSE {{'t': '', "
+        f"'depth': CASE WHEN {begins} OR {ends} THEN s.depth WHEN t.t IN {signs(C.OPEN)} THEN s.depth + 1 "
+        f"WHEN t.t IN {signs(C.CLOSE)} THEN greatest(s.depth - 1, 0) ELSE s.depth END, "
+        f"'phase': CASE WHEN {begins} THEN 1 WHEN {ends} THEN 2 ELSE s.phase END, "
+        f"'cur': CASE WHEN {comma} OR {ends} OR {begins} THEN '' WHEN {here} THEN s.cur || t.t ELSE s.cur END, "
+        f"'items': CASE WHEN {comma} OR {ends} THEN list_append(s.items, s.cur) ELSE s.items END}} END"
+    )
+    blank = "'depth': 0, 'phase': 0, 'cur': '', 'items': []::VARCHAR[]"
+    tokens = f"list_transform(regexp_extract_all({after}, {_lit(C.TOKEN)}), lambda x: {{'t': x, {blank}}})"
+    folded = f"list_reduce({tokens}, lambda s, t: {step}, {{'t': '', {blank}}})"
+    params = f"(CASE WHEN {folded}.phase = 1 THEN list_append({folded}.items, {folded}.cur) ELSE {folded}.items END)"
     items = (
-        f"list_filter(list_transform(string_split({s}, ','), lambda x: regexp_replace(x, {_lit(C.TRIM)}, '', 'g')),"
+        f"list_filter(list_transform({params}, lambda x: regexp_replace(x, {_lit(C.TRIM)}, '', 'g')),"
         " lambda x: x <> '')"
     )
     if l == "rust":
@@ -61,7 +87,7 @@ def _items(l: str, c: str) -> str:
 
 def param_count(c: str, lang: str) -> str:
     arms = " ".join(
-        f"WHEN '{l}' THEN (CASE WHEN regexp_matches({c}, {_lit(C.HEADER[l])}) THEN {_items(l, c)} END)" for l in C.LANGS
+        f"WHEN '{l}' THEN (CASE WHEN {_has_header(c, l)} THEN {_items(l, c)} END)" for l in C.LANGS
     )
     return f"CAST((CASE {lang} {arms} END) AS INTEGER)"
 

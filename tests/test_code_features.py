@@ -71,3 +71,24 @@ def test_go_receiver_compat(spark):
     )
     assert [r.param_count for r in with_code_features(df, "code").collect()] == [2, 2]
     assert [r.param_count for r in with_code_features(df, "code", go_receiver_compat=True).collect()] == [1, 2]
+
+
+# hand-written: language, name and parameter count of forms that need more than a header pattern
+FORMS = [
+    ("fn f(a: A<u8, B<C<D<E<F>>>>>, b: i32)", "rust", "f", 2),
+    ("fn f<F: Fn(i32) -> i32>(a: F, b: i32) -> u8 {", "rust", "f", 2),
+    ("fn m(&self, x: i32, f: impl Fn(a, b) -> c)", "rust", "m", 2),
+    ("area(w, h) = w * h", "julia", "area", 2),
+    ("f(x::Int, y=2; z=3) = x + y", "julia", "f", 1),
+    ("int add(int a, Map<String, List<int>> b) {\n return 1;\n}", "java", "add", 2),
+    ("func G[T any](x T, ys ...T) {", "go", "G", 1),
+    ("if (x) {\n y();\n}", None, "", None),
+]
+
+
+def test_forms_with_expected_features(spark):
+    from exemplar.functions import code as C
+
+    df = spark.createDataFrame([(i, f[0]) for i, f in enumerate(FORMS)], "i int, t string")
+    got = {r.i: (r.lang, r.method_name, r.param_count) for r in df.select("i", *C.code_features("t")).collect()}
+    assert [got[i] for i in range(len(FORMS))] == [f[1:] for f in FORMS]
