@@ -35,8 +35,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package, written
+from ..session import written
 from . import bytewords as bw
+from .workers import ready
 
 MAIN, FURNITURE, NEITHER = 1, 2, 0
 
@@ -109,7 +110,7 @@ def read_lines(page: str | None) -> list[tuple[str, int]]:
             continue
         tag, attrs = m.group(2).lower(), m.group(3)
         if m.group(1):
-            if tag in _INLINE:
+            if tag in _INLINE and not (stack and stack[-1][0] == tag):
                 continue
             flush()
             for i in range(len(stack) - 1, -1, -1):
@@ -324,7 +325,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, lines_cut of every page."""
     spark = pages.sparkSession
-    ship_package(spark)
+    ready(spark)
     kind = pages.schema["page_id"].dataType.simpleString()
     # a key that a second reading of the pages gives again; equal rows share it and what they share with neighbours
     keyed = pages.select(F.xxhash64("page_id", "url", "html").alias("uid"), "page_id", "url", "html")

@@ -43,6 +43,7 @@ def test_broken_markup():
     assert text_of("a < b <p>c<p>d</div>e<!-- open") == ["a < b", "c", "d", "e"]
     assert text_of("<article>x<script>never closed") == ["x"]
     assert text_of("<p>1 &am") == ["1 &am"]
+    assert text_of('<p>one <span class="ad">buy</span> two <a href="x">three</a></p>') == ["one", "two three"]
     assert text_of("plain") == ["plain"] and text_of("") == text_of(None) == []
 
 
