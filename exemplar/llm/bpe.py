@@ -1,6 +1,6 @@
 """Byte-level BPE with a lexicon automaton.
 
-``build_lexicon`` counts the pre-tokens of all documents (a slice of about 4 MB reports
+``build_lexicon`` counts the pre-tokens of all documents (a slice of about 1 MB reports
 those that make up at least ``SHARE`` of its tokens), takes the ``LEXICON`` most frequent
 and compiles them into a minimal acyclic transducer: states with equal futures are
 shared, and each arc outputs how many words pass before it, so the outputs along a
@@ -33,12 +33,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
 from . import bytebpe as bb
 from . import bytewords as bw
+from .workers import ready
 
 LEXICON = 65_536
-SHARE = 5e-6
+SHARE = 2e-5
 
 
 class Merger:
@@ -256,7 +256,7 @@ def _count_words(batches: Iterator[pa.RecordBatch], vocab: bb.Vocabulary) -> Ite
 def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> str:
     """Compiles the most frequent words of ``docs.text``; the name of the file that every executor gets."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     vocab = bb.load_vocabulary(tokenizer)
     shared = spark.sparkContext.broadcast(tokenizer)
 
@@ -316,6 +316,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, carry: t
     ``lexicon`` names a file of ``build_lexicon`` (built from ``docs`` if not given).
     """
     spark = docs.sparkSession
+    ready(spark)
     name = lexicon or build_lexicon(docs, tokenizer)
     shared = spark.sparkContext.broadcast(tokenizer)
     kept = docs.select(*dict.fromkeys([*carry, "text"]))
@@ -337,6 +338,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, carry: t
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """``encoded`` with ``text`` decoded from its ``ids`` (an existing column of that name is replaced)."""
+    ready(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(tokenizer)
     kept = encoded.drop("text")
     names = kept.columns

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _MULT = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
 from . import bytewords as bw
+from .workers import ready
 
 PERMUTATIONS = 64
 BLOCK_BYTES = 16 << 20
@@ -147,7 +147,7 @@ def _matches(column: pa.Array, block: list[Items]) -> Iterator[tuple[int, list[t
 def search(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per (document, contained item): doc_id, item_id, n_shingles, n_shared, containment."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     kept = docs.select("doc_id", "text")
     schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, item_id long, n_shingles long, n_shared long, containment double"
     out = None
@@ -180,7 +180,7 @@ def search(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8
 def without_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` without the documents that hold an item; one scan per block of items, no shuffle."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     for block in _blocks(items, n, threshold):
         shared = spark.sparkContext.broadcast(block)
 

@@ -43,9 +43,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package, written
+from ..session import written
 from . import bytewords as bw
 from .components import components
+from .workers import ready
 
 SKETCH_BITS = 22
 MEMBER_BITS = 25
@@ -153,8 +154,7 @@ def _profiles(n: int) -> Callable:
             doc_type = b.column("doc_id").type
             for first, data, offsets in bw.slices(b.column("text")):
                 sets = Sets(data, offsets, n)
-                if len(sets.flat):
-                    total += np.bincount(_places(sets.flat, SKETCH_BITS), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                np.add.at(total, _places(sets.flat, SKETCH_BITS), np.uint32(1))
                 k = len(sets.size)
                 prints = _bytes16(sets.fingerprints())
                 prints = pa.compute.if_else(pa.array(sets.size > 0), prints, pa.scalar(None, pa.binary()))
@@ -173,6 +173,8 @@ def _profiles(n: int) -> Callable:
 
 _POSTINGS = "bucket int, base long, tokens binary, items binary, sizes binary, ranks binary, class binary, size long, bitmap binary"
 _POSTING_NAMES = [f.split()[0] for f in _POSTINGS.split(", ")]
+#: Entries that go out together, in one block per bucket.
+BATCH_ENTRIES = 120_000
 #: Shingle tiles of at most this many entries are pruned pair by pair in their bucket.
 FEW = 64
 
@@ -184,6 +186,8 @@ def _postings(sketch, n: int, num: int, den: int, bucket_bits: int) -> Callable:
         counts = sketch.value
         base = TaskContext.get().partitionId() << 40
         for b in batches:
+            # entries of several slices go out together; items are numbered from ``start``
+            start, held = base, []
             for _, data, offsets in bw.slices(b.column("text")):
                 sets = Sets(data, offsets, n)
                 if not len(sets.flat):
@@ -197,57 +201,66 @@ def _postings(sketch, n: int, num: int, den: int, bucket_bits: int) -> Callable:
                 count = counts[_places(token, SKETCH_BITS)]
                 order = np.lexsort((token, count, doc))
                 token, doc, count = token[order], doc[order], count[order]
-                start = np.zeros(len(sets.size), np.int64)
-                start[kept] = np.concatenate(([0], np.cumsum(sets.size[kept])))[:-1]
-                rank = np.arange(len(doc)) - start[doc]
+                begin = np.zeros(len(sets.size), np.int64)
+                begin[kept] = np.concatenate(([0], np.cumsum(sets.size[kept])))[:-1]
+                rank = np.arange(len(doc)) - begin[doc]
                 prefix = sets.size - -(-num * sets.size // den) + 1
                 use = (rank < prefix[doc]) & (count > 1)
+                token, doc, count, rank = token[use], doc[use], count[use], rank[use]
                 # a place in the order, in 256ths of the set, rounded down
-                place = (rank[use] * 256 // sets.size[doc[use]]).astype(np.uint8)
-                size = sets.size[doc[use]].astype(np.uint32)
-                token, item, count = token[use], number[doc[use]], count[use]
+                place = (rank * 256 // sets.size[doc]).astype(np.uint8)
                 bucket = np.where(count >= FREQUENT, -1, (token & np.uint64((1 << bucket_bits) - 1)).astype(np.int64))
-                order = np.argsort(bucket, kind="stable")
-                token, item, bucket = token[order], item[order].astype(np.uint32), bucket[order]
-                place, size = place[order], size[order]
-                cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
-                k = len(cut)
-                if k:
-                    ends = np.append(cut, len(bucket))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(bucket[cut], pa.int32()),
-                            pa.array(np.full(k, base), pa.int64()),
-                            bw.binary_rows(token, ends),
-                            bw.binary_rows(item, ends),
-                            bw.binary_rows(size, ends),
-                            bw.binary_rows(place, ends),
-                            pa.nulls(k, pa.binary()),
-                            pa.nulls(k, pa.int64()),
-                            pa.nulls(k, pa.binary()),
-                        ],
-                        names=_POSTING_NAMES,
-                    )
-                used = np.unique(item)
-                if len(used):
-                    docs = kept[used]
-                    m = len(docs)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.nulls(m, pa.int32()),
-                            pa.array(base + used.astype(np.int64), pa.int64()),
-                            *[pa.nulls(m, pa.binary())] * 4,
-                            _bytes16(prints[docs]),
-                            pa.array(sets.size[docs], pa.int64()),
-                            pa.array([bitmap(sets.of(i)).tobytes() for i in docs], pa.binary()),
-                        ],
-                        names=_POSTING_NAMES,
-                    )
+                item = number[doc] + (base - start)
+                held.append((bucket, token, item.astype(np.uint32), sets.size[doc].astype(np.uint32), place))
+                docs = kept[np.unique(number[doc])]
+                if len(docs):
+                    yield _class_rows(sets, prints, docs, base + number[docs])
                 base += len(kept)
+                if sum(len(h[0]) for h in held) > BATCH_ENTRIES:
+                    yield from _entry_rows(held, start)
+                    start, held = base, []
+            yield from _entry_rows(held, start)
 
     return run
 
 
+def _class_rows(sets: Sets, prints: np.ndarray, docs: np.ndarray, refs: np.ndarray) -> pa.RecordBatch:
+    m = len(docs)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.nulls(m, pa.int32()),
+            pa.array(refs, pa.int64()),
+            *[pa.nulls(m, pa.binary())] * 4,
+            _bytes16(prints[docs]),
+            pa.array(sets.size[docs], pa.int64()),
+            pa.array([bitmap(sets.of(i)).tobytes() for i in docs], pa.binary()),
+        ],
+        names=_POSTING_NAMES,
+    )
+
+
+def _entry_rows(held: list[tuple[np.ndarray, ...]], start: int) -> Iterator[pa.RecordBatch]:
+    """One row per bucket of the held entries."""
+    if not sum(len(h[0]) for h in held):
+        return
+    bucket, *columns = (np.concatenate(c) for c in zip(*held))
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    k, ends = len(cut), np.append(cut, len(bucket))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket[cut], pa.int32()),
+            pa.array(np.full(k, start), pa.int64()),
+            *[bw.binary_rows(c[order], ends) for c in columns],
+            pa.nulls(k, pa.binary()),
+            pa.nulls(k, pa.int64()),
+            pa.nulls(k, pa.binary()),
+        ],
+        names=_POSTING_NAMES,
+    )
+
+
 def _paired(token: np.ndarray, size: np.ndarray, place: np.ndarray, num: int, den: int) -> np.ndarray:
     """Booleans over entries sorted by (token, size): has a partner that size and place allow.
 
@@ -488,7 +501,7 @@ def _member_sets(members, n: int) -> Callable:
 def classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, size, class) of all documents, and the links between classes (a spanning forest of all)."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
     first = written(texts.mapInArrow(_profiles(n), f"doc_id {kind}, size long, class binary, chunk int, counts binary"), "profiles")
@@ -503,9 +516,11 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Dat
     spread = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("base", "items"))
     shared = blocks.repartition(spread).sortWithinPartitions("bucket").mapInArrow(_shared_entries(num, den), "token long, ref long")
     owners = entries.where("bucket IS NULL").select(F.col("base").alias("ref"), "class", "size", "bitmap")
-    rows = shared.join(owners, "ref").groupBy("token", "class").agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap"))
+    rows = shared.join(owners.drop("bitmap"), "ref").groupBy("token", "class").agg(F.first("size").alias("size"))
     rows = written(rows, "shared-shingles")
-    tiles = tiled(rows, "token", F.lit(1), BLOCK_CLASSES, num, den).select("tile", "side", "class", "size", "bitmap")
+    # the bitmaps, most of a row's bytes, join last
+    maps = owners.groupBy("class").agg(F.first("bitmap").alias("bitmap"))
+    tiles = tiled(rows, "token", F.lit(1), BLOCK_CLASSES, num, den).select("tile", "side", "class", "size").join(maps, "class")
     near = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare(num, den, sets=False), "a binary, b binary")
 
     clusters = components(near)

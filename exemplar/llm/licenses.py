@@ -25,8 +25,8 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from .workers import ready
 
-from ..session import ship_package
 
 #: Base phrases and their labels.
 BASE = (
@@ -208,7 +208,7 @@ _PLACES_DDL = "array<struct<label:string,first_word:bigint,end_word:bigint,score
 
 def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns, n_words, base (places of base phrases) and detections (places of the rules)."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     kept = docs.select(*dict.fromkeys([*carry, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

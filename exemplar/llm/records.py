@@ -36,9 +36,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
 from . import bytebpe as bb
 from . import bytewords as bw
+from .workers import ready
 
 _HEAD, _CRC, _PAYLOAD, _INDEX = "<QI", "<I", "<BBq", "<QQ"
 _HEAD_BYTES, _CRC_BYTES, _PAYLOAD_BYTES, _INDEX_BYTES = map(struct.calcsize, (_HEAD, _CRC, _PAYLOAD, _INDEX))
@@ -132,7 +132,7 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Writes the files of all ``docs`` under ``path`` (a new folder that all executors share); the manifest."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     shared = spark.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,7 @@ def _read_file(system: fs.FileSystem, path: str) -> Iterator[tuple[int | None, n
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all records before it) and ids (little-endian unsigned 32-bit) of all records."""
-    ship_package(spark)
+    ready(spark)
     files = manifest(spark, path).select("data", "before")
     schema = "doc_id long, start long, ids binary"
 

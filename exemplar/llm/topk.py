@@ -28,8 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from .workers import ready
 
-from ..session import ship_package
 
 SLOT_ROWS = 8192
 BLOCK_QUERIES = 1024
@@ -51,7 +51,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -
 
     ``vectors`` has vec_id and embedding; ``is_query`` marks the query rows.
     """
-    ship_package(vectors.sparkSession)
+    ready(vectors.sparkSession)
     rows = vectors.select("vec_id", quantised(F.col("embedding"), scale).alias("x"), is_query.alias("q")).where("x IS NOT NULL")
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("dim", F.size("x"))
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("m")).first()

@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package, written
+from ..session import written
 from . import bytewords as bw
+from .workers import ready
 
 SAMPLE_ROWS = 20_000
 LEXICON = 50_000
@@ -104,7 +105,7 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
     """``labels`` has doc_id and toxic; the caller has taken out rows that must not be learnt from."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded: at most ``sample`` rows of two integers
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
@@ -261,7 +262,7 @@ _PASSAGES = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int6
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns, score and passages (first_word, end_word exclusive, score, e_value)."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     names = list(dict.fromkeys([*carry, "text"]))
     kept = docs.select(*names)
     fields = [f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in carry]
@@ -271,5 +272,5 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -
 
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     return docs.mapInArrow(_scorer(model, below=threshold), docs.schema)
