@@ -1,7 +1,7 @@
 """Column expressions over ARRAY<FLOAT|DOUBLE> vectors (V3-V7).
 
 All of these are built-in higher-order functions, so they stay inside the JVM
-and whole-stage codegen.  Arithmetic is done in DOUBLE.
+(interpreted, not generated code).  Arithmetic is done in DOUBLE.
 """
 
 from __future__ import annotations

@@ -2,8 +2,8 @@
 
 The pool comes out of ``dense_topk`` already partitioned by query id, with the
 candidate features carried through the scan, so reranking is a join with the
-(small) query features plus a window over the same partitioning: no second
-shuffle of the pool and no join back to the corpus.
+(small) query features plus a window by query id, without a join back to the
+corpus; the name-ratio UDF in between costs one more exchange of the pool.
 """
 
 from __future__ import annotations
