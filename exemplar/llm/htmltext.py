@@ -6,12 +6,15 @@
    main element), inside furniture (navigation, header, footer, sidebar, form, advert,
    notice, reader comments; by element, role, class or id), or neither.
 2. Pages are range-partitioned and sorted by host and URL path, so the nearest URLs of a
-   host are neighbours; rows at partition borders meet in a second pass over at most
-   two rows per partition.  Each page is aligned with either neighbour by the longest
-   common subsequence of its lines (64-bit line hashes); aligned lines are shared.
+   host are neighbours.  A run of pages nearly the same as its first one (``ALIKE`` of the
+   text) is a class; each page is aligned with the first page of the class before and
+   after its own by the longest common subsequence of its lines (64-bit line hashes);
+   aligned lines are shared.  Copies are never aligned with each other.  Classes that
+   reach or cross partition borders meet in a second pass: the class to meet is found
+   from at most four rows per partition and broadcast, two rows per partition.
 3. The text is the lines in order without furniture and without shared lines.  A shared
-   line of the main content stays: neighbours may be copies of one article, and
-   differencing alone would then delete the article itself.
+   line of the main content stays: neighbours may quote or repeat parts of one article,
+   and differencing alone would then delete the article itself.
 
 Only line hashes are written and shuffled for the alignment, never the lines, so a hot host
 is spread over many partitions and copies of it cost a few bytes a line.  The pages are read
@@ -40,6 +43,8 @@ from . import bytewords as bw
 from .workers import ready
 
 MAIN, FURNITURE, NEITHER = 1, 2, 0
+#: Pages that share this part of their text (bytes of the article, or of all but furniture) are nearly the same.
+ALIKE = 0.9
 
 _RAW = frozenset("script style noscript template iframe svg math object canvas audio video title head textarea select button datalist".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr label strike big acronym nobr".split())
@@ -222,20 +227,28 @@ def _lengths(a: list, b: list) -> np.ndarray:
 
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the alignment needs of each page: its place in URL order and the hashes of its lines."""
+    """What the alignment needs of each page: its place in URL order, the hashes of its lines and their weights."""
     for b in batches:
         for lo in range(0, b.num_rows, 256):
             part = b.slice(lo, 256)
-            hashes, urls = [], [split_url(u) for u in part.column("url").to_pylist()]
+            hashes, weights, urls = [], [], [split_url(u) for u in part.column("url").to_pylist()]
             for page in part.column("html"):
-                raw = [t.encode() for t, _ in read_lines(page.as_py())]
+                lines = read_lines(page.as_py())
+                raw = [t.encode() for t, _ in lines]
                 size = np.array([len(r) for r in raw], dtype=np.int64)
                 ends = np.cumsum(size)
                 sums = bw.prefix_sums(bw.BYTE_CODES[np.frombuffer(b"".join(raw), np.uint8)])
                 hashes.append(bw.span_hashes(sums, ends - size, ends).tobytes())
+                zones = np.array([z for _, z in lines], np.int8)
+                # pages with an article are told apart by it alone (negative: main content)
+                weights.append(np.where(zones == FURNITURE, 0, np.where(zones == MAIN, -size, size)).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [part.column("uid"), part.column("page_id"), *[pa.array([u[i] for u in urls], pa.string()) for i in (0, 1)], pa.array(hashes, pa.binary())],
-                names=["uid", "page_id", "host", "path", "hashes"],
+                [
+                    *[part.column(c) for c in ("uid", "page_id")],
+                    *[pa.array([u[i] for u in urls], pa.string()) for i in (0, 1)],
+                    *[pa.array(x, pa.binary()) for x in (hashes, weights)],
+                ],
+                names=["uid", "page_id", "host", "path", "hashes", "weights"],
             )
 
 
@@ -254,55 +267,129 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+class Skeleton:
+    """A page's host, line hashes and line weights."""
+
+    def __init__(self, host: str, hashes: bytes, weights: bytes) -> None:
+        self.host, self.hashes, self.weights = host, hashes, weights
+        self.h, self.w = np.frombuffer(hashes, np.uint64), np.frombuffer(weights, np.int32).astype(np.int64)
+
+    def against(self, other: Skeleton | None) -> tuple[np.ndarray | None, bool]:
+        """(places in this page of the lines it shares with ``other``, whether the two are nearly the same page)."""
+        if other is None or other.host != self.host:
+            return None, False
+        if other.hashes == self.hashes:
+            return None, True
+        marks = common_lines(self.h, other.h)
+        x, y = self.w, other.w
+        if (x < 0).any() and (y < 0).any():
+            x, y = np.minimum(x, 0), np.minimum(y, 0)
+        x, y = np.abs(x), np.abs(y)
+        alike = int(x[marks].sum()) >= ALIKE * max(int(x.sum()), int(y.sum()))
+        return np.flatnonzero(marks).astype(np.int32), alike
+
+    def shared(self, other: Skeleton | None) -> np.ndarray:
+        """Places of the lines shared with ``other``; none if it is nearly the same page, whose text would go with them."""
+        places, alike = self.against(other)
+        return _NONE if places is None or alike else places
+
+
+_NONE = np.zeros(0, np.int32)
+_LEAD, _TRAIL = 1, 2  # a page's class is the first or last of its partition
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages in URL order: the places each shares with the page before or after it, and the first and last page."""
-    last: dict | None = None
-    shared: np.ndarray | None = None
-    first_out, number = True, 0
-    rows: list[tuple] = []
+    """Pages in URL order: the places each shares with the class of pages before or after its own.
 
-    def told(page: dict, marks: np.ndarray, edge: int) -> tuple:
-        return (page["uid"], page["part"], np.flatnonzero(marks).astype(np.int32).tolist(), edge, page["host"] if edge else None, page["h"].tobytes() if edge else None)
+    A class is a run of pages nearly the same as its first one.  Pages of a partition's first and last class
+    carry their skeleton, and up to four rows without uid tell the first pages of the classes at either end.
+    """
+    rows: list[tuple] = []
+    before: Skeleton | None = None  # first page of the class before the open one
+    first: Skeleton | None = None  # of the open class
+    members: dict[bytes, tuple[Skeleton, set[int]]] = {}  # of the open class, one entry for equal pages
+    ends: dict[int, Skeleton] = {}
+    part, n_classes = 0, 0
 
     def batch() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.binary()))],
-            names=["uid", "part", "shared", "edge", "host", "hashes"],
-        )
+        types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.binary(), pa.binary())
+        out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=_ALIGNED)
         rows.clear()
         return out
 
+    def close(after: Skeleton | None) -> Iterator[pa.RecordBatch]:
+        edge = (_LEAD if n_classes == 1 else 0) | (_TRAIL if after is None else 0)
+        for page, uids in members.values():
+            places = np.union1d(page.shared(before), page.shared(after)).astype(np.int32).tolist()
+            kept = (page.host, page.hashes, page.weights) if edge else (None, None, None)
+            for uid in uids:
+                rows.append((uid, part, places, edge, *kept))
+                if len(rows) >= 1000:
+                    yield batch()
+        members.clear()
+
     for b in batches:
         for row in b.to_pylist():
-            row["h"] = np.frombuffer(row["hashes"], np.uint64)
-            marks = np.zeros(len(row["h"]), bool)
-            if last is not None:
-                if last["host"] == row["host"]:
-                    marks |= common_lines(row["h"], last["h"])
-                    shared |= common_lines(last["h"], row["h"])
-                rows.append(told(last, shared, 1 if first_out else 0))
-                first_out = False
-            last, shared = row, marks
-            if len(rows) >= 1000:
-                yield batch()
-    if last is not None:
-        rows.append(told(last, shared, 3 if first_out else 2))
+            page, part = Skeleton(row["host"], row["hashes"], row["weights"]), row["part"]
+            if first is None or not ((page.host, page.hashes) == (first.host, first.hashes) or page.hashes in members and page.host == first.host or page.against(first)[1]):
+                if first is not None:
+                    yield from close(page)
+                before, first = first, page
+                n_classes += 1
+                if n_classes <= 2:
+                    ends[n_classes - 1] = page
+            members.setdefault(page.hashes, (page, set()))[1].add(row["uid"])
+    if first is not None:
+        yield from close(None)
+        if n_classes > 1:
+            ends |= {2: before, 3: first}
+        rows.extend((None, part, [], kind, s.host, s.hashes, s.weights) for kind, s in ends.items())
         yield batch()
 
 
-def _align_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edge pages in order of partition and place: what the last of one shares with the first of the next."""
-    before: dict | None = None
+_ALIGNED = ["uid", "part", "shared", "edge", "host", "hashes", "weights"]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the ends of all partitions in order: the page that a partition's first (last) class meets before (after) it."""
+    ends: dict[int, dict[int, Skeleton]] = {}
     for b in batches:
-        uid, shared = [], []
         for row in b.to_pylist():
-            row["h"] = np.frombuffer(row["hashes"], np.uint64)
-            if before is not None and before["part"] != row["part"] and before["host"] == row["host"]:
-                for x, y in ((before, row), (row, before)):
-                    uid.append(x["uid"])
-                    shared.append(np.flatnonzero(common_lines(x["h"], y["h"])).astype(np.int32).tolist())
-            before = row
-        yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], names=["uid", "shared"])
+            ends.setdefault(row["part"], {})[row["edge"]] = Skeleton(row["host"], row["hashes"], row["weights"])
+    found: list[tuple] = []
+    # kinds: 0 first class, 1 the one after it, 2 the one before the last, 3 last class; a partition of one class has 0 only
+    for side, near, far, beyond in ((_LEAD, 0, 3, 2), (_TRAIL, 3, 0, 1)):
+        first: Skeleton | None = None  # class open at the border, and the one beyond it
+        other: Skeleton | None = None
+        for part in sorted(ends, reverse=side == _TRAIL):
+            e = ends[part]
+            here = e.get(near, e[0])
+            same = first is not None and here.against(first)[1]
+            target = other if same else first
+            if target is not None and target.host == here.host:
+                found.append((part, side, target.host, target.hashes, target.weights))
+            if 3 in e:
+                first, other = e[far], e[beyond]
+            elif not same:
+                first, other = here, first
+    types = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([f[i] for f in found], t) for i, t in enumerate(types)], names=["part", "side", "m_host", "m_hashes", "m_weights"]
+    )
+
+
+def _align_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What pages at partition borders share with the class they meet in another partition."""
+    for b in batches:
+        done: dict[tuple, list[int]] = {}
+        shared = []
+        for r in b.to_pylist():
+            key = (r["hashes"], r["m_hashes"], r["host"])
+            if key not in done:
+                met = Skeleton(r["m_host"], r["m_hashes"], r["m_weights"])
+                done[key] = Skeleton(r["host"], r["hashes"], r["weights"]).shared(met).tolist()
+            shared.append(done[key])
+        yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(shared, pa.list_(pa.int32()))], names=["uid", "shared"])
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,23 +417,31 @@ def extract(pages: DataFrame) -> DataFrame:
     # a key that a second reading of the pages gives again; equal rows share it and what they share with neighbours
     keyed = pages.select(F.xxhash64("page_id", "url", "html").alias("uid"), "page_id", "url", "html")
     skeletons = written(
-        keyed.mapInArrow(_skeletons, f"uid long, page_id {kind}, host string, path string, hashes binary"), "page-skeletons"
+        keyed.mapInArrow(_skeletons, f"uid long, page_id {kind}, host string, path string, hashes binary, weights binary"), "page-skeletons"
     )
     ordered = (
         skeletons.repartitionByRange("host", "path", "page_id", "uid")
         .sortWithinPartitions("host", "path", "page_id", "uid")
-        .select("uid", "host", "hashes", F.spark_partition_id().alias("part"))
+        .select("uid", "host", "hashes", "weights", F.spark_partition_id().alias("part"))
     )
     aligned = written(
-        ordered.mapInArrow(_align, "uid long, part int, shared array<int>, edge int, host string, hashes binary"), "page-shared"
+        ordered.mapInArrow(_align, "uid long, part int, shared array<int>, edge int, host string, hashes binary, weights binary"), "page-shared"
+    )
+    met = (
+        aligned.where("uid IS NULL")
+        .select("part", "edge", "host", "hashes", "weights")
+        .coalesce(1)  # at most four rows per partition
+        .mapInArrow(_meet, "part int, side int, m_host string, m_hashes binary, m_weights binary")
     )
     edges = (
-        aligned.where("edge > 0")
-        .select("part", "edge", "uid", "host", "hashes")
-        .coalesce(1)  # at most two rows per partition
-        .sortWithinPartitions("part", "edge")
+        aligned.where("uid IS NOT NULL AND edge > 0")
+        .select("uid", "part", "edge", "host", "hashes", "weights")
+        .join(F.broadcast(met), "part")  # at most two rows per partition
+        .where(F.col("edge").bitwiseAND(F.col("side")) > 0)
+        .select("uid", "host", "hashes", "weights", "m_host", "m_hashes", "m_weights")
         .mapInArrow(_align_edges, "uid long, shared array<int>")
     )
+    aligned = aligned.where("uid IS NOT NULL")
     shared = aligned.select("uid", "shared").unionByName(edges).where(F.size("shared") > 0)
     shared = shared.groupBy("uid").agg(F.flatten(F.collect_list("shared")).alias("shared"))
     bodies = keyed.mapInArrow(_bodies, f"uid long, page_id {kind}, url string, zones binary, body binary")

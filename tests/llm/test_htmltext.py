@@ -90,3 +90,26 @@ def test_longest_common_subsequence(a, b, halve):
     assert marks.sum() == table[-1][-1] and all(x in rest for x in np.array(a, np.int64)[marks].tolist())
     if halve:
         assert htmltext._lengths(a, b).tolist() == table[-1] if a else True
+
+
+def test_copies_outside_articles_keep_their_text(spark):
+    long = "<div>" + "a long text that copies share. " * 20 + "</div>"
+    text = ("a long text that copies share. " * 20).strip()
+    frame = "<div>Welcome to the site</div>{}"
+    rows = [(1, "http://one.example/a", long), (2, "http://one.example/b", long)]  # a host of copies only
+    rows += [(3, "http://page.example/l?page=1", long + "<div>p. 1</div>"), (4, "http://page.example/l?page=2", long + "<div>p. 2</div>")]
+    rows += [(10 + i, f"http://mix.example/{i}", frame.format(long)) for i in range(5)]
+    rows += [(15 + i, f"http://mix.example/{5 + i}", frame.format(f"<div>{'Another text altogether, not copied. ' * 9}</div>")) for i in range(5)]
+    rows += [(30, "http://twice.example/", "<div>same</div>")] * 2  # repeated rows
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        for partitions in ("1", "4", "13"):  # classes within, at and across partition borders
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            got = run(spark, rows)
+            assert got[1] == got[2] == text and (got[3], got[4]) == (text + " p. 1", text + " p. 2") and got[30] == "same"
+            assert {got[10 + i] for i in range(5)} == {text}
+            assert {got[15 + i] for i in range(5)} == {("Another text altogether, not copied. " * 9).strip()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
