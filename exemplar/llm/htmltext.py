@@ -31,6 +31,7 @@ from __future__ import annotations
 import html as htmllib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,9 @@ MAIN, FURNITURE, NEITHER = 1, 2, 0
 ALIKE = 0.9
 
 _RAW = frozenset("script style noscript template iframe svg math object canvas audio video title head textarea select button datalist".split())
+_TEXT_ONLY = frozenset("script style title head textarea iframe noscript".split())
+_NESTING = frozenset("svg math object template".split())
+_BLOCKS = frozenset("address article aside blockquote body dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr label strike big acronym nobr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FURNITURE_TAGS = frozenset("nav footer aside form dialog menu fieldset".split())
@@ -57,33 +61,88 @@ _FURNITURE_WORDS = frozenset(
     "share sharing social related recommended comment comments disqus respond replies pagination pager toolbar widget skip".split()
 )
 _MAIN_WORDS = frozenset("article articlebody".split())
+_COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
+_LIST_WORDS = frozenset("related recommended".split())
+#: Words that name furniture whatever follows them, unless that tells a state of the page (sidebar-layout, nav-open).
+_PLAIN_WORDS = frozenset("ad ads advert nav navbar sidebar footer masthead topbar breadcrumb breadcrumbs cookie gdpr newsletter disqus pagination pager toolbar".split())
+_STATE_WORDS = frozenset("layout open opened closed collapsed expanded active enabled disabled fixed visible hidden page body theme template on off content".split())
+#: Other words of a furniture name, before and after the one that names it.
+_PLACE_WORDS = frozenset("site page main top bottom left right primary secondary global local user post entry article header head mobile desktop sub inner outer the js wp fb google sticky fixed floating side email".split())
+_PART_WORDS = frozenset(
+    "area author authors bar bars block blocks body bottom box boxes btn button buttons card cards center close col column container content desktop footer form "
+    "frame group head header heading icon icons inline inner item items label large left link links list lists main meta mobile module panel post posts article "
+    "articles primary right row secondary section sections settings slot small space stories story text title top ul unit units wrap wrapper zone".split()
+)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 
+# zones while reading: furniture by class or id, which an article or main element inside it ends; the same for lists
+# of other articles, whose articles are the main content only of a page that has no other
+_SOFT, _LISTED, _LISTED_MAIN = 3, 4, 5
+
+
+@lru_cache(1 << 14)
+def _furniture_words(token: str) -> frozenset[str]:
+    """Words by which a class or id names furniture: the token has them, and its other words tell only place, part or number."""
+    words = [w for w in re.split(r"[_-]+", token) if w]
+    hits = [i for i, w in enumerate(words) if w in _FURNITURE_WORDS]
+    if not hits or any(w not in _PLACE_WORDS for w in words[: hits[0]]):
+        return frozenset()
+    rest = [w for w in words[hits[0] :] if w not in _FURNITURE_WORDS and not any(c.isdigit() for c in w)]
+    if not all(w in _PART_WORDS for w in rest) and (words[hits[0]] not in _PLAIN_WORDS or any(w in _STATE_WORDS for w in rest)):
+        return frozenset()
+    if words[0] in ("sidebar", "nav", "navbar") and words[-1] in ("content", "body"):  # layouts: sidebar-content
+        return frozenset()
+    return frozenset(words[i] for i in hits)
+
+
 def _zone(tag: str, attrs: str, inside: int) -> int:
-    """Zone of an element opened inside zone ``inside``; furniture holds whatever is in it."""
+    """Zone of an element opened inside zone ``inside``; furniture holds whatever is in it, but see _SOFT."""
     if inside == FURNITURE:
         return FURNITURE
-    if tag in _FURNITURE_TAGS or (tag == "header" and inside != MAIN):
+    within = inside in (MAIN, _LISTED_MAIN)
+    if tag in _FURNITURE_TAGS or (tag == "header" and not within):
         return FURNITURE
     names: set[str] = set()
+    furniture: set[str] = set()
+    main = tag in ("article", "main")
     if attrs:
         for key, *values in _ATTR.findall(attrs):
             words = "".join(values).lower()
             if key.lower() == "role":
                 if words in _FURNITURE_ROLES:
                     return FURNITURE
-                if words in ("main", "article"):
-                    return MAIN
+                main |= words in ("main", "article")
             else:
                 names.update(re.split(r"[\s_-]+", words))
-    if tag in ("article", "main"):
-        return FURNITURE if names & {"comment", "comments"} else MAIN
-    if tag not in ("body", "html") and names & _FURNITURE_WORDS:
+                for token in words.split():
+                    furniture |= _furniture_words(token)
+    if furniture & _COMMENT_WORDS and not (main and tag != "article"):
         return FURNITURE
-    return MAIN if inside == MAIN or names & _MAIN_WORDS else NEITHER
+    if main:
+        return _LISTED_MAIN if inside in (_LISTED, _LISTED_MAIN) and tag == "article" else MAIN
+    if tag not in ("body", "html") and furniture:
+        return _LISTED if furniture & _LIST_WORDS or inside in (_LISTED, _LISTED_MAIN) else _SOFT
+    if inside in (_SOFT, _LISTED) or within:
+        return inside
+    return MAIN if names & _MAIN_WORDS else NEITHER
+
+
+def _raw_ends(page: str, tag: str) -> dict[int, int]:
+    """End of each closed element of a raw kind by the end of its start tag."""
+    ends: dict[int, int] = {}
+    open_: list[int] = []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", page, re.I):
+        if m.group(1):
+            if open_:
+                ends[open_.pop()] = m.end()
+        elif not m.group(2).endswith("/"):
+            if tag not in _NESTING:  # a second start ends the first
+                open_.clear()
+            open_.append(m.end())
+    return ends
 
 
 def read_lines(page: str | None) -> list[tuple[str, int]]:
@@ -94,6 +153,8 @@ def read_lines(page: str | None) -> list[tuple[str, int]]:
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
     zone = NEITHER
+    raw: int | None = None  # place in the stack of an unclosed raw element
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         if parts:
@@ -122,16 +183,38 @@ def read_lines(page: str | None) -> list[tuple[str, int]]:
                 if stack[i][0] == tag:
                     del stack[i:]
                     zone = stack[-1][1] if stack else NEITHER
+                    if raw is not None and i <= raw:
+                        raw = None
                     break
             continue
         if tag in _RAW:
             flush()
-            if not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>|</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                if tag == "head" and end is None:
-                    continue
-                at = end.end() if end else n
+            if attrs.endswith("/"):
+                continue
+            if tag in _TEXT_ONLY:
+                end = None
+                if tag not in ends:
+                    end = re.compile(rf"</{tag}\s*>|</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                    if end is None:
+                        ends[tag] = {}
+                to = end.end() if end else -1
+            else:
+                if tag not in ends:
+                    ends[tag] = _raw_ends(page, tag)
+                to = ends[tag].get(at, -1)
+            if to >= 0:
+                at = to
+            elif tag in ("script", "style"):
+                break
+            elif tag != "head":  # not closed: up to the next block or the end of its parent
+                raw = len(stack) if raw is None else raw
+                stack.append((tag, FURNITURE))
+                zone = FURNITURE
             continue
+        if raw is not None and tag in _BLOCKS:
+            flush()
+            del stack[raw:]
+            raw, zone = None, stack[-1][1] if stack else NEITHER
         if tag in _INLINE:
             if not _hidden_inline(attrs):
                 continue
@@ -146,12 +229,13 @@ def read_lines(page: str | None) -> list[tuple[str, int]]:
         stack.append((tag, inner))
         zone = inner
     flush()
-    return out
+    listed = FURNITURE if any(z == MAIN for _, z in out) else MAIN
+    return [(t, z if z <= FURNITURE else listed if z == _LISTED_MAIN else FURNITURE) for t, z in out]
 
 
 def _hidden_inline(attrs: str) -> bool:
     """An inline element whose class or id names furniture opens a zone of its own."""
-    return bool(attrs) and any(set(re.split(r"[\s_-]+", "".join(v).lower())) & _FURNITURE_WORDS for k, *v in _ATTR.findall(attrs) if k.lower() != "role")
+    return bool(attrs) and any(_furniture_words(t) for k, *v in _ATTR.findall(attrs) if k.lower() != "role" for t in "".join(v).lower().split())
 
 
 def split_url(url: str | None) -> tuple[str, str]:

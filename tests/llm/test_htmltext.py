@@ -113,3 +113,27 @@ def test_copies_outside_articles_keep_their_text(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old[0])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+
+
+def test_page_wrappers_do_not_swallow_the_article():
+    for wrapper in ("class='layout has-sidebar'", "id='page' class='no-banner'", "class='social-policy'", "class='sidebar'", "id=banner", "class=widget"):
+        page = f"<body><div {wrapper}><nav>menu</nav><article class='has-comments'><p>text</article></div>"
+        assert htmltext.read_lines(page) == [("menu", 2), ("text", 1)], wrapper
+    assert text_of("<section class='social-policy'><p>On social policy</section><div class='nav-open'>shown</div>") == ["On social policy", "shown"]
+    for name in ("site-footer", "main_nav", "cookie-notice", "sidebar-left", "ad-slot-3", "footer-legal", "post-comments", "share-buttons", "ad"):
+        assert text_of(f"<div class='x {name}'>furniture</div>text") == ["text"], name
+    # readers' comments stay furniture; a list of other articles is the content only of a page without its own
+    assert text_of("<article>own</article><div id=comments><article>first!</article></div><article class='comment'>2nd</article>") == ["own"]
+    other = "<div class='related-posts'><article>other</article></div>"
+    assert text_of("<main>own" + other + "</main>") == ["own"] and text_of(other) == ["other"]
+    assert text_of("<div class=related><main>own</main></div>") == ["own"]
+
+
+def test_unclosed_raw_elements_end_with_their_parent():
+    for tag in ("button", "select", "svg", "object", "video", "textarea", "noscript"):
+        assert text_of(f"<article><p>one <{tag}>raw</p><p>two</p></article>") == ["one", "two"], tag
+        assert text_of(f"<article><p>one<div><{tag}>raw</div>two</article><p>three") == ["one", "two", "three"], tag
+        assert text_of(f"<article><{tag}>raw<p>one</article><div>two</div>") == ["one", "two"], tag
+    for tag in ("button", "svg", "object", "video"):  # the end tag of another element
+        assert text_of(f"<article><p><{tag}>raw<p>one</article><footer><{tag}>x</{tag}></footer><p>two") == ["one", "two"], tag
+    assert text_of("<p>a<object><object>x</object>y</object>b<svg/>c<style>never closed <p>d") == ["a", "b", "c"]
