@@ -2,16 +2,20 @@
 
 Learning (``fit``): a word stands for up to three tokens, itself and its 4- and 5-byte
 beginnings.  Over labelled texts (one per exact copy), each token's log-odds between
-toxic and other texts gets an informative Dirichlet prior (its share of all labelled
-texts, ``PRIOR`` texts strong); tokens with log-odds of ``LEAST_ODDS`` and z of ``LEAST_Z``
-form the lexicon.  At most ``sample`` labelled rows (by a hash of doc_id) are used.
-
-Scoring (``score``): each word scores its largest log-odds, any other word -``GAP``.  One
-linear scan (Ruzzo-Tompa) yields every maximal scoring segment of the whole text.  Under
+toxic and other texts is shrunk by an informative Dirichlet prior: ``PRIOR`` texts of the
+classes' overall shares, so a token of few texts says little and no token is left out.
+At most ``sample`` labelled rows (by a hash of doc_id) are used; the lexicon is every
+token of theirs.
+
+Scoring (``score``): each word scores the mean log-odds of its known tokens, negative ones
+too (0 if none is known), less a shift of ``SHIFT`` standard deviations above the mean of
+the words of clean training texts, so the mean under clean text is below 0.  One linear
+scan (Ruzzo-Tompa) yields every maximal scoring segment of the whole text.  Under
 clean text the number of segments of score s in n words is n K exp(-lambda s); K and
 lambda come from the clean training texts, and a segment is a passage if that E-value
 is at most ``SIGNIFICANT``.  A text's evidence, the sum of -log p of its segments, with
 their scores and the length, goes through a logistic calibration to a score of 0 to 1.
+Whatever is learnt from the training texts' scores counts each without itself.
 
 Defined results: null and empty texts get the score of a text without evidence; without
 labels of both classes the score is the share of label 1 (0 if none); labels that are null
@@ -35,11 +39,8 @@ from . import bytewords as bw
 from .workers import ready
 
 SAMPLE_ROWS = 20_000
-LEXICON = 50_000
 PRIOR = 20.0
-LEAST_ODDS = 3.0
-LEAST_Z = 3.0
-LEAST_TEXTS = 5
+SHIFT = 3.0
 GAP = 0.2
 SIGNIFICANT = 0.05
 THRESHOLD = 0.3
@@ -50,6 +51,7 @@ _BEGINNINGS = (4, 5)
 class Model:
     tokens: np.ndarray  # sorted hashes
     odds: np.ndarray
+    shift: float
     decay: float  # lambda
     rate: float  # K
     weights: np.ndarray  # logistic: intercept, evidence, sum of segment scores, log of length
@@ -113,36 +115,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
     total = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = total.get(0, 0), total.get(1, 0)
     base = n1 / max(1, n0 + n1)
-    flat = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, np.zeros(4), np.zeros(3), np.ones(3), base)
+    flat = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 1.0, 1.0, np.zeros(4), np.zeros(3), np.ones(3), base)
     if not n0 or not n1:
         return flat
+    # every token of the bounded sample: 24 bytes each
     counts = train.mapInArrow(_count_tokens, "token long, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    share = (F.col("n0") + F.col("n1")) / float(n0 + n1)
-    a1, a0 = F.col("n1") + PRIOR * share, F.col("n0") + PRIOR * share
-    odds = F.log(a1 / (n1 + PRIOR - a1)) - F.log(a0 / (n0 + PRIOR - a0))
-    z = odds / F.sqrt(1 / a1 + 1 / a0)
-    chosen = (
-        counts.where((F.col("n1") >= LEAST_TEXTS) & (a1 < n1 + PRIOR) & (a0 < n0 + PRIOR))
-        .select("token", odds.alias("odds"), z.alias("z"))
-        .where((F.col("odds") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z))
-        .orderBy(F.desc("z"), "token")
-        .limit(LEXICON)
-        .collect()
-    )
-    tokens = np.array([r.token for r in chosen], np.int64).view(np.uint64)
+    got = counts.toArrow()
+    tokens, k0, k1 = (got.column(c).to_numpy() for c in ("token", "n0", "n1"))
+    tokens = tokens.view(np.uint64)
     order = np.argsort(tokens)
-    flat.tokens, flat.odds = tokens[order], np.minimum(np.array([r.odds for r in chosen], float), 8.0)[order]
+    flat.tokens, k0, k1 = tokens[order], k0[order], k1[order]
+    flat.odds = _log_odds(k0, k1, base)
+    # what a text of class 0 or 1 sees without itself; a token of no other text is unknown (NaN)
+    others = [np.where(k0 + k1 > 1, _log_odds(k0 - (c == 0), k1 - (c == 1), base), np.nan) for c in (0, 1)]
+    words = train.where("toxic = 0").mapInArrow(_word_sums(flat, others), "n long, s double, q double")
+    n, s, q = words.agg(F.sum("n"), F.sum("s"), F.sum("q")).first()
+    if n:
+        flat.shift = s / n + SHIFT * math.sqrt(max(0.0, q / n - (s / n) ** 2))
+    flat.shift = max(flat.shift, 1e-3)
     # calibration, on the same bounded sample: at most ``sample`` rows of a few numbers
-    got = train.mapInArrow(_scorer(flat, raw=True), "toxic int, n long, segments array<double>").collect()
-    return _calibrate(flat, got)
+    rows = train.mapInArrow(_scorer(flat, others=others), "toxic int, n long, segments array<double>").collect()
+    return _calibrate(flat, rows)
+
+
+def _log_odds(n0: np.ndarray, n1: np.ndarray, base: float) -> np.ndarray:
+    """Shrunk log-odds of texts with a token being toxic, against those of all texts."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.log((n1 + PRIOR * base) / (n0 + PRIOR * (1 - base))) - math.log(base / (1 - base))
 
 
 def _calibrate(model: Model, rows: list) -> Model:
     clean = [(r.n, r.segments) for r in rows if not r.toxic]
     words = max(1, sum(n for n, _ in clean))
-    seen = np.array([s for _, seg in clean for s in seg] or [LEAST_ODDS], float)
+    seen = np.array([s for _, seg in clean for s in seg] or [model.shift], float)
     low = float(np.min(seen))
-    model.decay = 1.0 / max(0.25, float(np.mean(seen)) - low)
+    model.decay = 1.0 / max(0.05, float(np.mean(seen)) - low)
     model.rate = max(1, len(seen)) / words * math.exp(model.decay * low)
     x = np.array([_features(model, r.n, np.array(r.segments, float)) for r in rows])
     y = np.array([r.toxic for r in rows], float)
@@ -166,24 +173,26 @@ def segments(position: np.ndarray, score: np.ndarray, gap: float = GAP) -> list[
 
     Words between hits count ``-gap`` each.  Linear in the hits.
     """
-    stack: list[list[float]] = []  # [sum before, sum after, first, last, index of the closest smaller start below]
-    run = 0.0
-    for i in range(len(position)):
-        if i:
-            run -= gap * float(position[i] - position[i - 1] - 1)
-        before, run = run, run + float(score[i])
-        item = [before, run, i, i, -1]
+    between = np.diff(position, prepend=position[:1] - 1) - 1 if len(position) else np.zeros(0)
+    after = np.cumsum(score - gap * between)
+    return _maximal((after - score).tolist(), after.tolist())
+
+
+def _maximal(before: list[float], after: list[float]) -> list[tuple[float, int, int]]:
+    """Maximal scoring segments (score, first, last) of rises in a running sum, from its values before and after each."""
+    stack: list[tuple] = []  # (sum before, sum after, first, last, index of the closest smaller start below)
+    for i in range(len(before)):
+        item = (before[i], after[i], i, i)
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][0] >= item[0]:
-                j = int(stack[j][4])
+                j = stack[j][4]
             if j < 0 or stack[j][1] >= item[1]:
-                item[4] = j
-                stack.append(item)
+                stack.append((*item, j))
                 break
-            item = [stack[j][0], item[1], stack[j][2], item[3], -1]
+            item = (stack[j][0], item[1], stack[j][2], item[3])
             del stack[j:]
-    return [(s[1] - s[0], int(s[2]), int(s[3])) for s in stack]
+    return [(s[1] - s[0], s[2], s[3]) for s in stack]
 
 
 def _e_values(model: Model, n: int, s: np.ndarray) -> np.ndarray:
@@ -198,34 +207,59 @@ def _features(model: Model, n: int, s: np.ndarray) -> list[float]:
     return [float(-np.log(np.maximum(p, 1e-300)).sum()), float(s.sum()), math.log1p(n)]
 
 
-def _scorer(model: Model, raw: bool = False, carry: tuple[str, ...] = (), below: float | None = None):
-    """Rows scored; ``raw``: what calibration needs; ``below``: the batches' own rows with a lower score."""
+def _word_odds(model: Model, odds: list[np.ndarray], h: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+    """Mean log-odds of each word's known tokens, 0 if none is known; ``which`` of ``odds`` holds for each word."""
+    _, at, word = np.unique(h[:, 0], return_index=True, return_inverse=True)  # a word's hash stands for all its tokens
+    few = h[at]
+    place = np.minimum(np.searchsorted(model.tokens, few), len(model.tokens) - 1)
+    found = (model.tokens[place] == few) & (few != 0)
+    out = []
+    for o in odds:
+        value = o[place]
+        known = found & ~np.isnan(value)
+        out.append((np.where(known, value, 0.0).sum(axis=1) / np.maximum(1, known.sum(axis=1)))[word])
+    return out[0] if which is None else np.where(which > 0, out[1], out[0])
+
+
+def _word_sums(model: Model, odds: list[np.ndarray]):
+    """Number, sum and sum of squares of the words' log-odds in texts of class 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, data, offsets in bw.slices(b.column("text")):
+                h, _, _ = _tokens(data, offsets)
+                if len(h):
+                    v = _word_odds(model, odds[:1], h)
+                    yield pa.RecordBatch.from_arrays([pa.array([len(v)]), pa.array([float(v.sum())]), pa.array([float((v * v).sum())])], names=["n", "s", "q"])
+
+    return run
+
+
+def _scorer(model: Model, others: list[np.ndarray] | None = None, carry: tuple[str, ...] = (), below: float | None = None):
+    """Rows scored; ``others``: what calibration needs, by these log-odds of either class; ``below``: the batches' own rows with a lower score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << 20, bool)
-        table[(model.tokens & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         blank = _features(model, 0, np.zeros(0))
         for b in batches:
             n_rows = b.num_rows
             n_words = np.zeros(n_rows, np.int64)
             found: list[list[tuple[float, int, int]]] = [[] for _ in range(n_rows)]
+            toxic = b.column("toxic").to_numpy(zero_copy_only=False) if others else None
             for first, data, offsets in bw.slices(b.column("text")):
                 h, doc, count = _tokens(data, offsets)
                 n_words[first : first + len(count)] = count
                 if not len(model.tokens) or not len(h):
                     continue
-                maybe = np.flatnonzero(table[(h & np.uint64((1 << 20) - 1)).astype(np.int64)].any(axis=1))
-                at = np.minimum(np.searchsorted(model.tokens, h[maybe]), len(model.tokens) - 1)
-                value = np.where(model.tokens[at] == h[maybe], model.odds[at], 0.0).max(axis=1)
-                hit, value = maybe[value > 0], value[value > 0]
+                value = _word_odds(model, others or [model.odds], h, toxic[first + doc] if others else None) - model.shift
                 start = np.concatenate(([0], np.cumsum(count)))
-                owner = doc[hit]
-                bounds = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(hit) else []
-                for a, z in zip(bounds[:-1], bounds[1:]) if len(hit) else ():
-                    o = owner[a]
-                    place = hit[a:z] - start[o]
-                    found[first + o] = [(s, int(place[f]), int(place[e]) + 1) for s, f, e in segments(place, value[a:z])]
-            if raw:
+                for o in np.unique(doc[value > 0]):
+                    v = value[start[o] : start[o + 1]]
+                    up = np.concatenate(([False], v > 0, [False]))
+                    rise, fall = np.flatnonzero(up[1:] & ~up[:-1]), np.flatnonzero(up[:-1] & ~up[1:])  # runs of positive words
+                    run_sum = np.concatenate(([0.0], np.cumsum(v)))
+                    got = _maximal(run_sum[rise].tolist(), run_sum[fall].tolist())
+                    found[first + o] = [(s, int(rise[f]), int(fall[e])) for s, f, e in got]
+            if others:
                 yield pa.RecordBatch.from_arrays(
                     [b.column("toxic"), pa.array(n_words), pa.array([[s for s, _, _ in f] for f in found], pa.list_(pa.float64()))],
                     names=["toxic", "n", "segments"],
@@ -242,7 +276,7 @@ def _scorer(model: Model, raw: bool = False, carry: tuple[str, ...] = (), below:
                     f = [{"first_word": a, "end_word": z, "score": v, "e_value": float(ev)} for (v, a, z), ev in zip(f, e) if ev <= SIGNIFICANT]
                 passages.append(f)
             if len(model.tokens):
-                t = model.weights[0] + ((x - model.mean) / model.scale) @ model.weights[1:]
+                t = model.weights[0] + ((x - model.mean) / model.scale * model.weights[1:]).sum(axis=1)  # equal rows, equal scores
                 p = 1 / (1 + np.exp(-np.clip(t, -30, 30)))
             else:
                 p = np.full(n_rows, model.base)

@@ -88,3 +88,26 @@ def test_query_over_the_table(spark):
     rows = queries.QUERIES["op3_toxicity"](spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def test_mild_and_rare_tokens_count(spark):
+    """No token is toxic in five training texts: each toxic text has words of its own few, and mild ones."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    texts, toxic = [], []
+    for i in range(900):
+        t = [rng.choice(words) for _ in range(rng.randint(20, 60))]
+        if i % 6 == 0:
+            at = rng.randrange(len(t))
+            t[at:at] = [f"{rng.choice('xyz')}{rng.randrange(14)}{rng.choice('uvw')}" for _ in range(8)]
+        texts.append(" ".join(t))
+        toxic.append(int(i % 6 == 0))
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int").where("doc_id < 240 OR toxic = 0 AND doc_id < 600")
+    table = docs(spark, texts)
+    model = toxicity.fit(table, labels)
+    assert (model.odds < 0).any() and (model.odds > 0).any()
+    got = {r.doc_id: r.score for r in toxicity.score(table, model).collect()}
+    held = range(600, 900)
+    found = [got[i] >= 0.3 for i in held if toxic[i]]
+    false = [got[i] >= 0.3 for i in held if not toxic[i]]
+    assert sum(found) >= 0.9 * len(found) and sum(false) <= 0.03 * len(false)
