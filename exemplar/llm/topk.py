@@ -14,8 +14,9 @@ The bound is rigorous (Cauchy-Schwarz on both quantisation residuals), so the re
 is exact; a coarse sum that tells little only means more boundary rows.
 
 Defined results: vectors that are null, empty or hold null or non-finite components
-take no part; a query meets the vectors of its own length only; rows with the query's
-own id are no candidates; equal scores go to the smaller id, then repeated rows follow
+take no part; nor do rows without an id, which no comparison tells from the query's own
+(the SQL's ``<>`` drops them too); a query meets the vectors of its own length only; rows
+with the query's own id are no candidates; equal scores go to the smaller id, then repeated rows follow
 each other; a repeated query row is answered once per row; an empty table gives an
 empty result.  Components must keep the products within 63 bits (checked).
 """
@@ -52,7 +53,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -
     ``vectors`` has vec_id and embedding; ``is_query`` marks the query rows.
     """
     ready(vectors.sparkSession)
-    rows = vectors.select("vec_id", quantised(F.col("embedding"), scale).alias("x"), is_query.alias("q")).where("x IS NOT NULL")
+    rows = vectors.select("vec_id", quantised(F.col("embedding"), scale).alias("x"), is_query.alias("q")).where("x IS NOT NULL AND vec_id IS NOT NULL")
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("dim", F.size("x"))
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("m")).first()
     slots = max(1, -(-sizes.n // SLOT_ROWS))

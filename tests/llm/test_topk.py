@@ -54,3 +54,17 @@ def test_fewer_candidates_than_k_and_empty(spark):
     rows = [(0, [1.0, 0.0], 0, 0), (1, [0.0, 1.0], 0, 0)]
     assert run(spark, rows, 1) == brute(rows, 1)
     assert run(spark, [], 1) == []
+
+
+def test_null_ids_beside_ids_above_2_to_53(spark):
+    import pyarrow as pa
+
+    big = 50 * (2**53 // 50 + 1)  # a query; its neighbours differ from it in the last bits only
+    rows = [(big + i, [1.0, 0.25 * (i % 3)], 0, 0) for i in range(9)]
+    rows += [(None, [9.0, 9.0], 0, 0), (None, [1.0, 0.0], 0, 0), (None, None, 0, 0), (50, [1.0, 1.0], 0, 0)]
+    expected = brute([r for r in rows if r[0] is not None], 50)
+    assert {q for q, *_ in expected} == {50, big} and len(expected) == 10
+    assert run(spark, rows, 50) == expected
+    table = pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))})
+    told = oracle(SQL["op10_exact_topk"], embeddings=table)
+    assert sorted(told[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == expected
