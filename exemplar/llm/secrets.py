@@ -1,9 +1,9 @@
 """Secret scan with Spark expressions only: base patterns and a randomness test battery.
 
 ``scan`` finds, per text, the base kinds (assign, access, hex) and, beside them,
-random-looking tokens.  A token of 20 or more characters of the base-64 alphabets
-with letters and digits is a candidate; its encoding is inferred (hex, base32,
-lower case and digits, base64), and the battery tests it against that alphabet:
+random-looking tokens.  Every token of 20 or more characters of the base-64 alphabets
+is a candidate, words included; its encoding is inferred (decimal, hex, base32, lower
+case and digits, base64), and the battery tests it against that alphabet:
 
 * chi-squared uniformity of its symbols (Wilson-Hilferty normal approximation),
 * runs above and below the middle of the alphabet,
@@ -13,7 +13,8 @@ A candidate is random if none of the three rejects randomness at ``PASS`` and
 its chi-squared statistic is too small for text, whose symbols are unevenly used:
 under text it is non-central with ``TEXT_EXCESS`` per symbol.  The text p-values go
 through Benjamini-Hochberg control at ``RATE`` over all candidates of a length
-class (powers of two), from a histogram of p-values, so short tokens need more.
+class (powers of two), from a histogram of p-values, so short tokens need more.  Only a token
+with fewer than two symbols (padding) can't be tested.
 
 Defined results: null text is empty and has no spans; repeated rows each get their
 own result; an empty table gives an empty result; the caller names the columns to
@@ -42,7 +43,7 @@ PASS = 0.001
 #: False-discovery rate within a length class.
 RATE = 0.05
 #: Per symbol, how much text exceeds the chi-squared statistic of uniform symbols, by alphabet size.
-TEXT_EXCESS = {16: 0.9, 32: 1.0, 36: 1.3, 64: 2.5}
+TEXT_EXCESS = {10: 0.9, 16: 0.9, 32: 1.0, 36: 1.3, 64: 2.5}
 _BLOCK = 64
 
 
@@ -97,10 +98,11 @@ def _normal_cdf(z: Column) -> Column:
 
 def _tested(value: Column) -> Column:
     """(size of the inferred alphabet, symbol numbers) of a candidate."""
+    decimal = value.rlike("^[0-9]+$")
     hexa = value.rlike("^([0-9a-f]+|[0-9A-F]+)$")
     base32 = value.rlike("^[A-Z2-7]+=*$")
     lower = value.rlike("^[a-z0-9]+$")
-    size = F.when(hexa, 16).when(base32, 32).when(lower, 36).otherwise(64)
+    size = F.when(decimal, 10).when(hexa, 16).when(base32, 32).when(lower, 36).otherwise(64)
     digits = F.lit("0123456789abcdefghijklmnopqrstuvwxyz")
     alphabet = (
         F.when(hexa, F.lit("0123456789abcdef"))
@@ -180,8 +182,8 @@ def _scan(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     for kind, pattern, least, group in BASE:
         keep = _long_enough(pattern, least, group)
         df = _spans(df, kind, FASTER.get(kind, pattern), keep)
-    mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
-    df = _spans(df, "random", CANDIDATE, mixed)
+    testable = lambda s: s["value"].rlike("[^=]=*[^=]")
+    df = _spans(df, "random", CANDIDATE, testable)
     df = df.withColumn("_symbols", F.transform("random", lambda s: _tested(s["value"])))
     df = df.withColumn(
         "random",

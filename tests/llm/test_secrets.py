@@ -77,3 +77,16 @@ def test_redact_keeps_rows_and_columns(spark):
 def test_empty_table(spark):
     assert secrets.scan(docs(spark, [])).collect() == []
     assert secrets.redact(docs(spark, [])).collect() == []
+
+
+def test_tokens_without_digits_or_without_letters(spark):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"
+    of = lambda alphabet, n: ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(40)]
+    keys = of(letters, 40) + of(letters[:26], 40) + of("0123456789", 60)
+    words = ["pneumonoultramicroscopicsilicovolcanoconiosis", "antidisestablishmentarianism", "the-internationalisation-of-the-telecommunications", "-" * 80]
+    words += ["=" * 40, "a" + "=" * 30, "=" * 30 + "a", "+" + "=" * 30, "0" * 40, "1234" * 10, "Donaudampfschifffahrtsgesellschaftskapitaen", "some/path/to/the/documentation/index"]
+    found = {r.doc_id: [s.kind for s in r.spans if s.kind == "random"] for r in secrets.scan(docs(spark, keys + words * 5)).collect()}
+    for a in (0, 40, 80):
+        assert sum(bool(found[i]) for i in range(a, a + 40)) >= 20, a
+    assert sum(bool(found[i]) for i in range(120, 120 + len(words) * 5)) <= 5
