@@ -1,7 +1,7 @@
 """Byte-level BPE with a lexicon automaton.
 
 ``build_lexicon`` counts the pre-tokens of all documents (a slice of about 1 MB reports
-those that make up at least ``SHARE`` of its tokens), takes the ``LEXICON`` most frequent
+each of its words once, with its count), takes the ``LEXICON`` most frequent
 and compiles them into a minimal acyclic transducer: states with equal futures are
 shared, and each arc outputs how many words pass before it, so the outputs along a
 word add up to its number, under which its ids are stored.  The automaton is written to
@@ -38,7 +38,6 @@ from . import bytewords as bw
 from .workers import ready
 
 LEXICON = 65_536
-SHARE = 2e-5
 
 
 class Merger:
@@ -247,10 +246,9 @@ def _count_words(batches: Iterator[pa.RecordBatch], vocab: bb.Vocabulary) -> Ite
                 continue
             h = bw.span_hashes(bw.prefix_sums(bw.BYTE_CODES[data]), s, e)
             _, first, count = np.unique(h, return_index=True, return_counts=True)
-            often = count >= max(2, SHARE * len(s))
-            raw = data.tobytes()
-            words = [raw[s[i] : e[i]] for i in first[often]]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(count[often], pa.int64())], names=["word", "n"])
+            size = e[first] - s[first]
+            words = bw.binary_rows(bb.gather(data, s[first], size), np.concatenate(([0], np.cumsum(size))))
+            yield pa.RecordBatch.from_arrays([words, pa.array(count, pa.int64())], names=["word", "n"])
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> str:

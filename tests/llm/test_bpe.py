@@ -123,3 +123,19 @@ def test_pretokens_are_those_of_the_pattern(texts):
     by = {}
     for a, z, x in zip(s, e, h.tolist()):
         assert by.setdefault(data[a:z].tobytes(), x) == x
+
+
+def test_lexicon_counts_words_spread_thinly(spark, tokenizer):
+    from pyspark import SparkFiles
+
+    texts = [f"thin {w} {w} {w}" for w in ("alpha", "beta", "gamma", "delta", "epsilon")]  # " thin" never twice in a slice
+    table = docs(spark, ["x thin" + t[4:] for t in texts]).repartition(5, "doc_id").sortWithinPartitions("doc_id")
+    assert table.rdd.getNumPartitions() == 5
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a slice per text
+        lexicon = bpe.Lexicon.mapped(SparkFiles.get(bpe.build_lexicon(table, tokenizer, size=1)))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    data = np.frombuffer(b" thin alpha", np.uint8)
+    assert lexicon.numbers(data, np.array([0, 5]), np.array([5, 11])).tolist() == [0, -1]
