@@ -14,6 +14,7 @@ are never hashed: the first pass over a document is one table look-up per shingl
 
 Items are processed in blocks of about ``BLOCK_BYTES`` of text, each broadcast on its own
 and scanned against all documents, so the broadcast does not grow with the item set.
+Repeated item rows are one row with its count, so they don't fill a block.
 
 Defined results: null or empty documents and items without words match nothing; repeated
 items and repeated documents are reported each; other columns are ignored unless carried.
@@ -40,8 +41,8 @@ _TABLE_BITS = 22
 class Items:
     """A block of items of one shingle length: their shingle sets and MinHash index."""
 
-    def __init__(self, length: int, ids: list[int], sets: list[np.ndarray], threshold: float) -> None:
-        self.length, self.ids, self.sets = length, ids, sets
+    def __init__(self, length: int, ids: list[int], sets: list[np.ndarray], copies: list[int], threshold: float) -> None:
+        self.length, self.ids, self.sets, self.copies = length, ids, sets, copies
         self.need = [math.ceil(threshold * len(s) - 1e-9) for s in sets]
         self.seeds = bw.mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64))
         part = [int(len(s)).bit_length() - 1 for s in sets]
@@ -103,23 +104,24 @@ class Items:
 
 def _blocks(items: DataFrame, n: int, threshold: float) -> Iterator[list[Items]]:
     """The item set in blocks of bounded text, each as one ``Items`` per shingle length."""
-    rows = items.select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = items.select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).groupBy("item_id", "text").agg(F.count("*").alias("copies"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for b in range(blocks):
-        got = rows.where(F.col("block") == b).select("item_id", "text").orderBy("item_id", "text").collect()  # bounded by BLOCK_BYTES
-        by_length: dict[int, tuple[list, list]] = {}
+        got = rows.where(F.col("block") == b).select("item_id", "text", "copies").orderBy("item_id", "text").collect()  # bounded by BLOCK_BYTES
+        by_length: dict[int, tuple[list, list, list]] = {}
         for r in got:
             data = np.frombuffer(r.text.encode(), dtype=np.uint8)
             h, doc = bw.word_hashes(data, np.array([0, len(data)]), bw.ALNUM)
             if len(h):
                 length = min(n, len(h))
                 sh, _ = bw.shingle_hashes(h, doc, 1, length, short=False)
-                ids, sets = by_length.setdefault(length, ([], []))
+                ids, sets, copies = by_length.setdefault(length, ([], [], []))
                 ids.append(r.item_id)
                 sets.append(np.unique(sh))
-        yield [Items(length, ids, sets, threshold) for length, (ids, sets) in sorted(by_length.items())]
+                copies.append(r.copies)
+        yield [Items(length, ids, sets, copies, threshold) for length, (ids, sets, copies) in sorted(by_length.items())]
 
 
 def _matches(column: pa.Array, block: list[Items]) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
@@ -139,7 +141,7 @@ def _matches(column: pa.Array, block: list[Items]) -> Iterator[tuple[int, list[t
                 d = int(owner[a])
                 lo, hi = np.searchsorted(sd, d), np.searchsorted(sd, d, side="right")
                 for item, shared in items.contained(sh[lo:hi], at[a:z] - lo, element[a:z]):
-                    found.setdefault(d, []).append((items.ids[item], len(items.sets[item]), shared))
+                    found.setdefault(d, []).extend([(items.ids[item], len(items.sets[item]), shared)] * items.copies[item])
         for d, m in sorted(found.items()):
             yield first + d, m
 

@@ -81,3 +81,13 @@ def test_repeated_rows_and_empty_tables(spark):
     items = [(1, texts[0]), (1, texts[0]), (2, texts[0])]
     assert run(spark, texts, items) == sorted((d, i, 2, 2) for d in range(3) for i in (1, 1, 2))
     assert run(spark, [], items) == [] and run(spark, texts, []) == []
+
+
+def test_repeated_items_do_not_fill_a_block(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1500)
+    text = " ".join(f"w{i}" for i in range(30))
+    items = [(1, text)] * 400 + [(i, text + f" x{i} y{i}") for i in range(2, 40)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    size = [sum(len(part.sets) for part in block) for block in decontaminate._blocks(table, 5, 0.8)]
+    assert sum(size) == 39 and max(size) < 39
+    assert run(spark, [text, "other"], items) == brute([text, "other"], items)
