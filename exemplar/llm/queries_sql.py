@@ -82,3 +82,30 @@ WITH RECURSIVE w AS (
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
+
+# the first four 8-digit groups of a hex digest as numbers
+_HASHES = """list_transform(range(0, 4), lambda i: list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9),
+      lambda j: (strpos('0123456789abcdef', d[8 * i + j]) - 1)::BIGINT)), lambda x, y: 16 * x + y))"""
+
+SQL["op13_infill"] = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w FROM documents
+), h AS (
+  SELECT *, len(w) AS n, {_HASHES} AS h FROM t
+), c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+  SELECT doc_id, n, form, text, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle,
+    array_to_string(w[b + 1:n], '') AS suffix FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
