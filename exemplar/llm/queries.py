@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import table
-from . import bpe, chat, decontaminate, htmltext, infill, jaccard, licenses, records, secrets, topk, toxicity
+from . import bpe, chat, decontaminate, htmltext, infill, jaccard, licenses, mixture, records, secrets, topk, toxicity
 from .queries_sql import SQL  # noqa: F401
 
 #: Two rows added to the conversations: texts that hold other templates' markers.
@@ -99,6 +99,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(table(spark, sf_dir, "documents"))
 
@@ -114,5 +118,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_exact_topk": op10_exact_topk,
+    "op11_source_mix": op11_source_mix,
     "op13_infill": op13_infill,
 }

@@ -109,3 +109,50 @@ SELECT doc_id, n::BIGINT AS n, form,
   sha256(text) AS restored_sha256
 FROM p
 """
+
+# clamped sources are the first ones by cap / weight; the cuts of a source follow class by class, longest documents first
+SQL["op11_source_mix"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+    md5('1:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS m FROM documents
+), r AS (
+  SELECT doc_id, source, size, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS class,
+    256 * (strpos('0123456789abcdef', m[1]) - 1) + 16 * (strpos('0123456789abcdef', m[2]) - 1) + strpos('0123456789abcdef', m[3]) - 1 AS place FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::BIGINT AS cap,
+    [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM r GROUP BY source
+), o AS (
+  SELECT *, 0.75::DOUBLE * sum(cap) OVER () AS goal, sum(weight) OVER () AS weights,
+    coalesce(sum(cap) OVER b, 0) AS cap_before, coalesce(sum(weight) OVER b, 0) AS weight_before
+  FROM s WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), c AS (
+  SELECT *, cap * (weights - weight_before) <= weight * (goal - cap_before) AS clamped FROM o
+), g AS (
+  SELECT *, sum(CASE WHEN clamped THEN cap ELSE 0 END) OVER () AS given, sum(CASE WHEN clamped THEN 0 ELSE weight END) OVER () AS open FROM c
+), t AS (
+  SELECT source, source_size, CASE WHEN clamped THEN cap ELSE weight * (goal - given) / open END AS target FROM g
+), f AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
+    CASE WHEN source_size > 0 THEN (target - floor(target / source_size) * source_size) / source_size ELSE 0 END AS fraction FROM t
+), h AS (
+  SELECT source, class, place, sum(size)::BIGINT AS words FROM r GROUP BY ALL
+), k AS (
+  SELECT source, class, row_number() OVER (PARTITION BY source ORDER BY class DESC) AS step,
+    sum(sum(words)) OVER (PARTITION BY source ORDER BY class DESC) AS seen FROM h GROUP BY source, class
+), e AS (
+  SELECT source, class, 0 AS cut, 0 AS sums FROM k
+  UNION ALL SELECT source, class, place + 1, sum(words) OVER (PARTITION BY source, class ORDER BY place) FROM h
+), x AS (
+  SELECT e.source, e.class, k.step, k.seen, e.cut, e.sums::BIGINT AS sums, f.fraction FROM e
+  JOIN k ON k.source IS NOT DISTINCT FROM e.source AND k.class = e.class JOIN f ON f.source IS NOT DISTINCT FROM e.source
+), q(source, step, class, taken, cut) AS (
+  SELECT source, 0::BIGINT, -1, 0::BIGINT, 0 FROM f
+  UNION ALL
+  SELECT q.source, q.step + 1, any_value(x.class), arg_min(q.taken + x.sums, [abs(x.fraction * x.seen - (q.taken + x.sums)), x.cut]),
+    arg_min(x.cut, [abs(x.fraction * x.seen - (q.taken + x.sums)), x.cut])
+  FROM q JOIN x ON x.source IS NOT DISTINCT FROM q.source AND x.step = q.step + 1 GROUP BY q.source, q.step
+)
+SELECT r.doc_id, r.size, f.source_size, f.target::DOUBLE AS target, (r.size * (f.whole + CASE WHEN r.place < q.cut THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r JOIN f ON f.source IS NOT DISTINCT FROM r.source JOIN q ON q.source IS NOT DISTINCT FROM r.source AND q.class = r.class
+"""
