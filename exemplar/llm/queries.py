@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import table
-from . import bpe, chat, decontaminate, htmltext, infill, jaccard, licenses, mixture, records, secrets, topk, toxicity
+from . import bpe, chat, decontaminate, htmltext, impacts, infill, jaccard, licenses, mixture, records, secrets, topk, toxicity
 from .queries_sql import SQL  # noqa: F401
 
 #: Two rows added to the conversations: texts that hold other templates' markers.
@@ -103,6 +103,10 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(table(spark, sf_dir, "documents"))
 
@@ -119,5 +123,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_exact_topk": op10_exact_topk,
     "op11_source_mix": op11_source_mix,
+    "op12_lexical_search": op12_lexical_search,
     "op13_infill": op13_infill,
 }

@@ -156,3 +156,30 @@ WITH RECURSIVE d AS (
 SELECT r.doc_id, r.size, f.source_size, f.target::DOUBLE AS target, (r.size * (f.whole + CASE WHEN r.place < q.cut THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r JOIN f ON f.source IS NOT DISTINCT FROM r.source JOIN q ON q.source IS NOT DISTINCT FROM r.source AND q.class = r.class
 """
+
+_TERMS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+SQL["op12_lexical_search"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS w FROM documents
+), g AS (
+  SELECT count(*) FILTER (len(w) > 0)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_words FROM d
+), i AS (
+  SELECT row_number() OVER () AS item, item_id, {_TERMS} AS w FROM benchmark
+), q AS (
+  SELECT DISTINCT item, item_id, unnest(w) AS term FROM i
+), p AS (
+  SELECT row, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d
+), t AS (
+  SELECT row, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*)::BIGINT AS tf FROM p SEMI JOIN q USING (term) GROUP BY row, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, g GROUP BY term
+), s AS (
+  SELECT q.item, q.item_id, t.row, any_value(t.doc_id) AS doc_id,
+    sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * (50 + (50 * t.n * g.n_docs) // g.n_words))))::BIGINT AS score
+  FROM q JOIN t USING (term) JOIN w USING (term), g GROUP BY q.item, q.item_id, t.row
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50
+"""
