@@ -11,8 +11,8 @@ with w = floor(1000 ln((2N + 2) / (2 df + 1))); a score is the inner product, in
 3. Within a chunk of postings the vectors are ordered by length and cut into buckets.
    By Cauchy-Schwarz a bucket whose longest vector times the item's length stays below the
    item's threshold ends the search of the chunk.  In other buckets the item's heaviest
-   terms are its focus: as many as it takes for the rest to stay below the threshold, so a
-   document without a focus term is out.  The rest is bounded twice: by lengths, and by
+   terms are its focus: as many as it takes for the rest to stay below ``FOCUS`` of the
+   threshold, so a document without a focus term is out.  The rest is bounded twice: by lengths, and by
    coordinates (the highest impact of each term in the bucket).  For the others the products of
    the focus terms and the smaller bound of their rest decide; survivors are scored exactly
    from all their terms.
@@ -48,6 +48,8 @@ from .workers import ready
 BLOCK_BYTES = 4 << 20
 CHUNK_POSTINGS = 1 << 21
 BUCKET_ROWS = 2048
+#: The focus of an item leaves less than this share of its threshold to the other terms.
+FOCUS = 1 / 8
 #: The first round reads this share of a chunk's vectors, and one bucket at least.
 FIRST_ROUND = 1 / 16
 
@@ -238,7 +240,7 @@ class Best:
         rest_most = np.minimum(rest * longest, upper * (1 + 1e-9))
         if rest_most[0] < least:
             return
-        focus = int(np.flatnonzero(rest_most < least)[0])
+        focus = int(np.flatnonzero(rest_most < least * FOCUS)[0])
         at = _ranges(low[:focus], lens[:focus])
         impact = bucket.impact[at].astype(np.float64)
         rows = bucket.rows[at]

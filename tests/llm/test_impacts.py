@@ -96,9 +96,11 @@ def test_buckets_and_bounds_prune(monkeypatch):
     df[term[term >= 0]] = count[term >= 0]
     n_docs, n_words = int(count[term == -1][0]), int(count[term == -2][0])
     q.weigh(n_docs, df)
-    best = impacts.Best(q, 10, np.ones(len(items), np.int64))
     chunk = impacts.Chunk(next(impacts._chunks(iter(batches))), n_docs, n_words)
     assert (np.diff(chunk.square) <= 0).all()
+    first = impacts.Best(q, 10, np.ones(len(items), np.int64))
+    first.search(chunk, 256)
+    best = impacts.Best(q, 10, first.least)  # the second round
     best.search(chunk, len(chunk))
     rows = best.rows()
     got = sorted(zip(*(rows.column(c).to_pylist() for c in ("item", "doc_id", "score"))))
