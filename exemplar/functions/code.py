@@ -1,13 +1,10 @@
-"""Code features for reranking (C1-C3, C5) as built-in Column expressions.
+"""Code features for reranking.
 
-No syntax trees: a function header is recognised by a per-language regex, the
-name is its identifier, and the parameter count comes from one pass over the
-tokens after the name with a bracket depth.  Everything is a built-in function,
-computed once per corpus row (at index build) rather than once per (query,
-candidate) pair.
-
-The patterns avoid look-arounds and back-references so the same text works in
-Java regex (Spark) and RE2 (the DuckDB oracle).
+The first function of a text, breadth-first over the nesting tree of ``syntax``, gives
+language, name and parameter count.  They come from one Arrow function per text (lexer,
+brackets and headers in one pass), computed once per corpus row at index build rather than
+once per (query, candidate) pair; the keyword fallback and the similarity are built-in
+Column expressions.
 """
 
 from __future__ import annotations
@@ -16,153 +13,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .memo import cached_column
-
-LANGS = ("rust", "go", "julia", "java")
-
-# Function headers, tried in this order.
-HEADER = {
-    "rust": r"\bfn\s+[A-Za-z_]\w*\s*[<(]",
-    "go": r"\bfunc\s+(?:\([^)]*\)\s*)?[A-Za-z_]\w*\s*[\[(]",
-    "julia": r"\bfunction\s+[A-Za-z_][\w.!]*\s*[{(]",
-    "java": r"\b(?:public|private|protected|static)\b[^;{=()]*?\b[A-Za-z_]\w*\s*\([^)]*\)\s*(?:throws\s+[\w.,\s]+)?\{",
-}
-
-# Method name: first capture group.
-NAME = {
-    "rust": r"\bfn\s+([A-Za-z_]\w*)",
-    "go": r"\bfunc\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)",
-    "julia": r"\bfunction\s+([A-Za-z_]\w*)",
-    "java": r"\b(?:public|private|protected|static)\b[^;{=()]*?\b([A-Za-z_]\w*)\s*\(",
-}
-
-# Forms without the keyword: Julia ``name(args) = body`` and Java methods without a modifier.
-JULIA_SHORT = r"(?m)^[ \t]*([A-Za-z_][\w!]*)\((?:[^\n()]|\([^\n()]*\))*\)[ \t]*(?:where[^\n=]*)?=[^=]"
-JAVA_PLAIN = r"(?m)^[ \t]*(?:[A-Za-z_][\w.<>\[\]]*[ \t]+)+([A-Za-z_]\w*)[ \t]*\([^)]*\)\s*(?:throws\s+[\w.,\s]+)?\{"
-SHORT = {"julia": JULIA_SHORT, "java": JAVA_PLAIN}
-NOT_NAMES = ("if", "for", "while", "switch", "catch", "synchronized", "function", "fn", "func")
-
-# What follows the name of the first function, up to the end of the text.
-AFTER_NAME = {
-    "rust": r"(?s)\bfn\s+[A-Za-z_]\w*(.*)",
-    "go": r"(?s)\bfunc\s+(?:\([^)]*\)\s*)?[A-Za-z_]\w*(.*)",
-    "julia": r"(?s)\bfunction\s+[A-Za-z_][\w.!]*(.*)",
-    "java": r"(?s)\b(?:public|private|protected|static)\b[^;{=()]*?\b[A-Za-z_]\w*\s*(\(.*)",
-}
-AFTER_SHORT = {
-    "julia": r"(?s)(?:^|\n)[ \t]*[A-Za-z_][\w!]*(\((?:[^\n()]|\([^\n()]*\))*\)[ \t]*(?:where[^\n=]*)?=[^=].*)",
-    "java": r"(?s)(?:^|\n)[ \t]*(?:[A-Za-z_][\w.<>\[\]]*[ \t]+)+[A-Za-z_]\w*[ \t]*(\([^)]*\)\s*(?:throws\s+[\w.,\s]+)?\{.*)",
-}
-
-# Tokens of a parameter list: arrows and comparisons (whose signs are no brackets), brackets and separators, runs of the rest.
-TOKEN = r"->|=>|<-|<=|>=|[()\[\]{}<>,;]|[^()\[\]{}<>,;=-]+|[=-]"
-OPEN, CLOSE = "([{<", ")]}>"
-RUST_SELF = r"^(?:&\s*(?:'\w+\s+)?)?(?:mut\s+)?self$"
-TRIM = r"^\s+|\s+$"
+from .syntax import first_features
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _short_name(c: Column, lang: str) -> Column:
-    """Name of the first function in the language's form without keyword; '' if none."""
-    name = F.regexp_extract(c, SHORT[lang], 1)
-    return F.when(name.isin(*NOT_NAMES), F.lit("")).otherwise(name)
-
-
-def has_header(c: Column, lang: str) -> Column:
-    found = c.rlike(HEADER[lang])
-    return found | (_short_name(c, lang) != "") if lang in SHORT else found
-
-
-@cached_column
-def detect_language(code) -> Column:
-    """Header regexes in order, then the keyword fallback; null if none."""
-    c = _col(code)
-    expr = None
-    for lang in LANGS:
-        cond = has_header(c, lang)
-        expr = F.when(cond, F.lit(lang)) if expr is None else expr.when(cond, F.lit(lang))
+def _by_keywords(c: Column) -> Column:
+    """C1's fallback for texts without a function; null if no keyword fits."""
     has = lambda s: F.instr(c, s) > 0
-    expr = (
-        expr.when(has("fn ") | has("impl ") | has("pub fn"), F.lit("rust"))
+    return (
+        F.when(has("fn ") | has("impl ") | has("pub fn"), F.lit("rust"))
         .when(has("func ") | has("package "), F.lit("go"))
         .when(has("function ") & has("end"), F.lit("julia"))
         .when((has("public ") | has("private ")) & (has("class ") | has("void ") | has("int ")), F.lit("java"))
     )
-    return expr
-
-
-def _by_lang(lang: Column, fn) -> Column:
-    expr = None
-    for name in LANGS:
-        v = fn(name)
-        expr = F.when(lang == name, v) if expr is None else expr.when(lang == name, v)
-    return expr
 
 
 @cached_column
-def method_name(code, lang: Column | None = None) -> Column:
-    """Name of the first function; '' when there is none."""
+def detect_language(code) -> Column:
+    """The first of Rust, Go, Julia and Java in which the text holds a function, then the keyword fallback; null if none."""
     c = _col(code)
-    lang = detect_language(c) if lang is None else lang
-
-    def name(l: str) -> Column:
-        n = F.regexp_extract(c, NAME[l], 1)
-        return F.when(c.rlike(HEADER[l]), n).otherwise(_short_name(c, l)) if l in SHORT else n
-
-    return F.coalesce(_by_lang(lang, name), F.lit(""))
-
+    return F.coalesce(first_features(c)["lang"], _by_keywords(c))
 
-def _param_items(text: Column, stop: str = ")") -> Column:
-    """Items of the first parenthesised list outside type parameters, without what their brackets hold.
 
-    One pass over the tokens with a bracket depth, so any nesting counts; ``stop`` holds the signs that end the list."""
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    init = F.struct(
-        F.lit(0).alias("depth"), F.lit(0).alias("phase"), F.lit("").alias("cur"), F.array().cast("array<string>").alias("items")
-    )
-
-    def step(s, t):
-        inside = s["phase"] == 1
-        flat = s["depth"] == 0
-        opens = t.isin(*OPEN)
-        closes = t.isin(*CLOSE)
-        begins = (s["phase"] == 0) & flat & (t == "(")
-        ends = inside & flat & t.isin(*stop)
-        comma = inside & flat & (t == ",")
-        here = inside & flat & ~opens & ~closes & ~comma & ~ends
-        new = F.struct(
-            F.when(begins | ends, s["depth"]).when(opens, s["depth"] + 1).when(closes, F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"]).alias("depth"),
-            F.when(begins, 1).when(ends, 2).otherwise(s["phase"]).alias("phase"),
-            F.when(comma | ends | begins, F.lit("")).when(here, F.concat(s["cur"], t)).otherwise(s["cur"]).alias("cur"),
-            F.when(comma | ends, F.array_append(s["items"], s["cur"])).otherwise(s["items"]).alias("items"),
-        )
-        return F.when(s["phase"] == 2, s).otherwise(new)
-
-    # a list that is cut off counts as far as it goes
-    return F.aggregate(tokens, init, step, lambda s: F.when(s["phase"] == 1, F.array_append(s["items"], s["cur"])).otherwise(s["items"]))
-
-
-def _count(lang: str, params: Column) -> Column:
-    items = F.filter(
-        F.transform(params, lambda x: F.regexp_replace(x, TRIM, "")), lambda x: x != F.lit("")
-    )
-    if lang == "rust":
-        kept = F.filter(items, lambda x: ~x.rlike(RUST_SELF) & (F.instr(x, "...") == 0))
-    elif lang == "go":
-        named = F.exists(items, lambda x: F.instr(x, " ") > 0)
-        kept = F.when(
-            named, F.filter(items, lambda x: (F.instr(x, " ") > 0) & (F.instr(x, "...") == 0))
-        ).otherwise(F.filter(items, lambda x: F.instr(x, "...") == 0))
-    elif lang == "julia":
-        kept = F.filter(items, lambda x: (F.instr(x, "=") == 0) & (F.instr(x, "...") == 0))
-    else:
-        kept = F.filter(items, lambda x: F.instr(x, "...") == 0)
-    return F.size(kept)
-
-
-GO_RECEIVER = r"\bfunc\s+\(([^)]*)\)\s*[A-Za-z_]\w*"
+@cached_column
+def method_name(code, lang: Column | None = None) -> Column:
+    """Name of the first function, breadth-first; '' when there is none."""
+    return F.coalesce(first_features(_col(code), lang)["name"], F.lit(""))
 
 
 @cached_column
@@ -172,20 +51,11 @@ def param_count(code, lang: Column | None = None, go_receiver_compat: bool = Fal
     ``go_receiver_compat`` reproduces the original's Go quirk: for a method,
     the first parameter list is the receiver, so the receiver's declarations
     are counted instead of the parameters."""
-    c = _col(code)
-    lang = detect_language(c) if lang is None else lang
+    return _count(first_features(_col(code), lang), go_receiver_compat)
 
-    def count(l: str) -> Column:
-        after = F.regexp_extract(c, AFTER_NAME[l], 1)
-        if l in AFTER_SHORT:
-            after = F.when(c.rlike(HEADER[l]), after).otherwise(F.regexp_extract(c, AFTER_SHORT[l], 1))
-        n = _count(l, _param_items(after, ");" if l == "julia" else ")"))
-        if l == "go" and go_receiver_compat:
-            recv = F.regexp_extract(c, GO_RECEIVER, 1)
-            n = F.when(c.rlike(GO_RECEIVER), _count("go", F.split(recv, ","))).otherwise(n)
-        return F.when(has_header(c, l), n)
 
-    return _by_lang(lang, count).cast("int")
+def _count(found: Column, go_receiver_compat: bool) -> Column:
+    return F.coalesce(found["receiver"], found["params"]) if go_receiver_compat else found["params"]
 
 
 def param_similarity(a, b) -> Column:
@@ -199,34 +69,23 @@ def param_similarity(a, b) -> Column:
 
 
 def with_code_features(df, code: str, prefix: str = "", go_receiver_compat: bool = False):
-    """Adds ``{prefix}lang``, ``{prefix}method_name``, ``{prefix}param_count``.
-
-    Two projections: the language first, then the name and count that read
-    it, which keeps each generated expression small enough for codegen and
-    evaluates the header regexes once per row."""
-    lang_col = f"{prefix}lang"
-    d = df.withColumn(lang_col, detect_language(F.col(code)))
-    lang = F.col(lang_col)
-    return d.withColumn(f"{prefix}method_name", method_name(F.col(code), lang)).withColumn(
-        f"{prefix}param_count", param_count(F.col(code), lang, go_receiver_compat)
+    """Adds ``{prefix}lang``, ``{prefix}method_name``, ``{prefix}param_count``; each text is read once."""
+    held = f"_{prefix}features"
+    d = df.withColumn(held, first_features(F.col(f"`{code}`")))
+    found = F.col(held)
+    return (
+        d.withColumn(f"{prefix}lang", F.coalesce(found["lang"], _by_keywords(F.col(f"`{code}`"))))
+        .withColumn(f"{prefix}method_name", F.coalesce(found["name"], F.lit("")))
+        .withColumn(f"{prefix}param_count", _count(found, go_receiver_compat))
+        .drop(held)
     )
 
 
 def code_features(code) -> list[Column]:
-    """[lang, method_name, param_count] columns for one code column.
-
-    The language is detected once per row and bound as a lambda variable, so
-    the name and parameter expressions reuse it instead of re-running the
-    header regexes (the expression is too large for codegen to de-duplicate)."""
-    from .vectors import bind
-
-    c = _col(code)
-    feats = bind(
-        F.struct(c.alias("code"), detect_language(c).alias("lang")),
-        lambda x: F.struct(
-            x["lang"].alias("lang"),
-            method_name(x["code"], x["lang"]).alias("method_name"),
-            param_count(x["code"], x["lang"]).alias("param_count"),
-        ),
-    )
-    return [feats["lang"].alias("lang"), feats["method_name"].alias("method_name"), feats["param_count"].alias("param_count")]
+    """[lang, method_name, param_count] columns for one code column."""
+    found = first_features(_col(code))
+    return [
+        F.coalesce(found["lang"], _by_keywords(_col(code))).alias("lang"),
+        F.coalesce(found["name"], F.lit("")).alias("method_name"),
+        found["params"].alias("param_count"),
+    ]

@@ -1,10 +1,9 @@
-"""Line-level code jobs without syntax trees.
+"""Tests, imports and stripped files from source texts.
 
-Each text is split into lines and folded with the SQL ``aggregate``
-higher-order function; the fold carries the brace depth and the open segment,
-so it runs per row inside the JVM with no shuffle.  Braces are counted after
-string/char literals and ``//`` comments are removed from the line.  Known
-approximation: braces inside block comments and raw strings are counted.
+``syntax`` gives the nodes of a text (functions, modules, imports, attributes, comments with
+their place in the nesting tree); which of them count, in which order, and how they are put
+together is said here in Column expressions over the array of nodes.  Everything is per row,
+without a shuffle, and linear in the text.
 """
 
 from __future__ import annotations
@@ -13,15 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .memo import cached_column
-from .vectors import bind
+from .syntax import by_depth, of_kind, syntax_nodes, syntax_nodes_each, without_spans
 
-# Patterns (Java regex).
-_STRING = r'"(?:\\.|[^"\\])*"'
-_CHAR = r"'(?:\\.|[^'\\])'"
-_LINE_COMMENT = r"//.*$"
-RUST_FN = r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern\s+\"[^\"]*\")\s+)*fn\s+[A-Za-z_]\w*"
-RUST_TEST_MOD = r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+\w*test\w*"
-GO_FUNC = r"^func\s+[A-Za-z_]\w*"
 TEST_ATTRS = ("#[test]", "#[cfg(test)]")
 RUST_TEST_PREFIX = "    #[test]\n    "
 MAX_TESTS = 10
@@ -31,137 +23,25 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+def _rust_tests(found: Column) -> Column:
+    """X1 over the nodes of a text."""
+    outer = F.filter(of_kind(found, "function"), lambda n: n["functions"] == 0)
+    named = lambda n: (F.instr(n["title"], "test_") > 0) | (F.instr(n["title"], "_test") > 0)
+    return F.transform(by_depth(F.filter(outer, lambda n: n["marked"] | named(n))), lambda n: F.concat(F.lit(RUST_TEST_PREFIX), n["text"]))
 
 
-def _clean(line: Column) -> Column:
-    """The line without string/char literals and ``//`` comments."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(line, _STRING, ""), _CHAR, ""), _LINE_COMMENT, "")
-
-
-def _count(s: Column, ch: str) -> Column:
-    return F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
-
-
-def _line_features(text: Column, **flags) -> Column:
-    """One struct per line, every feature computed once: line, pos, delta
-    (braces opened minus closed), opens, and each ``flags[name](line)``.
-
-    The fold below only reads these fields; computing them inside the fold
-    step would re-evaluate them for every reference (lambda bodies are not
-    de-duplicated)."""
-    lines = _lines(text)
-    cleaned = F.transform(lines, lambda l, i: F.struct(l.alias("line"), i.alias("pos"), _clean(l).alias("clean")))
-    return F.transform(
-        cleaned,
-        lambda x: F.struct(
-            x["line"].alias("line"),
-            x["pos"].alias("pos"),
-            (_count(x["clean"], "{") - _count(x["clean"], "}")).alias("delta"),
-            _count(x["clean"], "{").alias("opens"),
-            *[fn(x["line"], x["clean"]).alias(name) for name, fn in flags.items()],
-        ),
-    )
-
-
-_SEG = "struct<depth:int,pos:int,stop:int,attr:boolean>"
-_EMPTY = "array<string>"
-#: "No open segment": depths themselves may fall below 0 in broken texts.
-NO_DEPTH = -(1 << 30)
-#: A line that ends a declaration without a body.
-_SEMI_END = r";\s*$"
-#: Attributes in front of an item on its own line.
-_ATTRS_BEFORE = r"^\s*(?:#\[[^\]]*\]\s*)+"
-
-
-def brace_segments(text, header: str, top_level_only: bool = False) -> Column:
-    """Segments that start at a line matching ``header`` (outside any open
-    segment; attributes may stand before it on the line) and end on the line
-    where the depth comes back to the header's depth after a '{' was seen.  Each
-    segment records its depth, start line, text (first line without indent and
-    attributes) and whether a ``#[test]`` attribute stands right before it (on
-    its line, or on a line of its own with blank lines allowed in between).
-    Declarations without a body (``;`` before any '{') are no segments, and
-    unclosed ones are dropped.
-
-    The fold carries line numbers only; the text is cut once per segment, so the
-    work is linear in the lines."""
-    feats = _line_features(
-        _c(text),
-        hdr=lambda l, c: F.regexp_replace(l, _ATTRS_BEFORE, "").rlike(header),
-        own_attr=lambda l, c: F.regexp_extract(l, _ATTRS_BEFORE, 0).contains("#[test]"),
-        is_attr=lambda l, c: F.trim(l) == "#[test]",
-        blank=lambda l, c: F.trim(l) == "",
-        semi=lambda l, c: c.rlike(_SEMI_END),
-    )
-    init = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit(NO_DEPTH).alias("start"),
-        F.lit(0).alias("first"),
-        F.lit(False).alias("opened"),
-        F.lit(False).alias("attr"),
-        F.lit(False).alias("seg_attr"),
-        F.array().cast(f"array<{_SEG}>").alias("segs"),
-    )
-
-    def step(s, it):
-        in_seg = s["start"] > NO_DEPTH
-        is_header = it["hdr"] & (s["depth"] == 0) if top_level_only else it["hdr"]
-        starts = ~in_seg & is_header
-        active = in_seg | starts
-        new_depth = s["depth"] + it["delta"]
-        opened = (in_seg & s["opened"]) | (it["opens"] > 0)
-        seg_start = F.when(in_seg, s["start"]).otherwise(s["depth"])
-        closes = active & opened & (new_depth <= seg_start)
-        bodiless = active & ~opened & it["semi"]
-        first = F.when(starts, it["pos"]).otherwise(s["first"])
-        seg_attr = F.when(starts, s["attr"] | it["own_attr"]).otherwise(s["seg_attr"])
-        done = F.struct(seg_start.alias("depth"), first.alias("pos"), it["pos"].alias("stop"), seg_attr.alias("attr"))
-        keep_open = active & ~closes & ~bodiless
-        return F.struct(
-            new_depth.alias("depth"),
-            F.when(keep_open, seg_start).otherwise(F.lit(NO_DEPTH)).alias("start"),
-            first.alias("first"),
-            (keep_open & opened).alias("opened"),
-            (~active & (it["is_attr"] | (it["blank"] & s["attr"]))).alias("attr"),
-            (keep_open & seg_attr).alias("seg_attr"),
-            F.when(closes, F.concat(s["segs"], F.array(done))).otherwise(s["segs"]).alias("segs"),
-        )
-
-    folded = F.struct(_lines(_c(text)).alias("lines"), F.aggregate(feats, init, step, lambda s: s["segs"]).alias("segs"))
-
-    def cut(x):
-        def one(g):
-            head = F.ltrim(F.regexp_replace(F.get(x["lines"], g["pos"]), _ATTRS_BEFORE, ""))
-            rest = F.slice(x["lines"], g["pos"] + 2, g["stop"] - g["pos"])
-            body = F.array_join(F.concat(F.array(head), rest), "\n")
-            return F.struct(g["depth"].alias("depth"), g["pos"].alias("pos"), body.alias("text"), g["attr"].alias("attr"))
-
-        return F.transform(x["segs"], one)
-
-    return bind(folded, cut)
-
-
-def _by_depth_then_pos(segs: Column) -> Column:
-    return F.array_sort(
-        segs,
-        lambda a, b: F.when(a["depth"] != b["depth"], a["depth"] - b["depth"]).otherwise(a["pos"] - b["pos"]),
-    )
+def _go_tests(found: Column) -> Column:
+    """X2 over the nodes of a text after the prefix rule."""
+    keep = F.filter(of_kind(found, "function"), lambda n: (n["depth"] == 0) & (F.instr(n["title"], "Test") > 0))
+    return F.transform(keep, lambda n: n["text"])
 
 
 @cached_column
 def rust_tests(text) -> Column:
-    """Test functions of one Rust response: ``#[test]``-marked functions or
-    functions whose first line has ``test_``/``_test``; nested functions are
-    part of their parent; breadth-first order (depth, then position)."""
-    segs = _by_depth_then_pos(brace_segments(text, RUST_FN))
-    first_line = lambda s: F.substring_index(s["text"], "\n", 1)
-    keep = F.filter(
-        segs,
-        lambda s: s["attr"] | (F.instr(first_line(s), "test_") > 0) | (F.instr(first_line(s), "_test") > 0),
-    )
-    return F.transform(keep, lambda s: F.concat(F.lit(RUST_TEST_PREFIX), s["text"]))
+    """Test functions of one Rust response: functions right behind ``#[test]`` or
+    whose first line has ``test_``/``_test``; nested functions are part of their
+    parent; breadth-first order (depth, then position)."""
+    return _rust_tests(syntax_nodes(text, "rust"))
 
 
 def go_normalize(text) -> Column:
@@ -177,19 +57,9 @@ def go_normalize(text) -> Column:
 
 @cached_column
 def go_tests(text) -> Column:
-    """Top-level ``func`` declarations (not methods) with braces and
+    """Top-level ``func`` declarations (not methods) with a body and
     ``Test`` on their first line, after the prefix rule."""
-    norm = go_normalize(text)
-    segs = brace_segments(norm, GO_FUNC, top_level_only=True)
-    keep = F.filter(
-        segs,
-        lambda s: (F.instr(F.substring_index(s["text"], "\n", 1), "Test") > 0)
-        & (F.instr(s["text"], "{") > 0)
-        & (F.instr(s["text"], "}") > 0),
-    )
-    return F.when(F.length(norm) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(keep, lambda s: s["text"])
-    )
+    return _go_tests(syntax_nodes(go_normalize(text), "go"))
 
 
 @cached_column
@@ -201,20 +71,18 @@ def julia_tests(text) -> Column:
     return F.array(F.concat(F.lit("@testset"), rest))
 
 
-def tests_for(lang: Column, text) -> Column:
-    """X1-X3 dispatched on the (lower-case) language."""
-    return (
-        F.when(lang == "rust", rust_tests(text))
-        .when(lang == "go", go_tests(text))
-        .otherwise(julia_tests(text))
-    )
-
-
 @cached_column
 def sanitize_responses(lang: Column, responses) -> Column:
-    """X4 + W4: tests of all responses of a sample, in order, at most 10."""
-    per = F.transform(_c(responses), lambda r: tests_for(lang, r))
-    return F.slice(F.flatten(per), 1, MAX_TESTS)
+    """X4 + W4: tests of all responses of a sample by its (lower-case) language (X1-X3; Julia's for others), in order, at most 10."""
+    texts = _c(responses)
+    read = F.transform(texts, lambda r: F.when(lang == "go", go_normalize(r)).when(lang == "rust", r))
+    found = syntax_nodes_each(read, lang)
+    tests = (
+        F.when(lang == "rust", F.transform(found, _rust_tests))
+        .when(lang == "go", F.transform(found, _go_tests))
+        .otherwise(F.transform(texts, julia_tests))
+    )
+    return F.slice(F.flatten(tests), 1, MAX_TESTS)
 
 
 @cached_column
@@ -224,167 +92,32 @@ def raw_responses(prompt, responses) -> Column:
     return F.transform(_c(responses), lambda r: F.concat(last, r))
 
 
-# ------------------------------------------------------------ X5 imports --
-
-_IMPORT_START = {
-    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s",
-    "go": r"^import\b",
-    "julia": r"^\s*(?:import|using)\s",
-}
-
-
 @cached_column
 def import_context(lang: Column, text) -> Column:
-    """Import statements in order, joined by newlines.  Rust ``use``
-    declarations outside ``mod`` blocks and comments (multi-line ones up to the
-    ``;``), Go top-level ``import`` declarations (blocks up to ``)``), Julia
-    ``import``/``using`` lines (continued while a line ends with ``,``)."""
-    no_strings = lambda l: F.regexp_replace(l, r"\"[^\"]*\"", "")
-    feats = _line_features(
-        _c(text),
-        code=lambda l, c: F.regexp_replace(l, r"\s+$", ""),
-        start=lambda l, c: (
-            F.when(lang == "rust", l.rlike(_IMPORT_START["rust"]))
-            .when(lang == "go", l.rlike(_IMPORT_START["go"]))
-            .when(lang == "julia", l.rlike(_IMPORT_START["julia"]))
-            .otherwise(F.lit(False))
-        ),
-        go_top=lambda l, c: lang == "go",
-        mod_start=lambda l, c: (lang == "rust") & l.rlike(r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+\w+\s*\{"),
-        end_line=lambda l, c: (
-            F.when(lang == "rust", F.instr(l, ";") > 0)
-            .when(lang == "go", F.instr(no_strings(l), ")") > 0)
-            .otherwise(~l.rlike(r",\s*$"))
-        ),
-        opens_paren=lambda l, c: F.instr(no_strings(l), "(") > 0,
-    )
-    init = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit(-1).alias("mod_depth"),
-        F.lit(None).cast("string").alias("cur"),
-        F.lit(False).alias("paren"),
-        F.array().cast(_EMPTY).alias("out"),
-    )
-
-    def step(s, it):
-        nd = s["depth"] + it["delta"]
-        in_mod = s["mod_depth"] >= 0
-        mod_start = ~in_mod & it["mod_start"]
-        mod_depth = F.when(in_mod & (nd <= s["mod_depth"]), F.lit(-1)).when(mod_start, s["depth"]).otherwise(
-            s["mod_depth"]
-        )
-        continuing = s["cur"].isNotNull()
-        starts = ~continuing & ~in_mod & ~mod_start & it["start"] & (~it["go_top"] | (s["depth"] == 0))
-        active = continuing | starts
-        text_now = F.when(continuing, F.concat(s["cur"], F.lit("\n"), it["code"])).otherwise(F.ltrim(it["code"]))
-        paren = (continuing & s["paren"]) | (starts & it["opens_paren"])
-        # Go: a block `import (` ends at `)`, a one-line import at once
-        ends = F.when(it["go_top"], ~paren | it["end_line"]).otherwise(it["end_line"])
-        return F.struct(
-            nd.alias("depth"),
-            mod_depth.alias("mod_depth"),
-            F.when(active & ~ends, text_now).otherwise(F.lit(None).cast("string")).alias("cur"),
-            (active & ~ends & paren).alias("paren"),
-            F.when(active & ends, F.concat(s["out"], F.array(text_now))).otherwise(s["out"]).alias("out"),
-        )
-
-    return F.aggregate(feats, init, step, lambda s: F.array_join(s["out"], "\n"))
-
-
-# ------------------------------------------------------- X6 strip tests --
-
-
-#: Comments that mention test or assert, and (group 1) what may hold their marks and stays: strings and other comments.
-_TEST_COMMENTS = (
-    r"//[^\n]*?(?:test|assert)[^\n]*"
-    r"|/\*(?:[^*]*\*+[^*/])*?[^*]*?(?:test|assert)[^*]*(?:\*+[^*/][^*]*)*\*+/"
-    r"|(\"(?:\\.|[^\"\\])*\"|//[^\n]*|/\*[^*]*\*+(?:[^*/][^*]*\*+)*/)"
-)
+    """Import statements in order, joined by newlines: Rust ``use`` declarations outside
+    ``mod`` blocks, Go top-level ``import`` declarations (one or a block), Julia
+    ``import``/``using`` (continued while a line ends with ``,``)."""
+    found = F.filter(of_kind(syntax_nodes(text, lang), "import"), lambda n: n["modules"] == 0)
+    return F.array_join(F.transform(found, lambda n: n["text"]), "\n")
 
 
 @cached_column
 def strip_rust_tests(text) -> Column:
-    """X6 (intent of the original): drop ``mod`` items whose name contains
+    """X6 (intent of the original): without ``mod`` items whose name contains
     ``test``, functions whose body contains ``assert``, ``#[test]`` and
-    ``#[cfg(test)]`` attribute lines, and comments that mention test or assert
-    (a line of nothing but such a ``//`` comment goes whole).  Everything else is
-    kept line for line: signatures without a body are no functions, and an
-    unclosed function is kept.
-
-    The fold carries line numbers of what is dropped; the kept lines are picked
-    once, so the work is linear in the lines."""
-    def drop(l, c):
-        t = F.trim(l)
-        d = F.lit(False)
-        for a in TEST_ATTRS:
-            d = d | (t == a)
-        return d | (t.startswith("//") & ((F.instr(t, "test") > 0) | (F.instr(t, "assert") > 0)))
-
-    feats = _line_features(
-        _c(text),
-        mod_hdr=lambda l, c: l.rlike(RUST_TEST_MOD),
-        fn_hdr=lambda l, c: l.rlike(RUST_FN),
-        semi=lambda l, c: c.rlike(_SEMI_END),
-        asserts=lambda l, c: F.instr(l, "assert") > 0,
-        body_asserts=lambda l, c: F.instr(F.regexp_extract(l, r"\{(.*)$", 1), "assert") > 0,
-        drop=drop,
+    ``#[cfg(test)]`` attributes, and comments that mention test or assert.  What
+    stands alone on its lines goes with them, but comments within functions and block
+    comments leave their line.  Signatures without a body are no functions, an unclosed function is kept."""
+    t = _c(text)
+    found = syntax_nodes(t, "rust")
+    says = lambda n, w: F.instr(n["text"], w) > 0
+    outside = lambda n: n["functions"] == 0
+    goes = F.filter(
+        found,
+        lambda n: ((n["kind"] == "module") & outside(n) & (F.instr(n["name"], "test") > 0))
+        | ((n["kind"] == "function") & outside(n) & n["asserts"])
+        | ((n["kind"] == "attribute") & outside(n) & n["text"].isin(*TEST_ATTRS))
+        | ((n["kind"] == "comment") & (says(n, "test") | says(n, "assert"))),
     )
-    init = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit(NO_DEPTH).alias("skip"),
-        F.lit(NO_DEPTH).alias("fn_depth"),
-        F.lit(0).alias("first"),
-        F.lit(False).alias("opened"),
-        F.lit(False).alias("fn_assert"),
-        F.array().cast("array<struct<a:int,b:int>>").alias("gone"),
-    )
-
-    def step(s, it):
-        nd = s["depth"] + it["delta"]
-        skipping = s["skip"] > NO_DEPTH
-        in_fn = s["fn_depth"] > NO_DEPTH
-        free = ~skipping & ~in_fn
-        mod_hdr = free & it["mod_hdr"]
-        fn_hdr = free & ~it["mod_hdr"] & it["fn_hdr"]
-        was_open = (skipping | in_fn) & s["opened"]
-        opened = was_open | (it["opens"] > 0)
-        in_skip = skipping | mod_hdr
-        skip_at = F.when(skipping, s["skip"]).otherwise(s["depth"])
-        # a test mod is skipped until its block closes; `mod x;` is one line
-        skip_done = in_skip & ((opened & (nd <= skip_at)) | (mod_hdr & (it["opens"] == 0) & it["semi"]))
-        in_f = in_fn | fn_hdr
-        fn_at = F.when(in_fn, s["fn_depth"]).otherwise(s["depth"])
-        first = F.when(fn_hdr, it["pos"]).otherwise(s["first"])
-        # only what follows the opening brace is the body
-        fn_assert = (in_fn & s["fn_assert"]) | F.when(was_open, it["asserts"]).otherwise((it["opens"] > 0) & it["body_asserts"])
-        fn_done = in_f & opened & (nd <= fn_at)
-        over = fn_done | (in_f & ~opened & it["semi"])
-        line = F.struct(it["pos"].alias("a"), it["pos"].alias("b"))
-        cut = (
-            F.when(in_skip, line)
-            .when(fn_done & fn_assert, F.struct(first.alias("a"), it["pos"].alias("b")))
-            .when(~in_f & it["drop"], line)
-        )
-        return F.struct(
-            nd.alias("depth"),
-            F.when(in_skip & ~skip_done, skip_at).otherwise(F.lit(NO_DEPTH)).alias("skip"),
-            F.when(in_f & ~over, fn_at).otherwise(F.lit(NO_DEPTH)).alias("fn_depth"),
-            first.alias("first"),
-            (((in_skip & ~skip_done) | (in_f & ~over)) & opened).alias("opened"),
-            (in_f & ~over & fn_assert).alias("fn_assert"),
-            F.when(cut.isNotNull(), F.array_append(s["gone"], cut)).otherwise(s["gone"]).alias("gone"),
-        )
-
-    folded = F.struct(_lines(_c(text)).alias("lines"), F.aggregate(feats, init, step, lambda s: s["gone"]).alias("gone"))
-
-    def pick(x):
-        # the stretches between what is gone; ``gone`` is in order and does not overlap
-        n = F.size(x["gone"])
-        stretch = lambda k: F.slice(
-            x["lines"],
-            F.coalesce(F.get(x["gone"], k - 1)["b"] + 2, F.lit(1)),
-            F.coalesce(F.get(x["gone"], k)["a"], F.size(x["lines"])) - F.coalesce(F.get(x["gone"], k - 1)["b"] + 1, F.lit(0)),
-        )
-        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), stretch)), "\n")
-
-    return F.regexp_replace(bind(folded, pick), _TEST_COMMENTS, "$1")
+    whole = lambda n: ~((n["kind"] == "comment") & ((n["name"] == "block") | ~outside(n)))
+    return without_spans(t, F.transform(goes, lambda n: F.struct(n["start"].alias("start"), n["stop"].alias("stop"), whole(n).alias("whole"))))

@@ -56,10 +56,10 @@ def test_name_similarity_golden(spark, a, b, expected):
 
 
 def test_features_once_per_row_plan(spark):
-    # all regex work stays JVM-side: no Python UDF in the plan
+    # the three columns come from one Arrow function, evaluated once a row
     df = spark.createDataFrame([("fn a(x: i32) {}",)], "code string").select(*code_features("code"))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "ArrowEval" not in plan
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("_features_batch(") == 1 and "BatchEvalPython" not in plan
 
 
 def test_go_receiver_compat(spark):

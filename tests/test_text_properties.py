@@ -1,5 +1,5 @@
-"""Property test: the Spark fold for Rust test extraction (X1) against a
-plain-Python implementation of the same segment rules on random texts."""
+"""Property tests: test extraction, stripping and imports (X1, X2, X5, X6), which read the nesting
+tree, against plain-Python folds over lines on random texts made of whole-line constructs."""
 
 import re
 
@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from exemplar.functions import text as X
+from exemplar.plans import patterns as P
 
 LINES = [
     "fn test_a() {", "fn helper() {", "pub fn b_test(x: i32) {", "#[test]", "}", "    let x = 1;", "mod tests {", "",
@@ -17,12 +18,12 @@ LINES = [
 
 
 def _segments(text, header):
-    depth, start, opened, attr, seg_attr, cur, segs = 0, X.NO_DEPTH, False, False, False, [], []
+    depth, start, opened, attr, seg_attr, cur, segs = 0, P.NO_DEPTH, False, False, False, [], []
     for pos, line in enumerate(text.split("\n")):
-        clean = re.sub(X._LINE_COMMENT, "", re.sub(X._CHAR, "", re.sub(X._STRING, "", line)), flags=re.ASCII)
+        clean = re.sub(P._LINE_COMMENT, "", re.sub(P._CHAR, "", re.sub(P._STRING, "", line)), flags=re.ASCII)
         opens = clean.count("{")
         delta = opens - clean.count("}")
-        in_seg = start > X.NO_DEPTH
+        in_seg = start > P.NO_DEPTH
         starts = not in_seg and re.search(header, line, flags=re.ASCII) is not None
         active = in_seg or starts
         new_depth = depth + delta
@@ -36,14 +37,14 @@ def _segments(text, header):
             segs.append((seg_start, pos - len(cur) + 1, "\n".join(cur), sattr))
         keep = active and not closes
         attr = (not active) and (line.strip(" ") == "#[test]" or (line.strip(" ") == "" and attr))
-        depth, start, opened, seg_attr = new_depth, seg_start if keep else X.NO_DEPTH, keep and now_opened, keep and sattr
+        depth, start, opened, seg_attr = new_depth, seg_start if keep else P.NO_DEPTH, keep and now_opened, keep and sattr
         cur = cur if keep else []
     return segs
 
 
 def _rust_tests(text):
     out = []
-    for d, p, t, a in sorted(_segments(text, X.RUST_FN)):
+    for d, p, t, a in sorted(_segments(text, P.RUST_FN)):
         first = t.split("\n")[0]
         if a or "test_" in first or "_test" in first:
             out.append(X.RUST_TEST_PREFIX + t)
@@ -64,16 +65,16 @@ STRIP_LINES = LINES + ["#[cfg(test)]", "mod tests;", "mod test_utils {", "    as
 
 
 def _strip(text):
-    depth, skip, fn_depth, opened, fn_assert, buf, out = 0, X.NO_DEPTH, X.NO_DEPTH, False, False, [], []
+    depth, skip, fn_depth, opened, fn_assert, buf, out = 0, P.NO_DEPTH, P.NO_DEPTH, False, False, [], []
     for line in text.split("\n"):
-        clean = re.sub(X._LINE_COMMENT, "", re.sub(X._CHAR, "", re.sub(X._STRING, "", line)), flags=re.ASCII)
+        clean = re.sub(P._LINE_COMMENT, "", re.sub(P._CHAR, "", re.sub(P._STRING, "", line)), flags=re.ASCII)
         opens = clean.count("{")
         nd = depth + opens - clean.count("}")
-        skipping, in_fn = skip > X.NO_DEPTH, fn_depth > X.NO_DEPTH
+        skipping, in_fn = skip > P.NO_DEPTH, fn_depth > P.NO_DEPTH
         free = not skipping and not in_fn
-        is_mod = re.search(X.RUST_TEST_MOD, line, flags=re.ASCII) is not None
+        is_mod = re.search(P.RUST_TEST_MOD, line, flags=re.ASCII) is not None
         mod_hdr = free and is_mod
-        fn_hdr = free and not is_mod and re.search(X.RUST_FN, line, flags=re.ASCII) is not None
+        fn_hdr = free and not is_mod and re.search(P.RUST_FN, line, flags=re.ASCII) is not None
         now_opened = ((skipping or in_fn) and opened) or opens > 0
         in_skip = skipping or mod_hdr
         skip_at = skip if skipping else depth
@@ -97,8 +98,8 @@ def _strip(text):
         elif not drop:
             out.append(line)
         depth = nd
-        skip = skip_at if in_skip and not skip_done else X.NO_DEPTH
-        fn_depth = fn_at if in_f and not over else X.NO_DEPTH
+        skip = skip_at if in_skip and not skip_done else P.NO_DEPTH
+        fn_depth = fn_at if in_f and not over else P.NO_DEPTH
         opened = ((in_skip and not skip_done) or (in_f and not over)) and now_opened
         fn_assert = in_f and not over and nfa
         buf = nbuf if in_f and not over else []
@@ -153,7 +154,7 @@ def _go_tests(text):
         return []
     norm = "func Test" + rest[0].upper() + rest[1:]
     out = []
-    for d, p, t, a in _segments_top(norm, X.GO_FUNC):
+    for d, p, t, a in _segments_top(norm, P.GO_FUNC + r"\s*[\[(]"):
         first = t.split("\n")[0]
         if "Test" in first and "{" in t and "}" in t:
             out.append(t)
@@ -162,12 +163,12 @@ def _go_tests(text):
 
 def _segments_top(text, header):
     # _segments with headers only at depth 0
-    depth, start, opened, cur, segs = 0, X.NO_DEPTH, False, [], []
+    depth, start, opened, cur, segs = 0, P.NO_DEPTH, False, [], []
     for pos, line in enumerate(text.split("\n")):
-        clean = re.sub(X._LINE_COMMENT, "", re.sub(X._CHAR, "", re.sub(X._STRING, "", line)), flags=re.ASCII)
+        clean = re.sub(P._LINE_COMMENT, "", re.sub(P._CHAR, "", re.sub(P._STRING, "", line)), flags=re.ASCII)
         opens = clean.count("{")
         new_depth = depth + opens - clean.count("}")
-        in_seg = start > X.NO_DEPTH
+        in_seg = start > P.NO_DEPTH
         starts = not in_seg and depth == 0 and re.search(header, line, flags=re.ASCII) is not None
         active = in_seg or starts
         now_opened = (in_seg and opened) or opens > 0
@@ -178,7 +179,7 @@ def _segments_top(text, header):
         if closes:
             segs.append((seg_start, pos - len(cur) + 1, "\n".join(cur), False))
         keep = active and not closes
-        depth, start, opened = new_depth, seg_start if keep else X.NO_DEPTH, keep and now_opened
+        depth, start, opened = new_depth, seg_start if keep else P.NO_DEPTH, keep and now_opened
         cur = cur if keep else []
     return segs
 
@@ -201,16 +202,16 @@ IMPORT_LINES = {
 
 
 def _imports(lang, text):
-    starts = {"rust": X._IMPORT_START["rust"], "go": X._IMPORT_START["go"], "julia": X._IMPORT_START["julia"]}
-    depth, mod_depth, cur, paren, out = 0, -1, None, False, []
+    starts = {"rust": P._IMPORT_START["rust"], "go": P._IMPORT_START["go"], "julia": P._IMPORT_START["julia"]}
+    depth, mod_depth, cur, paren, out = 0, P.NO_DEPTH, None, False, []
     for line in text.split("\n"):
-        clean = re.sub(X._LINE_COMMENT, "", re.sub(X._CHAR, "", re.sub(X._STRING, "", line)), flags=re.ASCII)
+        clean = re.sub(P._LINE_COMMENT, "", re.sub(P._CHAR, "", re.sub(P._STRING, "", line)), flags=re.ASCII)
         nd = depth + clean.count("{") - clean.count("}")
         code = re.sub(r"\s+$", "", line, flags=re.ASCII)
         no_str = re.sub(r'"[^"]*"', "", line)
-        in_mod = mod_depth >= 0
+        in_mod = mod_depth > P.NO_DEPTH
         mod_start = lang == "rust" and not in_mod and re.search(r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+\w+\s*\{", line, flags=re.ASCII) is not None
-        new_mod = -1 if (in_mod and nd <= mod_depth) else (depth if mod_start else mod_depth)
+        new_mod = P.NO_DEPTH if (in_mod and nd <= mod_depth) else (depth if mod_start else mod_depth)
         cont = cur is not None
         st_ = re.search(starts[lang], line, flags=re.ASCII) is not None
         go_top = lang == "go"
