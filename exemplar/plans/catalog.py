@@ -411,6 +411,7 @@ def q_documents_by_lang(spark, sf):
 # ---------------------------------------------------------- code features --
 
 from ..functions import code as C  # noqa: E402
+from ..functions.lexer import lexed  # noqa: E402
 from ..functions.similarity import name_similarity  # noqa: E402
 from ..operators import rerank as RR  # noqa: E402
 from ..operators.bm25 import bm25_topk  # noqa: E402
@@ -433,6 +434,14 @@ def q_code_features(spark, sf):
     return _features(spark, sf)
 
 
+@register("lexed_segments", O.lexed_segments(f"SELECT p_partkey, {standins.LEX_LANG_SQL} AS lang, {standins.LEX_SQL} AS code FROM part"))
+def q_lexed_segments(spark, sf):
+    """The lexer under X1, X2, X5 and X6: every comment and literal of every text, in order."""
+    found = lexed("code", F.col("lang"))
+    said = F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string")))
+    return standins.lexer_texts(spark, sf).select("p_partkey", "lang", F.array_join(said, ",").alias("segments"))
+
+
 @register(
     "param_similarity",
     f"""WITH {_FEAT_SQL}

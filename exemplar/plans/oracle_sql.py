@@ -333,6 +333,63 @@ def strip_rust_tests(text: str) -> str:
     return f"regexp_replace({lines}, {_lit(X._TEST_COMMENTS)}, '\\1', 'g')"
 
 
+# -------------------------------------------------------- lexer: a state table --
+
+# language, state, rule order, what stands here, kind of these characters, whether they open a segment, next state, change of depth;
+# a block comment goes on while its depth is above 0
+_LEX_RULES = [
+    *[(l, "code", 1, "^//", "line", True, "line", 0) for l in ("rust", "go", "java")],
+    ("julia", "code", 1, "^#=", "block", True, "block", 1),
+    ("julia", "code", 2, "^#", "line", True, "line", 0),
+    *[(l, "code", 2, r"^/\*", "block", True, "block", 1) for l in ("rust", "go", "java")],
+    ("rust", "code", 3, '^r#"', "raw", True, "raw", 0),
+    ("java", "code", 3, '^"""', "raw", True, "raw", 0),
+    *[(l, "code", 3, "^`", "tick", True, "tick", 0) for l in ("go", "julia")],
+    *[(l, "code", 4, '^"', "string", True, "string", 0) for l in ("rust", "go", "julia", "java")],
+    # a quote behind a name transposes in Julia: names are read whole
+    ("julia", "code", 5, r"^[A-Za-z_]\w*'?", "code", False, "code", 0),
+    *[(l, "code", 6, r"^'(\\.|[^'\\])'", "char", True, "code", 0) for l in ("rust", "go", "julia", "java")],
+    *[(l, "line", 1, r"^\n", "code", False, "code", 0) for l in ("rust", "go", "julia", "java")],
+    ("rust", "block", 1, r"^/\*", "block", False, "block", 1),
+    ("julia", "block", 1, "^#=", "block", False, "block", 1),
+    ("julia", "block", 2, "^=#", "block", False, "block", -1),
+    *[(l, "block", 2, r"^\*/", "block", False, "block", -1) for l in ("rust", "go", "java")],
+    *[(l, "string", 1, r"(?s)^\\.", "string", False, "string", 0) for l in ("rust", "julia")],
+    *[(l, "string", 1, r"^\\.", "string", False, "string", 0) for l in ("go", "java")],
+    *[(l, "string", 2, '^"', "string", False, "code", 0) for l in ("rust", "go", "julia", "java")],
+    *[(l, "string", 3, r"^\n", "code", False, "code", 0) for l in ("go", "java")],
+    ("rust", "raw", 1, '^"#', "raw", False, "code", 0),
+    ("java", "raw", 1, r"(?s)^\\.", "raw", False, "raw", 0),
+    ("java", "raw", 2, '^"""', "raw", False, "code", 0),
+    ("julia", "tick", 1, r"(?s)^\\.", "tick", False, "tick", 0),
+    *[(l, "tick", 2, "^`", "tick", False, "code", 0) for l in ("go", "julia")],
+]
+
+
+def lexed_segments(texts: str) -> str:
+    """SQL of ``functions.lexer.lexed`` over (p_partkey, lang, code): one step of the state table a row, then segments."""
+    rules = ", ".join(f"({_lit(l)}, {_lit(s)}, {o}, {_lit(p)}, {_lit(k)}, {opens}, {_lit(n)}, {d})" for l, s, o, p, k, opens, n, d in _LEX_RULES)
+    return f"""WITH RECURSIVE rules(lang, state, ord, look, kind, opens, next, d) AS (VALUES {rules}),
+    t AS ({texts}),
+    run(p_partkey, lang, code, place, kind, opens, state, depth, taken) AS (
+        SELECT p_partkey, lang, code, 1, 'code', false, 'code', 0, 0 FROM t
+        UNION ALL
+        SELECT p_partkey, lang, code, place + taken, m.kind, m.opens, CASE WHEN m.next = 'block' AND depth + m.d = 0 THEN 'code' ELSE m.next END, depth + m.d, m.n
+        FROM (
+            SELECT r.*, coalesce(
+                (SELECT min_by({{'kind': u.kind, 'opens': u.opens, 'next': u.next, 'd': u.d,
+                                 'n': length(regexp_extract(substring(r.code, r.place + r.taken, 80), u.look))}}, u.ord)
+                 FROM rules u WHERE u.lang = r.lang AND u.state = r.state AND regexp_matches(substring(r.code, r.place + r.taken, 80), u.look)),
+                {{'kind': r.state, 'opens': false, 'next': r.state, 'd': 0, 'n': 1}}) AS m
+            FROM run r WHERE r.place + r.taken <= length(r.code))
+    ),
+    steps AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY place) AS segment FROM run WHERE taken > 0),
+    segments AS (SELECT p_partkey, segment, any_value(kind) AS kind, min(place) - 1 AS start, max(place + taken) - 1 AS stop
+                 FROM steps WHERE kind <> 'code' GROUP BY p_partkey, segment)
+    SELECT t.p_partkey, t.lang, coalesce(string_agg(s.kind || ':' || s.start || ':' || s.stop, ',' ORDER BY s.start), '') AS segments
+    FROM t LEFT JOIN segments s ON s.p_partkey = t.p_partkey GROUP BY t.p_partkey, t.lang"""
+
+
 # ------------------------------------------------ C4: Ratcliff-Obershelp ratio --
 
 _BEST = (

@@ -120,6 +120,27 @@ def code_snippets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.expr(CODE_SQL).alias("code"))
 
 
+# Texts full of comments and literals, some left open, from `part`; the language cycles with the key.
+_BS, _Q = "chr(92)", "chr(39)"
+LEX_LANG_SQL = "(CASE p_partkey % 4 WHEN 0 THEN 'rust' WHEN 1 THEN 'go' WHEN 2 THEN 'julia' ELSE 'java' END)"
+LEX_SQL = f"""(CASE p_partkey % 4
+  WHEN 0 THEN 'fn f<' || {_Q} || 'a>(x: &' || {_Q} || 'a str) {{ let s = "' || p_name || {_BS} || '"}}{{"; /* ' || p_type || ' /* " */ {{ */ let r = r#"'
+    || p_brand || '"}}' || {_BS} || '"#; g(' || {_Q} || '{{' || {_Q} || ', ' || {_Q} || {_BS} || {_Q} || {_Q} || '); // "' || p_name || {_NL}
+    || (CASE WHEN p_size % 5 = 0 THEN '/* /* */ open' WHEN p_size % 5 = 1 THEN 'r#"open"' WHEN p_size % 5 = 2 THEN '"open' ELSE '}}' END)
+  WHEN 1 THEN 'func f() {{ s := `' || p_name || {_BS} || '` + "' || p_type || {_BS} || '"}}" /* {{ /* */ + string(' || {_Q} || '}}' || {_Q} || ') // `' || p_brand || {_NL}
+    || (CASE WHEN p_size % 3 = 0 THEN '`open' WHEN p_size % 3 = 1 THEN 'x := "open' ELSE '}}' END) || {_NL} || '}}'
+  WHEN 2 THEN 'x = a' || {_Q} || ' * "' || p_name || {_BS} || '"" #= ' || p_type || ' #= " =# =# + `' || p_brand || {_BS} || '`` + ' || {_Q} || '#' || {_Q} || ' # "' || p_size || {_NL}
+    || (CASE WHEN p_size % 2 = 0 THEN '#= open =' ELSE 'end' END)
+  ELSE 'int f() {{ String s = \"\"\"' || {_NL} || p_name || ' "}}" ' || {_BS} || '\"\"\" ' || p_brand || '\"\"\"; char c = ' || {_Q} || '"' || {_Q} || '; /* ' || p_type || ' /* */ s = "'
+    || p_name || '"; // /* ' || {_NL} || (CASE WHEN p_size % 2 = 0 THEN 'String t = "open' ELSE '}}' END) || {_NL} || '}}'
+END)"""
+
+
+def lexer_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(p_partkey, lang, code) for every part."""
+    return table(spark, sf, "part").select("p_partkey", F.expr(LEX_LANG_SQL).alias("lang"), F.expr(LEX_SQL).alias("code"))
+
+
 # Benchmark cases (F2) from `benchmark`: language cycles with the key.
 def bench_cases(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark")
