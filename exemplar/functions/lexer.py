@@ -25,15 +25,17 @@ from pyspark.sql import functions as F
 
 LINE, BLOCK, STRING, CHAR, RAW, TICK = KINDS = ("line", "block", "string", "char", "raw", "tick")
 
-#: What opens a state, by language; tried in order at each place of the text.
-_OPENERS = {
-    "rust": r"""(?P<line>//)|(?P<block>/\*)|(?P<raw>\b(?:br|cr|r)\#*")|(?P<string>")|(?P<char>'(?:\\.[^'\n]*|[^'\\\n])')""",
-    "go": r"""(?P<line>//)|(?P<block>/\*)|(?P<tick>`)|(?P<string>")|(?P<char>'(?:\\[^\n][^'\n]*|[^'\\\n])')""",
-    "java": r"""(?P<line>//)|(?P<block>/\*)|(?P<raw>\"{3})|(?P<string>")|(?P<char>'(?:\\[^\n][^'\n]*|[^'\\\n])')""",
-    # a quote after a name or a bracket transposes
-    "julia": r"""(?P<block>\#=)|(?P<line>\#)|(?P<raw>\"{3})|(?P<tick>`{3}|`)|(?P<string>")|(?P<char>(?<![\w)\]}.'])'(?:\\[^\n][^'\n]*|[^'\\\n])')""",
+#: What may open a state, by language.
+_SIGNS = {"rust": re.compile(r"[/\"']"), "go": re.compile(r"[/\"'`]"), "java": re.compile(r"[/\"']"), "julia": re.compile(r"[#\"'`]")}
+#: A character behind its quote; others are lifetimes in Rust and transpositions in Julia.
+_CHAR = {
+    "rust": re.compile(r"(?:\\.[^'\n]*|[^'\\\n])'"),
+    "go": re.compile(r"(?:\\[^\n][^'\n]*|[^'\\\n])'"),
 }
-_OPENER = {lang: re.compile(p) for lang, p in _OPENERS.items()}
+_CHAR |= {"java": _CHAR["go"], "julia": _CHAR["go"]}
+#: What makes a quote that of a raw string in Rust, read backwards from it.
+_RAW_PREFIX = re.compile(r"(#*)r[bc]?(?!\w)")
+_TRANSPOSED = re.compile(r"[\w)\]}.']")
 _NESTED = {"rust": re.compile(r"/\*|\*/"), "julia": re.compile(r"#=|=#")}
 #: The rest of a string up to its quote; in Go and Java it ends with its line.
 _STRING = {
@@ -47,27 +49,47 @@ _ESCAPED = {sign: re.compile(rf"[^{sign[0]}\\]*(?:(?:\\.|(?!{re.escape(sign)}){r
 
 def spans(text: str, lang: str) -> list[tuple[str, int, int]]:
     """(state, start, end) of everything that is not code, in order."""
-    lang = lang if lang in _OPENER else "java"
-    opener, at, out = _OPENER[lang], 0, []
-    while (found := opener.search(text, at)) is not None:
-        kind, start, at = found.lastgroup, found.start(), found.end()
-        if kind == LINE:
-            at = _find(text, "\n", at)
-        elif kind == BLOCK:
-            at = _block_end(text, lang, at)
-        elif kind == STRING:
-            at = _STRING[lang].match(text, at).end()
-        elif kind == RAW and lang == "rust":
-            close = '"' + "#" * (found.group().count("#"))
-            at = min(len(text), _find(text, close, at) + len(close))
-        elif kind == TICK and lang == "go":
-            at = min(len(text), _find(text, "`", at) + 1)
-        elif kind in (RAW, TICK):
-            at = _ESCAPED[found.group()].match(text, at).end()
-        out.append((kind, start, at))
+    lang = lang if lang in _SIGNS else "java"
+    signs, at, out = _SIGNS[lang], 0, []
+    while (found := signs.search(text, at)) is not None:
+        start = found.start()
+        opened = _opened(text, lang, start, found.group())
+        if opened is None:
+            at = start + 1
+            continue
+        out.append(opened)
+        at = opened[2]
     return out
 
 
+def _opened(text: str, lang: str, at: int, sign: str) -> tuple[str, int, int] | None:
+    """The span that opens at a sign; None if it opens nothing."""
+    two = text[at : at + 2]
+    if two == ("#=" if lang == "julia" else "/*"):
+        return BLOCK, at, _block_end(text, lang, at + 2)
+    if two == "//" or sign == "#":
+        return LINE, at, _find(text, "\n", at)
+    if sign == "'":
+        if lang == "julia" and at and _TRANSPOSED.match(text, at - 1):
+            return None
+        closed = _CHAR[lang].match(text, at + 1)
+        return (CHAR, at, closed.end()) if closed else None
+    if sign == "`" and lang == "go":
+        return TICK, at, min(len(text), _find(text, "`", at + 1) + 1)
+    if sign == "`":
+        quote = "```" if text.startswith("```", at) else "`"
+        return TICK, at, _ESCAPED[quote].match(text, at + len(quote)).end()
+    if sign == '"' and lang in ("java", "julia") and text.startswith('"""', at):
+        return RAW, at, _ESCAPED['"""'].match(text, at + 3).end()
+    if sign == '"':
+        before = _RAW_PREFIX.match(text[max(0, at - 300) : at][::-1]) if lang == "rust" else None
+        if before:
+            close = '"' + before.group(1)
+            return RAW, at - before.end(), min(len(text), _find(text, close, at + 1) + len(close))
+        return STRING, at, _STRING[lang].match(text, at + 1).end()
+    return None
+
+
 def _find(text: str, what: str, at: int) -> int:
     """Where ``what`` stands next; the end of the text if it does not."""
     found = text.find(what, at)

@@ -8,7 +8,7 @@ expressions over the array of nodes (``by_depth``, ``of_kind``).
 
 Kinds: function, method (Go, with a receiver), declaration (a header without a body), module,
 import, attribute, comment.  A function whose body never closes is no node (what stands in it counts as
-inside a function); a module that never closes ends with the text.  Closing brackets without an opening one lower the depth
+inside a function); a module that never closes ends with the text; an import that does not end is none.  Closing brackets without an opening one lower the depth
 and close nothing.
 """
 
@@ -26,32 +26,29 @@ from .lexer import _col, _lang, shipped
 
 LANGS = ("rust", "go", "julia", "java")
 
-_VISIBLE = r"(?:pub(?:\s*\([^)]*\))?\s+)?"
-_RUST_FN = _VISIBLE + r"(?:(?:default|const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(?P<name>[A-Za-z_]\w*)"
-_RUST = re.compile(
-    rf"(?P<function>\b{_RUST_FN})|(?P<module>\b{_VISIBLE}mod\s+(?P<module_name>\w+))|(?P<import>\b{_VISIBLE}use\s)"
-    r"|(?P<attribute>#!?\[)|(?P<bracket>[{}()\[\];])"
-)
+_RUST = re.compile(r"[{}()\[\];]|#!?\[|\b(?:fn\s+(?P<function>[A-Za-z_]\w*)|mod\s+(?P<module>\w+)|(?P<import>use)\s)")
+#: What may stand before fn, mod and use and belongs to the item.
+_RUST_BEFORE = re.compile(r"(?:\bpub(?:\s*\([^()]*\))?\s+)?(?:\b(?:default|const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*\Z")
+_RUST_BEFORE_ENDS = frozenset('bcent)"')  # the last letters of what it may be
 _GO = re.compile(
-    r"(?P<function>\bfunc\s+(?P<receiver>\([^)]*\)\s*)?(?P<name>[A-Za-z_]\w*))|(?P<import>\bimport\b[ \t]*(?=[\"(\w._]))|(?P<bracket>[{}()\[\]])"
+    r"[{}()\[\]]|\b(?:func\s+(?P<receiver>\([^)]*\)\s*)?(?P<function>[A-Za-z_]\w*)|(?P<import>import)\b[ \t]*(?=[\"(\w._]))"
 )
 _JULIA = re.compile(
-    r"(?m)(?P<function>(?<![:.\w@])function\s+(?P<name>[A-Za-z_]\w*)(?:\.[A-Za-z_]\w*|!)*)"
-    r"|(?P<short>^[ \t]*(?P<short_name>[A-Za-z_][\w!]*)(?=\())"
-    r"|(?P<import>^[ \t]*(?:import|using)\s)"
-    r"|(?P<open>(?<![:.\w@])(?:function|macro|module|baremodule|if|for|while|let|begin|try|struct|do|quote|(?:abstract|primitive)\s+type)\b)"
-    r"|(?P<end>(?<![:.\w@])end\b)|(?P<bracket>[(){}\[\]])"
+    r"(?m)[(){}\[\]]"
+    r"|(?<![:.\w@])(?:function\s+(?P<function>[A-Za-z_]\w*)(?:\.[A-Za-z_]\w*|!)*"
+    r"|(?P<open>function|macro|module|baremodule|if|for|while|let|begin|try|struct|do|quote|(?:abstract|primitive)\s+type)\b|(?P<end>end)\b)"
+    r"|^[ \t]*(?:(?P<import>import|using)\s|(?P<short>[A-Za-z_][\w!]*)(?=\())"
 )
 _JAVA = re.compile(
-    r"(?m)(?P<function>\b(?:public|private|protected|static)\b[^;{}=()]*?\b(?P<name>[A-Za-z_]\w*)\s*(?=\())"
-    r"|(?P<plain>^[ \t]*(?:[A-Za-z_][\w.<>\[\]]*[ \t]+)+(?P<plain_name>[A-Za-z_]\w*)[ \t]*(?=\())"
-    r"|(?P<bracket>[{}()\[\];])"
+    r"(?m)[{}()\[\];]|\b(?:public|private|protected|static)\b[^;{}=()]*?\b(?P<name>[A-Za-z_]\w*)\s*(?=\()"
+    r"|^[ \t]*(?:[A-Za-z_][\w.<>\[\]]*[ \t]+)+(?P<plain>[A-Za-z_]\w*)[ \t]*(?=\()"
 )
 #: Words that stand before a parenthesis without being a function's name.
 _NO_NAMES = frozenset(("if", "for", "while", "switch", "catch", "synchronized", "function", "fn", "func", "return", "new", "else", "throw"))
 _JAVA_BODY = re.compile(r"\s*(?:throws\s+[\w.,\s]+)?(\{)")
 _RUST_CALLABLE, _GO_CALLABLE, _JULIA_CALLABLE = re.compile(r"\s*[<(]"), re.compile(r"\s*[\[(]"), re.compile(r"\s*[{(]")
 _SHORT_BODY = re.compile(r"[ \t]*(?:where[^\n=]*)?=(?!=)")
+_GO_TYPE = re.compile(r"\b(?:interface|struct)\s*\Z")
 _GO_IMPORT = re.compile(r'(?:[\w.]+[ \t]+)?"[^"\n]*"')
 _BLANK = re.compile(r"\s*\Z")
 
@@ -59,7 +56,7 @@ _BLANK = re.compile(r"\s*\Z")
 class Node:
     """An item with its place in the tree; ``body`` is where its block opens."""
 
-    __slots__ = ("kind", "name", "depth", "functions", "modules", "start", "stop", "body", "header")
+    __slots__ = ("kind", "name", "depth", "functions", "modules", "start", "stop", "body", "header", "marked", "asserts", "title", "text")
 
     def __init__(self, kind: str, name: str, depth: int, functions: int, modules: int, start: int, header: int) -> None:
         self.kind, self.name, self.depth, self.functions, self.modules = kind, name, depth, functions, modules
@@ -140,113 +137,118 @@ def _place_comments(items: list[Node], tree: _Tree) -> None:
         n.functions = inside
 
 
+def _rust_start(code: str, at: int) -> int:
+    """Where the item of a keyword begins: at its visibility and qualifiers, if it has any."""
+    window = code[max(0, at - 200) : at]
+    if window.rstrip()[-1:] not in _RUST_BEFORE_ENDS:
+        return at
+    return at - len(window) + _RUST_BEFORE.search(window).start()
+
+
 def _scan_rust(code: str, tree: _Tree) -> None:
     waiting: Node | None = None  # a header whose body has not opened
     parens = floor = 0
-    at = 0
-    while (m := _RUST.search(code, at)) is not None:
-        at = m.end()
-        if m.group("attribute"):
-            at = _matching(code, m.end() - 1, "[", "]")
-            tree.leaf("attribute", "", m.start(), at)
-        elif m.group("function"):
-            if _RUST_CALLABLE.match(code, at):
-                waiting, floor = tree.node("function", m.group("name"), m.start(), at), parens
-        elif m.group("module"):
-            waiting, floor = tree.node("module", m.group("module_name"), m.start(), m.end()), parens
-        elif m.group("import"):
+    at = declared = 0
+    for m in _RUST.finditer(code):
+        sign, name = m.group(), m.lastgroup
+        if m.start() < at or (name is not None and m.start() < declared):  # brackets of a declaration count, words do not
+            continue
+        if name == "import":
             stop = code.find(";", m.end())
             if stop >= 0:
-                at = stop + 1
-                tree.leaf("import", "", m.start(), at)
-        else:
-            sign = m.group()
-            if sign in "([":
-                parens += 1
-            elif sign in ")]":
-                parens -= 1
-            elif sign == "{":
-                if waiting is not None and parens > floor:
-                    tree.open(m.start(), None)
-                else:
-                    tree.open(m.start(), waiting)
-                    waiting = None
-            elif sign == "}":
-                tree.close(m.end())
-            elif waiting is not None and parens <= floor:  # ;
+                declared = stop + 1
+                tree.leaf("import", "", _rust_start(code, m.start()), declared)
+        elif name is not None:
+            if name == "module" or _RUST_CALLABLE.match(code, m.end()):
+                waiting, floor = tree.node(name, m.group(name), _rust_start(code, m.start()), m.end()), parens
+        elif sign in "([":
+            parens += 1
+        elif sign in ")]":
+            parens -= 1
+        elif sign == "{":
+            own = waiting if parens <= floor else None
+            tree.open(m.start(), own)
+            waiting = None if own is not None else waiting
+        elif sign == "}":
+            tree.close(m.end())
+        elif sign == ";":
+            if waiting is not None and parens <= floor:
                 waiting.kind = "declaration" if waiting.kind == "function" else waiting.kind
                 waiting.stop = m.end()
                 tree.closed.append(waiting)
                 waiting = None
+        else:
+            at = _matching(code, m.end() - 1, "[", "]")
+            tree.leaf("attribute", "", m.start(), at)
 
 
 def _scan_go(code: str, tree: _Tree) -> None:
     waiting: Node | None = None
     parens = floor = 0
     at = 0
-    while (m := _GO.search(code, at)) is not None:
-        at = m.end()
-        if m.group("function"):
-            if not _GO_CALLABLE.match(code, at) or (waiting is not None and parens > floor):  # the type of a parameter
+    for m in _GO.finditer(code):
+        if m.start() < at:
+            continue
+        sign, name = m.group(), m.lastgroup
+        if name == "function":
+            if not _GO_CALLABLE.match(code, m.end()) or (waiting is not None and parens > floor):  # the type of a parameter
                 continue
             kind = "method" if m.group("receiver") else "function"
-            waiting, floor = tree.node(kind, m.group("name"), m.start(), m.end()), parens
-        elif m.group("import") is not None:
-            if tree.depth == 0 and (one := _GO_IMPORT.match(code, at)) is not None:
+            waiting, floor = tree.node(kind, m.group("function"), m.start(), m.end()), parens
+        elif name == "import":
+            if tree.depth == 0 and (one := _GO_IMPORT.match(code, m.end())) is not None:
                 at = one.end()
                 tree.leaf("import", "", m.start(), at)
-            elif tree.depth == 0 and code.startswith("(", at):
-                at = _matching(code, at, "(", ")")
-                tree.leaf("import", "", m.start(), at)
+            elif tree.depth == 0 and code.startswith("(", m.end()):
+                at = _matching(code, m.end(), "(", ")")
+                if code[at - 1] == ")":
+                    tree.leaf("import", "", m.start(), at)
+        elif sign in "([":
+            parens += 1
+        elif sign in ")]":
+            parens -= 1
+        elif sign == "{":
+            own = waiting if parens <= floor else None
+            # interface{} and struct{...} in a signature open no body
+            if own is not None and _GO_TYPE.search(code[max(own.header, m.start() - 12) : m.start()]):
+                own = None
+            tree.open(m.start(), own)
+            waiting = None if own is not None else waiting
         else:
-            sign = m.group()
-            if sign in "([":
-                parens += 1
-            elif sign in ")]":
-                parens -= 1
-            elif sign == "{":
-                own = waiting if parens <= floor else None
-                # interface{} and struct{...} in a signature open no body
-                if own is not None and re.search(r"\b(?:interface|struct)\s*\Z", code[max(own.header, m.start() - 12) : m.start()]):
-                    own = None
-                tree.open(m.start(), own)
-                waiting = None if own is not None else waiting
-            else:
-                tree.close(m.end())
+            tree.close(m.end())
 
 
 def _scan_julia(code: str, tree: _Tree) -> None:
     brackets = 0
     at = 0
-    while (m := _JULIA.search(code, at)) is not None:
-        at = m.end()
-        if m.group("bracket"):
-            brackets = max(0, brackets + (1 if m.group() in "([{" else -1))
+    for m in _JULIA.finditer(code):
+        if m.start() < at:
+            continue
+        sign, name = m.group(), m.lastgroup
+        if name is None:
+            brackets = max(0, brackets + (1 if sign in "([{" else -1))
             continue
-        if m.group("function") and (m.start() == 0 or code[m.start() - 1] == "\n"):
+        if name == "function" and (m.start() == 0 or code[m.start() - 1] == "\n"):
             brackets = 0  # none of what stands before was closed
         if brackets:  # end is an index there, for and if belong to comprehensions
             continue
-        elif m.group("function"):
-            called = _JULIA_CALLABLE.match(code, at) is not None
-            tree.open(at, tree.node("function", m.group("name"), m.start(), at) if called else None)
-        elif m.group("short"):
-            name = m.group("short_name")
-            stop = _matching(code, at, "(", ")")
+        if name == "function":
+            called = _JULIA_CALLABLE.match(code, m.end()) is not None
+            tree.open(m.end(), tree.node("function", m.group(name), m.start(), m.end()) if called else None)
+        elif name == "short":
+            stop = _matching(code, m.end(), "(", ")")
             body = _SHORT_BODY.match(code, stop)
-            if name not in _NO_NAMES and body is not None and "\n" not in code[at:stop]:
-                start = m.start() + len(m.group()) - len(name)
-                tree.leaf("function", name, start, lexer._find(code, "\n", body.end()), m.end(), body.end())
+            if m.group(name) not in _NO_NAMES and body is not None and "\n" not in code[m.end() : stop]:
+                tree.leaf("function", m.group(name), m.start(name), lexer._find(code, "\n", body.end()), m.end(), body.end())
                 at = body.end()
-        elif m.group("import"):
-            stop = lexer._find(code, "\n", at)
-            while code[m.start() : stop].rstrip().endswith(",") and stop < len(code):
+        elif name == "import":
+            start, stop = m.start(name), lexer._find(code, "\n", m.end())
+            while code[start:stop].rstrip().endswith(",") and stop < len(code):
                 stop = lexer._find(code, "\n", stop + 1)
-            start = m.start() + len(m.group()) - len(m.group().lstrip())
-            stop = start + len(code[start:stop].rstrip())
-            tree.leaf("import", "", start, stop)
-            at = max(at, stop)
-        elif m.group("open"):
+            at = start + len(code[start:stop].rstrip())
+            if not code[start:at].endswith(","):
+                tree.leaf("import", "", start, at)
+        elif name == "open":
             tree.open(m.end(), None)
         else:
             tree.close(m.end())
@@ -255,20 +257,19 @@ def _scan_julia(code: str, tree: _Tree) -> None:
 def _scan_java(code: str, tree: _Tree) -> None:
     waiting: dict[int, Node] = {}
     at = 0
-    while (m := _JAVA.search(code, at)) is not None:
-        at = m.end()
-        name = m.group("name") or m.group("plain_name")
+    for m in _JAVA.finditer(code):
+        if m.start() < at:
+            continue
+        sign, name = m.group(), m.lastgroup
         if name is not None:
-            stop = _matching(code, m.end(), "(", ")")
-            body = _JAVA_BODY.match(code, stop)
-            words = m.group().split()
-            if body is not None and name not in _NO_NAMES and not _NO_NAMES.intersection(words[:-1]):
-                start = m.start() + len(m.group()) - len(m.group().lstrip())
-                waiting[body.start(1)] = tree.node("function", name, start, m.end())
+            body = _JAVA_BODY.match(code, _matching(code, m.end(), "(", ")"))
+            if body is not None and not _NO_NAMES.intersection(sign.split()):
+                start = m.start() + len(sign) - len(sign.lstrip())
+                waiting[body.start(1)] = tree.node("function", m.group(name), start, m.end())
                 at = body.start(1)
-        elif m.group() == "{":
+        elif sign == "{":
             tree.open(m.start(), waiting.pop(m.start(), None))
-        elif m.group() == "}":
+        elif sign == "}":
             tree.close(m.end())
 
 
@@ -372,36 +373,30 @@ def features(text: str | None, lang: str | None = None) -> dict | None:
 
 # -------------------------------------------------------------- Arrow side --
 
-NODE = (
-    "struct<kind:string,name:string,depth:int,functions:int,modules:int,start:int,stop:int,body:int,"
-    "marked:boolean,asserts:boolean,title:string,text:string>"
-)
+NODE = {
+    "kind": "string", "name": "string", "depth": "int", "functions": "int", "modules": "int", "start": "int", "stop": "int", "body": "int",
+    "marked": "boolean", "asserts": "boolean", "title": "string", "text": "string",
+}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
 FEATURES = "struct<lang:string,name:string,params:int,receiver:int>"
-_NODE_TYPE = pa.struct([
-    ("kind", pa.string()), ("name", pa.string()), ("depth", pa.int32()), ("functions", pa.int32()), ("modules", pa.int32()), ("start", pa.int32()),
-    ("stop", pa.int32()), ("body", pa.int32()), ("marked", pa.bool_()), ("asserts", pa.bool_()), ("title", pa.string()), ("text", pa.string()),
-])
 
 
-def rows(text: str | None, lang: str | None) -> list[dict]:
-    """The nodes of a text as rows, by start.
+def rows(text: str | None, lang: str | None, kinds: tuple[str, ...] = ()) -> list[Node]:
+    """The nodes of a text (of these kinds, if given) by start, with what is read off the text.
 
     ``marked``: ``#[test]`` stands right before; ``asserts``: the body holds "assert"; ``title``: the first line.
     ``text`` is given for what does not nest: outermost functions, imports, attributes and comments."""
     if not text or lang not in LANGS:
         return []
     found, _ = nodes(text, lang)
-    marks = {n.stop for n in found if n.kind == "attribute" and text[n.start : n.stop] == "#[test]"}
-    ends = sorted(marks)
-    out = []
-    for n in sorted(found, key=lambda n: (n.start, n.stop)):
-        marked = bool(ends) and n.kind == "function" and _marked(text, ends, n.start)
-        flat = n.kind in ("import", "attribute", "comment") or (n.kind in ("function", "method") and n.functions == 0)
-        out.append({
-            "kind": n.kind, "name": n.name, "depth": n.depth, "functions": n.functions, "modules": n.modules, "start": n.start, "stop": n.stop, "body": n.body,
-            "marked": marked, "asserts": n.body >= 0 and text.find("assert", n.body, n.stop) >= 0,
-            "title": text[n.start : min(n.stop, lexer._find(text, "\n", n.start))], "text": text[n.start : n.stop] if flat else None,
-        })
+    ends = sorted(n.stop for n in found if n.kind == "attribute" and text[n.start : n.stop] == "#[test]")
+    out = sorted((n for n in found if not kinds or n.kind in kinds), key=lambda n: (n.start, n.stop))
+    for n in out:
+        block = n.kind in ("function", "method")
+        n.marked = block and bool(ends) and _marked(text, ends, n.start)
+        n.asserts = block and text.find("assert", n.body, n.stop) >= 0
+        n.title = text[n.start : min(n.stop, lexer._find(text, "\n", n.start))] if block else None
+        n.text = text[n.start : n.stop] if n.kind in ("import", "attribute", "comment") or (block and n.functions == 0) else None
     return out
 
 
@@ -410,13 +405,34 @@ def _marked(text: str, ends: list[int], start: int) -> bool:
     return i > 0 and _BLANK.match(text, ends[i - 1], start) is not None
 
 
-def _rows_batch(text: pa.Array, lang: pa.Array) -> pa.Array:
-    return pa.array([rows(t, s) for t, s in zip(text.to_pylist(), lang.to_pylist())], pa.list_(_NODE_TYPE))
+def _node_lists(found: list[list[Node] | None], fields: tuple[str, ...]) -> pa.Array:
+    """Lists of nodes, column by column."""
+    flat = [n for ns in found if ns for n in ns]
+    columns = [pa.array([getattr(n, f) for n in flat], _ARROW[NODE[f]]) for f in fields]
+    return _lists(found, pa.StructArray.from_arrays(columns, names=list(fields)))
+
 
+def _lists(found: list, values: pa.Array) -> pa.Array:
+    offsets, at = [], 0
+    for xs in found:
+        offsets.append(None if xs is None else at)
+        at += 0 if xs is None else len(xs)
+    return pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), values)
 
-def _rows_each_batch(texts: pa.Array, lang: pa.Array) -> pa.Array:
-    out = [None if ts is None else [rows(t, s) for t in ts] for ts, s in zip(texts.to_pylist(), lang.to_pylist())]
-    return pa.array(out, pa.list_(pa.list_(_NODE_TYPE)))
+
+def _rows_batch(kinds: tuple[str, ...], fields: tuple[str, ...]):
+    def run(text: pa.Array, lang: pa.Array) -> pa.Array:
+        return _node_lists([rows(t, s, kinds) for t, s in zip(text.to_pylist(), lang.to_pylist())], fields)
+
+    return run
+
+
+def _rows_each_batch(kinds: tuple[str, ...], fields: tuple[str, ...]):
+    def run(texts: pa.Array, lang: pa.Array) -> pa.Array:
+        found = [None if ts is None else [rows(t, s, kinds) for t in ts] for ts, s in zip(texts.to_pylist(), lang.to_pylist())]
+        return _lists(found, _node_lists([ns for each in found if each for ns in each], fields))
+
+    return run
 
 
 def _features_batch(text: pa.Array, lang: pa.Array) -> pa.Array:
@@ -448,16 +464,20 @@ def _without_batch(text: pa.Array, cuts: pa.Array) -> pa.Array:
     return pa.array([without(t, c) for t, c in zip(text.to_pylist(), cuts.to_pylist())], pa.string())
 
 
-def syntax_nodes(text, lang) -> Column:
-    """Nodes of a text in a language (a name or a column), by start."""
+def _type(fields: tuple[str, ...]) -> str:
+    return f"array<struct<{','.join(f'{f}:{NODE[f]}' for f in fields)}>>"
+
+
+def syntax_nodes(text, lang, kinds: tuple[str, ...] = (), fields: tuple[str, ...] = tuple(NODE)) -> Column:
+    """Nodes of a text in a language (a name or a column), by start: all kinds and fields, or those that are asked for."""
     shipped()
-    return F.arrow_udf(_rows_batch, f"array<{NODE}>")(_col(text), _lang(lang))
+    return F.arrow_udf(_rows_batch(kinds, fields), _type(fields))(_col(text), _lang(lang))
 
 
-def syntax_nodes_each(texts, lang) -> Column:
+def syntax_nodes_each(texts, lang, kinds: tuple[str, ...] = (), fields: tuple[str, ...] = tuple(NODE)) -> Column:
     """Nodes of every text of an array."""
     shipped()
-    return F.arrow_udf(_rows_each_batch, f"array<array<{NODE}>>")(_col(texts), _lang(lang))
+    return F.arrow_udf(_rows_each_batch(kinds, fields), f"array<{_type(fields)}>")(_col(texts), _lang(lang))
 
 
 def first_features(text, lang=None) -> Column:

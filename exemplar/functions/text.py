@@ -12,11 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .memo import cached_column
-from .syntax import by_depth, of_kind, syntax_nodes, syntax_nodes_each, without_spans
+from .syntax import by_depth, syntax_nodes, syntax_nodes_each, without_spans
 
 TEST_ATTRS = ("#[test]", "#[cfg(test)]")
 RUST_TEST_PREFIX = "    #[test]\n    "
 MAX_TESTS = 10
+#: What X1 and X2 read of a text.
+_FUNCTIONS = (("function",), ("depth", "functions", "start", "marked", "title", "text"))
 
 
 def _c(x) -> Column:
@@ -24,15 +26,15 @@ def _c(x) -> Column:
 
 
 def _rust_tests(found: Column) -> Column:
-    """X1 over the nodes of a text."""
-    outer = F.filter(of_kind(found, "function"), lambda n: n["functions"] == 0)
+    """X1 over the functions of a text."""
+    outer = F.filter(found, lambda n: n["functions"] == 0)
     named = lambda n: (F.instr(n["title"], "test_") > 0) | (F.instr(n["title"], "_test") > 0)
     return F.transform(by_depth(F.filter(outer, lambda n: n["marked"] | named(n))), lambda n: F.concat(F.lit(RUST_TEST_PREFIX), n["text"]))
 
 
 def _go_tests(found: Column) -> Column:
-    """X2 over the nodes of a text after the prefix rule."""
-    keep = F.filter(of_kind(found, "function"), lambda n: (n["depth"] == 0) & (F.instr(n["title"], "Test") > 0))
+    """X2 over the functions of a text after the prefix rule."""
+    keep = F.filter(found, lambda n: (n["depth"] == 0) & (F.instr(n["title"], "Test") > 0))
     return F.transform(keep, lambda n: n["text"])
 
 
@@ -41,7 +43,7 @@ def rust_tests(text) -> Column:
     """Test functions of one Rust response: functions right behind ``#[test]`` or
     whose first line has ``test_``/``_test``; nested functions are part of their
     parent; breadth-first order (depth, then position)."""
-    return _rust_tests(syntax_nodes(text, "rust"))
+    return _rust_tests(syntax_nodes(text, "rust", *_FUNCTIONS))
 
 
 def go_normalize(text) -> Column:
@@ -59,7 +61,7 @@ def go_normalize(text) -> Column:
 def go_tests(text) -> Column:
     """Top-level ``func`` declarations (not methods) with a body and
     ``Test`` on their first line, after the prefix rule."""
-    return _go_tests(syntax_nodes(go_normalize(text), "go"))
+    return _go_tests(syntax_nodes(go_normalize(text), "go", *_FUNCTIONS))
 
 
 @cached_column
@@ -76,7 +78,7 @@ def sanitize_responses(lang: Column, responses) -> Column:
     """X4 + W4: tests of all responses of a sample by its (lower-case) language (X1-X3; Julia's for others), in order, at most 10."""
     texts = _c(responses)
     read = F.transform(texts, lambda r: F.when(lang == "go", go_normalize(r)).when(lang == "rust", r))
-    found = syntax_nodes_each(read, lang)
+    found = syntax_nodes_each(read, lang, *_FUNCTIONS)
     tests = (
         F.when(lang == "rust", F.transform(found, _rust_tests))
         .when(lang == "go", F.transform(found, _go_tests))
@@ -97,7 +99,7 @@ def import_context(lang: Column, text) -> Column:
     """Import statements in order, joined by newlines: Rust ``use`` declarations outside
     ``mod`` blocks, Go top-level ``import`` declarations (one or a block), Julia
     ``import``/``using`` (continued while a line ends with ``,``)."""
-    found = F.filter(of_kind(syntax_nodes(text, lang), "import"), lambda n: n["modules"] == 0)
+    found = F.filter(syntax_nodes(text, lang, ("import",), ("modules", "text")), lambda n: n["modules"] == 0)
     return F.array_join(F.transform(found, lambda n: n["text"]), "\n")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import compare, stats
 from ..operators.knn import dense_topk
+from ..operators.layout import spread
 from ..sources.tables import table
 from . import standins
 
@@ -424,7 +425,7 @@ _FEAT_SQL = f"""code AS (SELECT p_partkey, {standins.CODE_SQL} AS code FROM part
 
 
 def _features(spark, sf) -> DataFrame:
-    return C.with_code_features(standins.code_snippets(spark, sf), "code").select(
+    return C.with_code_features(spread(standins.code_snippets(spark, sf)), "code").select(
         "p_partkey", "lang", "method_name", "param_count"
     )
 
@@ -887,8 +888,6 @@ def q_import_context(spark, sf):
     of the text becomes a ``use`` line, the text itself is the body."""
     from ..functions.text import import_context
 
-    from ..operators.layout import spread
-
     d = spread(table(spark, sf, "documents"))
     uses = F.array_join(
         F.transform(
