@@ -1,22 +1,28 @@
-"""Okapi BM25 retrieval (B1), exact top-k per query.
-
-Plan (two passes over the corpus, no all-pairs rows):
-
-1. One aggregation: each task tokenizes its documents (Arrow RE2), counts
-   the document frequency of the *query* terms and its number of documents
-   and tokens (a sentinel row), and emits one row per term; Spark sums the
-   partial rows, so a term present in every document costs one row per task.
-2. The query term weights ``qtf * idf`` form a dense (query term x query)
-   matrix whose size is checked before it is broadcast; ``mapInArrow`` turns
-   each tile of documents into a (document x query term) matrix of BM25 term
-   parts and multiplies, keeping a running top-k per query.  The merge is a
-   ``row_number`` window on query id.  Above the bound, a postings join on
-   term is used instead.
+"""Okapi BM25 retrieval (B1), exact top-k per query, over a stored inverted index.
+
+Index (``build``): documents are cut into blocks of up to ``BLOCK_DOCS`` documents or
+``BLOCK_TOKENS`` tokens where they lie; a task tokenizes its blocks (Arrow RE2) and emits one
+row per (term, block) with the postings and two block maxima, the largest tf and the
+shortest length, and one row per block with its documents.  The rows are range-partitioned
+and sorted by (term, block), so a term's postings lie together and a term of every document is
+spread over as many partitions as it needs.  Nothing in the index depends on corpus
+statistics, so blocks can be added without touching the old ones.
+
+Search: the query terms' rows give N, the total length and the document frequencies, and for
+every (query, block) an upper bound of the score of its documents (weights times the BM25 part of the
+block maxima).  The best block of each query is searched first; its k-th score is a lower bound of the
+final one.  Then only blocks whose bound reaches it are read, grouped by block, and searched
+with max-score pruning: terms in the order of what they can add are essential until the others
+together stay below the threshold; a document without an essential term is never scored, and one
+whose essential parts and the bound of the others stay below it is dropped.
+
+Queries are handled in blocks of ``query_limit_bytes`` of (query, term) pairs, so what is broadcast is bounded.
 
 Scores use k1 = 1.2, b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a
 document is a hit only if it shares at least one term with the query.  Ranking
 treats scores equal to 1e-9 as ties, broken by document id, so copies of a
-document rank the same way in every engine.
+document rank the same way in every engine.  Documents without an id count in the
+statistics and are no hits.
 """
 
 from __future__ import annotations
@@ -24,21 +30,26 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import ship_package, written
 from .layout import scoring_layout
-from .topk import NO_ID, top_k_per_group, topk_merge
+from .topk import top_k_per_group
 
 # BM25 parameters and the token pattern.
 K1 = 1.2
 B = 0.75
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
 RANK_DECIMALS = 9
-DEFAULT_WEIGHT_LIMIT = 256 << 20
-_TILE_ELEMS = 4_000_000
+#: Scores this far below a threshold may still tie with it after rounding.
+_EPS = 1e-8
+BLOCK_DOCS = 4096
+BLOCK_TOKENS = 4 << 20
+QUERY_LIMIT_BYTES = 64 << 20
+
+INDEX = "term string, block long, n long, tokens long, max_tf int, min_len int, docs binary, tfs binary"
 
 
 def tokenize(text) -> Column:
@@ -47,7 +58,7 @@ def tokenize(text) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-_ALL = "\u0000"  # sentinel term: its row carries N and the total length
+_ALL = "\u0000"  # the term of a block's own row: its documents and their lengths
 _SPLIT = r"[^\p{L}\p{N}_]+"
 
 
@@ -64,38 +75,6 @@ def arrow_tokens(texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), flat.filter(keep))
 
 
-def _doc_stats(docs: DataFrame, vocab_bc):
-    """Per-partition (term, df, total_dl) for the query vocabulary plus the
-    sentinel row (N, total length); merged by a Spark aggregation."""
-
-    def fn(batches):
-        vocab = vocab_bc.value
-        n_v = len(vocab)
-        df = np.zeros(n_v, dtype=np.int64)
-        n_docs = 0
-        total = 0
-        for batch in batches:
-            toks = arrow_tokens(batch.column(1))
-            lengths = toks.value_lengths().to_numpy(zero_copy_only=False)
-            n_docs += len(lengths)
-            total += int(lengths.sum())
-            term = pc.index_in(toks.flatten(), value_set=vocab).fill_null(-1).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-            hit = term >= 0
-            if hit.any():
-                upair = np.unique(row[hit] * n_v + term[hit])
-                df += np.bincount(upair % n_v, minlength=n_v)
-        nz = np.nonzero(df)[0]
-        terms = pa.concat_arrays([vocab.take(pa.array(nz, pa.int64())), pa.array([_ALL])])
-        yield pa.RecordBatch.from_arrays(
-            [terms, pa.array(np.append(df[nz], n_docs), pa.int64()), pa.array(np.append(np.zeros(len(nz), np.int64), total), pa.int64())],
-            names=["term", "df", "total_dl"],
-        )
-
-    schema = "term string, df long, total_dl long"
-    return docs.mapInArrow(fn, schema).groupBy("term").agg(F.sum("df").alias("df"), F.sum("total_dl").alias("total_dl"))
-
-
 def _query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf) with the Arrow tokenizer."""
 
@@ -112,6 +91,238 @@ def _query_terms(queries: DataFrame) -> DataFrame:
     return queries.mapInArrow(fn, f"query_id {q_type}, term string, qtf long")
 
 
+# ------------------------------------------------------------------- index --
+
+
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Row i holds the bytes of values[bounds[i]:bounds[i + 1]]."""
+    offsets = (bounds * values.itemsize).astype(np.int64)
+    wide = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+    return wide.cast(pa.binary())
+
+
+def _block_rows(block: int, ids: list[pa.Array], tokens: list[pa.ListArray], vocabulary: pa.Array | None) -> pa.RecordBatch:
+    """The index rows of one block of documents."""
+    doc_ids = pa.concat_arrays(ids)
+    lengths = np.concatenate([t.value_lengths().to_numpy(zero_copy_only=False) for t in tokens]).astype(np.int32)
+    flat = pa.concat_arrays([t.flatten() for t in tokens])
+    row = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+    if vocabulary is not None:
+        known = pc.is_in(flat, value_set=vocabulary)
+        flat, row = flat.filter(known), row[known.to_numpy(zero_copy_only=False)]
+    code = flat.dictionary_encode()
+    n_terms = len(code.dictionary)
+    pairs, tf = np.unique(code.indices.to_numpy().astype(np.int64) * len(lengths) + row, return_counts=True)
+    bounds = np.searchsorted(pairs, np.arange(n_terms + 1, dtype=np.int64) * max(1, len(lengths)))
+    docs, tf = (pairs % max(1, len(lengths))).astype(np.int32), tf.astype(np.int32)
+    first = bounds[:-1]
+    max_tf = np.maximum.reduceat(tf, first) if n_terms else np.zeros(0, np.int32)
+    min_len = np.minimum.reduceat(lengths[docs], first) if n_terms else np.zeros(0, np.int32)
+    # the block's own row last: ids (-1 and a length below 0 where there is none) and lengths
+    unknown = doc_ids.is_null().to_numpy(zero_copy_only=False)
+    own_ids = doc_ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    own_len = np.where(unknown, -1 - lengths, lengths).astype(np.int32)
+    both = lambda a, b: pa.concat_arrays([a, b])
+    one = np.array([0, len(lengths)])
+    return pa.RecordBatch.from_arrays(
+        [
+            both(code.dictionary.cast(pa.string()), pa.array([_ALL])),
+            pa.array([block] * (n_terms + 1), pa.int64()),
+            pa.array(np.append(np.diff(bounds), len(lengths)), pa.int64()),
+            pa.array(np.append(np.add.reduceat(tf, first) if n_terms else [], lengths.sum(dtype=np.int64)).astype(np.int64), pa.int64()),
+            pa.array(np.append(max_tf, 0), pa.int32()),
+            pa.array(np.append(min_len, 0), pa.int32()),
+            both(_binary(docs, bounds), _binary(own_ids, one)),
+            both(_binary(tf, bounds), _binary(own_len, one)),
+        ],
+        names=["term", "block", "n", "tokens", "max_tf", "min_len", "docs", "tfs"],
+    )
+
+
+def _builder(vocabulary, block_docs: int):
+    def fn(batches):
+        from pyspark import TaskContext
+
+        words = vocabulary.value if vocabulary is not None else None
+        block = TaskContext.get().partitionId() << 32
+        ids, tokens, docs, size = [], [], 0, 0
+        for batch in batches:
+            for first in range(0, batch.num_rows, block_docs):
+                part = batch.slice(first, block_docs)
+                cut = arrow_tokens(part.column(1))
+                ids.append(part.column(0))
+                tokens.append(cut)
+                docs, size = docs + part.num_rows, size + len(cut.flatten())
+                if docs >= block_docs or size >= BLOCK_TOKENS:
+                    yield _block_rows(block, ids, tokens, words)
+                    block, ids, tokens, docs, size = block + 1, [], [], 0, 0
+        if docs:
+            yield _block_rows(block, ids, tokens, words)
+
+    return fn
+
+
+def index_rows(docs: DataFrame, vocabulary=None, block_docs: int | None = None) -> DataFrame:
+    """Index rows of (doc_id, text): all terms, or those of a broadcast vocabulary."""
+    ship_package(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_builder(vocabulary, block_docs or BLOCK_DOCS), INDEX)
+
+
+def build(docs: DataFrame, path: str, block_docs: int | None = None) -> None:
+    """Stores the index of (doc_id, text), sorted by term and block."""
+    rows = index_rows(docs, None, block_docs).repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+    rows.write.mode("errorifexists").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(path)
+
+
+# ------------------------------------------------------------------ search --
+
+
+class Block:
+    """The postings of some terms in one block, with their BM25 parts."""
+
+    def __init__(self, rows: pa.Table, avg_len: float) -> None:
+        terms = rows["term"].combine_chunks()
+        own = pc.equal(terms, _ALL)
+        (at,) = np.flatnonzero(own.to_numpy(zero_copy_only=False))
+        lengths = np.frombuffer(rows["tfs"][at].as_py(), np.int32)
+        self.ids = np.frombuffer(rows["docs"][at].as_py(), np.int64)
+        self.known = lengths >= 0
+        norm = K1 * (1.0 - B + B * np.where(self.known, lengths, -1 - lengths) / avg_len)
+        rest = rows.filter(pc.invert(own))
+        self.terms = {t: i for i, t in enumerate(rest["term"].to_pylist())}
+        self.docs = np.frombuffer(b"".join(rest["docs"].to_pylist()), np.int32)
+        tf = np.frombuffer(b"".join(rest["tfs"].to_pylist()), np.int32).astype(np.float64)
+        self.bounds = np.concatenate([[0], np.cumsum(rest["n"].to_numpy())]).astype(np.int64)
+        self.parts = tf * (K1 + 1.0) / (tf + norm[self.docs])
+        self.highest = np.maximum.reduceat(self.parts, self.bounds[:-1]) if len(self.terms) else np.zeros(0)
+        self.scored = 0
+
+    def search(self, weights: dict[str, float], least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best documents that reach ``least``."""
+        here = [(self.terms[t], w) for t, w in weights.items() if t in self.terms]
+        here.sort(key=lambda x: -x[1] * self.highest[x[0]])
+        most = np.cumsum([0.0] + [w * self.highest[i] for i, w in reversed(here)])[::-1]  # what the terms from each one on can add
+        none = np.zeros(0, np.int64), np.zeros(0)
+        if not here or most[0] < least - _EPS:
+            return none
+        essential = int(np.flatnonzero(most < max(least - _EPS, _EPS))[0])
+        spans = [slice(self.bounds[i], self.bounds[i + 1]) for i, _ in here]
+        at = np.concatenate([self.docs[s] for s in spans[:essential]])
+        parts = np.concatenate([w * self.parts[s] for s, (_, w) in zip(spans[:essential], here)])
+        score = np.bincount(at, parts, minlength=len(self.ids))
+        near = np.flatnonzero((score > 0) & (score + most[essential] >= least - _EPS) & self.known)
+        score = score[near]
+        self.scored += len(near)
+        for n, (s, (_, w)) in enumerate(zip(spans[essential:], here[essential:]), essential):
+            docs = self.docs[s]
+            place = np.minimum(np.searchsorted(docs, near), len(docs) - 1)
+            score = score + np.where(docs[place] == near, w * self.parts[s][place], 0.0)
+            alive = score + most[n + 1] >= least - _EPS
+            near, score = near[alive], score[alive]
+        order = np.lexsort((self.ids[near], -np.round(score, RANK_DECIMALS)))[:k]
+        return self.ids[near[order]], score[order]
+
+
+def _search_blocks(postings: DataFrame, pairs: DataFrame, weights, k: int, avg_len: float) -> DataFrame:
+    """(q, doc_id, score): the pairs (block, q, least) searched, one block a group."""
+
+    def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        if rows.num_rows and asked.num_rows:
+            block = Block(rows, avg_len)
+            for q, least in zip(asked["q"].to_pylist(), asked["least"].to_pylist()):
+                out.append((q, *block.search(weights.value[q], least, k)))
+        sizes = [len(ids) for _, ids, _ in out]
+        flat = lambda xs, t: pa.array(np.concatenate(xs) if xs else [], t)
+        return pa.table({
+            "q": pa.array(np.repeat(np.array([q for q, *_ in out], np.int64), np.array(sizes, np.int64)), pa.int64()),
+            "doc_id": flat([ids for _, ids, _ in out], pa.int64()),
+            "score": flat([s for *_, s in out], pa.float64()),
+        })
+
+    wanted = postings.join(pairs.select("block").distinct(), "block", "left_semi")
+    groups = wanted.select("block", "term", "n", "docs", "tfs").groupBy("block").cogroup(pairs.select("block", "q", "least").groupBy("block"))
+    return groups.applyInArrow(search, "q long, doc_id long, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    key = F.round(F.col("score"), RANK_DECIMALS)
+    return top_k_per_group(found, ["q"], [key.desc(), F.col("doc_id").asc()], k)
+
+
+def search_index(queries: DataFrame, index: DataFrame, k: int = 5, query_limit_bytes: int = QUERY_LIMIT_BYTES) -> DataFrame:
+    """Top-k documents of an index per query (query_id, text): (query_id, rank, doc_id, score)."""
+    return _search_all(_query_blocks(_query_terms(queries.select("query_id", "text")), query_limit_bytes), index, k)
+
+
+def _query_blocks(qtf: DataFrame, query_limit_bytes: int) -> list[DataFrame]:
+    """The queries' terms in blocks of bounded size; one block as it is."""
+    size = qtf.agg(F.sum(F.octet_length("term") + 32).alias("bytes"), F.count_distinct("query_id").alias("n")).first()
+    blocks = min(-(-(size.bytes or 0) // query_limit_bytes), 1 << 20, size.n)
+    if blocks <= 1:
+        return [qtf]
+    qtf = written(qtf, "bm25-queries")
+    return [qtf.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def _search_all(queries: list[DataFrame], index: DataFrame, k: int) -> DataFrame:
+    if k < 1:
+        raise ValueError("k must be >= 1")
+    ship_package(index.sparkSession)
+    if len(queries) == 1:
+        return _search_block(queries[0].toArrow(), queries[0].schema, index, k)
+    parts = [written(_search_block(q.toArrow(), q.schema, index, k), "bm25-found") for q in queries]
+    paths = [p for part in parts for p in part.inputFiles()]
+    return index.sparkSession.read.schema(parts[0].schema).parquet(*paths) if paths else parts[0]
+
+
+def _search_block(asked: pa.Table, schema: T.StructType, index: DataFrame, k: int) -> DataFrame:
+    """One block of (query_id, term, qtf); its terms and weights are bounded by the size of a block."""
+    spark = index.sparkSession
+    q_type = schema["query_id"].dataType.simpleString()
+    out = f"query_id {q_type}, rank int, doc_id long, score double"
+    vocabulary = pc.unique(asked["term"].combine_chunks())
+    terms = spark.createDataFrame(pa.table({"term": pa.concat_arrays([vocabulary, pa.array([_ALL])])}))
+    postings = index.join(F.broadcast(terms), "term", "left_semi")
+    stats = postings.groupBy("term").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).toArrow()
+    df = dict(zip(stats["term"].to_pylist(), stats["n"].to_pylist()))
+    n_docs, total = df.pop(_ALL, 0), dict(zip(stats["term"].to_pylist(), stats["tokens"].to_pylist())).get(_ALL, 0)
+    if not n_docs or not total:
+        return spark.createDataFrame([], out)
+    avg_len = float(total) / float(n_docs)
+    ids = pc.unique(asked["query_id"].combine_chunks())
+    number = pc.index_in(asked["query_id"].combine_chunks(), value_set=ids).to_numpy()
+    weights: list[dict[str, float]] = [{} for _ in range(len(ids))]
+    for q, term, qtf_ in zip(number.tolist(), asked["term"].to_pylist(), asked["qtf"].to_pylist()):
+        if term in df:
+            weights[q][term] = qtf_ * float(np.log(1.0 + (float(n_docs) - df[term] + 0.5) / (df[term] + 0.5)))
+    shared = spark.sparkContext.broadcast(weights)
+    flat = [(q, t, w) for q, ws in enumerate(weights) for t, w in ws.items()]
+    table = pa.table({"q": pa.array([x[0] for x in flat], pa.int64()), "term": pa.array([x[1] for x in flat], pa.string()), "w": pa.array([x[2] for x in flat], pa.float64())})
+    bounds = written(_bounds(postings, spark.createDataFrame(table), avg_len), "bm25-bounds")
+    one = bounds.groupBy("q").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
+    first = _best(_search_blocks(postings, one.withColumn("least", F.lit(0.0)), shared, k, avg_len), k)
+    reached = first.where(F.col("rank") == k).select("q", "score").toArrow()
+    least = np.zeros(len(ids))
+    least[reached["q"].to_numpy()] = reached["score"].to_numpy()
+    names = spark.createDataFrame(pa.table({"q": pa.array(range(len(ids)), pa.int64()), "query_id": ids, "least": pa.array(least)}))
+    pairs = bounds.join(F.broadcast(names.select("q", "least")), "q").where(F.col("bound") >= F.col("least") - _EPS)
+    best = _best(_search_blocks(postings, pairs, shared, k, avg_len), k)
+    return best.join(F.broadcast(names), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+def _bounds(postings: DataFrame, weights: DataFrame, avg_len: float) -> DataFrame:
+    """(q, block, bound): what a document of the block can score at most; pairs without a shared term have no row."""
+    tf = F.col("max_tf")
+    part = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * F.col("min_len") / F.lit(avg_len)))
+    rows = postings.select("term", "block", part.alias("part")).join(F.broadcast(weights), "term")
+    return rows.groupBy("q", "block").agg(F.sum(F.col("w") * F.col("part")).alias("bound"))
+
+
 def bm25_topk(
     queries: DataFrame,
     docs: DataFrame,
@@ -121,161 +332,23 @@ def bm25_topk(
     query_text: str = "text",
     doc_id: str = "doc_id",
     doc_text: str = "text",
-    weight_limit_bytes: int = DEFAULT_WEIGHT_LIMIT,
+    query_limit_bytes: int = QUERY_LIMIT_BYTES,
+    block_docs: int | None = None,
 ) -> DataFrame:
-    """Top-k documents per query: (query_id, rank, doc_id, score)."""
+    """Top-k documents per query: (query_id, rank, doc_id, score), over an index built for this call.
+
+    The index of one block of queries holds their terms only, that of several blocks all terms."""
     if k < 1:
         raise ValueError("k must be >= 1")
     spark = queries.sparkSession
     ship_package(spark)
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("text"))
-    d = scoring_layout(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")))
-    q_type = q.schema["query_id"].dataType
-    out_schema = T.StructType(
-        [
-            T.StructField("query_id", q_type),
-            T.StructField("doc_id", T.LongType()),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    qtf = _query_terms(q)
-    # The query side is bounded by the query set: checked, then collected once.
-    n_pairs = qtf.count()
-    if n_pairs * 64 > weight_limit_bytes:
-        return _rank(_joined_scores(qtf, d), k, query_id, doc_id)
-    qt = qtf.toArrow()
-    vocab = pc.unique(qt.column("term").combine_chunks())
-    st = _doc_stats(d, spark.sparkContext.broadcast(vocab)).toArrow()
-    stats = dict(zip(st.column("term").to_pylist(), zip(st.column("df").to_pylist(), st.column("total_dl").to_pylist())))
-    n_docs, total_dl = stats.pop(_ALL, (0, 0))
-    if not n_docs:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
-    avgdl = float(total_dl) / float(n_docs)
-    # weights qtf * idf, for query terms that occur in the corpus
-    df_arr = pa.array([stats.get(t, (0, 0))[0] for t in qt.column("term").to_pylist()], pa.int64()).to_numpy()
-    present = df_arr > 0
-    idf_arr = np.log(1.0 + (float(n_docs) - df_arr + 0.5) / (df_arr + 0.5))
-    wt = pa.table(
-        {
-            "query_id": qt.column("query_id").combine_chunks().filter(pa.array(present)),
-            "term": qt.column("term").combine_chunks().filter(pa.array(present)),
-            "weight": pa.array((qt.column("qtf").to_numpy() * idf_arr)[present]),
-        }
-    )
-    n_q = len(pc.unique(wt.column("query_id").combine_chunks())) if wt.num_rows else 0
-    if len(pc.unique(wt.column("term").combine_chunks())) * max(n_q, 1) * 8 > weight_limit_bytes:
-        return _rank(_joined_scores(qtf, d), k, query_id, doc_id)
-    partial = d.mapInArrow(_scorer(spark, wt, k, avgdl), out_schema)
-    return _rank(partial, k, query_id, doc_id)
-
-
-def _rank(partial: DataFrame, k: int, query_id: str, doc_id: str) -> DataFrame:
-    key = F.round(F.col("score"), RANK_DECIMALS)
-    ranked = top_k_per_group(partial, ["query_id"], [key.desc(), F.col("doc_id").asc()], k)
-    return ranked.select(
-        F.col("query_id").alias(query_id) if query_id != "query_id" else F.col("query_id"),
-        F.col("rank").cast("int"),
-        F.col("doc_id").alias(doc_id) if doc_id != "doc_id" else F.col("doc_id"),
-        "score",
-    )
-
-
-def _scorer(spark, wt: pa.Table, k: int, avgdl: float):
-    """Per-partition scoring around a broadcast dense (term x query) weight matrix."""
-    q_ids_all = wt.column("query_id").combine_chunks()
-    uq = pc.unique(q_ids_all)
-    q_idx = pc.index_in(q_ids_all, value_set=uq).to_numpy()
-    terms_all = wt.column("term").combine_chunks()
-    vocab = pc.unique(terms_all)
-    t_idx = pc.index_in(terms_all, value_set=vocab).to_numpy()
-    w_mat = np.zeros((len(vocab), len(uq)))
-    w_mat[t_idx, q_idx] = wt.column("weight").to_numpy()
-    bc = spark.sparkContext.broadcast((uq, vocab, w_mat))
-
-    def score_partition(batches):
-        uq_, vocab_, w = bc.value
-        n_q, n_v = len(uq_), len(vocab_)
-        best_s = np.full((n_q, k), -np.inf)
-        best_i = np.full((n_q, k), NO_ID, dtype=np.int64)
-        tile_rows = max(1, _TILE_ELEMS // max(n_v, n_q, 1))
-        for batch in batches:
-            toks = arrow_tokens(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            n_d = len(ids)
-            if n_d == 0:
-                continue
-            lengths = toks.value_lengths().to_numpy(zero_copy_only=False)
-            term = pc.index_in(toks.flatten(), value_set=vocab_).fill_null(-1).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(n_d, dtype=np.int64), lengths)
-            hit = term >= 0
-            if not hit.any():
-                continue
-            upair, tf = np.unique(row[hit] * n_v + term[hit], return_counts=True)
-            prow, pterm = upair // n_v, upair % n_v
-            dl = lengths[prow].astype(np.float64)
-            tf_part = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dl / avgdl))
-            for lo in range(0, n_d, tile_rows):
-                hi = min(n_d, lo + tile_rows)
-                a, z = np.searchsorted(prow, lo), np.searchsorted(prow, hi)
-                if a == z:
-                    continue
-                m = np.zeros((hi - lo, n_v))
-                m[prow[a:z] - lo, pterm[a:z]] = tf_part[a:z]
-                tile = (m @ w).T  # (queries x docs); 0 means no shared term
-                tile = np.where(tile > 0, tile, -np.inf)
-                all_key = np.concatenate([np.round(best_s, RANK_DECIMALS), np.round(tile, RANK_DECIMALS)], axis=1)
-                all_s = np.concatenate([best_s, tile], axis=1)
-                all_i = np.concatenate([best_i, np.broadcast_to(ids[lo:hi], tile.shape)], axis=1)
-                _, top_i, top_c = topk_merge(all_key, all_i, k)
-                best_s = np.where(top_c >= 0, np.take_along_axis(all_s, np.maximum(top_c, 0), axis=1), -np.inf)
-                best_i = top_i
-        r, p = np.nonzero((best_i != NO_ID) & np.isfinite(best_s))
-        if r.size:
-            yield pa.RecordBatch.from_arrays(
-                [uq_.take(pa.array(r, pa.int64())), pa.array(best_i[r, p], pa.int64()), pa.array(best_s[r, p])],
-                names=["query_id", "doc_id", "score"],
-            )
-
-    return score_partition
-
-
-def _postings(d: DataFrame) -> DataFrame:
-    """(doc_id, dl, term, tf) rows with the Arrow tokenizer."""
-
-    def fn(batches):
-        for batch in batches:
-            toks = arrow_tokens(batch.column(1))
-            lengths = toks.value_lengths().to_numpy(zero_copy_only=False)
-            rows = np.repeat(np.arange(len(lengths)), lengths)
-            t = pa.table(
-                {
-                    "doc_id": batch.column(0).take(pa.array(rows, pa.int64())),
-                    "dl": pa.array(lengths[rows], pa.int64()),
-                    "term": toks.flatten(),
-                }
-            )
-            g = t.group_by(["doc_id", "dl", "term"]).aggregate([("term", "count")])
-            yield from g.rename_columns(["doc_id", "dl", "term", "tf"]).to_batches()
-
-    return d.mapInArrow(fn, "doc_id long, dl long, term string, tf long")
-
-
-def _joined_scores(qtf: DataFrame, d: DataFrame) -> DataFrame:
-    """Fallback for query sets above the broadcast bound: postings joined with
-    the query terms on term (AQE splits skewed terms), summed per (query, doc).
-    Same formula; everything stays in Spark joins and aggregations."""
-    post = _postings(d)
-    empty_vocab = d.sparkSession.sparkContext.broadcast(pa.array([], pa.string()))
-    st = _doc_stats(d, empty_vocab).where(F.col("term") == _ALL).first()
-    n_docs = int(st["df"]) if st else 0
-    avgdl = float(st["total_dl"]) / n_docs if n_docs else 0.0
-    post = post.join(qtf.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    weights = qtf.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
-    tf_part = (
-        F.col("tf") * F.lit(K1 + 1.0)
-        / (F.col("tf") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl)))
-    )
-    return post.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * tf_part).alias("score"))
-
+    d = scoring_layout(docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")))
+    blocks = _query_blocks(_query_terms(q), query_limit_bytes)
+    if len(blocks) == 1:
+        asked = blocks[0].toArrow()
+        vocabulary = spark.sparkContext.broadcast(pc.unique(asked["term"].combine_chunks()))
+        found = _search_block(asked, blocks[0].schema, written(index_rows(d, vocabulary, block_docs), "bm25-index"), k)
+    else:
+        found = _search_all(blocks, written(index_rows(d, None, block_docs), "bm25-index"), k)
+    return found.withColumnsRenamed({"query_id": query_id, "doc_id": doc_id}).select(query_id, "rank", doc_id, "score")
