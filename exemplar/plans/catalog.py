@@ -17,6 +17,7 @@ from ..functions import vectors as V
 from ..operators import compare, stats
 from ..operators.knn import dense_topk
 from ..operators.layout import spread
+from ..session import scratch_path, written
 from ..sources.tables import table
 from . import standins
 
@@ -868,6 +869,26 @@ def q_clean_responses_go(spark, sf):
     return clean_responses(standins.responses(spark, sf, "go"), "go")
 
 
+@register(
+    "clean_stream",
+    f"""SELECT conv_id, turn, raw_response, response, CAST(conv_id % 2 + 1 AS INTEGER) AS run
+        FROM ({O.clean_responses("rust", standins.RESPONSES_SQL["rust"])})""",
+)
+def q_clean_stream(spark, sf):
+    """The answers arrive in two lots of files; a file stream with a checkpoint cleans the first,
+    stops, starts anew and cleans what came since.  Each row tells the run that cleaned it."""
+    from ..streaming.incremental import clean_new_files
+
+    samples = standins.responses(spark, sf, "rust")
+    root = scratch_path(spark, "clean-stream")
+    raw, out, checkpoint = (f"{root}/{name}" for name in ("raw", "out", "checkpoint"))
+    for run in (1, 2):
+        samples.where(F.col("conv_id") % 2 + 1 == run).write.mode("append").json(raw)
+        clean_new_files(spark, raw, out, checkpoint, "rust", schema=samples.schema, run=run)
+    done = "conv_id long, turn long, raw_response array<string>, response array<string>, run int"
+    return spark.read.schema(done).json(out)
+
+
 _SRC = """
   SELECT t.doc_id, coalesce(uses, '') || chr(10) || 'mod tests {' || chr(10) || '    use super::*;' || chr(10) || '}'
     || chr(10) || 'fn body() {' || chr(10) || '    // ' || text || chr(10) || '}' AS src
@@ -918,7 +939,7 @@ def q_retrieval_context(spark, sf):
     corpus = standins.pairs(spark, sf).select(
         F.col("pair_id").alias("example_id"), "focal_method", "unit_test", F.lit("{}").alias("metadata")
     )
-    index = build_index(corpus, emb)
+    index = written(build_index(corpus, emb), "example-index")
     bench = standins.bench_cases(spark, sf)
     return retrieval_job(bench, index, emb, k=3, threshold=0.0)
 
@@ -969,7 +990,7 @@ def q_retrieval_flat(spark, sf):
     corpus = standins.pairs(spark, sf).select(
         F.col("pair_id").alias("example_id"), "focal_method", "unit_test", F.lit("{}").alias("metadata")
     )
-    flat = retrieve_context(standins.bench_cases(spark, sf), build_index(corpus, emb), emb, k=3, threshold=0.0)
+    flat = retrieve_context(standins.bench_cases(spark, sf), written(build_index(corpus, emb), "example-index"), emb, k=3, threshold=0.0)
     return flat.select(
         "id",
         "rank",
@@ -985,6 +1006,34 @@ def q_retrieval_flat(spark, sf):
 _LAST = "string_split(rtrim(question, chr(10)), chr(10))[-1]"
 
 
+@register(
+    "index_versions",
+    f"""WITH p AS ({standins.PAIRS_SQL}),
+    d AS (SELECT DISTINCT focal_method, unit_test, min(pair_id % 2) OVER (PARTITION BY focal_method, unit_test) AS odd FROM p),
+    f AS (SELECT *, {O.detect_language('focal_method')} AS lang FROM d)
+    SELECT v.version, md5(focal_method || chr(0) || unit_test) AS example, CAST(64 AS INTEGER) AS dim, lang,
+           {O.method_name('focal_method', 'lang')} AS method_name, {O.param_count('focal_method', 'lang')} AS param_count
+    FROM f, (VALUES (1), (2)) v(version) WHERE v.version = 2 OR odd = 0""",
+)
+def q_index_versions(spark, sf):
+    """An index of the even pairs, all pairs appended (those it holds are not embedded again), both versions read back."""
+    from ..functions.embedders import HashedEmbedder
+    from ..sources import index_store
+
+    pairs = standins.pairs(spark, sf)
+    emb = HashedEmbedder(64)
+    path = scratch_path(spark, "index")
+    corpus = pairs.select("pair_id", "focal_method", "unit_test", F.lit("{}").alias("metadata"))
+    index_store.append(corpus.where("pair_id % 2 = 0").drop("pair_id"), path, emb)
+    index_store.append(corpus.drop("pair_id"), path, emb)
+    example = F.md5(F.concat("focal_method", F.lit("\u0000"), "unit_test")).alias("example")
+    parts = [
+        index_store.load_index(spark, path, emb.name, 64, version).select(F.lit(version).alias("version"), example, "dim", "lang", "method_name", "param_count")
+        for version in (1, 2)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @register(
     "generate_answers",
     f"""WITH p AS ({SQL['standard_prompt']}),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import file_position
+from .tables import file_position, is_missing
 
 CORPUS_SCHEMA = T.StructType(
     [
@@ -42,7 +42,10 @@ def read_corpus(spark: SparkSession, path: str, max_examples: int = 0) -> DataFr
 
     try:
         lines = spark.read.text(path)
-    except AnalysisException:  # missing file: an empty corpus, as in the original
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
+        # missing file: an empty corpus, as in the original
         return spark.createDataFrame([], CORPUS_SCHEMA)
     if max_examples and max_examples > 0:
         # file order is (path, split, row); the splits themselves are planned by size

@@ -27,3 +27,9 @@ def file_position() -> list[Column]:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     ]
+
+
+def is_missing(error: Exception) -> bool:
+    """Whether an analysis error says that a path is not there (and nothing else)."""
+    condition = getattr(error, "getCondition", lambda: None)()
+    return condition == "PATH_NOT_FOUND"

@@ -13,13 +13,14 @@ excluded by name.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.responses import clean_responses
 from ..operators.stats import pending
-from ..sources.tables import decoded_path
+from ..sources.tables import decoded_path, is_missing
 
 RAW_GLOB = "*.{jsonl,json}"
 EXCLUDE = r"(^|/)(processed_[^/]*|detailed_results[^/]*)$"
@@ -75,13 +76,11 @@ def pending_evaluations(spark: SparkSession, root: str, input_glob: str = "proce
 
     try:
         inputs = dirs(input_glob)
-    except Exception:  # nothing processed yet
-        return spark.createDataFrame([], "dir string")
-    try:
-        done = dirs("summary.json")
-    except Exception:
-        return inputs
-    return inputs.join(done, "dir", "left_anti")
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
+        return spark.createDataFrame([], "dir string")  # nothing processed yet
+    return inputs.join(dirs("summary.json"), "dir", "left_anti")
 
 
 def clean_new_files(
@@ -91,15 +90,20 @@ def clean_new_files(
     checkpoint: str,
     lang: str,
     schema: T.StructType = RESPONSE_SCHEMA,
+    run: int | None = None,
+    max_files: int = 1000,
 ):
     """Clean every raw answer file that arrived since the last run.
     Returns the finished StreamingQuery.
 
     Answers are in ``response`` or ``generated``; ``schema`` names further
-    fields to pass on."""
+    fields to pass on; ``run`` marks the rows of this run.  Files come in
+    micro-batches of at most ``max_files``, so a first run over a large folder is no
+    single job, and a run that breaks off goes on behind its last finished batch."""
     stream = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", RAW_GLOB)
+        .option("maxFilesPerTrigger", max_files)
         .json(raw_dir)
         .withColumn("source_file", decoded_path())
         .where(~F.col("source_file").rlike(EXCLUDE))
@@ -107,6 +111,8 @@ def clean_new_files(
     if {"response", "generated"} <= set(stream.columns):
         stream = stream.withColumn("response", F.coalesce("response", "generated")).drop("generated")
     cleaned = clean_responses(stream, lang)
+    if run is not None:
+        cleaned = cleaned.withColumn("run", F.lit(run))
     q = (
         cleaned.writeStream.format("json")
         .option("path", out_dir)

@@ -1,10 +1,13 @@
 import json
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from exemplar.functions.embedders import CallableEmbedder, HashedEmbedder
 from exemplar.sources.audit import audit_outputs
 from exemplar.sources.corpus import read_corpus
-from exemplar.sources.index_store import build_or_load, load_index
+from exemplar.sources.index_store import ExampleIndex, Store, append, build_or_load, load_index
 
 
 def _corpus(path):
@@ -80,3 +83,63 @@ def test_audit_partitioned_layout(spark, tmp_dir):
     rows = {(r.model, r.lang): r for r in audit_outputs(spark, out, ["hashed-64"], file_name=None).collect()}
     assert rows[("hashed-64", "rust")].lines == 2 and rows[("hashed-64", "go")].lines == 1
     assert not rows[("hashed-64", "julia")].found
+
+
+class _Counting:
+    """An embedder that fails on texts it must not see."""
+
+    name, embedding_dim = "count", 2
+
+    def __init__(self, seen=()):
+        self.seen = set(seen)
+
+    def transform(self, df, text_col, out_col="embedding"):
+        again = F.col(text_col).isin(*self.seen) if self.seen else F.lit(False)
+        return df.withColumn(out_col, F.when(again, F.raise_error(F.lit("embedded twice")).cast("array<float>")).otherwise(F.array(F.lit(1.0), F.length(text_col)).cast("array<float>")))
+
+
+def test_index_versions(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "index")
+    rows = lambda *xs: spark.createDataFrame([(x, "t " + x, None) for x in xs], "focal_method string, unit_test string, metadata string")
+    assert append(rows("fn a() {}", "fn b() {}", "fn b() {}"), path, _Counting()) == 1
+    # only what is new is embedded; ids go on
+    assert append(rows("fn b() {}", "fn c(x: u8) {}"), path, _Counting({"fn a() {}", "fn b() {}"})) == 2
+    assert append(rows("fn c(x: u8) {}"), path, _Counting({"fn c(x: u8) {}"})) is None
+    read = lambda v=None: sorted(r.focal_method for r in load_index(spark, path, "count", 2, v).collect())
+    assert read(1) == ["fn a() {}", "fn b() {}"] and read() == read(2) == ["fn a() {}", "fn b() {}", "fn c(x: u8) {}"]
+    ids = [r.example_id for r in load_index(spark, path, "count").collect()]
+    assert len(set(ids)) == 3
+    # a failed write leaves the versions that are there
+    broken = rows("fn d() {}").withColumn("unit_test", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        append(broken, path, _Counting())
+    assert Store(spark, path, "count").versions() == [1, 2] and len(read()) == 3
+    # another dimension is an error, also for build-or-load, and nothing is rebuilt over the index
+    other = _Counting()
+    other.embedding_dim = 3
+    with pytest.raises(ValueError):
+        append(rows("fn e() {}"), path, other)
+    with pytest.raises(ValueError):
+        build_or_load(spark, path, os.path.join(tmp_dir, "none.jsonl"), other)
+    with pytest.raises(ValueError):
+        load_index(spark, path, "count", 2, version=7)
+    with pytest.raises(FileNotFoundError):
+        load_index(spark, path, "nobody")
+    # a version that someone else has published is not replaced
+    store = Store(spark, path, "count")
+    with pytest.raises(RuntimeError):
+        store.publish(store.manifest()["tables"], 2, 1)
+    assert len(read()) == 3
+
+
+def test_rows_with_vectors_are_not_embedded_again(spark):
+    rows = lambda *xs: spark.createDataFrame([(x, "t", "{}") for x in xs], "focal_method string, unit_test string, metadata string")
+    index = ExampleIndex(spark, _Counting()).add_examples(rows("fn a() {}")).build()
+    index.embedder = _Counting({"fn a() {}"})
+    got = index.add_examples(rows("fn b() {}")).build().rows.collect()
+    assert sorted((r.focal_method, r.dim) for r in got) == [("fn a() {}", 2), ("fn b() {}", 2)] and len({r.example_id for r in got}) == 2
+
+
+def test_only_a_missing_path_reads_as_empty(spark, tmp_dir):
+    with pytest.raises(Exception):
+        read_corpus(spark, "nosuchscheme://x/y").count()

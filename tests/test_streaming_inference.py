@@ -59,3 +59,24 @@ def test_pending_evaluations(spark, tmp_dir):
             _write(os.path.join(tmp_dir, d, "summary.json"), [{"total_samples": 1}])
     got = [r.dir for r in pending_evaluations(spark, tmp_dir).collect()]
     assert len(got) == 1 and got[0].endswith("Go/fewshot/m1")
+
+
+def test_a_restarted_stream_reads_new_files_only(spark, tmp_dir):
+    raw, out, ck = (os.path.join(tmp_dir, x) for x in ("raw", "out", "ck"))
+    os.makedirs(raw)
+    for run, n in ((1, 5), (2, 3), (3, 0)):
+        for i in range(n):
+            _write(os.path.join(raw, f"r{run}_{i}.jsonl"), [{"task_id": 10 * run + i, "prompt": "p\nfn test_", "response": ["a() {}", None]}] * 2)
+        q = clean_new_files(spark, raw, out, ck, "rust", run=run, max_files=2)
+        read = [p["numInputRows"] for p in q.recentProgress]
+        assert sum(read) == 2 * n and all(x <= 4 for x in read)
+    rows = spark.read.json(out).collect()
+    assert sorted((r.run, r.task_id) for r in rows) == sorted([(1, 10 + i) for i in range(5)] * 2 + [(2, 20 + i) for i in range(3)] * 2)
+    assert all(r.response == ["    #[test]\n    fn test_a() {}"] for r in rows)
+
+
+def test_nothing_to_evaluate_yet(spark, tmp_dir):
+    from exemplar.streaming.incremental import pending_evaluations
+
+    assert pending_evaluations(spark, os.path.join(tmp_dir, "nowhere")).collect() == []
+    assert pending_evaluations(spark, tmp_dir).collect() == []
