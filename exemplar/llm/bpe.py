@@ -1,8 +1,8 @@
 """Byte-level BPE with a lexicon automaton.
 
 ``build_lexicon`` counts the pre-tokens of all documents (a slice of about 1 MB reports
-each of its words once, with its count), takes the ``LEXICON`` most frequent
-and compiles them into a minimal acyclic transducer: states with equal futures are
+each of its words once, with its count), takes the most frequent ones, up to ``LEXICON`` (whole
+steps of a histogram of counts, so words equally frequent are in or out together), and compiles them into a minimal acyclic transducer: states with equal futures are
 shared, and each arc outputs how many words pass before it, so the outputs along a
 word add up to its number, under which its ids are stored.  The automaton is written to
 one file, which ``addFile`` takes to every executor; tasks memory-map it.
@@ -10,7 +10,7 @@ one file, which ``addFile`` takes to every executor; tasks memory-map it.
 ``encode`` walks all pre-tokens of a slice through the automaton at once, one byte per
 step.  Words it does not hold are merged exactly, all distinct ones of the slice at once:
 each round applies every word's merge of lowest rank.  The lexicon only decides which way
-a word goes, never its ids.  ``decode`` joins token bytes; bytes that are no UTF-8 become
+a word goes, never its ids; words are told apart by their bytes.  ``decode`` joins token bytes; bytes that are no UTF-8 become
 U+FFFD, as the tokenizers library has it.
 
 Defined results: null text counts as empty (no ids; decoded empty); a text's special
@@ -30,9 +30,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import bytebpe as bb
 from . import bytewords as bw
 from .workers import ready
@@ -244,11 +245,13 @@ def _count_words(batches: Iterator[pa.RecordBatch], vocab: bb.Vocabulary) -> Ite
             s, e = bb.pretokens(data, pieces)
             if not len(s):
                 continue
-            h = bw.span_hashes(bw.prefix_sums(bw.BYTE_CODES[data]), s, e)
-            _, first, count = np.unique(h, return_index=True, return_counts=True)
-            size = e[first] - s[first]
-            words = bw.binary_rows(bb.gather(data, s[first], size), np.concatenate(([0], np.cumsum(size))))
-            yield pa.RecordBatch.from_arrays([words, pa.array(count, pa.int64())], names=["word", "n"])
+            found = bw.spans_array(data, s, e).value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], names=["word", "n"])
+
+
+def _step(n: Column) -> Column:
+    """Steps of a histogram of counts: one for each count below 1024, then 64 to each doubling."""
+    return F.when(n < 1024, n).otherwise((F.log2(n) * 64).cast("long") + (1024 - 640))
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> str:
@@ -262,7 +265,16 @@ def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> str:
         return _count_words(batches, _vocabulary(shared.value))
 
     words = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = sorted(bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(size).collect())  # bounded by ``size``
+    words = written(words.withColumn("step", _step(F.col("n"))), "bpe-words")
+    # the words above a step of the histogram of counts: only these go to the driver
+    steps = words.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
+    held, least = 0, None
+    for r in steps:
+        if held + r.words > size:
+            break
+        held, least = held + r.words, r.step
+    kept = [] if least is None else words.where(F.col("step") >= least).select("word").toArrow()["word"].to_pylist()
+    top = sorted(kept)  # at most ``size``
     data = np.frombuffer(b"".join(top), np.uint8)
     ends = np.cumsum([len(w) for w in top], dtype=np.int64)
     starts = ends - np.array([len(w) for w in top], dtype=np.int64)
@@ -297,8 +309,8 @@ def encode_slice(data: np.ndarray, offsets: np.ndarray, merger: Merger, lexicon:
     values = lexicon.ids
     new = np.flatnonzero(~known)
     if len(new):
-        h = bw.span_hashes(bw.prefix_sums(bw.BYTE_CODES[data]), s[new], e[new])
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        which = bw.spans_array(data, s[new], e[new]).dictionary_encode().indices.to_numpy()
+        _, first = np.unique(which, return_index=True)
         ids, sizes = merger.encode(data, s[new[first]], e[new[first]])
         begin = len(values) + np.cumsum(sizes) - sizes
         start[new], size[new] = begin[which], sizes[which]

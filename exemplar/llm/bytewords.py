@@ -166,6 +166,19 @@ def hash_words(ws: list[str]) -> np.ndarray:
     return span_hashes(prefix_sums(BYTE_CODES[LOWER[data]]), starts, ends)
 
 
+def spans_array(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes of spans (in order, apart) as an Arrow array, so equal spans are told by their bytes and not by a hash."""
+    size = end - start
+    bounds = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=bounds[1:])
+    if len(size) and bounds[-1] != end[-1] - start[0]:  # something stands between them
+        at = np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], size)
+        data = data[at]
+    elif len(size):
+        data = np.ascontiguousarray(data[start[0] : end[-1]])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+
+
 def shingle_hashes(h: np.ndarray, doc: np.ndarray, n_docs: int, n: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of every n-word shingle, in order of texts.
 

@@ -77,6 +77,11 @@ class LibraryEncoder:
         self.size = np.zeros(1 << _MEMO_BITS, np.int32)
         self.ids = np.zeros(1 << 16, np.int32)
         self.used = 0
+        # the words themselves: a hash only finds a place
+        self.word_start = np.zeros(1 << _MEMO_BITS, np.int64)
+        self.word_size = np.zeros(1 << _MEMO_BITS, np.int64)
+        self.letters = np.zeros(1 << 16, np.uint8)
+        self.used_letters = 0
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets per text)."""
@@ -87,11 +92,12 @@ class LibraryEncoder:
         h = bw.span_hashes(bw.prefix_sums(bw.BYTE_CODES[data]), s, e)
         h = np.where(h == 0, np.uint64(1), h)
         place = (h >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
-        hit = self.keys[place] == h
+        hit = self._same(place, self.keys[place] == h, data, s, e)
         start, size = self.start[place], self.size[place].astype(np.int64)
         miss = np.flatnonzero(~hit)
         if len(miss):
-            _, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            which = bw.spans_array(data, s[miss], e[miss]).dictionary_encode().indices.to_numpy()
+            _, first = np.unique(which, return_index=True)
             new = miss[first]
             raw = data.tobytes()
             words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[new].tolist(), e[new].tolist())]
@@ -102,17 +108,35 @@ class LibraryEncoder:
             # this slice's ids: the memo's, then the new ones
             values = np.concatenate([self.ids[: self.used], flat])
             start[miss], size[miss] = self.used + begin[which], sizes[which]
-            self._remember(h[new], place[new], begin, sizes, flat)
+            letters = bb.gather(data, s[new], e[new] - s[new])
+            self._remember(h[new], place[new], begin, sizes, flat, e[new] - s[new], letters)
         else:
             values = self.ids
         piece = np.searchsorted(pieces, s, side="right") - 1
         return bb.by_text(bb.gather(values, start, size), size, piece, owner, after, len(offsets) - 1)
 
-    def _remember(self, h: np.ndarray, place: np.ndarray, begin: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
-        if self.used + len(flat) > _MEMO_IDS:
+    def _same(self, place: np.ndarray, hit: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """The hits whose bytes are those of the memo's word."""
+        hit = hit & (self.word_size[place] == e - s)
+        at = np.flatnonzero(hit)
+        size = e[at] - s[at]
+        differs = bb.gather(data, s[at], size) != bb.gather(self.letters, self.word_start[place[at]], size)
+        if differs.any():
+            hit[at[np.searchsorted(np.cumsum(size), np.flatnonzero(differs), side="right")]] = False
+        return hit
+
+    def _remember(
+        self, h: np.ndarray, place: np.ndarray, begin: np.ndarray, sizes: np.ndarray, flat: np.ndarray, word_size: np.ndarray, letters: np.ndarray
+    ) -> None:
+        if self.used + len(flat) > _MEMO_IDS or self.used_letters + len(letters) > 4 * _MEMO_IDS:
             self._clear()
-        if len(flat) > _MEMO_IDS:
+        if len(flat) > _MEMO_IDS or len(letters) > 4 * _MEMO_IDS:
             return
+        if self.used_letters + len(letters) > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros(max(len(self.letters), len(letters)), np.uint8)])
+        self.letters[self.used_letters : self.used_letters + len(letters)] = letters
+        self.word_start[place], self.word_size[place] = self.used_letters + np.cumsum(word_size) - word_size, word_size
+        self.used_letters += len(letters)
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.int32)])
         self.ids[self.used : self.used + len(flat)] = flat

@@ -11,6 +11,12 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, scor
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
 
 
+def thue_morse(k: int) -> list[str]:
+    """Two words of 2^k letters whose polynomial hashes are equal modulo 2^64 (for k of 10 and more), whatever the multiplier."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << k)]
+    return ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+
+
 def docs(spark, texts: list, ids: list | None = None):
     """A documents table of these texts, with extra columns whose names the operators use themselves."""
     ids = list(range(len(texts))) if ids is None else ids

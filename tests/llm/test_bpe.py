@@ -12,7 +12,7 @@ from exemplar.llm import bytebpe as bb
 from exemplar.llm import bytewords as bw
 from pyspark.sql import functions as F
 
-from .common import LONG, SF, docs
+from .common import LONG, SF, docs, thue_morse
 
 AWKWARD = [
     None,
@@ -129,7 +129,7 @@ def test_lexicon_counts_words_spread_thinly(spark, tokenizer):
     from pyspark import SparkFiles
 
     texts = [f"thin {w} {w} {w}" for w in ("alpha", "beta", "gamma", "delta", "epsilon")]  # " thin" never twice in a slice
-    table = docs(spark, ["x thin" + t[4:] for t in texts]).repartition(5, "doc_id").sortWithinPartitions("doc_id")
+    table = docs(spark, [t.split()[1][::-1] + " thin" + t[4:] for t in texts]).repartition(5, "doc_id").sortWithinPartitions("doc_id")
     assert table.rdd.getNumPartitions() == 5
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
@@ -139,3 +139,28 @@ def test_lexicon_counts_words_spread_thinly(spark, tokenizer):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     data = np.frombuffer(b" thin alpha", np.uint8)
     assert lexicon.numbers(data, np.array([0, 5]), np.array([5, 11])).tolist() == [0, -1]
+
+
+def test_words_of_equal_hash_keep_their_ids(spark, tokenizer, library):
+    texts = [w for k in (10, 11, 12) for w in thue_morse(k)]
+    texts += [" ".join(thue_morse(10)), " ".join(thue_morse(11)[::-1])]
+    out = bpe.decode(bpe.encode(docs(spark, texts), tokenizer), tokenizer).collect()
+    assert len({bytes(r.ids) for r in out}) == len(texts)
+    for r in out:
+        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.text == texts[r.doc_id]
+
+
+def test_lexicon_takes_whole_steps(spark, tokenizer, monkeypatch):
+    """Never more words than its size, and the most frequent ones first."""
+    rows = docs(spark, [" ".join(["aa"] * 50 + ["bb"] * 40 + ["cc"] * 30 + [f"w{i}" for i in range(20)])])
+    taken = []
+    compiled = bpe.Lexicon.compile
+    monkeypatch.setattr(bpe.Lexicon, "compile", staticmethod(lambda words, ids, sizes: (taken.append(words), compiled(words, ids, sizes))[1]))
+    for size in (0, 2, 3, 20, 100):
+        bpe.build_lexicon(rows, tokenizer, size)
+    assert [len(t) for t in taken[:3]] == [0, 2, 3] and len(taken[3]) <= 20 and len(taken[4]) > 20
+    assert {b" bb", b" aa"} == set(taken[1])
+    counts = [bpe._step(F.lit(n)) for n in (1, 2, 1023, 1024, 1025, 2048, 10**9, 10**12)]
+    steps = list(spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first())
+    assert steps == sorted(steps) and steps[2] < steps[3]

@@ -56,7 +56,7 @@ def test_shared_lines_go_and_copied_articles_stay(spark):
     got = run(spark, rows)
     assert [got[i] for i in range(6)] == [f"Only on page {i}" for i in range(6)]
     assert [got[10 + i] for i in range(4)] == ["The same article"] * 4
-    assert (got[20], got[21], got[22], got[23], got[30]) == ("kept line", "no url", "", "", "")
+    assert (got[20], got[21], got[22], got[23], got[30]) == ("kept line", "no url", "", "", "same")
 
 
 def test_neighbours_across_partitions(spark):

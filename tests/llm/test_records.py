@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from exemplar.llm import queries, records
 
-from .common import LONG, SF, docs
+from .common import LONG, SF, docs, thue_morse
 
 AWKWARD = [None, "", "it's <|endoftext|> é😀", LONG, "same", "same", "b"]
 IDS = [5, None, -3, 7, 1, 1, 1]
@@ -92,3 +92,16 @@ def test_memo_survives_overflow(library, monkeypatch):
         data = np.frombuffer(text.encode(), np.uint8)
         ids, ends = encoder.encode(data, np.array([0, len(data)]))
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and ends.tolist() == [0, len(ids)]
+
+
+def test_words_of_equal_hash_keep_their_ids(library):
+    """In one slice, and from the memo of slices before."""
+    encoder = records.LibraryEncoder(queries.tokenizer_content())
+    pairs = [thue_morse(k) for k in (10, 11, 12)]
+    for texts in ([pairs[0][0]], [pairs[0][1]], pairs[0], pairs[1] + pairs[2], pairs[2][::-1], ["a b", pairs[1][1], "a b"]):
+        raw = [t.encode() for t in texts]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
+        for _ in range(2):
+            ids, ends = encoder.encode(data, offsets)
+            got = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+            assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
