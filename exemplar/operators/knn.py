@@ -68,11 +68,27 @@ def _prepare(mat: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
     return mat, sq
 
 
-def _score_tile(q: np.ndarray, q_sq: np.ndarray, c: np.ndarray, c_sq: np.ndarray, metric: str) -> np.ndarray:
-    g = q @ c.T
-    if metric == "cosine":
-        return g
-    return 0.0 - np.sqrt(np.maximum(q_sq[:, None] + c_sq[None, :] - 2.0 * g, 0.0))
+def _distance_tile(q_raw: np.ndarray, q: np.ndarray, q_sq: np.ndarray, c_raw: np.ndarray, c: np.ndarray, c_sq: np.ndarray, k: int, worst: np.ndarray) -> np.ndarray:
+    """Negative Euclidean distances of a tile, exact wherever they can matter; -inf elsewhere.
+
+    The expanded formula only bounds a squared distance, by the rounding of its terms; pairs whose lower bound is
+    above the k-th upper bound (of the tile, or ``worst``, of what is held) are out, the others are subtracted."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        square = q_sq[:, None] + c_sq[None, :] - 2.0 * (q @ c.T)
+        error = (q_sq[:, None] + c_sq[None, :]) * (np.finfo(np.float64).eps * 2 * (q.shape[1] + 4))
+        upper = square + error
+        kth = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(q), np.inf)
+        limit = np.fmin(kth, worst)
+        # what is not a number can't be bounded
+        near = (square - error <= limit[:, None]) | np.isnan(square) | ~np.isfinite(limit)[:, None]
+    out = np.full(square.shape, -np.inf)
+    rows, cols = np.nonzero(near)
+    step = max(1, _TILE_ELEMS // max(1, q.shape[1]))
+    for lo in range(0, len(rows), step):
+        r, p = rows[lo : lo + step], cols[lo : lo + step]
+        diff = q_raw[r] - c_raw[p]
+        out[r, p] = 0.0 - np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    return out
 
 
 class _RunningTopK:
@@ -82,7 +98,7 @@ class _RunningTopK:
         self.metric = metric
         self.k = k
         self.q_raw = q_raw
-        # distances do not change when all vectors move; near the origin the expanded formula keeps its digits
+        # distances do not change when all vectors move; near the origin the expanded formula bounds them closely
         self.shift = q_raw.mean(axis=0) if metric == "euclidean" and len(q_raw) else 0.0
         self.q, self.q_sq = _prepare(q_raw - self.shift, metric)
         n = q_raw.shape[0]
@@ -102,19 +118,17 @@ class _RunningTopK:
         step = max(1, _TILE_ELEMS // max(n, 1))
         for lo in range(0, c.shape[0], step):
             hi = min(lo + step, c.shape[0])
-            s = _score_tile(self.q, self.q_sq, c[lo:hi], c_sq[lo:hi], self.metric)
+            if self.metric == "cosine":
+                s = self.q @ c[lo:hi].T
+            else:
+                worst = np.square(self.best_s[:, -1]) * (1 + 1e-12)  # infinite until k are held
+                s = _distance_tile(self.q_raw, self.q, self.q_sq, c_raw[lo:hi], c[lo:hi], c_sq[lo:hi], self.k, worst)
             ids = np.broadcast_to(c_ids[lo:hi], s.shape)
             all_s = np.concatenate([self.best_s, s], axis=1)
             all_i = np.concatenate([self.best_i, ids], axis=1)
             top_s, top_i, top_c = topk_merge(all_s, all_i, self.k)
             all_p = np.concatenate([self.best_p, np.broadcast_to(c_pos[lo:hi], s.shape)], axis=1)
             top_p = np.where(top_c >= 0, np.take_along_axis(all_p, np.maximum(top_c, 0), axis=1), -1)
-            if self.metric == "euclidean":
-                # exact distance for entries that came from this tile
-                r, p = np.nonzero(top_c >= self.k)
-                if r.size:
-                    diff = self.q_raw[r] - c_raw[lo:hi][top_c[r, p] - self.k]
-                    top_s[r, p] = 0.0 - np.sqrt(np.einsum("ij,ij->i", diff, diff))
             self.best_s, self.best_i, self.best_p = top_s, top_i, top_p
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -90,3 +90,30 @@ def test_no_cross_join_in_plan(spark):
     plan = dense_topk(q, c, 3)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert "WindowGroupLimit" in plan or "Window" in plan
+
+
+def test_far_queries_on_both_sides_choose_exactly(spark):
+    """The mean of the queries is far from all vectors, so the expanded formula alone tells nothing."""
+    big = 1e8
+    cs = [(i, [big + x]) for i, x in enumerate([0.5, 0.25, 0.1, 2.0])]
+    qs = [("low", [-big]), ("high", [big]), ("near", [big + 1.9])]
+    q = spark.createDataFrame(qs, "query_id string, embedding array<double>")
+    c = spark.createDataFrame(cs, "example_id long, embedding array<double>")
+    for strategy in ("broadcast", "blocked"):
+        got = {(r.query_id, r.rank): (r.example_id, r.score) for r in dense_topk(q, c, 2, "euclidean", strategy=strategy).collect()}
+        assert got[("high", 1)][0] == 2 and abs(got[("high", 1)][1] + 0.1) < 1e-6 and got[("high", 2)][0] == 1
+        assert got[("near", 1)][0] == 3 and got[("low", 1)][0] == 2
+
+
+def test_few_distances_are_subtracted():
+    from exemplar.operators import knn
+
+    rng = np.random.default_rng(4)
+    q, c = rng.normal(size=(20, 16)), rng.normal(size=(3000, 16))
+    sq = lambda m: np.einsum("ij,ij->i", m, m)
+    tile = knn._distance_tile(q, q, sq(q), c, c, sq(c), 5, np.full(20, np.inf))
+    exact = -np.linalg.norm(q[:, None] - c[None], axis=2)
+    for i in range(20):
+        best = np.argsort(-exact[i])[:5]
+        assert np.allclose(tile[i, best], exact[i, best], rtol=0, atol=1e-12)
+    assert np.isfinite(tile).sum() <= 20 * 6
