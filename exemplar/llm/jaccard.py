@@ -21,9 +21,12 @@ is exact over hashes and returns, per document, its set size and its component.
    bitmap bound and the exact intersection, unless already linked through others.  A tile
    again returns a spanning forest, so no group's pairs are ever listed.
 
-A tile that would be large is cut: into size bands a factor den/num wide, only equal and
-adjacent bands meeting, and each band into salted blocks, all pairs of blocks meeting.
-Nothing is capped: a group of m near copies of one size costs m^2 / (2 blocks) comparisons.
+A group that would make a large tile is cut into salted blocks, dealt anew for each group, and
+searched in two rounds (``linked``): every block on its own, then, with one label for all that is linked so
+far, pairs of blocks of equal or adjacent size bands (a factor den/num wide).  Rows of one
+label are not compared any more, groups of one label are done, and large labels have blocks of
+their own that never meet.  Nothing is capped: m sets of one shingle that do not link cost
+m^2 / (2 blocks) comparisons, but m near copies do not.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are
 their own component; texts of fewer than n words have one shingle; repeated rows are
@@ -320,33 +323,82 @@ def _shared_entries(num: int, den: int) -> Callable:
 # -- tiles ----------------------------------------------------------------------------------------
 
 
-def tiled(rows: DataFrame, group: str, weight: Column, block: int, num: int, den: int) -> DataFrame:
-    """``rows`` (group column, size, ...) with ``tile`` and ``side``: the tiles each row takes part in.
+def _band(num: int, den: int) -> Column:
+    """Sizes in steps of den/num: linked sets are in one band or in two that follow each other."""
+    return F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
 
-    A group whose weights sum to at most ``block`` is one tile.  Others are cut into size bands
-    and salted blocks; a tile holds one block (side 0 only) or two that meet (sides 0 and 1).
-    """
+
+def own_tiles(rows: DataFrame, group: str, weight: Column, block: int, seeds: int) -> DataFrame:
+    """First round: ``rows`` with the number ``salts`` of blocks of their group, ``tile`` and ``side``.
+
+    A group whose weights sum to at most ``block`` is one tile; of others every block is one on its own, and
+    every row is in ``seeds`` blocks, dealt anew for each group and seed."""
     totals = rows.groupBy(group).agg(F.sum(weight).alias("_w"), F.count("*").alias("_m")).where("_m > 1")
-    df = rows.join(totals, group)
-    salts = F.least(F.ceil(F.col("_w") / block), F.col("_m")).cast("int")
-    df = df.withColumn("_s", salts)
-    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
-    salt = F.pmod(F.xxhash64("class"), F.col("_s")).cast("int")
-    df = df.withColumn("_band", band).withColumn("_salt", salt)
-    every = F.sequence(F.lit(0), F.col("_s") - 1)
-    key = lambda b0, s0, b1, s1: F.xxhash64(F.col(group), b0, s0, b1, s1)
-    here, own = F.col("_band"), F.col("_salt")
-    # blocks of the same band: the smaller salt is side 0; blocks of adjacent bands: the lower band is side 0
-    same = F.transform(
-        every,
-        lambda s: F.struct(key(here, F.least(s, own), here, F.greatest(s, own)).alias("tile"), F.when(own <= s, 0).otherwise(1).alias("side")),
+    df = rows.join(totals, group).withColumn("salts", F.least(F.ceil(F.col("_w") / block), F.col("_m")).cast("int"))
+    salt = lambda i: F.xxhash64(F.col(group), F.lit(i), F.pmod(F.xxhash64("class", group, F.lit(i)), F.col("salts")))
+    dealt = F.array(*[salt(i) for i in range(seeds)])
+    places = F.when(F.col("salts") <= 1, F.array(F.xxhash64(F.col(group)))).otherwise(dealt)
+    return df.withColumn("tile", F.explode(places)).withColumn("side", F.lit(0)).drop("_w", "_m")
+
+
+def pair_tiles(rows: DataFrame, group: str, weight: Column, block: int, num: int, den: int) -> DataFrame:
+    """Second round: ``rows`` (with ``label``) of groups of several blocks, with the tiles in which two blocks meet.
+
+    A group whose rows have one label is done.  In others, a label of half a block or more has blocks of its
+    own, which never meet each other; the rows of smaller labels share blocks, which also meet themselves.
+    Blocks meet if their size bands are equal or follow each other."""
+    open_ = rows.groupBy(group).agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select(group)
+    df = rows.join(open_, group).withColumn("_band", _band(num, den))
+    sizes = df.groupBy(group, "_band", "label").agg(F.sum(weight).alias("_w"))
+    sizes = written(sizes.withColumn("_own", F.col("_w") * 2 >= block), "label-sizes")
+    key = [F.col(group).alias("_group"), F.col("_band").alias("_in")]
+    large = sizes.where("_own").select(*key, F.col("label").alias("_of"), F.ceil(F.col("_w") / block).cast("int").alias("_n"))
+    small = sizes.where("NOT _own").groupBy(*key).agg(F.ceil(F.sum("_w") / block).cast("int").alias("_n"))
+    every = large.unionByName(small.withColumn("_of", F.lit(None).cast(large.schema["_of"].dataType)))
+    blocks = every.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("_group", F.struct("_in", "_of", "_salt").alias("_b"))
+    blocks = blocks.groupBy("_group").agg(F.collect_list("_b").alias("_blocks"))
+    # a row's own block: its label's if that has blocks, else one of the shared ones
+    held = large.select("_group", "_in", F.col("_of").alias("_large"), F.col("_n").alias("_many"))
+    mixed = small.select(F.col("_group").alias("_g2"), F.col("_in").alias("_i2"), F.col("_n").alias("_few"))
+    df = df.join(held, (F.col(group) == F.col("_group")) & (F.col("_band") == F.col("_in")) & (F.col("label") == F.col("_large")), "left").drop("_group", "_in")
+    df = df.join(mixed, (F.col(group) == F.col("_g2")) & (F.col("_band") == F.col("_i2")), "left").drop("_g2", "_i2")
+    salt = F.when(F.col("_large").isNotNull(), F.pmod(F.xxhash64("class"), F.col("_many"))).otherwise(F.pmod(F.xxhash64("label"), F.col("_few")))
+    df = df.withColumn("_mine", F.struct(F.col("_band").alias("_in"), F.col("_large").alias("_of"), salt.cast("int").alias("_salt")))
+    df = df.join(blocks.withColumnRenamed("_group", "_g3"), F.col(group) == F.col("_g3")).drop("_g3")
+    mine = F.col("_mine")
+    # a shared block meets itself too: its labels have not met
+    meets = lambda b: (F.abs(b["_in"] - mine["_in"]) <= 1) & ~F.coalesce(b["_of"] == mine["_of"], F.lit(False))
+    number = lambda b: F.xxhash64(F.col(group), b["_in"], F.coalesce(b["_of"], F.lit(b"").cast("binary")), b["_salt"])
+    tile = lambda b: F.struct(
+        F.xxhash64(F.least(number(mine), number(b)), F.greatest(number(mine), number(b))).alias("tile"),
+        (number(mine) > number(b)).cast("int").alias("side"),
     )
-    above = F.transform(every, lambda s: F.struct(key(here, own, here + 1, s).alias("tile"), F.lit(0).alias("side")))
-    below = F.transform(every, lambda s: F.struct(key(here - 1, s, here, own).alias("tile"), F.lit(1).alias("side")))
-    one = F.array(F.struct(F.xxhash64(F.col(group)).alias("tile"), F.lit(0).alias("side")))
-    places = F.when(F.col("_s") <= 1, one).otherwise(F.concat(same, above, below))
-    df = df.withColumn("_place", F.explode(places))
-    return df.select("*", "_place.tile", "_place.side").drop("_w", "_m", "_s", "_band", "_salt", "_place")
+    df = df.withColumn("_place", F.explode(F.transform(F.filter("_blocks", meets), tile)))
+    return df.select(*rows.columns, "_place.tile", "_place.side")
+
+
+def linked(rows: DataFrame, group: str, weight: Column, block: int, num: int, den: int, attach: Callable[[DataFrame], DataFrame], sets: bool, seeds: int) -> DataFrame:
+    """Links (a, b) that connect what the pairs of ``rows`` (group, class, size) within a group connect.
+
+    The first round compares within blocks; what it links gets one label, and the second round neither compares
+    rows of one label nor tells their links, and leaves out groups that have one label only.  So a
+    family of m near copies tells about m links for each group it is in, not m^2 / block."""
+    columns = ["tile", "side", "class", "size"]
+
+    def compare(tiles: DataFrame, labelled: bool) -> DataFrame:
+        told = attach(tiles).repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare(num, den, sets, labelled), "a binary, b binary")
+        return written(told.distinct(), "tile-links")
+
+    first = written(own_tiles(rows, group, weight, block, seeds), "own-tiles")
+    links = compare(first.select(*columns), False)
+    rest = first.where("salts > 1").select(group, "class", "size").distinct()
+    if rest.isEmpty():
+        return links
+    labels = components(links).withColumnRenamed("node", "_class").withColumnRenamed("label", "_label")
+    rest = rest.join(labels, F.col("class") == F.col("_class"), "left").withColumn("label", F.coalesce("_label", "class")).drop("_class", "_label")
+    rest = written(rest, "labelled")
+    more = compare(pair_tiles(rest, group, weight, block, num, den).select(*columns, "label"), True)
+    return links.unionByName(more)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, list]]:
@@ -378,8 +430,8 @@ def _may_link(size: np.ndarray, other: np.ndarray, apart: np.ndarray, num: int,
 class Forest:
     """Labels of a tile's rows, merged as links are found."""
 
-    def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
+    def __init__(self, n: int, label: np.ndarray | None = None) -> None:
+        self.label = np.arange(n) if label is None else label.copy()
         self.links: list[tuple[int, int]] = []
 
     def join(self, i: int, j: int) -> None:
@@ -389,13 +441,23 @@ class Forest:
             self.label[self.label == max(a, b)] = min(a, b)
 
 
-def tile_links(size: np.ndarray, side: np.ndarray, maps: list[np.ndarray], num: int, den: int, exact: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of a tile that pass (size ratio, bitmap bound, then ``exact`` if given)."""
+def tile_links(
+    size: np.ndarray,
+    side: np.ndarray,
+    maps: list[np.ndarray],
+    num: int,
+    den: int,
+    exact: Callable[[int, int], bool] | None = None,
+    label: np.ndarray | None = None,
+) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a tile that pass (size ratio, bitmap bound, then ``exact`` if given).
+
+    Rows of one ``label`` count as linked already."""
     n = len(size)
     order = np.argsort(size, kind="stable")
     size, side = size[order], side[order]
     maps = [maps[i] for i in order]
-    forest = Forest(n)
+    forest = Forest(n, None if label is None else label[order])
     split = side.any() and not side.all()
     last = np.searchsorted(size, size * den // num, side="right")  # sizes within the ratio
     start = 0
@@ -434,14 +496,17 @@ def _link_rows(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.binary()), pa.array([max(p) for p in pairs], pa.binary())], names=["a", "b"])
 
 
-def _compare(num: int, den: int, sets: bool) -> Callable:
+def _compare(num: int, den: int, sets: bool, labelled: bool = False) -> Callable:
     """Links of tiles: by bitmaps alone, or exactly by the rows' sorted sets."""
-    names = ("class", "side", "size", "set" if sets else "bitmap")
+    names = ("class", "side", "size", "set" if sets else "bitmap", *(("label",) if labelled else ()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
         for tile in _runs(batches, names):
             size, side = np.array(tile["size"], np.int64), np.array(tile["side"])
+            label = np.unique(tile["label"], return_inverse=True)[1] if labelled else None
+            if label is not None and label.max() == 0:
+                continue
             arrays = [np.frombuffer(x, np.uint64) for x in tile[names[3]]]
             exact = None
             if sets:
@@ -455,7 +520,7 @@ def _compare(num: int, den: int, sets: bool) -> Callable:
 
             elif len(size) == 2 and not _may_link(size[:1], size[1:], np.zeros(1, np.int64), num, den)[0]:
                 continue  # most tiles are two classes of quite different size
-            out += [(tile["class"][i], tile["class"][j]) for i, j in tile_links(size, side, arrays, num, den, exact)]
+            out += [(tile["class"][i], tile["class"][j]) for i, j in tile_links(size, side, arrays, num, den, exact, label)]
             if len(out) > 10_000:
                 yield _link_rows(out)
                 out = []
@@ -520,8 +585,7 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Dat
     rows = written(rows, "shared-shingles")
     # the bitmaps, most of a row's bytes, join last
     maps = owners.groupBy("class").agg(F.first("bitmap").alias("bitmap"))
-    tiles = tiled(rows, "token", F.lit(1), BLOCK_CLASSES, num, den).select("tile", "side", "class", "size").join(maps, "class")
-    near = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare(num, den, sets=False), "a binary, b binary")
+    near = linked(rows, "token", F.lit(1), BLOCK_CLASSES, num, den, lambda tiles: tiles.join(maps, "class"), sets=False, seeds=1)
 
     clusters = components(near)
     members = clusters.withColumnRenamed("node", "class")
@@ -529,8 +593,9 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Dat
     sets = texts.mapInArrow(_member_sets(table, n), "class binary, set binary").groupBy("class").agg(F.first("set").alias("set"))
     sets = sets.join(members, "class").withColumn("size", F.expr("octet_length(set) div 8"))
     sets = written(sets, "member-sets")
-    tiles = tiled(sets, "label", F.col("size"), BLOCK_SHINGLES, num, den).select("tile", "side", "class", "size", "set")
-    links = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare(num, den, sets=True), "a binary, b binary")
+    bare = sets.select(F.col("label").alias("cluster"), "class", "size")
+    attach = lambda tiles: tiles.join(sets.select("class", "set"), "class")
+    links = linked(bare, "cluster", F.col("size"), BLOCK_SHINGLES, num, den, attach, sets=True, seeds=2)
     return profiles, links
 
 

@@ -78,6 +78,48 @@ def test_cut_tiles_and_frequent_shingles(spark, monkeypatch):
     assert run(spark, rows) == sorted(brute(rows, 4, 85, 100), key=repr)
 
 
+def test_links_told_grow_with_the_family(spark, monkeypatch):
+    """Twice the near copies tell at most about twice the links, in the bitmap step and in the exact one."""
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 32)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 32 * 300)
+    told = []
+    write = jaccard.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "tile-links":
+            told.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    sums = []
+    for m in (300, 600):
+        rng = random.Random(2)
+        base = [f"b{rng.randrange(5000)}" for _ in range(300)]
+        rows = list(enumerate(edited(rng, base, 1 + rng.randrange(2)) for _ in range(m)))
+        told.clear()
+        got = run(spark, rows)
+        assert {c for *_, c in got} == {0}
+        assert len(told) == 4  # two rounds of each step
+        sums.append((sum(told[:2]), sum(told[2:])))
+    (near, exact), (near2, exact2) = sums
+    assert near2 <= 2.3 * near and exact2 <= 2.3 * exact, sums
+
+
+def test_rows_of_small_labels_meet_in_the_second_round(spark, monkeypatch):
+    """Many pairs under one common shingle: whichever blocks they fall into, each pair links."""
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 6)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 200)
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(12)]
+    rows = []
+    for i in range(40):
+        own = [f"d{i}x{j}" for j in range(60 + i)]
+        rows += [(2 * i, " ".join(common + own)), (2 * i + 1, " ".join(common + own + ["end"]))]
+    rng.shuffle(rows)
+    assert run(spark, rows) == sorted(brute(rows, 4, 85, 100), key=repr)
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(7, "a b c d e"), (7, "a b c d e"), (None, "a b c d e"), (None, "x y"), (3, "A B C D E"), (7, "other words here"), (9, None), (None, "")]
     assert run(spark, rows) == sorted(brute(rows, 4, 85, 100), key=repr)
