@@ -1003,6 +1003,74 @@ def q_retrieval_flat(spark, sf):
     )
 
 
+_FIRST_TOKENS = "list_slice(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'), 1, 20)"
+
+
+@register(
+    "embed_batches",
+    f"""WITH t AS (SELECT doc_id, array_to_string({_FIRST_TOKENS}, ' ') AS cut FROM documents),
+    e AS (SELECT doc_id, {_EMB('cut', 64)} AS e FROM t)
+    SELECT doc_id, CAST(len(e) AS INTEGER) AS dim,
+           md5(array_to_string(list_transform(e, lambda x: CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT)), ',')) AS vector_md5 FROM e""",
+)
+def q_embed_batches(spark, sf):
+    """Every document cut at 20 tokens and embedded in batches of 8 by a model that each worker loads once."""
+    from ..functions.embedders import BatchedEmbedder
+
+    emb = BatchedEmbedder(standins.load_md5_model(64), 64, "md5-model", max_tokens=20, batch=8)
+    made = emb.transform(spread(table(spark, sf, "documents").select("doc_id", "text")), "text", "e")
+    said = F.transform("e", lambda x: F.round(x.cast("double") * 10000).cast("long").cast("string"))
+    return made.select("doc_id", F.size("e").alias("dim"), F.md5(F.array_join(said, ",")).alias("vector_md5"))
+
+
+@register(
+    "context_round_trip",
+    f"""WITH flat AS (SELECT * FROM ({SQL['retrieval_flat']})),
+    b AS ({standins.BENCH_SQL}), pr AS ({standins.PAIRS_SQL}),
+    g AS (SELECT f.id, count(*) AS n, string_agg(f.rank || ':' || CAST(round(f.score * 1000000) AS BIGINT) || ':' || md5(pr.focal_method) || ':'
+                 || md5(pr.unit_test), ',' ORDER BY f.rank) AS said FROM flat f JOIN pr ON pr.pair_id = f.example_id GROUP BY f.id)
+    SELECT b.id, b.lang, CASE WHEN length(focal_code) % 7 = 0 THEN 'error' ELSE 'success' END AS status,
+           CASE WHEN length(focal_code) % 7 = 0 THEN 'embedding: null' END AS error,
+           CASE WHEN length(focal_code) % 7 = 0 THEN 0 ELSE coalesce(g.n, 0) END AS n_results, md5(focal_code) AS focal_md5,
+           md5(CASE WHEN length(focal_code) % 7 = 0 THEN '' ELSE coalesce(g.said, '') END) AS results_md5
+    FROM b LEFT JOIN g ON g.id = b.id""",
+)
+def q_context_round_trip(spark, sf):
+    """Nested contexts of every case, written partitioned, read back strictly and digested;
+    cases without a vector are reported and the others go on."""
+    from ..functions.embedders import HashedEmbedder
+    from ..sources.benchmark import read_contexts
+    from ..sources.index_store import build_index
+    from .retrieval import retrieval_job, write_context
+
+    corpus = standins.pairs(spark, sf).select(
+        F.col("pair_id").alias("example_id"), "focal_method", "unit_test", F.lit("{}").alias("metadata")
+    )
+    index = written(build_index(corpus, HashedEmbedder(64, hash_fn="md5")), "example-index")
+    path = scratch_path(spark, "contexts")
+    write_context(retrieval_job(standins.bench_cases(spark, sf), index, standins.GappedEmbedder(64), k=3, threshold=0.0), path)
+    c = F.col("retrieved_context")
+    said = F.transform(
+        F.array_sort(F.transform(c["results"], lambda r: F.struct(r["rank"].alias("rank"), r.alias("r")))),
+        lambda x: F.concat_ws(
+            ":",
+            x["rank"].cast("string"),
+            F.round(F.round(x["r"]["similarity_score"], 6) * 1000000).cast("long").cast("string"),
+            F.md5(x["r"]["example"]["focal_method"]),
+            F.md5(x["r"]["example"]["unit_test"]),
+        ),
+    )
+    return read_contexts(spark, path).select(
+        "id",
+        "lang",
+        c["status"].alias("status"),
+        c["error"].alias("error"),
+        F.size(c["results"]).cast("long").alias("n_results"),
+        F.md5(c["focal_method"]).alias("focal_md5"),
+        F.md5(F.array_join(said, ",")).alias("results_md5"),
+    )
+
+
 _LAST = "string_split(rtrim(question, chr(10)), chr(10))[-1]"
 
 

@@ -250,3 +250,40 @@ BENCH_FILES_SQL = f"""SELECT *, {FILE_SQL} AS file_content,
        CASE WHEN ordinal_in % 2 = 0 THEN {{'argument_definitions': [{{'definitions': ['struct Arg' || CAST(ordinal_in AS VARCHAR) || ' {{}}', '  ']}}]}} END
          AS function_component
 FROM ({BENCH_SQL})"""
+
+
+class GappedEmbedder:
+    """The md5 embedder, without a vector for texts of a length that 7 divides: bad cases for the retrieval."""
+
+    def __init__(self, dim: int = 64) -> None:
+        from ..functions.embedders import HashedEmbedder
+
+        self.inner = HashedEmbedder(dim, hash_fn="md5")
+        self.name, self.embedding_dim = f"gapped-{dim}", dim
+
+    def transform(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
+        made = self.inner.transform(df, text_col, out_col)
+        return made.withColumn(out_col, F.when(F.length(text_col) % 7 != 0, F.col(out_col)))
+
+
+def load_md5_model(dim: int):
+    """A model for ``BatchedEmbedder``: token counts by md5 buckets, as matrices of a batch."""
+
+    def load():
+        import hashlib
+        import re
+
+        import numpy as np
+
+        from ..functions.embedders import unit_rows
+
+        def model(texts: list[str]) -> np.ndarray:
+            out = np.zeros((len(texts), dim))
+            for i, text in enumerate(texts):
+                for token in re.findall(r"\w+", text.lower()):
+                    out[i, int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim] += 1
+            return unit_rows(out)
+
+        return model
+
+    return load
