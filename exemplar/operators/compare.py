@@ -12,7 +12,7 @@ or missing standard value gives 0, as the original replaces inf/NaN by 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The mode names and the metric columns with their headers.
@@ -46,15 +46,12 @@ def _side_by_side(results: DataFrame, keys: list[str], value: Column) -> DataFra
     stays null; keys with no value in either mode are dropped.
     """
     modes = results.where(F.col("Mode").isin(*MODES))
-    # At most two rows reach the driver: which of the two modes occur at all.
-    seen = {r["Mode"] for r in modes.select("Mode").distinct().collect()}
-    piv = modes.groupBy(*keys).pivot("Mode", list(MODES)).agg(value)
-    piv = piv.where(F.col("standard").isNotNull() | F.col("fewshot").isNotNull())
-    return piv.select(
-        *keys,
-        (F.col("standard").cast("double") if "standard" in seen else F.lit(0.0)).alias("standard"),
-        (F.col("fewshot").cast("double") if "fewshot" in seen else F.lit(0.0)).alias("fewshot"),
-    )
+    piv = modes.groupBy(*keys).pivot("Mode", list(MODES)).agg(value.alias("v"), F.count(F.lit(1)).alias("n"))
+    # which of the two modes occur at all: one row over the same aggregate
+    seen = piv.agg(*[(F.sum(f"{m}_n") > 0).alias(f"has_{m}") for m in MODES])
+    piv = piv.where(F.col("standard_v").isNotNull() | F.col("fewshot_v").isNotNull()).crossJoin(F.broadcast(seen))
+    side = lambda m: F.when(F.col(f"has_{m}"), F.col(f"{m}_v").cast("double")).otherwise(F.lit(0.0)).alias(m)
+    return piv.select(*keys, *[side(m) for m in MODES])
 
 
 def detailed_comparison(results: DataFrame, metric: str = DEFAULT_METRIC) -> DataFrame:
@@ -144,3 +141,45 @@ def consolidated_summary(results: DataFrame, metrics=METRICS) -> DataFrame:
         F.bround(F.coalesce(_overall(F.col("s"), F.col("f")), F.lit(0.0)), 2).alias("Improvement (%)"),
         order[F.col("Metric")].alias("_order"),
     ).orderBy("_order").drop("_order")
+
+
+VIEWS = ("detailed", "by_language", "by_model", "consolidated")
+
+
+def report_table(results: DataFrame, metrics=METRICS) -> DataFrame:
+    """A1-A3 and A6 of all metrics at once: one unpivot and one aggregate over grouping sets.
+
+    Columns: view, metric, position (the row's place in its report), Language, Model, standard, fewshot,
+    absolute_diff, relative_improvement."""
+    long = results.where(F.col("Mode").isin(*MODES)).unpivot(["Language", "Model", "Mode"], [f"`{m}`" for m in metrics], "metric", "value")
+    keys = [F.col("metric"), F.col("Language"), F.col("Model")]
+    mode = lambda m, f: f(F.when(F.col("Mode") == m, F.col("value")))
+    sets = long.groupingSets([keys, keys[:2], [keys[0], keys[2]], keys[:1]], *keys).agg(
+        F.grouping("Language").alias("_all_languages"),
+        F.grouping("Model").alias("_all_models"),
+        *[mode(m, F.avg).alias(f"{m}_avg") for m in MODES],
+        *[mode(m, lambda c: F.first(c, ignorenulls=True)).alias(f"{m}_first") for m in MODES],
+        *[F.count_if(F.col("Mode") == m).alias(f"{m}_n") for m in MODES],
+    )
+    number = F.col("_all_languages") * 2 + F.col("_all_models")  # 0 detailed, 1 by language, 2 by model, 3 all
+    sets = sets.withColumn("view", F.array(*[F.lit(v) for v in VIEWS])[number.cast("int")])
+    # a mode without a row anywhere counts as 0: the row over everything tells
+    seen = sets.where(F.col("view") == "consolidated").select(F.col("metric").alias("_m"), *[(F.col(f"{m}_n") > 0).alias(f"has_{m}") for m in MODES])
+    sets = sets.join(F.broadcast(seen), F.col("metric") == F.col("_m"))
+    value = lambda m: F.when(F.col("view") == "detailed", F.col(f"{m}_first")).otherwise(F.col(f"{m}_avg"))
+    for m in MODES:
+        whole = F.col("view") == "consolidated"
+        sets = sets.withColumn(m, F.when(F.col(f"has_{m}") | whole, value(m)).otherwise(F.lit(0.0)))
+    std, few = F.col("standard"), F.col("fewshot")
+    sets = sets.where((F.col("view") == "consolidated") | std.isNotNull() | few.isNotNull())
+    whole = F.col("view") == "consolidated"
+    diff, relative = (c for c in _diffs(std, few))
+    relative = F.when(whole, F.bround(F.coalesce(_overall(std, few), F.lit(0.0)), 2)).otherwise(relative)
+    shown = lambda c: F.when(whole, F.bround(c, 4)).otherwise(c)
+    out = sets.select("view", "metric", "Language", "Model", shown(std).alias("standard"), shown(few).alias("fewshot"), diff.alias("absolute_diff"), relative.alias("relative_improvement"))
+    place = Window.partitionBy("view", "metric").orderBy(
+        F.when(F.col("view") == "by_model", F.col("relative_improvement")).desc(), F.col("Language"), F.col("Model")
+    )
+    order = F.array_position(F.array(*[F.lit(m) for m in metrics]), F.col("metric")).cast("int")
+    position = F.when(F.col("view") == "consolidated", order).otherwise(F.row_number().over(place))
+    return out.withColumn("position", position)

@@ -188,17 +188,9 @@ def q_vector_checks(spark, sf):
     FROM embeddings e JOIN c ON e.label = c.label""",
 )
 def q_vector_blend(spark, sf):
-    """V7 with the class centroid as the second vector: centroids are an
-    aggregation per (label, position) over the exploded vectors."""
+    """V7 with the class centroid as the second vector: whole vectors are added up within the tasks."""
     emb = table(spark, sf, "embeddings")
-    pos = emb.select("label", F.posexplode(V.as_double("embedding")).alias("i", "x"))
-    cent = (
-        pos.groupBy("label", "i")
-        .agg(F.avg("x").alias("x"))
-        .groupBy("label")
-        .agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c"))
-        .select("label", F.transform("c", lambda s: s["x"]).alias("centroid"))
-    )
+    cent = V.mean_vectors(emb, "label", "embedding")
     j = emb.join(cent, "label")
     return j.select(
         "vec_id", F.transform(V.blend("embedding", "centroid", 0.3), lambda x: F.round(x, 6)).alias("blended")
@@ -265,6 +257,43 @@ def q_comparison_by_model(spark, sf):
     return _snake_detailed(compare.summary_by_model(res, m), ["Model"], m, True)
 
 
+@register(
+    "comparison_report",
+    _RES
+    + """,
+    long AS (UNPIVOT res ON "Compiled Rate (%)", "Branch Coverage (%)", "Line Coverage (%)", "Test Pass Rate (%)", "Invocation Rate (%)"
+             INTO NAME metric VALUE value),
+    v AS (SELECT 'detailed' AS view, metric, "Language" AS language, "Model" AS model,
+                 max(value) FILTER (WHERE "Mode" = 'standard') AS s, max(value) FILTER (WHERE "Mode" = 'fewshot') AS f FROM long GROUP BY 2, 3, 4
+          UNION ALL
+          SELECT 'by_language', metric, "Language", NULL, avg(value) FILTER (WHERE "Mode" = 'standard'), avg(value) FILTER (WHERE "Mode" = 'fewshot')
+          FROM long GROUP BY 2, 3
+          UNION ALL
+          SELECT 'by_model', metric, NULL, "Model", avg(value) FILTER (WHERE "Mode" = 'standard'), avg(value) FILTER (WHERE "Mode" = 'fewshot')
+          FROM long GROUP BY 2, 4),
+    p AS (SELECT view, metric, language, model, s AS standard, f AS fewshot, round_even(f - s, 4) AS absolute_diff,
+                 coalesce(round_even((f - s) / nullif(s, 0) * 100, 2), 0.0) AS relative_improvement FROM v WHERE s IS NOT NULL OR f IS NOT NULL),
+    a AS (SELECT metric, avg(value) FILTER (WHERE "Mode" = 'standard') AS s, avg(value) FILTER (WHERE "Mode" = 'fewshot') AS f FROM long GROUP BY metric)
+    SELECT view, metric, CAST(row_number() OVER (PARTITION BY view, metric ORDER BY CASE WHEN view = 'by_model' THEN -relative_improvement END, language, model) AS INTEGER) AS position,
+           language, model, standard, fewshot, absolute_diff, relative_improvement FROM p
+    UNION ALL
+    SELECT 'consolidated', metric, CAST(list_position(['Compiled Rate (%)', 'Branch Coverage (%)', 'Line Coverage (%)', 'Test Pass Rate (%)', 'Invocation Rate (%)'], metric) AS INTEGER),
+           NULL, NULL, round_even(s, 4), round_even(f, 4), round_even(f - s, 4), round_even(CASE WHEN s > 0 THEN (f - s) / s * 100 ELSE 0.0 END, 2) FROM a""",
+)
+def q_comparison_report(spark, sf):
+    """The runs written as a tree of summaries, read by path, and all reports of all metrics in their order."""
+    from ..sources.summaries import SUMMARY_KEYS, read_summaries
+
+    res = standins.run_results(spark, sf)
+    path = scratch_path(spark, "summaries")
+    keys = [F.col(f"`{name}`").alias(key) for key, name in SUMMARY_KEYS]
+    tree = res.select("Language", "Mode", "Model", *keys).repartition("Language", "Mode", "Model")
+    tree.write.partitionBy("Language", "Mode", "Model").json(path)
+    out = compare.report_table(read_summaries(spark, path, file="part-*"))
+    named = [F.col("Language").alias("language"), F.col("Model").alias("model")]
+    return out.select("view", "metric", "position", *named, "standard", "fewshot", "absolute_diff", "relative_improvement")
+
+
 _METRIC_NAMES = ", ".join(f"('{m}', {i})" for i, m in enumerate(compare.METRICS))
 
 

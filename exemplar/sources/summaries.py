@@ -32,9 +32,11 @@ SUMMARY_SCHEMA = T.StructType(
 )
 
 
-def read_summaries(spark: SparkSession, base_dir: str, keep_corrupt: bool = False) -> DataFrame:
+def read_summaries(spark: SparkSession, base_dir: str, keep_corrupt: bool = False, file: str = "summary.json") -> DataFrame:
     """One row per readable summary.json with Language, Mode, Model.
 
+    ``file`` may be a pattern, and folders may be named ``Language=...`` and so on, as a partitioned write has them.
+
     Modes other than standard/fewshot are ignored (P6); missing keys become 0
     (P5); malformed files are skipped unless ``keep_corrupt``.
     """
@@ -49,7 +51,7 @@ def read_summaries(spark: SparkSession, base_dir: str, keep_corrupt: bool = Fals
     from pyspark.errors import AnalysisException
 
     try:
-        raw = reader.json(f"{base_dir.rstrip('/')}/*/*/*/summary.json").withColumn("_path", decoded_path())
+        raw = reader.json(f"{base_dir.rstrip('/')}/*/*/*/{file}").withColumn("_path", decoded_path())
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -57,9 +59,7 @@ def read_summaries(spark: SparkSession, base_dir: str, keep_corrupt: bool = Fals
         raw = spark.createDataFrame([], schema).withColumn("_path", F.lit(None).cast("string"))
     parts = F.split(F.col("_path"), "/")
     df = raw.select(
-        F.element_at(parts, -4).alias("Language"),
-        F.element_at(parts, -3).alias("Mode"),
-        F.element_at(parts, -2).alias("Model"),
+        *[F.regexp_replace(F.element_at(parts, i), f"^{name}=", "").alias(name) for i, name in ((-4, "Language"), (-3, "Mode"), (-2, "Model"))],
         *[
             F.coalesce(F.col(k), F.lit(0 if k == "total_samples" else 0.0)).alias(name)
             for k, name in SUMMARY_KEYS
@@ -74,23 +74,41 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+_VIEW_COLUMNS = {"detailed": ("Language", "Model"), "by_language": ("Language",), "by_model": ("Model",)}
+
+
 def write_reports(results: DataFrame, out_dir: str) -> list[str]:
     """All reports of the comparison job: detailed / by language / by model per
-    metric, plus the consolidated summary."""
+    metric, plus the consolidated summary, in the order of the reports.  The runs are read once: the
+    reports are parts of one written table."""
     from ..operators import compare
+    from ..session import written as stored
+
+    table = stored(compare.report_table(results), "report")
+    paths = []
+
+    def save(rows: DataFrame, columns: list, name: str) -> None:
+        path = f"{out_dir.rstrip('/')}/{name}.csv"
+        write_csv(rows.orderBy("position").select(*columns), path)
+        paths.append(path)
 
-    written = []
     for metric in METRICS:
-        slug = metric_slug(metric)
-        for kind, fn in (
-            ("detailed", compare.detailed_comparison),
-            ("by_language", compare.summary_by_language),
-            ("by_model", compare.summary_by_model),
-        ):
-            path = f"{out_dir.rstrip('/')}/comparison_{slug}_{kind}.csv"
-            write_csv(fn(results, metric), path)
-            written.append(path)
-    path = f"{out_dir.rstrip('/')}/comparison_consolidated_summary.csv"
-    write_csv(compare.consolidated_summary(results), path)
-    written.append(path)
-    return written
+        for view, keys in _VIEW_COLUMNS.items():
+            avg = "" if view == "detailed" else "Avg "
+            named = [
+                F.col("standard").alias(f"{avg}Standard {metric}"),
+                F.col("fewshot").alias(f"{avg}Few-Shot {metric}"),
+                F.col("absolute_diff").alias("Absolute Diff"),
+                F.col("relative_improvement").alias("Relative Improvement (%)"),
+            ]
+            rows = table.where((F.col("view") == view) & (F.col("metric") == metric))
+            save(rows, [*keys, *named], f"comparison_{metric_slug(metric)}_{view}")
+    whole = [
+        F.col("metric").alias("Metric"),
+        F.col("standard").alias("Avg Standard"),
+        F.col("fewshot").alias("Avg Few-Shot"),
+        F.col("absolute_diff").alias("Absolute Diff"),
+        F.col("relative_improvement").alias("Improvement (%)"),
+    ]
+    save(table.where(F.col("view") == "consolidated"), whole, "comparison_consolidated_summary")
+    return paths

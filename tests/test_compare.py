@@ -92,3 +92,40 @@ def test_reports_written(spark, tmp_dir):
     out = write_reports(read_summaries(spark, os.path.join(tmp_dir, "in")), os.path.join(tmp_dir, "out"))
     assert len(out) == 16 and any("comparison_Test_Pass_Rate__detailed.csv" in p for p in out)
     assert C.metric_slug("Test Pass Rate (%)") == "Test_Pass_Rate_"
+
+
+def test_report_table_is_the_reports(spark, tmp_dir):
+    """One scan and the rows, values and order of every single report."""
+    _tree(tmp_dir)
+    res = read_summaries(spark, tmp_dir)
+    table = C.report_table(res)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") >= 1 and plan.count("Pivot") == 0
+    rows = sorted((r.asDict() for r in table.collect()), key=lambda r: (r["view"], r["metric"], r["position"]))
+    pick = lambda view, metric: [r for r in rows if r["view"] == view and r["metric"] == metric]
+    for metric in C.METRICS:
+        for view, fn, keys, avg in (
+            ("detailed", C.detailed_comparison, ["Language", "Model"], ""),
+            ("by_language", C.summary_by_language, ["Language"], "Avg "),
+            ("by_model", C.summary_by_model, ["Model"], "Avg "),
+        ):
+            names = [*keys, f"{avg}Standard {metric}", f"{avg}Few-Shot {metric}", "Absolute Diff", "Relative Improvement (%)"]
+            want = [tuple(r[n] for n in names) for r in fn(res, metric).collect()]
+            got = [tuple(r[n] for n in (*keys, "standard", "fewshot", "absolute_diff", "relative_improvement")) for r in pick(view, metric)]
+            assert got == want, (view, metric)
+    whole = [tuple(r[n] for n in ("metric", "standard", "fewshot", "absolute_diff", "relative_improvement")) for r in sorted((r for r in rows if r["view"] == "consolidated"), key=lambda r: r["position"])]
+    assert whole == [tuple(r) for r in C.consolidated_summary(res).collect()]
+    one_mode = res.where("Mode = 'standard'")
+    got = {(r.view, r.Language, r.Model): r.fewshot for r in C.report_table(one_mode).collect() if r.view == "detailed"}
+    assert got and set(got.values()) == {0.0}
+    assert {r[f"Few-Shot {M}"] for r in C.detailed_comparison(one_mode, M).collect()} == {0.0}
+
+
+def test_mean_vectors(spark):
+    from exemplar.functions.vectors import mean_vectors
+
+    rows = [(1, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [5.0, 6.0]), (None, [1.0, 1.0]), (1, None), (1, [None, 1.0]), (2, [9.0])]
+    df = spark.createDataFrame(rows, "label long, v array<double>").repartition(3)
+    got = sorted(((r.label, list(r.centroid)) for r in mean_vectors(df, "label", "v").collect()), key=repr)
+    assert got == sorted([(1, [2.0, 3.0]), (2, [5.0, 6.0]), (2, [9.0]), (None, [1.0, 1.0])], key=repr)
+    assert mean_vectors(df.limit(0), "label", "v").collect() == []
