@@ -870,6 +870,35 @@ def q_context_prompt(spark, sf):
     return out.select("id", "question")
 
 
+_RAG_HITS = bm25_sql(
+    f"SELECT pair_id AS doc_id, focal_method AS text FROM ({standins.PAIRS_SQL})",
+    f"SELECT id AS query_id, focal_code AS text FROM ({standins.BENCH_SQL})",
+    3,
+)
+
+
+@register(
+    "rag_prompt",
+    f"""WITH hits AS ({_RAG_HITS}), pr AS ({standins.PAIRS_SQL}),
+    c AS (SELECT h.query_id AS id, string_agg(pr.unit_test, chr(10) || chr(10) ORDER BY h.rank) AS context
+          FROM hits h JOIN pr ON pr.pair_id = h.doc_id GROUP BY h.query_id),
+    f AS (SELECT b.*, c.context FROM ({standins.BENCH_SQL}) b LEFT JOIN c ON c.id = b.id),
+    t AS (SELECT *, {_template_sql('(' + _SIG_SQL + ')')} AS std0 FROM f)
+    SELECT id, (CASE WHEN context IS NOT NULL THEN {_sql_lit(TPL.RAG_OPEN)} || context || {_sql_lit(TPL.RAG_CLOSE)} || std0 ELSE std0 END)
+               || {_SUFFIX_SQL} AS question FROM t""",
+)
+def q_rag_prompt(spark, sf):
+    """Prompts whose context is retrieved: the answers of each case's three best pairs, in their order."""
+    from ..sources.benchmark import rag_context
+
+    bench, pr = standins.bench_cases(spark, sf), standins.pairs(spark, sf)
+    hits = bm25_topk(bench, pr, 3, query_id="id", query_text="focal_code", doc_id="pair_id", doc_text="focal_method")
+    texts = pr.select(F.col("pair_id").alias("doc_id"), F.col("unit_test").alias("text"))
+    context = rag_context(hits.select("id", "rank", F.col("pair_id").alias("doc_id")), texts, k=3)
+    out = PR.build_prompts(bench.join(context, "id", "left"), instruct=True, is_rag=True)
+    return out.select("id", "question")
+
+
 # -------------------------------------------------------------- responses --
 
 
