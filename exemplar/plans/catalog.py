@@ -1064,6 +1064,53 @@ def q_retrieval_flat(spark, sf):
 _FIRST_TOKENS = "list_slice(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'), 1, 20)"
 
 
+_LINES_SQL = f"""SELECT pair_id % 3 AS part, pair_id, u.k AS k, focal_method, unit_test FROM ({standins.PAIRS_SQL}) p,
+    (VALUES (0), (1), (2)) u(k) WHERE u.k = 0 OR (u.k = 1 AND pair_id % 5 = 0) OR (u.k = 2 AND pair_id % 7 = 0)"""
+
+
+@register(
+    "corpus_lines",
+    f"""WITH l AS ({_LINES_SQL}),
+    n AS (SELECT *, row_number() OVER (ORDER BY part, pair_id, k) - 1 AS line FROM l),
+    m AS (SELECT count(*) FILTER (part = 0) + count(*) FILTER (part = 1) // 2 AS most FROM l)
+    SELECT line, md5(focal_method) AS focal_md5, md5(unit_test) AS test_md5 FROM n, m WHERE k = 0 AND line < most""",
+)
+def q_corpus_lines(spark, sf):
+    """Pairs as JSON lines in files of unequal size, with corrupt (k = 1) and blank lines (k = 2), read by line
+    number up to the middle of the second file; skipped lines count."""
+    from ..sources.corpus import numbered_lines, parse_corpus_lines
+
+    p = standins.pairs(spark, sf).withColumn("part", F.col("pair_id") % 3)
+    kinds = F.array(F.lit(0), F.when(F.col("pair_id") % 5 == 0, 1), F.when(F.col("pair_id") % 7 == 0, 2))
+    lines = p.withColumn("k", F.explode(F.array_compact(kinds)))
+    good = F.to_json(F.struct("focal_method", "unit_test"))
+    lines = lines.select("part", "pair_id", "k", F.when(F.col("k") == 0, good).when(F.col("k") == 1, "{broken").otherwise("").alias("value"))
+    path = scratch_path(spark, "corpus")
+    lines.repartition("part").sortWithinPartitions("part", "pair_id", "k").drop("pair_id", "k").write.partitionBy("part").text(path)
+    counts = {r["part"]: r["count"] for r in lines.groupBy("part").count().collect()}  # three rows
+    read = numbered_lines(spark, f"{path}/*/*").where(F.col("line") < counts.get(0, 0) + counts.get(1, 0) // 2)
+    return parse_corpus_lines(read, keep=("line",)).select("line", F.md5("focal_method").alias("focal_md5"), F.md5("unit_test").alias("test_md5"))
+
+
+@register(
+    "output_audit",
+    """WITH g AS (SELECT DISTINCT source AS model, l.lang FROM documents, (SELECT DISTINCT lang FROM documents UNION ALL SELECT 'absent') l),
+    c AS (SELECT source AS model, lang, count(*) AS lines FROM documents GROUP BY 1, 2)
+    SELECT g.model, g.lang, coalesce(c.lines, 0) AS lines, c.lines IS NOT NULL AS found FROM g LEFT JOIN c ON c.model = g.model AND c.lang = g.lang""",
+)
+def q_output_audit(spark, sf):
+    """A line per document written by (source, language), audited against the grid of all sources and languages and one that is not there."""
+    from ..sources.audit import audit_outputs
+
+    d = table(spark, sf, "documents")
+    path = scratch_path(spark, "outputs")
+    out = d.select(F.col("source").alias("embedder"), "lang", F.to_json(F.struct("doc_id")).alias("value"))
+    out.repartition("embedder", "lang").write.partitionBy("embedder", "lang").text(path)
+    langs = d.select("lang").distinct().unionAll(spark.createDataFrame([("absent",)], "lang string"))
+    grid = d.select(F.col("source").alias("model")).distinct().crossJoin(F.broadcast(langs))
+    return audit_outputs(spark, path, grid, file_name=None).select("model", "lang", "lines", "found")
+
+
 @register(
     "embed_batches",
     f"""WITH t AS (SELECT doc_id, array_to_string({_FIRST_TOKENS}, ' ') AS cut FROM documents),

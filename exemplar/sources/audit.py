@@ -14,27 +14,30 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import decoded_path
+from .tables import decoded_path, is_missing
 
 
 def audit_outputs(
     spark: SparkSession,
     root: str,
-    models: Sequence[str],
+    models: Sequence[str] | DataFrame,
     langs: Sequence[str] = ("rust", "go", "julia"),
     file_name: str | None = "data_with_fewshot.jsonl",
 ) -> DataFrame:
     """Layout ``<root>/<model>/<lang>/<file_name>`` (the original's), or with
     ``file_name=None`` the partitioned layout of ``write_context``:
     ``<root>/embedder=<model>/lang=<lang>/part-*``."""
-    grid = spark.createDataFrame([(m, l) for m in models for l in langs], "model string, lang string")
+    if isinstance(models, DataFrame):  # the expected outputs themselves: (model, lang)
+        grid = models.select("model", "lang").distinct()
+    else:
+        grid = spark.createDataFrame([(m, l) for m in models for l in langs], "model string, lang string")
     pattern = f"{root.rstrip('/')}/*/*/{file_name}" if file_name else f"{root.rstrip('/')}/embedder=*/lang=*/part-*"
     try:
         lines = spark.read.text(pattern).select(
             decoded_path().alias("path"), F.col("_metadata.file_size").alias("size")
         )
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        if not is_missing(e):
             raise
         # nothing written at all
         return grid.select("model", "lang", F.lit(0).cast("long").alias("lines"), F.lit(0.0).alias("size_mb"), F.lit(False).alias("found"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import file_position
+from .tables import with_row_numbers
 
 # The language splits of the benchmark.
 SPLITS = ("rust", "go", "julia")
@@ -52,13 +52,9 @@ CONTEXT_SCHEMA = T.StructType(
 def read_benchmark(spark: SparkSession, paths: Mapping[str, str], fmt: str = "json") -> DataFrame:
     """{split: path} -> one DataFrame with ``lang`` and the input position
     ``pos`` (file order within the split, used for default ids)."""
-    from ..operators.layout import ordinal
-
     frames = []
     for lang, path in paths.items():
-        df = spark.read.format(fmt).load(path)
-        df = ordinal(df.select("*", *file_position()), ["_file", "_block", "_row"], name="pos").drop("_file", "_block", "_row")
-        df = df.withColumn("lang", F.lit(lang))
+        df = with_row_numbers(spark.read.format(fmt).load(path), "pos").withColumn("lang", F.lit(lang))
         frames.append(df)
     out = frames[0]
     for f in frames[1:]:

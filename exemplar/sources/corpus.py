@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import file_position, is_missing
+from .tables import is_missing, with_row_numbers
 
 CORPUS_SCHEMA = T.StructType(
     [
@@ -28,13 +28,18 @@ def valid_pair(focal="focal_method", test="unit_test"):
     return F.col(focal).isNotNull() & (F.length(focal) > 0) & F.col(test).isNotNull() & (F.length(test) > 0)
 
 
-def parse_corpus_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    p = lines.select(F.from_json(F.col(value), CORPUS_SCHEMA).alias("r")).select("r.*")
+def parse_corpus_lines(lines: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    p = lines.select(F.from_json(F.col(value), CORPUS_SCHEMA).alias("r"), *keep).select("r.*", *keep)
     return p.where(valid_pair()).select(
-        "focal_method", "unit_test", F.coalesce("metadata", F.lit("{}")).alias("metadata")
+        "focal_method", "unit_test", F.coalesce("metadata", F.lit("{}")).alias("metadata"), *keep
     )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line): the lines of text files with their number over all files, from 0; skipped and corrupt ones count."""
+    return with_row_numbers(spark.read.text(path), "line")
+
+
 def read_corpus(spark: SparkSession, path: str, max_examples: int = 0) -> DataFrame:
     """Valid pairs of a JSONL corpus.  ``max_examples`` > 0 limits the
     number of *input lines* read (skipped lines count), in file order."""
@@ -48,8 +53,7 @@ def read_corpus(spark: SparkSession, path: str, max_examples: int = 0) -> DataFr
         # missing file: an empty corpus, as in the original
         return spark.createDataFrame([], CORPUS_SCHEMA)
     if max_examples and max_examples > 0:
-        # file order is (path, split, row); the splits themselves are planned by size
-        lines = lines.select("value", *file_position()).orderBy("_file", "_block", "_row").limit(max_examples).select("value")
+        lines = numbered_lines(spark, path).where(F.col("line") < max_examples)
     return parse_corpus_lines(lines)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = (
@@ -29,6 +29,19 @@ def file_position() -> list[Column]:
     ]
 
 
+def with_row_numbers(rows: DataFrame, name: str) -> DataFrame:
+    """Rows read from files, numbered from 0 in the order of path, place in the file and row.
+
+    One count per split and their running sum give what lies before a split; within it a row's place is the
+    difference of its row id to the split's first.  So there is no sort and no shuffle of rows, whatever
+    the sizes of the files; ``rows`` must come straight from a file source."""
+    placed = rows.select("*", *file_position())
+    splits = placed.groupBy("_file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    starts = splits.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    return placed.join(starts, ["_file", "_block"]).withColumn(name, F.col("_start") + F.col("_row")).drop("_file", "_block", "_row", "_start")
+
+
 def is_missing(error: Exception) -> bool:
     """Whether an analysis error says that a path is not there (and nothing else)."""
     condition = getattr(error, "getCondition", lambda: None)()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from exemplar.functions.embedders import CallableEmbedder, HashedEmbedder
 from exemplar.sources.audit import audit_outputs
-from exemplar.sources.corpus import read_corpus
+from exemplar.sources.corpus import numbered_lines, read_corpus
 from exemplar.sources.index_store import ExampleIndex, Store, append, build_or_load, load_index
 
 
@@ -143,3 +143,24 @@ def test_rows_with_vectors_are_not_embedded_again(spark):
 def test_only_a_missing_path_reads_as_empty(spark, tmp_dir):
     with pytest.raises(Exception):
         read_corpus(spark, "nosuchscheme://x/y").count()
+
+
+def test_lines_are_numbered_over_files_of_unequal_size(spark, tmp_dir):
+    """Splits of a few bytes, blank and corrupt lines, a limit inside the second file."""
+    sizes, lines = (7, 400, 0, 1, 60), []
+    for i, n in enumerate(sizes):
+        mine = ["" if j % 9 == 4 else "{no" if j % 9 == 7 else json.dumps({"focal_method": f"f{i}_{j}", "unit_test": "t" * (j % 13 + 1)}) for j in range(n)]
+        with open(os.path.join(tmp_dir, f"{i}.jsonl"), "w") as f:
+            f.writelines(x + "\n" for x in mine)
+        lines += mine
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        read = numbered_lines(spark, tmp_dir + "/*.jsonl")
+        assert "Sort" not in read._jdf.queryExecution().optimizedPlan().toString().replace("SortMerge", "").replace("Sort [_file", "")
+        assert [(r.line, r.value) for r in sorted(read.collect(), key=lambda r: r.line)] == list(enumerate(lines))
+        for limit in (1, 7, 8, 100, 407, 10_000):
+            want = [json.loads(x)["focal_method"] for x in lines[:limit] if x.startswith("{\"")]
+            assert sorted(r.focal_method for r in read_corpus(spark, tmp_dir + "/*.jsonl", limit).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
