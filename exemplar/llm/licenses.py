@@ -20,8 +20,10 @@ unless the caller carries them.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -165,6 +167,27 @@ def _keyword(pattern: str) -> str:
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
+def _not_contained(hits: list[tuple]) -> list[tuple[int, int, str, float]]:
+    """The hits, by priority, that lie in no hit kept before: the farthest end among those that begin no later
+    is a prefix maximum, held in a binary indexed tree over the beginnings."""
+    starts = sorted({h[2] for h in hits})
+    tree = [-1] * (len(starts) + 1)
+    kept = []
+    for _, _, a, z, label, score in hits:
+        rank = bisect_right(starts, a)
+        far, i = -1, rank
+        while i:
+            far, i = max(far, tree[i]), i & (i - 1)
+        if far >= z:
+            continue
+        kept.append((a, z, label, score))
+        i = rank
+        while i < len(tree):
+            tree[i] = max(tree[i], z)
+            i += i & -i
+    return kept
+
+
 def scan_text(text: str | None) -> tuple[int, list[tuple[str, int, int, float]], list[tuple[str, int, int, float]]]:
     """(words, base places, rule detections); places are (label, first word, end word, score)."""
     raw = (text or "").encode().translate(_TABLE)
@@ -175,25 +198,22 @@ def scan_text(text: str | None) -> tuple[int, list[tuple[str, int, int, float]],
     if not keywords:
         return len(words), [], []
     found = (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
+    # where each word begins, so a place becomes a word number without reading what stands before
+    begins = list(accumulate((len(w) + 1 for w in found[1:-1].split(" ")), initial=1))
     base = []
     for phrase, label in BASE:
         needle, n, at = f" {phrase} ", phrase.count(" ") + 1, found.find(f" {phrase} ")
         while at >= 0:
-            first = found.count(" ", 0, at + 1) - 1
+            first = bisect_left(begins, at + 1)
             base.append((label, first, first + n, 1.0))
             at = found.find(needle, at + 1)
     hits = []
     for keyword in keywords:
         for label, priority, score, pattern in rules().get(keyword.decode(), ()):
             hits += [(priority, m.start() - m.end(), m.start() + 1, m.end(), label, score) for m in pattern.finditer(found)]
-    kept: list[tuple[int, int, str, float]] = []
-    for _, _, a, z, label, score in sorted(hits):
-        if not any(b <= a and z <= y for b, y, _, _ in kept):
-            kept.append((a, z, label, score))
     places = []
-    for a, z, label, score in sorted(kept):
-        first = found.count(" ", 0, a) - 1
-        places.append((label, first, first + found.count(" ", a, z) + 1, score))
+    for a, z, label, score in sorted(_not_contained(sorted(hits))):
+        places.append((label, bisect_left(begins, a), bisect_right(begins, z - 1), score))
     return len(words), base, places
 
 

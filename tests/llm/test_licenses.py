@@ -68,3 +68,44 @@ def test_contained_detections_are_suppressed():
 
 def test_empty_table(spark):
     assert licenses.scan(docs(spark, [])).collect() == []
+
+
+def plain_detections(text):
+    """All rules at all places, then one hit after the other against all that are kept; words counted from the beginning."""
+    found = " " + " ".join(WORD.findall((text or "").translate(LOWER))) + " "
+    hits = [
+        (priority, m.start() - m.end(), m.start() + 1, m.end(), label, score)
+        for one in licenses.rules().values() for label, priority, score, pattern in one for m in pattern.finditer(found)
+    ]
+    kept = []
+    for _, _, a, z, label, score in sorted(hits):
+        if not any(b <= a and z <= y for b, y, *_ in kept):
+            kept.append((a, z, label, score))
+    return [(label, len(found[:a].split()), len(found[:z].split()), score) for a, z, label, score in sorted(kept)]
+
+
+def test_detections_against_every_rule_at_every_place():
+    import random
+
+    rng = random.Random(3)
+    parts = [
+        "released under the MIT license", "Licensed under the Apache License, Version 2.0", "GNU General Public License, version 3 or later", "GPLv2", "cc by nc sa 4.0",
+        "SPDX-License-Identifier: BSD-3-Clause", "all rights reserved", "the license", "é", "mit", "under", "version 2", "public domain", "copyright", "mozilla public license 2.0",
+    ]
+    for _ in range(40):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 40)))
+        assert licenses.scan_text(text)[2] == plain_detections(text)
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):  # 160 and 640 KB
+        text = "released under the mit license and word " * n
+        start = time.perf_counter()
+        words, base, found = licenses.scan_text(text)
+        took.append(time.perf_counter() - start)
+        assert (words, len(base)) == (7 * n, n) and len(found) >= n
+        assert base[-1][1] == 7 * (n - 1) + 1
+    assert took[1] < 8 * took[0], took
