@@ -68,3 +68,29 @@ def test_null_ids_beside_ids_above_2_to_53(spark):
     table = pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))})
     told = oracle(SQL["op10_exact_topk"], embeddings=table)
     assert sorted(told[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == expected
+
+
+def test_few_rows_are_left_for_the_exact_products():
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pydict()
+    rows = [(i, v) for i, v in zip(t["vec_id"], t["embedding"]) if v is not None and len(v) == 64]
+    x = np.floor(256 * np.array([v for _, v in rows], np.float64)).astype(np.int64)
+    queries_ = x[[i % 50 == 0 for i, _ in rows]]
+    maybe = topk.BitSliced(x, topk.X_BITS).boundary(queries_, topk._pack(np.ones((len(queries_), len(x)), bool)), 5)
+    exact = queries_ @ x.T
+    kth = np.sort(exact, axis=1)[:, -5]
+    assert maybe[exact >= kth[:, None]].all()  # none of the best is lost
+    assert 5 / len(x) <= maybe.mean() <= 0.1
+
+
+def test_large_components(spark):
+    """Products that leave 63 bits on the way, and components that do not fit at all."""
+    big = float(2**22)
+    rows = [(0, [big] * 64, 0, 0), (50, [big, -big] * 32, 0, 0), (1, [1.0] * 64, 0, 0), (2, [-big] * 64, 0, 0), (3, [0.5, big] * 32, 0, 0), (4, [3e38] * 64, 0, 0)]
+    expected = brute(rows[:-1], 50)
+    got = run(spark, rows, 50)
+    assert [r[:3] for r in got] == [r[:3] for r in expected]
+    for g, e in zip(got, expected):
+        assert g[3] == max(-(2**63 - 1), min(2**63 - 1, e[3]))
