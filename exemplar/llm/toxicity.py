@@ -2,20 +2,21 @@
 
 Learning (``fit``): a word stands for up to three tokens, itself and its 4- and 5-byte
 beginnings.  Over labelled texts (one per exact copy), each token's log-odds between
-toxic and other texts is shrunk by an informative Dirichlet prior: ``PRIOR`` texts of the
+toxic and other texts is shrunk by an informative Dirichlet prior: so many texts (one of ``PRIORS``) of the
 classes' overall shares, so a token of few texts says little and no token is left out.
 At most ``sample`` labelled rows (by a hash of doc_id) are used; the lexicon is every
 token of theirs.
 
 Scoring (``score``): each word scores the mean log-odds of its known tokens, negative ones
-too (0 if none is known), less a shift of ``SHIFT`` standard deviations above the mean of
+too (0 if none is known), less a shift of one of ``SHIFTS`` standard deviations above the mean of
 the words of clean training texts, so the mean under clean text is below 0.  One linear
 scan (Ruzzo-Tompa) yields every maximal scoring segment of the whole text.  Under
 clean text the number of segments of score s in n words is n K exp(-lambda s); K and
 lambda come from the clean training texts, and a segment is a passage if that E-value
 is at most ``SIGNIFICANT``.  A text's evidence, the sum of -log p of its segments, with
 their scores and the length, goes through a logistic calibration to a score of 0 to 1.
-Whatever is learnt from the training texts' scores counts each without itself.
+Whatever is learnt from the training texts' scores counts each without itself; prior and shift
+are those of the least log-loss of these scores, so no text outside the training rows has a say.
 
 Defined results: null and empty texts get the score of a text without evidence; without
 labels of both classes the score is the share of label 1 (0 if none); labels that are null
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,9 @@ from . import bytewords as bw
 from .workers import ready
 
 SAMPLE_ROWS = 20_000
-PRIOR = 20.0
-SHIFT = 3.0
-GAP = 0.2
+#: What ``fit`` chooses among, by the log-loss of the training texts, each scored without itself.
+PRIORS = (5.0, 20.0, 80.0)
+SHIFTS = (2.0, 3.0, 4.0)
 SIGNIFICANT = 0.05
 THRESHOLD = 0.3
 _BEGINNINGS = (4, 5)
@@ -125,26 +126,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
     tokens = tokens.view(np.uint64)
     order = np.argsort(tokens)
     flat.tokens, k0, k1 = tokens[order], k0[order], k1[order]
-    flat.odds = _log_odds(k0, k1, base)
-    # what a text of class 0 or 1 sees without itself; a token of no other text is unknown (NaN)
-    others = [np.where(k0 + k1 > 1, _log_odds(k0 - (c == 0), k1 - (c == 1), base), np.nan) for c in (0, 1)]
-    words = train.where("toxic = 0").mapInArrow(_word_sums(flat, others), "n long, s double, q double")
-    n, s, q = words.agg(F.sum("n"), F.sum("s"), F.sum("q")).first()
-    if n:
-        flat.shift = s / n + SHIFT * math.sqrt(max(0.0, q / n - (s / n) ** 2))
-    flat.shift = max(flat.shift, 1e-3)
-    # calibration, on the same bounded sample: at most ``sample`` rows of a few numbers
-    rows = train.mapInArrow(_scorer(flat, others=others), "toxic int, n long, segments array<double>").collect()
-    return _calibrate(flat, rows)
-
-
-def _log_odds(n0: np.ndarray, n1: np.ndarray, base: float) -> np.ndarray:
+    best, least = flat, math.inf
+    for prior in PRIORS:
+        odds = _log_odds(k0, k1, base, prior)
+        # what a text of class 0 or 1 sees without itself; a token of no other text is unknown (NaN)
+        others = [np.where(k0 + k1 > 1, _log_odds(k0 - (c == 0), k1 - (c == 1), base, prior), np.nan) for c in (0, 1)]
+        words = train.where("toxic = 0").mapInArrow(_word_sums(flat, others), "n long, s double, q double")
+        n, s, q = words.agg(F.sum("n"), F.sum("s"), F.sum("q")).first()
+        for shift in SHIFTS:
+            model = replace(flat, odds=odds)
+            if n:
+                model.shift = s / n + shift * math.sqrt(max(0.0, q / n - (s / n) ** 2))
+            model.shift = max(model.shift, 1e-3)
+            # calibration, on the same bounded sample: at most ``sample`` rows of a few numbers
+            rows = train.mapInArrow(_scorer(model, others=others), "toxic int, n long, segments array<double>").collect()
+            model, loss = _calibrate(model, rows)
+            if loss < least - 1e-9:
+                best, least = model, loss
+    return best
+
+
+def _log_odds(n0: np.ndarray, n1: np.ndarray, base: float, prior: float) -> np.ndarray:
     """Shrunk log-odds of texts with a token being toxic, against those of all texts."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.log((n1 + PRIOR * base) / (n0 + PRIOR * (1 - base))) - math.log(base / (1 - base))
+        return np.log((n1 + prior * base) / (n0 + prior * (1 - base))) - math.log(base / (1 - base))
 
 
-def _calibrate(model: Model, rows: list) -> Model:
+def _calibrate(model: Model, rows: list) -> tuple[Model, float]:
+    """The model with its segments' distribution and logistic weights, and its mean log-loss."""
     clean = [(r.n, r.segments) for r in rows if not r.toxic]
     words = max(1, sum(n for n, _ in clean))
     seen = np.array([s for _, seg in clean for s in seg] or [model.shift], float)
@@ -165,17 +174,18 @@ def _calibrate(model: Model, rows: list) -> Model:
         if np.abs(step).max() < 1e-8:
             break
     model.weights = w
-    return model
+    p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+    return model, float(-np.mean(y * np.log(p) + (1 - y) * np.log1p(-p)))
 
 
-def segments(position: np.ndarray, score: np.ndarray, gap: float = GAP) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, first, last hit) of one text: Ruzzo-Tompa over its hits.
+def segments(value: np.ndarray) -> list[tuple[float, int, int]]:
+    """All maximal scoring segments (score, first word, end word) of one text: Ruzzo-Tompa over its runs of positive words.
 
-    Words between hits count ``-gap`` each.  Linear in the hits.
-    """
-    between = np.diff(position, prepend=position[:1] - 1) - 1 if len(position) else np.zeros(0)
-    after = np.cumsum(score - gap * between)
-    return _maximal((after - score).tolist(), after.tolist())
+    Linear in the words."""
+    up = np.concatenate(([False], value > 0, [False]))
+    rise, fall = np.flatnonzero(up[1:] & ~up[:-1]), np.flatnonzero(up[:-1] & ~up[1:])
+    sums = np.concatenate(([0.0], np.cumsum(value)))
+    return [(s, int(rise[f]), int(fall[e])) for s, f, e in _maximal(sums[rise].tolist(), sums[fall].tolist())]
 
 
 def _maximal(before: list[float], after: list[float]) -> list[tuple[float, int, int]]:
@@ -253,12 +263,7 @@ def _scorer(model: Model, others: list[np.ndarray] | None = None, carry: tuple[s
                 value = _word_odds(model, others or [model.odds], h, toxic[first + doc] if others else None) - model.shift
                 start = np.concatenate(([0], np.cumsum(count)))
                 for o in np.unique(doc[value > 0]):
-                    v = value[start[o] : start[o + 1]]
-                    up = np.concatenate(([False], v > 0, [False]))
-                    rise, fall = np.flatnonzero(up[1:] & ~up[:-1]), np.flatnonzero(up[:-1] & ~up[1:])  # runs of positive words
-                    run_sum = np.concatenate(([0.0], np.cumsum(v)))
-                    got = _maximal(run_sum[rise].tolist(), run_sum[fall].tolist())
-                    found[first + o] = [(s, int(rise[f]), int(fall[e])) for s, f, e in got]
+                    found[first + o] = segments(value[start[o] : start[o + 1]])
             if others:
                 yield pa.RecordBatch.from_arrays(
                     [b.column("toxic"), pa.array(n_words), pa.array([[s for s, _, _ in f] for f in found], pa.list_(pa.float64()))],

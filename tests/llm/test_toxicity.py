@@ -28,11 +28,9 @@ def brute_segments(values):
 @given(st.lists(st.one_of(st.just(0), st.integers(1, 997)), max_size=14))
 def test_segments_are_the_maximal_scoring_ones(words):
     # distinct scores, so that there are no ties; a word that is no hit costs 300
-    hits = [i for i, w in enumerate(words) if w]
-    got = toxicity.segments(np.array(hits), np.array([float(words[i]) + i / 97 for i in hits]), gap=300.0)
     values = [float(w) + i / 97 if w else -300.0 for i, w in enumerate(words)]
-    expected = [(s, a, b) for s, a, b in brute_segments(values)]
-    assert [(round(s, 6), hits[f], hits[e] + 1) for s, f, e in got] == [(round(s, 6), a, b) for s, a, b in expected]
+    got = toxicity.segments(np.array(values))  # what the scorer runs
+    assert [(round(s, 6), a, b) for s, a, b in got] == [(round(s, 6), a, b) for s, a, b in brute_segments(values)]
 
 
 def _made(spark, n=600):
@@ -111,3 +109,24 @@ def test_mild_and_rare_tokens_count(spark):
     found = [got[i] >= 0.3 for i in held if toxic[i]]
     false = [got[i] >= 0.3 for i in held if not toxic[i]]
     assert sum(found) >= 0.9 * len(found) and sum(false) <= 0.03 * len(false)
+
+
+def test_choice_is_made_by_the_training_rows_alone(spark, monkeypatch):
+    """Prior and shift are those of the least log-loss, and rows that are held out change nothing."""
+    table, labels, _ = _made(spark, 300)
+    losses = []
+    calibrate = toxicity._calibrate
+
+    def noted(model, rows):
+        out = calibrate(model, rows)
+        losses.append(out[1])
+        return out
+
+    monkeypatch.setattr(toxicity, "_calibrate", noted)
+    model = toxicity.fit(table, labels)
+    assert len(losses) == len(toxicity.PRIORS) * len(toxicity.SHIFTS)
+    at = int(np.argmin(losses))
+    chosen = (toxicity.PRIORS[at // len(toxicity.SHIFTS)], toxicity.SHIFTS[at % len(toxicity.SHIFTS)])
+    monkeypatch.setattr(toxicity, "PRIORS", chosen[:1])
+    monkeypatch.setattr(toxicity, "SHIFTS", chosen[1:])
+    assert abs(toxicity.fit(table, labels).shift - model.shift) < 1e-6
