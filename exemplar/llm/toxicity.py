@@ -126,21 +126,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
     tokens = tokens.view(np.uint64)
     order = np.argsort(tokens)
     flat.tokens, k0, k1 = tokens[order], k0[order], k1[order]
+    # a token of one text is unknown to that text and seen by no other, so only the others go to the training passes
+    several = k0 + k1 > 1
     best, least = flat, math.inf
     for prior in PRIORS:
-        odds = _log_odds(k0, k1, base, prior)
-        # what a text of class 0 or 1 sees without itself; a token of no other text is unknown (NaN)
-        others = [np.where(k0 + k1 > 1, _log_odds(k0 - (c == 0), k1 - (c == 1), base, prior), np.nan) for c in (0, 1)]
-        words = train.where("toxic = 0").mapInArrow(_word_sums(flat, others), "n long, s double, q double")
+        # what a text of class 0 or 1 sees without itself
+        others = [_log_odds(k0[several] - (c == 0), k1[several] - (c == 1), base, prior) for c in (0, 1)]
+        shared = spark.sparkContext.broadcast((flat.tokens[several], others))
+        words = train.where("toxic = 0").mapInArrow(_word_sums(shared), "n long, s double, q double")
         n, s, q = words.agg(F.sum("n"), F.sum("s"), F.sum("q")).first()
-        for shift in SHIFTS:
-            model = replace(flat, odds=odds)
-            if n:
-                model.shift = s / n + shift * math.sqrt(max(0.0, q / n - (s / n) ** 2))
-            model.shift = max(model.shift, 1e-3)
-            # calibration, on the same bounded sample: at most ``sample`` rows of a few numbers
-            rows = train.mapInArrow(_scorer(model, others=others), "toxic int, n long, segments array<double>").collect()
-            model, loss = _calibrate(model, rows)
+        spread = math.sqrt(max(0.0, q / n - (s / n) ** 2)) if n else 0.0
+        shifts = [max((s / n if n else 0.0) + shift * spread, 1e-3) for shift in SHIFTS]
+        # calibration, on the same bounded sample: at most ``sample`` rows of a few numbers
+        rows = train.mapInArrow(_training_segments(shared, shifts), "toxic int, n long, segments array<array<double>>").collect()
+        shared.destroy()
+        for i, shift in enumerate(shifts):
+            model = replace(flat, odds=_log_odds(k0, k1, base, prior), shift=shift)
+            model, loss = _calibrate(model, [(r.toxic, r.n, r.segments[i]) for r in rows])
             if loss < least - 1e-9:
                 best, least = model, loss
     return best
@@ -154,14 +156,14 @@ def _log_odds(n0: np.ndarray, n1: np.ndarray, base: float, prior: float) -> np.n
 
 def _calibrate(model: Model, rows: list) -> tuple[Model, float]:
     """The model with its segments' distribution and logistic weights, and its mean log-loss."""
-    clean = [(r.n, r.segments) for r in rows if not r.toxic]
+    clean = [(n, segs) for toxic, n, segs in rows if not toxic]
     words = max(1, sum(n for n, _ in clean))
     seen = np.array([s for _, seg in clean for s in seg] or [model.shift], float)
     low = float(np.min(seen))
     model.decay = 1.0 / max(0.05, float(np.mean(seen)) - low)
     model.rate = max(1, len(seen)) / words * math.exp(model.decay * low)
-    x = np.array([_features(model, r.n, np.array(r.segments, float)) for r in rows])
-    y = np.array([r.toxic for r in rows], float)
+    x = np.array([_features(model, n, np.array(segs, float)) for _, n, segs in rows])
+    y = np.array([toxic for toxic, _, _ in rows], float)
     model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     d = np.column_stack([np.ones(len(x)), (x - model.mean) / model.scale])
     w = np.zeros(d.shape[1])
@@ -217,36 +219,60 @@ def _features(model: Model, n: int, s: np.ndarray) -> list[float]:
     return [float(-np.log(np.maximum(p, 1e-300)).sum()), float(s.sum()), math.log1p(n)]
 
 
-def _word_odds(model: Model, odds: list[np.ndarray], h: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+def _word_odds(tokens: np.ndarray, odds: list[np.ndarray], h: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
     """Mean log-odds of each word's known tokens, 0 if none is known; ``which`` of ``odds`` holds for each word."""
     _, at, word = np.unique(h[:, 0], return_index=True, return_inverse=True)  # a word's hash stands for all its tokens
     few = h[at]
-    place = np.minimum(np.searchsorted(model.tokens, few), len(model.tokens) - 1)
-    found = (model.tokens[place] == few) & (few != 0)
-    out = []
-    for o in odds:
-        value = o[place]
-        known = found & ~np.isnan(value)
-        out.append((np.where(known, value, 0.0).sum(axis=1) / np.maximum(1, known.sum(axis=1)))[word])
+    place = np.minimum(np.searchsorted(tokens, few), len(tokens) - 1)
+    known = (tokens[place] == few) & (few != 0)
+    out = [(np.where(known, o[place], 0.0).sum(axis=1) / np.maximum(1, known.sum(axis=1)))[word] for o in odds]
     return out[0] if which is None else np.where(which > 0, out[1], out[0])
 
 
-def _word_sums(model: Model, odds: list[np.ndarray]):
+def _word_sums(shared):
     """Number, sum and sum of squares of the words' log-odds in texts of class 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, others = shared.value
         for b in batches:
             for _, data, offsets in bw.slices(b.column("text")):
                 h, _, _ = _tokens(data, offsets)
                 if len(h):
-                    v = _word_odds(model, odds[:1], h)
+                    v = _word_odds(tokens, others[:1], h) if len(tokens) else np.zeros(len(h))
                     yield pa.RecordBatch.from_arrays([pa.array([len(v)]), pa.array([float(v.sum())]), pa.array([float((v * v).sum())])], names=["n", "s", "q"])
 
     return run
 
 
-def _scorer(model: Model, others: list[np.ndarray] | None = None, carry: tuple[str, ...] = (), below: float | None = None):
-    """Rows scored; ``others``: what calibration needs, by these log-odds of either class; ``below``: the batches' own rows with a lower score."""
+def _training_segments(shared, shifts: list[float]):
+    """Training texts' class, words and, for each shift, the scores of their segments; each text scored without itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, others = shared.value
+        for b in batches:
+            n_words = np.zeros(b.num_rows, np.int64)
+            found: list[list[list[float]]] = [[[] for _ in shifts] for _ in range(b.num_rows)]
+            toxic = b.column("toxic").to_numpy(zero_copy_only=False)
+            for first, data, offsets in bw.slices(b.column("text")):
+                h, doc, count = _tokens(data, offsets)
+                n_words[first : first + len(count)] = count
+                if not len(tokens) or not len(h):
+                    continue
+                odds = _word_odds(tokens, others, h, toxic[first + doc])
+                start = np.concatenate(([0], np.cumsum(count)))
+                for k, shift in enumerate(shifts):
+                    value = odds - shift
+                    for o in np.unique(doc[value > 0]):
+                        found[first + o][k] = [s for s, _, _ in segments(value[start[o] : start[o + 1]])]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("toxic"), pa.array(n_words), pa.array(found, pa.list_(pa.list_(pa.float64())))], names=["toxic", "n", "segments"]
+            )
+
+    return run
+
+
+def _scorer(model: Model, carry: tuple[str, ...] = (), below: float | None = None):
+    """Rows scored; ``below``: the batches' own rows with a lower score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blank = _features(model, 0, np.zeros(0))
@@ -254,22 +280,15 @@ def _scorer(model: Model, others: list[np.ndarray] | None = None, carry: tuple[s
             n_rows = b.num_rows
             n_words = np.zeros(n_rows, np.int64)
             found: list[list[tuple[float, int, int]]] = [[] for _ in range(n_rows)]
-            toxic = b.column("toxic").to_numpy(zero_copy_only=False) if others else None
             for first, data, offsets in bw.slices(b.column("text")):
                 h, doc, count = _tokens(data, offsets)
                 n_words[first : first + len(count)] = count
                 if not len(model.tokens) or not len(h):
                     continue
-                value = _word_odds(model, others or [model.odds], h, toxic[first + doc] if others else None) - model.shift
+                value = _word_odds(model.tokens, [model.odds], h) - model.shift
                 start = np.concatenate(([0], np.cumsum(count)))
                 for o in np.unique(doc[value > 0]):
                     found[first + o] = segments(value[start[o] : start[o + 1]])
-            if others:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("toxic"), pa.array(n_words), pa.array([[s for s, _, _ in f] for f in found], pa.list_(pa.float64()))],
-                    names=["toxic", "n", "segments"],
-                )
-                continue
             x = np.tile(np.array(blank), (n_rows, 1))
             x[:, 2] = np.log1p(n_words)
             passages = []
