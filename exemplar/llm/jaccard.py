@@ -119,7 +119,7 @@ def _array_rows(total: np.ndarray) -> Iterator[tuple[int, bytes]]:
     pack = zstandard.ZstdCompressor(level=1)
     for i, part in enumerate(np.split(total, CHUNKS)):
         if part.any():
-            yield i, pack.compress(part.tobytes())
+            yield i, pack.compress(part.astype(np.uint32).tobytes())
 
 
 def _sum_arrays(rows: DataFrame, bits: int) -> np.ndarray:
@@ -536,10 +536,10 @@ def _member_table(members: DataFrame) -> np.ndarray:
     """A bit table of fixed size over the class fingerprints of ``members``: no false negatives."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << MEMBER_BITS, np.uint32)
+        total = np.zeros(1 << MEMBER_BITS, bool)  # a byte each: 32 MB a task
         for b in batches:
             prints = np.frombuffer(b"".join(b.column("class").to_pylist()), np.uint64)[::2]
-            total[_places(prints, MEMBER_BITS)] = 1
+            total[_places(prints, MEMBER_BITS)] = True
         for chunk, counts in _array_rows(total):
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([counts], pa.binary())], names=["chunk", "counts"])
 
