@@ -9,9 +9,13 @@ score matrix never becomes rows:
   top-k per query, so a partition emits at most ``n_queries * k`` rows.  The only
   shuffle is the merge of those partial lists on query id.
 * **blocked strategy** (query set above the broadcast bound): queries and corpus
-  are hashed into blocks; every (query block, corpus block) pair meets in one
-  ``cogroup`` group whose size is bounded by ``block_bytes`` on each side, and
-  again emits only a local top-k.  Nothing goes through the driver.
+  are hashed into blocks; every (query block, corpus block) pair is one
+  partition, in which the corpus rows are streamed past the queries.  A task's
+  products are bounded by ``_TASK_PAIRS`` and its memory by ``block_bytes`` of
+  queries and lists; it emits only a local top-k.  Nothing goes through the driver.
+
+A product in single precision only rules pairs out (see ``_RunningTopK``); what is
+left is scored in double precision.
 
 Ties are broken by example id (ascending); NaN scores rank first, as a
 descending sort does in Spark.
@@ -34,9 +38,19 @@ from .topk import NO_ID, top_k_per_group, topk_merge
 
 # Per-task budget for one dense score tile (float64 elements).
 _TILE_ELEMS = 8_000_000
-DEFAULT_BROADCAST_LIMIT = 256 << 20
+DEFAULT_BROADCAST_LIMIT = 4 << 20
 DEFAULT_BLOCK_BYTES = 64 << 20
 METRICS = ("cosine", "euclidean")
+# Kinds of rows: bounded by the single-precision product, beyond its range, without a number.
+_TAME, _WILD, _NAN = 0, 1, 2
+_TAME_SQUARE = 1e30
+# A tile of the product that stays in the cache, and the pairs that are scored exactly at once.
+_TILE_QUERIES, _TILE_ROWS, _PAIRS = 512, 2048, 1 << 17
+# New entries, as a share of n_queries * k, at which a task cuts its lists.
+_SLACK = 0.5
+# Products of one task of the blocked strategy, and the rows that a task gives at once.
+_TASK_PAIRS = 4_000_000_000
+_OUT_ROWS = 1 << 16
 
 
 def _check_metric(metric: str) -> None:
@@ -92,49 +106,184 @@ def _distance_tile(q_raw: np.ndarray, q: np.ndarray, q_sq: np.ndarray, c_raw: np
 
 
 class _RunningTopK:
-    """Per-task running top-k of a fixed query block against streamed corpus rows."""
+    """Per-task running top-k of a fixed query block against streamed corpus rows.
+
+    A single-precision product of a tile gives an upper bound of every score (rounding included); only pairs whose
+    bound reaches the k-th best score held for their query are scored exactly, pair by pair in double precision.  So
+    a score does not depend on where a pair lies in a tile, and equal vectors tie exactly."""
 
     def __init__(self, q_raw: np.ndarray, metric: str, k: int):
         self.metric = metric
         self.k = k
         self.q_raw = q_raw
-        # distances do not change when all vectors move; near the origin the expanded formula bounds them closely
-        self.shift = q_raw.mean(axis=0) if metric == "euclidean" and len(q_raw) else 0.0
-        self.q, self.q_sq = _prepare(q_raw - self.shift, metric)
-        n = q_raw.shape[0]
-        self.best_s = np.full((n, k), -np.inf)
-        self.best_i = np.full((n, k), NO_ID, dtype=np.int64)
-        self.best_p = np.full((n, k), -1, dtype=np.int64)
+        n, dim = q_raw.shape
+        self.error = np.float64(np.finfo(np.float32).eps) * 2 * (dim + 8)
+        self.shift, self.scale = 0.0, 1.0
+        with np.errstate(invalid="ignore", over="ignore"):
+            if metric == "euclidean":  # distances do not change when all vectors move; near the origin the bound is close
+                shift = q_raw[np.isfinite(q_raw).all(axis=1)].mean(axis=0) if np.isfinite(q_raw).all(axis=1).any() else np.zeros(dim)
+                self.shift = np.where(np.isfinite(shift), shift, 0.0)
+                size = np.median(np.abs(q_raw - self.shift)) * math.sqrt(dim) if n else 0.0
+                self.scale = float(size) if np.isfinite(size) and size > 0 else 1.0
+            self.q, q_sq, kind = self._prepared(q_raw)
+        self.order = np.flatnonzero(kind == _TAME)  # queries that the product bounds
+        self.wild = np.flatnonzero(kind == _WILD)  # those that it does not
+        self.none = np.flatnonzero(kind == _NAN)  # those without a number for a score
+        self.bound = self._bounds(self.q[self.order], q_sq[self.order], True)
+        self.q_sq = q_sq
+        self.kth = np.full(n, -np.inf)  # the k-th best key held
+        self.kth_id = np.full(n, NO_ID, dtype=np.int64)  # its largest id, once ties have been cut
+        self.limit = np.full(len(self.order), -np.inf, dtype=np.float32)
+        self.held = [_no_entries()]
+        self.pending = 0
+        self.seen = 0
+        self.first = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # k smallest ids of all rows, for queries without a number
+        self.nans = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # k smallest ids of rows without a number
+
+    def _prepared(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What pairs are scored from, squared norms for the bounds, and the kind of each row."""
+        if self.metric == "cosine":
+            unit, _ = _prepare(raw, "cosine")
+            return unit, np.ones(len(raw)), np.where(np.isnan(unit).any(axis=1), _NAN, _TAME)
+        moved = (raw - self.shift) / self.scale
+        sq = np.einsum("ij,ij->i", moved, moved)
+        return raw, sq, np.where(np.isnan(raw).any(axis=1), _NAN, np.where(sq < _TAME_SQUARE, _TAME, _WILD))
+
+    def _bounds(self, rows: np.ndarray, sq: np.ndarray, of_queries: bool) -> np.ndarray:
+        """Rows whose product bounds the cosine, or half the squared distance's negative without the query's own share."""
+        if self.metric == "cosine":
+            return rows.astype(np.float32)
+        last = np.ones(len(rows)) if of_queries else sq * (self.error - 0.5)
+        return np.concatenate([(rows - self.shift) / self.scale, last[:, None]], axis=1).astype(np.float32)
+
+    def _limits(self) -> None:
+        kth, sq = self.kth[self.order], self.q_sq[self.order]
+        if self.metric == "cosine":
+            least = kth - self.error
+        else:
+            far = np.square(kth / self.scale) * (1 + 1e-12)
+            least = sq * (0.5 - self.error) - 0.5 * far - 1e-30  # less than that is lost in single precision
+        # the step to single precision rounds down; nothing bounds what is not full yet
+        self.limit = np.where(np.isfinite(kth), np.nextafter(np.clip(least, -1e38, 1e38).astype(np.float32), np.float32(-np.inf)), np.float32(-np.inf))
+
+    def _scores(self, r: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore", over="ignore"):
+            if self.metric == "cosine":
+                return np.einsum("ij,ij->i", self.q[r], c[p])
+            diff = self.q[r] - c[p]
+            return 0.0 - np.sqrt(np.einsum("ij,ij->i", diff, diff))
 
     def add(self, c_raw: np.ndarray, c_ids: np.ndarray, c_pos: np.ndarray | None = None) -> None:
         """Score corpus rows; ``c_pos`` are their row positions in the task's
         payload (defaults to 0..n-1)."""
-        n = self.q.shape[0]
-        if n == 0 or c_raw.shape[0] == 0:
+        if self.q.shape[0] == 0 or c_raw.shape[0] == 0:
             return
         if c_pos is None:
             c_pos = np.arange(c_raw.shape[0], dtype=np.int64)
-        c, c_sq = _prepare(c_raw - self.shift, self.metric)
-        step = max(1, _TILE_ELEMS // max(n, 1))
-        for lo in range(0, c.shape[0], step):
-            hi = min(lo + step, c.shape[0])
-            if self.metric == "cosine":
-                s = self.q @ c[lo:hi].T
-            else:
-                worst = np.square(self.best_s[:, -1]) * (1 + 1e-12)  # infinite until k are held
-                s = _distance_tile(self.q_raw, self.q, self.q_sq, c_raw[lo:hi], c[lo:hi], c_sq[lo:hi], self.k, worst)
-            ids = np.broadcast_to(c_ids[lo:hi], s.shape)
-            all_s = np.concatenate([self.best_s, s], axis=1)
-            all_i = np.concatenate([self.best_i, ids], axis=1)
-            top_s, top_i, top_c = topk_merge(all_s, all_i, self.k)
-            all_p = np.concatenate([self.best_p, np.broadcast_to(c_pos[lo:hi], s.shape)], axis=1)
-            top_p = np.where(top_c >= 0, np.take_along_axis(all_p, np.maximum(top_c, 0), axis=1), -1)
-            self.best_s, self.best_i, self.best_p = top_s, top_i, top_p
+        lo = 0
+        while lo < len(c_raw):  # few rows at first: until k are held every pair is scored
+            hi = lo + max(4 * self.k, min(_TILE_ROWS, self.seen))
+            self._add(c_raw[lo:hi], c_ids[lo:hi], c_pos[lo:hi])
+            self.seen += len(c_raw[lo:hi])
+            lo = hi
+
+    def _add(self, c_raw: np.ndarray, c_ids: np.ndarray, c_pos: np.ndarray) -> None:
+        with np.errstate(invalid="ignore", over="ignore"):
+            c, c_sq, kind = self._prepared(c_raw)
+        numbers = kind != _NAN
+        if not numbers.all():
+            self.nans = self._smallest(self.nans, c_ids[~numbers], c_pos[~numbers])
+        if len(self.none):
+            self.first = self._smallest(self.first, c_ids, c_pos)
+        tame, wild = np.flatnonzero(kind == _TAME), np.flatnonzero(kind == _WILD)
+        bound = np.ascontiguousarray(self._bounds(c[tame], c_sq[tame], False).T)
+        for at in range(0, len(self.order) if len(tame) else 0, _TILE_QUERIES):
+            rows = slice(at, at + _TILE_QUERIES)
+            near = self.bound[rows] @ bound >= self.limit[rows, None]
+            i, j = _places(near)
+            self._enter(self.order[at + i], c, tame[j], c_ids, c_pos)
+        for some, columns in ((self.wild, np.flatnonzero(numbers)), (self.order, wild)):
+            step = max(1, _PAIRS // max(1, len(columns)))
+            for at in range(0, len(some) if len(columns) else 0, step):
+                part = some[at : at + step]
+                self._enter(np.repeat(part, len(columns)), c, np.tile(columns, len(part)), c_ids, c_pos)
+        if self.seen < 16 * _TILE_ROWS or self.pending > _SLACK * self.kth.size * self.k:
+            self._merge()
+
+    def _enter(self, r: np.ndarray, c: np.ndarray, p: np.ndarray, c_ids: np.ndarray, c_pos: np.ndarray) -> None:
+        for lo in range(0, len(r), _PAIRS):
+            rr, pp = r[lo : lo + _PAIRS], p[lo : lo + _PAIRS]
+            s = self._scores(rr, c, pp)
+            key = np.where(np.isnan(s), np.inf, s)
+            ids, kth = c_ids[pp], self.kth[rr]
+            keep = (key > kth) | ((key == kth) & (ids < self.kth_id[rr]))
+            self.held.append((rr[keep], s[keep], ids[keep], c_pos[pp[keep]]))
+            self.pending += int(keep.sum())
+            if self.pending > 2 * self.kth.size * self.k + _PAIRS:
+                self._merge()
+
+    def _smallest(self, have: tuple, ids: np.ndarray, pos: np.ndarray) -> tuple:
+        ids, pos = np.concatenate([have[0], ids]), np.concatenate([have[1], pos])
+        first = np.argsort(ids, kind="stable")[: self.k]
+        return ids[first], pos[first]
+
+    def _merge(self, last: bool = False) -> None:
+        """Drops what is no longer among the k best of its query; ties with the k-th stay while they are few."""
+        r, s, ids, pos = (np.concatenate(x) for x in zip(*self.held))
+        n, k = self.kth.size, self.k
+        key = np.where(np.isnan(s), np.inf, s)
+        counts = np.bincount(r, minlength=n)
+        width = int(counts.max(initial=0))
+        cut = last
+        if not last and width > k:
+            cut = n * width > 4 * len(r) + 8 * _PAIRS
+            if not cut:
+                order = np.argsort(r.astype(np.uint16) if n <= 1 << 16 else r, kind="stable")
+                table = np.full((n, width), -np.inf)
+                table[r[order], np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts)] = key[order]
+                kth = np.partition(table, width - k, axis=1)[:, width - k]
+                kth[counts < k] = -np.inf
+                keep = key >= kth[r]
+                cut = int(keep.sum()) > 2 * n * k
+                self.kth_id[kth > self.kth] = NO_ID
+                self.kth = np.maximum(self.kth, kth)
+                r, s, ids, pos, key = r[keep], s[keep], ids[keep], pos[keep], key[keep]
+        if cut:
+            order = np.lexsort((ids, -key, r))
+            r, s, ids, pos, key = r[order], s[order], ids[order], pos[order], key[order]
+            counts = np.bincount(r, minlength=n)
+            place = np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts)
+            at = place == k - 1
+            self.kth[r[at]], self.kth_id[r[at]] = key[at], ids[at]
+            keep = place < k
+            r, s, ids, pos = r[keep], s[keep], ids[keep], pos[keep]
+        self.held, self.pending = [(r, s, ids, pos)], 0
+        self._limits()
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(query row, example id, score, payload position) of every kept entry."""
-        r, p = np.nonzero(self.best_i != NO_ID)
-        return r, self.best_i[r, p], self.best_s[r, p], self.best_p[r, p]
+        numbered = np.setdiff1d(np.arange(self.kth.size), self.none)
+        for some, (ids, pos) in ((numbered, self.nans), (self.none, self.first)):
+            if len(some) and len(ids):
+                self.held.append((np.repeat(some, len(ids)), np.full(len(some) * len(ids), np.nan), np.tile(ids, len(some)), np.tile(pos, len(some))))
+        self._merge(last=True)
+        r, s, ids, pos = self.held[0]
+        return r, ids, s, pos
+
+
+def _no_entries() -> tuple:
+    return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true places of a matrix: eight columns are looked at at once."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    eights = np.flatnonzero(flat[:whole].view(np.uint64))
+    found = (eights[:, None] * 8 + np.arange(8)).ravel()
+    found = found[flat[found]]
+    found = np.concatenate([found, whole + np.flatnonzero(flat[whole:])])
+    return found // max(1, mask.shape[1]), found % max(1, mask.shape[1])
 
 
 def _out_schema(q_type, corpus: DataFrame, carry) -> T.StructType:
@@ -148,15 +297,14 @@ def _out_schema(q_type, corpus: DataFrame, carry) -> T.StructType:
     )
 
 
-def _emit(q_ids: pa.Array, acc: "_RunningTopK", payload: list[pa.Array], carry) -> pa.RecordBatch | None:
+def _emit(q_ids: pa.Array, acc: "_RunningTopK", payload: list[pa.Array], carry):
     r, ex, sc, pos = acc.rows()
-    if not r.size:
-        return None
-    cols = [q_ids.take(pa.array(r, pa.int64())), pa.array(ex, pa.int64()), pa.array(sc, pa.float64())]
     names = ["query_id", "example_id", "score"] + list(carry)
-    for arr in payload:
-        cols.append(arr.take(pa.array(pos, pa.int64())))
-    return pa.RecordBatch.from_arrays(cols, names=names)
+    for lo in range(0, r.size, _OUT_ROWS):
+        some = slice(lo, lo + _OUT_ROWS)
+        cols = [q_ids.take(pa.array(r[some], pa.int64())), pa.array(ex[some], pa.int64()), pa.array(sc[some], pa.float64())]
+        cols += [arr.take(pa.array(pos[some], pa.int64())) for arr in payload]
+        yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def _broadcast_scores(queries, corpus, k, metric, qid, qvec, eid, cvec, dim, q_type, carry):
@@ -181,53 +329,80 @@ def _broadcast_scores(queries, corpus, k, metric, qid, qvec, eid, cvec, dim, q_t
                 payload[j].append(batch.column(2 + j))
             offset += batch.num_rows
         merged = [pa.concat_arrays(p) if p else pa.array([]) for p in payload]
-        out = _emit(ids_arr, acc, merged, carry)
-        if out is not None:
-            yield out
+        yield from _emit(ids_arr, acc, merged, carry)
 
     return scoring_layout(corpus.select(F.col(eid).cast("long"), cvec, *carry)).mapInArrow(
         score_partition, _out_schema(q_type, corpus, carry)
     )
 
 
+def _grid(n_q: int, n_c: int, dim: int, k: int, block_bytes: int, parallelism: int) -> tuple[int, int]:
+    """Query blocks and corpus blocks: enough pairs of blocks for all cores and none with more than ``_TASK_PAIRS``
+    products, query blocks within ``block_bytes``, and within that the least copying of rows and lists."""
+    vector, lists = max(dim, 1) * 8 + 16, 48 * k
+    tasks = max(4 * parallelism, math.ceil(n_q * n_c / _TASK_PAIRS))
+    qb = max(math.ceil(n_q * (vector + lists) / block_bytes), round(math.sqrt(tasks * n_q * (vector + lists) / (max(1, n_c) * vector))))
+    qb = max(1, min(qb, n_q))
+    return qb, max(1, min(math.ceil(tasks / qb), n_c))
+
+
 def _blocked_scores(queries, corpus, k, metric, qid, qvec, eid, cvec, dim, q_type, n_q, n_c, block_bytes, carry):
-    row_bytes = max(dim, 1) * 8 + 16
-    qb = max(1, math.ceil(n_q * row_bytes / block_bytes))
-    cb = max(1, math.ceil(n_c * row_bytes / block_bytes))
+    qb, cb = _grid(n_q, n_c, dim, k, block_bytes, queries.sparkSession.sparkContext.defaultParallelism)
     carry = list(carry)
-    q_rep = queries.select(
+    same = queries.schema[qvec].dataType == corpus.schema[cvec].dataType
+    vector = (lambda c: F.col(c)) if same else (lambda c: F.col(c).cast("array<double>"))
+    block = lambda key, v, n: F.pmod(F.xxhash64(key, v), F.lit(n)).cast("int")
+
+    def copies(n, part):
+        return F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), part))
+
+    of_query, of_row = block(qid, qvec, qb), block(eid, cvec, cb)
+    q_rep = queries.where(F.size(qvec) == dim).withColumn("_part", copies(cb, lambda j: of_query * cb + j)).select(
+        "_part",
+        F.lit(False).alias("_row"),
         F.col(qid).alias("query_id"),
-        F.col(qvec).alias("v"),
-        F.pmod(F.xxhash64(qid), F.lit(qb)).alias("_qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("_cb"),
-    ).where(F.size("v") == dim)
-    c_rep = corpus.select(
+        F.lit(None).cast("long").alias("example_id"),
+        vector(qvec).alias("v"),
+        *[F.lit(None).cast(corpus.schema[c].dataType).alias(f"_carry_{i}") for i, c in enumerate(carry)],
+    )
+    c_rep = corpus.where(F.size(cvec) == dim).withColumn("_part", copies(qb, lambda i: i * cb + of_row)).select(
+        "_part",
+        F.lit(True).alias("_row"),
+        F.lit(None).cast(q_type).alias("query_id"),
         F.col(eid).cast("long").alias("example_id"),
-        F.col(cvec).alias("v"),
-        *carry,
-        F.pmod(F.xxhash64(eid), F.lit(cb)).alias("_cb"),
-        F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_qb"),
+        vector(cvec).alias("v"),
+        *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)],
     )
 
-    def score_block(q_tab: pa.Table, c_tab: pa.Table) -> pa.Table:
-        q_ids = q_tab.column("query_id").combine_chunks()
-        q_mat, _ = _list_matrix(q_tab.column("v"), dim)
-        c_mat, valid = _list_matrix(c_tab.column("v"), dim)
-        c_ids = c_tab.column("example_id").to_numpy()[valid].astype(np.int64)
-        acc = _RunningTopK(q_mat, metric, k)
-        acc.add(c_mat, c_ids, np.nonzero(valid)[0])
-        payload = [c_tab.column(c).combine_chunks() for c in carry]
-        out = _emit(q_ids, acc, payload, carry)
-        if out is None:
-            return pa.Table.from_batches([], schema=pa.schema(
-                [("query_id", q_ids.type), ("example_id", pa.int64()), ("score", pa.float64())]
-                + [(c, c_tab.schema.field(c).type) for c in carry]))
-        return pa.Table.from_batches([out])
+    def score_block(batches):
+        q_ids, q_mats, acc = [], [], None
+        payload: list[list[pa.Array]] = [[] for _ in carry]
+        offset = 0
+        for batch in batches:  # the queries of the block come first
+            n = batch.num_rows - (batch.column(0).true_count or 0)
+            if n:
+                q_ids.append(batch.column(1).slice(0, n))
+                q_mats.append(_list_matrix(batch.column(3).slice(0, n), dim)[0])
+            rows = batch.slice(n)
+            if not rows.num_rows or not q_ids:
+                continue
+            if acc is None:
+                acc = _RunningTopK(np.vstack(q_mats), metric, k)
+                q_mats.clear()
+            ids = rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            acc.add(_list_matrix(rows.column(3), dim)[0], ids, offset + np.arange(rows.num_rows))
+            for j in range(len(carry)):
+                payload[j].append(rows.column(4 + j))
+            offset += rows.num_rows
+        if acc is not None:
+            yield from _emit(pa.concat_arrays(q_ids), acc, [pa.concat_arrays(p) for p in payload], carry)
 
     return (
-        q_rep.groupBy("_qb", "_cb")
-        .cogroup(c_rep.groupBy("_qb", "_cb"))
-        .applyInArrow(score_block, _out_schema(q_type, corpus, carry))
+        q_rep.unionByName(c_rep)
+        .repartitionById(qb * cb, F.col("_part"))
+        .sortWithinPartitions("_row")
+        .drop("_part")
+        .mapInArrow(score_block, _out_schema(q_type, corpus, carry))
     )
 
 

@@ -117,3 +117,87 @@ def test_few_distances_are_subtracted():
         best = np.argsort(-exact[i])[:5]
         assert np.allclose(tile[i, best], exact[i, best], rtol=0, atol=1e-12)
     assert np.isfinite(tile).sum() <= 20 * 6
+
+
+def _held(q, c, ids, metric, k, batch=700):
+    from exemplar.operators.knn import _RunningTopK
+
+    acc = _RunningTopK(q, metric, k)
+    pos = np.arange(len(c))
+    for lo in range(0, len(c), batch):
+        acc.add(c[lo : lo + batch], ids[lo : lo + batch], pos[lo : lo + batch])
+    out = [[] for _ in q]
+    for r, i, s, p in zip(*acc.rows()):
+        assert ids[p] == i
+        out[r].append((int(i), float(s)))
+    return out
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("case", ["plain", "copies", "nan", "infinite", "tiny", "huge", "zero"])
+def test_kernel_is_exact_on_odd_rows(metric, case):
+    rng = np.random.default_rng(7)
+    q, c, k = rng.normal(size=(60, 9)), rng.normal(size=(3000, 9)), 6
+    ids = rng.permutation(9000)[:3000].astype(np.int64)
+    if case == "copies":
+        c = c[rng.integers(0, 15, 3000)]
+        q = c[rng.integers(0, 3000, 60)]
+    if case == "nan":
+        c[::7, 2], q[::11] = np.nan, np.nan
+    if case == "infinite":
+        c[::7, 3], c[::5, 2], q[::11, 3] = np.inf, -np.inf, np.inf
+    if case == "tiny":
+        q, c = q * 1e-25, c * 1e-25
+    if case == "huge":
+        q, c = q * 1e160, c * 1e160
+    if case == "zero":
+        c[::2], q[::3] = 0.0, 0.0
+    got = _held(q, c, ids, metric, k)
+    with np.errstate(all="ignore"):
+        unit = lambda m: m / (np.sqrt(np.einsum("ij,ij->i", m, m)) + 1e-8)[:, None]
+        a, b = (unit(q), unit(c)) if metric == "cosine" else (q, c)
+        for i, found in enumerate(got):
+            s = np.einsum("ij,ij->i", np.repeat(a[i : i + 1], len(b), 0), b) if metric == "cosine" else 0.0 - np.sqrt(np.einsum("ij,ij->i", a[i] - b, a[i] - b))
+            best = np.lexsort((ids, -np.where(np.isnan(s), np.inf, s)))[:k]
+            assert [x for x, _ in found] == ids[best].tolist()
+            assert np.allclose([x for _, x in found], s[best], rtol=1e-12, atol=1e-15, equal_nan=True)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_few_pairs_are_scored_exactly(metric, monkeypatch):
+    """The single-precision product rules nearly all pairs out, also with a large k."""
+    from exemplar.operators import knn
+
+    scored, scores = [], knn._RunningTopK._scores
+    monkeypatch.setattr(knn._RunningTopK, "_scores", lambda self, r, c, p: scored.append(len(r)) or scores(self, r, c, p))
+    rng = np.random.default_rng(8)
+    q, c = rng.normal(size=(40, 32)), rng.normal(size=(60_000, 32))
+    _held(q, c, np.arange(60_000), metric, 50, 10_000)
+    assert sum(scored) < 0.03 * 40 * 60_000
+
+
+def test_blocks_use_all_cores_and_bound_a_task():
+    """One GB of embeddings (120,000 rows) was scored for all queries in every task, six GB in 36 blocks."""
+    from exemplar.operators import knn
+
+    for n, k in ((20_000, 5), (120_000, 51), (720_000, 5), (720_000, 50), (5_000_000, 50)):
+        qb, cb = knn._grid(n, n, 64, k, knn.DEFAULT_BLOCK_BYTES, 12)
+        assert qb * cb >= 48 and n / qb * n / cb <= knn._TASK_PAIRS
+        assert n / qb * (64 * 8 + 16 + 48 * k) <= knn.DEFAULT_BLOCK_BYTES
+    assert knn._grid(1, 1, 3, 5, 400, 12) == (1, 1)
+
+
+def test_blocks_are_scored_one_to_a_task(spark, monkeypatch):
+    """Blocks are neither hashed onto each other's partitions nor put together afterwards; repeated ids and nulls stay."""
+    from exemplar.operators import knn
+
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(knn, "_TASK_PAIRS", 500)
+    rows = [(i // 2, [float(x) for x in np.float32(rng.normal(size=4))]) for i in range(120)] + [(None, [1.0, 0.0, 0.0, 0.0]), (7, None), (8, [1.0])]
+    df = spark.createDataFrame(rows, "query_id long, embedding array<float>")
+    parts = knn._blocked_scores(df, df, 3, "cosine", "query_id", "embedding", "query_id", "embedding", 4, df.schema["query_id"].dataType, 123, 123, 1 << 20, ())
+    qb, cb = knn._grid(123, 123, 4, 3, 1 << 20, spark.sparkContext.defaultParallelism)
+    assert parts.rdd.getNumPartitions() == qb * cb >= 31
+    c = df.where("query_id is not null").withColumnRenamed("query_id", "example_id")
+    got = {s: sorted(map(str, dense_topk(df, c, 3, strategy=s).collect())) for s in ("broadcast", "blocked")}
+    assert got["broadcast"] == got["blocked"] and len(got["blocked"]) == 61 * 3
