@@ -234,3 +234,25 @@ def test_long_texts_are_read_once():
         took.append(time.perf_counter() - start)
         assert len(got) == 3 * n and got[0].text == "fn f0(a: u8) { /* { */ let s = \"}\"; }"
     assert took[1] < 8 * took[0]  # four times the text
+
+
+def test_batches_are_read_in_pieces(monkeypatch):
+    """Nodes of a whole batch of texts as Python objects took gigabytes."""
+    import pyarrow as pa
+
+    from exemplar.functions import syntax
+
+    texts = [None if i % 7 == 0 else "" if i % 5 == 0 else "".join(f"use a{i}::b{j};\n" for j in range(i % 40)) for i in range(400)]
+    langs = ["rust" if i % 11 else None for i in range(400)]
+    each = [None if i % 9 == 0 else texts[i : i + i % 4] for i in range(400)]
+    fields = ("modules", "text")
+    want = [[{"modules": n.modules, "text": n.text} for n in syntax.rows(t, s, ("import",))] for t, s in zip(texts, langs)]
+    want_each = [None if ts is None else [[{"modules": n.modules, "text": n.text} for n in syntax.rows(t, s, ("import",))] for t in ts] for ts, s in zip(each, langs)]
+    held, lists = [], syntax._node_lists
+    monkeypatch.setattr(syntax, "PIECE_BYTES", 2000, raising=False)
+    monkeypatch.setattr(syntax, "_node_lists", lambda found, f: held.append(sum(len(x or ()) for x in found)) or lists(found, f))
+    assert syntax._rows_batch(("import",), fields)(pa.array(texts), pa.array(langs)).to_pylist() == want
+    assert syntax._rows_each_batch(("import",), fields)(pa.array(each), pa.array(langs)).to_pylist() == want_each
+    assert max(held) < 0.2 * sum(len(x) for x in want)
+    empty = pa.array([], pa.string())
+    assert syntax._rows_batch(("import",), fields)(empty, empty).to_pylist() == []
