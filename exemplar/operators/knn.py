@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import NORM_EPS
 from ..session import ship_package
-from .layout import scoring_layout
+from .layout import scoring_layout, spread
 from .topk import NO_ID, top_k_per_group, topk_merge
 
 # Per-task budget for one dense score tile (float64 elements).
@@ -50,6 +50,8 @@ _TILE_QUERIES, _TILE_ROWS, _PAIRS = 512, 2048, 1 << 17
 _SLACK = 0.5
 # Products of one task of the blocked strategy, and the rows that a task gives at once.
 _TASK_PAIRS = 4_000_000_000
+# What an entry of a list costs (to find, sort and merge) in bytes of copied vectors that take as long.
+_LIST_BYTES = 300
 _OUT_ROWS = 1 << 16
 
 
@@ -166,6 +168,16 @@ class _RunningTopK:
         # the step to single precision rounds down; nothing bounds what is not full yet
         self.limit = np.where(np.isfinite(kth), np.nextafter(np.clip(least, -1e38, 1e38).astype(np.float32), np.float32(-np.inf)), np.float32(-np.inf))
 
+    def _first_limits(self, rows: slice, upper: np.ndarray, c_sq: np.ndarray) -> np.ndarray:
+        """Limits of queries that do not hold k rows yet: k rows of the tile score at least its k-th bound without the
+        rounding on both sides, so what stays below that is out."""
+        if upper.shape[1] < self.k or not 1e-100 < self.scale < 1e100:  # squares of distances may overflow or vanish
+            return self.limit[rows]
+        kth = np.partition(upper, upper.shape[1] - self.k, axis=1)[:, upper.shape[1] - self.k].astype(np.float64)
+        size = 1.0 if self.metric == "cosine" else self.q_sq[self.order[rows]] + c_sq.max()
+        least = np.clip(kth - 2.5 * self.error * size - 2e-30, -1e38, 1e38).astype(np.float32)
+        return np.fmax(self.limit[rows], np.nextafter(least, np.float32(-np.inf)))
+
     def _scores(self, r: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
         with np.errstate(invalid="ignore", over="ignore"):
             if self.metric == "cosine":
@@ -180,12 +192,11 @@ class _RunningTopK:
             return
         if c_pos is None:
             c_pos = np.arange(c_raw.shape[0], dtype=np.int64)
-        lo = 0
-        while lo < len(c_raw):  # few rows at first: until k are held every pair is scored
-            hi = lo + max(4 * self.k, min(_TILE_ROWS, self.seen))
+        step = max(4 * self.k, _TILE_ROWS)
+        for lo in range(0, len(c_raw), step):
+            hi = lo + step
             self._add(c_raw[lo:hi], c_ids[lo:hi], c_pos[lo:hi])
             self.seen += len(c_raw[lo:hi])
-            lo = hi
 
     def _add(self, c_raw: np.ndarray, c_ids: np.ndarray, c_pos: np.ndarray) -> None:
         with np.errstate(invalid="ignore", over="ignore"):
@@ -199,15 +210,16 @@ class _RunningTopK:
         bound = np.ascontiguousarray(self._bounds(c[tame], c_sq[tame], False).T)
         for at in range(0, len(self.order) if len(tame) else 0, _TILE_QUERIES):
             rows = slice(at, at + _TILE_QUERIES)
-            near = self.bound[rows] @ bound >= self.limit[rows, None]
-            i, j = _places(near)
+            upper = self.bound[rows] @ bound
+            limit = self._first_limits(rows, upper, c_sq[tame]) if np.isneginf(self.limit[rows]).any() else self.limit[rows]
+            i, j = _places(upper >= limit[:, None])
             self._enter(self.order[at + i], c, tame[j], c_ids, c_pos)
         for some, columns in ((self.wild, np.flatnonzero(numbers)), (self.order, wild)):
             step = max(1, _PAIRS // max(1, len(columns)))
             for at in range(0, len(some) if len(columns) else 0, step):
                 part = some[at : at + step]
                 self._enter(np.repeat(part, len(columns)), c, np.tile(columns, len(part)), c_ids, c_pos)
-        if self.seen < 16 * _TILE_ROWS or self.pending > _SLACK * self.kth.size * self.k:
+        if self.pending > _SLACK * self.kth.size * self.k:
             self._merge()
 
     def _enter(self, r: np.ndarray, c: np.ndarray, p: np.ndarray, c_ids: np.ndarray, c_pos: np.ndarray) -> None:
@@ -338,12 +350,14 @@ def _broadcast_scores(queries, corpus, k, metric, qid, qvec, eid, cvec, dim, q_t
 
 def _grid(n_q: int, n_c: int, dim: int, k: int, block_bytes: int, parallelism: int) -> tuple[int, int]:
     """Query blocks and corpus blocks: enough pairs of blocks for all cores and none with more than ``_TASK_PAIRS``
-    products, query blocks within ``block_bytes``, and within that the least copying of rows and lists."""
+    products, query blocks within ``block_bytes``, and within that the least work for copies of rows and for lists."""
     vector, lists = max(dim, 1) * 8 + 16, 48 * k
     tasks = max(4 * parallelism, math.ceil(n_q * n_c / _TASK_PAIRS))
-    qb = max(math.ceil(n_q * (vector + lists) / block_bytes), round(math.sqrt(tasks * n_q * (vector + lists) / (max(1, n_c) * vector))))
-    qb = max(1, min(qb, n_q))
-    return qb, max(1, min(math.ceil(tasks / qb), n_c))
+    least = math.ceil(n_q * (vector + lists) / block_bytes)
+    most = max(1, min(n_c, tasks))
+    cbs = range(min(most, math.ceil(tasks / max(1, n_q))), most + 1)
+    grids = ((max(1, min(n_q, max(least, math.ceil(tasks / cb)))), cb) for cb in cbs)
+    return min(grids, key=lambda g: n_c * vector * g[0] + n_q * (vector + _LIST_BYTES * k) * g[1])
 
 
 def _blocked_scores(queries, corpus, k, metric, qid, qvec, eid, cvec, dim, q_type, n_q, n_c, block_bytes, carry):
@@ -357,6 +371,7 @@ def _blocked_scores(queries, corpus, k, metric, qid, qvec, eid, cvec, dim, q_typ
         return F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), part))
 
     of_query, of_row = block(qid, qvec, qb), block(eid, cvec, cb)
+    queries, corpus = spread(queries.select(qid, qvec)), spread(corpus.select(*dict.fromkeys([eid, cvec, *carry])))
     q_rep = queries.where(F.size(qvec) == dim).withColumn("_part", copies(cb, lambda j: of_query * cb + j)).select(
         "_part",
         F.lit(False).alias("_row"),

@@ -201,3 +201,28 @@ def test_blocks_are_scored_one_to_a_task(spark, monkeypatch):
     c = df.where("query_id is not null").withColumnRenamed("query_id", "example_id")
     got = {s: sorted(map(str, dense_topk(df, c, 3, strategy=s).collect())) for s in ("broadcast", "blocked")}
     assert got["broadcast"] == got["blocked"] and len(got["blocked"]) == 61 * 3
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_first_rows_are_bounded_too(metric, monkeypatch):
+    """The k-th bound of the first tile rules pairs out before k rows are held: 414 pairs a query were scored here, 99 are."""
+    from exemplar.operators import knn
+
+    scored, scores = [], knn._RunningTopK._scores
+    monkeypatch.setattr(knn._RunningTopK, "_scores", lambda self, r, c, p: scored.append(len(r)) or scores(self, r, c, p))
+    rng = np.random.default_rng(8)
+    q, c = rng.normal(size=(40, 32)), rng.normal(size=(4096, 32))
+    got = _held(q, c, np.arange(4096), metric, 50, 4096)
+    assert sum(scored) < 40 * 150
+    unit = lambda m: m / (np.linalg.norm(m, axis=1) + 1e-8)[:, None]
+    for i, found in enumerate(got):
+        s = unit(c) @ unit(q)[i] if metric == "cosine" else -np.linalg.norm(c - q[i], axis=1)
+        assert [x for x, _ in found] == np.argsort(-s)[:50].tolist()
+
+
+def test_long_lists_are_found_in_few_blocks():
+    """Each block of rows gives a list of k for every query; with k = 50 these cost more than copies of the rows."""
+    from exemplar.operators import knn
+
+    assert knn._grid(102_560, 102_560, 64, 50, knn.DEFAULT_BLOCK_BYTES, 12)[1] == 1  # was 3
+    assert knn._grid(720_000, 720_000, 64, 50, knn.DEFAULT_BLOCK_BYTES, 12)[1] == 2  # was 5
