@@ -122,7 +122,7 @@ def retrieve(
             index,
             pool_size,
             metric,
-            carry=("method_name", "param_count"),
+            carry=("method_name", "param_count") if normalize_weights(weights)["method_name"] != 0 else ("param_count",),
             **search_options,
         )
         qf = queries.select(

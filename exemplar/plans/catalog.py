@@ -512,11 +512,15 @@ def q_name_similarity(spark, sf):
 
 
 def _index(spark, sf) -> DataFrame:
-    """Vectors of `embeddings` with the code features of the part of the same key."""
+    """Vectors of `embeddings` with the code features of the part of the same key.
+
+    An index is built once: only texts of a vector are parsed, and the rows are written, for the search reads them
+    several times."""
     emb = table(spark, sf, "embeddings")
-    return emb.join(_features(spark, sf), emb.vec_id == F.col("p_partkey"), "left").select(
-        "vec_id", "embedding", "method_name", "param_count"
-    )
+    texts = standins.code_snippets(spark, sf).join(emb, F.col("p_partkey") == emb.vec_id, "left_semi")
+    features = C.with_code_features(spread(texts), "code").select("p_partkey", "method_name", "param_count")
+    rows = emb.join(features, emb.vec_id == F.col("p_partkey"), "left")
+    return written(rows.select("vec_id", "embedding", "method_name", "param_count"), "index")
 
 
 _NO_NAME = {"embedding": 0.6, "method_name": 0.0, "signature": 0.2}

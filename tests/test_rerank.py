@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from exemplar.functions.similarity import ratio
 from exemplar.operators.rerank import normalize_weights, rerank
@@ -48,3 +49,38 @@ def test_top_k_zero_means_default(spark):
     idx = spark.createDataFrame([(i, [1.0, float(i)], "f", 1) for i in range(8)], "example_id long, embedding array<float>, method_name string, param_count int")
     q = spark.createDataFrame([(1, [1.0, 0.0], "f", 1)], "query_id long, embedding array<float>, method_name string, param_count int")
     assert retrieve(q, idx, k=0, threshold=0.0).count() == 5
+
+
+def test_index_parses_only_texts_of_its_vectors_and_once(spark, tmp_path, monkeypatch):
+    """All texts of `part` were parsed, and again for every reader of the index; repeated and null keys stay."""
+    from exemplar.plans import catalog
+
+    vectors = [(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (2, [0.5, 1.0], 0), (None, [1.0, 1.0], 0), (50, [1.0, 2.0], 0)]
+    parts = [(i, f"part {i}", "Brand#11", "STANDARD TIN", i % 7, 1.0) for i in [1, 2, *range(3, 40), 2]]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(
+        parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    plain = catalog.table(spark, str(tmp_path), "embeddings").join(
+        catalog._features(spark, str(tmp_path)), F.col("vec_id") == F.col("p_partkey"), "left"
+    ).select("vec_id", "embedding", "method_name", "param_count")
+    want = sorted(map(str, plain.collect()))
+    parsed, parse = [], catalog.C.with_code_features
+    monkeypatch.setattr(catalog.C, "with_code_features", lambda df, *a: parsed.append(df) or parse(df, *a))
+    index = catalog._index(spark, str(tmp_path))
+    assert sorted(map(str, index.collect())) == want and len(want) == 7
+    assert sorted(r.p_partkey for r in parsed[0].collect()) == [1, 2, 2]
+    assert "part.parquet" not in str(index.inputFiles()) and "embeddings.parquet" not in str(index.inputFiles())
+
+
+@pytest.mark.parametrize("weight, carried", [(0.0, ["param_count"]), (0.2, ["method_name", "param_count"])])
+def test_pool_carries_only_features_with_a_weight(spark, monkeypatch, weight, carried):
+    from exemplar.operators import rerank as RR
+
+    seen, search = [], RR.dense_topk
+    monkeypatch.setattr(RR, "dense_topk", lambda *a, **kw: seen.append(list(kw["carry"])) or search(*a, **kw))
+    rows = [(1, [1.0, 0.0], "a", 1), (2, [0.6, 0.8], "b", 2), (3, [0.0, 1.0], "a", None)]
+    q = spark.createDataFrame(rows, "query_id long, embedding array<float>, method_name string, param_count int")
+    got = RR.retrieve(q, q.withColumnRenamed("query_id", "example_id"), 2, weights={"embedding": 0.6, "method_name": weight, "signature": 0.2})
+    first = {r.query_id: r.example_id for r in got.where("rank = 1").collect()}
+    assert first == {1: 1, 2: 2, 3: 3} and seen == [carried]
